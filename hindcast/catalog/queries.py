@@ -407,7 +407,7 @@ def resume_rows(spark, sf):
     return v.table(spark, sf, "orders").selectExpr(
         "o_orderkey AS event_id",
         "concat('order ', o_orderpriority, ' rise High low') AS headline",
-        "CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 500000 - 0.5 END AS existing_sentiment",
+        "CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 524288 - 0.5 END AS existing_sentiment",
     )
 
 
@@ -761,8 +761,8 @@ def policy_rows(spark, sf):
     return v.table(spark, sf, "events").selectExpr(
         "event_id",
         "CASE event_type WHEN 'view' THEN 'HOLD' WHEN 'error' THEN 'PASS' ELSE 'BUY' END AS action",
-        "CASE WHEN event_id % 10 = 0 THEN 0.45 ELSE value / 100 END AS score",
-        "CASE WHEN event_id % 20 = 1 THEN 4.0 ELSE user_id / 16 END AS volatility_20d",
+        "CASE WHEN event_id % 10 = 0 THEN 0.45D ELSE value / 100 END AS score",
+        "CASE WHEN event_id % 20 = 1 THEN 14.0D ELSE user_id / 16 END AS volatility_20d",
     )
 
 
@@ -863,10 +863,8 @@ def q_poison_to_dlq(spark, sf):
 @query
 def q_feed_micro_batch(spark, sf):
     landed, out, summary = (new_path(spark, n) for n in ("feeds", "records", "summary"))
-    docs = v.feed_documents(spark, sf).select("ticker", F.col("xml").alias("value"))
-    # One document per file is what a poller lands; here each file is one feed.
-    docs.repartitionByRange("ticker", "value").write.option("maxRecordsPerFile", 1).option("lineSep", "\n").partitionBy("ticker").text(landed)
-    stream = stream_feed_documents(spark, landed)
+    v.feed_documents(spark, sf).select("ticker", "document", "xml").write.parquet(landed)
+    stream = stream_feed_documents(spark, landed, "parquet")
     feed_micro_batch(stream, out, summary, new_path(spark, "ck"), v.UNIVERSE, prefix=v.PREFIX, available_now=True).awaitTermination()
     return spark.read.parquet(summary).groupBy("ticker").agg(
         *[F.sum(c).alias(c) for c in ("fetched", "produced", "skipped_items", "errors")]
@@ -932,7 +930,7 @@ def decision_rows(spark, sf):
     events = v.news_events(spark, sf)
     features = build.featured_events(events, closes, sessions, v.options()).select("event_id", "volatility_20d", "feature_as_of")
     scores = v.table(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("string").alias("event_id"), (F.col("o_totalprice") / 600000).alias("score")
+        F.col("o_orderkey").cast("string").alias("event_id"), (F.col("o_totalprice") / 524288).alias("score")
     )
     answers = v.responses(spark, sf).select(F.col("id").cast("string").alias("event_id"), "response")
     return run_decisions(events, v.hits(spark, sf), answers, scores.join(features, "event_id"), v.POLICY, v.MODEL_VERSION, v.BUNDLE_ID)

@@ -23,7 +23,7 @@ PREFIX = "hindcast"
 DATASET_ID = "test-documents"
 BUILDER_VERSION = "1"
 SAMPLE_TARGET = 200
-POLICY = Policy(score_threshold=0.45, vol_veto_enabled=True, vol_veto_threshold=4.0)
+POLICY = Policy(score_threshold=0.45, vol_veto_enabled=True, vol_veto_threshold=14.0)
 MODEL_VERSION = "view-1"
 BUNDLE_ID = "view-bundle"
 

@@ -90,15 +90,33 @@ def exchange_day(text: Column) -> Column:
     return F.to_date(exchange_from_utc(clock))
 
 
+# FIXED VALUES: zone names of RFC 2822 dates; any other name means UTC.
+RSS_ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "AST": "-0400", "ADT": "-0300",
+    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+
 def parse_rss_date(text: Column) -> Column:
-    """RFC 2822 date -> UTC; no zone means UTC; null when unparsable."""
-    clean = F.regexp_replace(squeeze(text), r"^[A-Za-z]{3,9},?\s+", "")
+    """RFC 2822 date -> UTC; no zone means UTC; null when unparsable.
+
+    The weekday and comments are dropped, the zone name is turned into an
+    offset, then one pattern parses what is left.
+    """
+    clean = F.regexp_replace(squeeze(text), r"^[A-Za-z]{3,9}\.?,?\s+", "")
     clean = F.regexp_replace(clean, r"\s*\([^)]*\)$", "")
-    full = F.regexp_replace(clean, r"(\s\d{1,2}:\d{2})(?=\s|$)", "$1:00")
-    offset = F.try_to_timestamp(full, F.lit("d MMM yyyy H:mm:ss xx"))
-    named = F.try_to_timestamp(F.regexp_replace(full, r"\s(?:UT|Z)$", " GMT"), F.lit("d MMM yyyy H:mm:ss z"))
-    bare = F.try_to_timestamp(full, F.lit("d MMM yyyy H:mm:ss"))
-    return F.coalesce(offset, named, bare).cast("timestamp_ntz")
+    parts = r"^(\d{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -](\d{4}|\d{2}) (\d{1,2}:\d{2})(:\d{2})?(?: ([A-Za-z]+|[+-]\d{4}))?$"
+    piece = lambda i: F.regexp_extract(clean, parts, i)
+    year = F.when(F.length(piece(3)) == 2, F.concat(F.when(piece(3) < "69", F.lit("20")).otherwise(F.lit("19")), piece(3))).otherwise(piece(3))
+    second = F.when(piece(5) == "", F.lit(":00")).otherwise(piece(5))
+    names = F.create_map(*[F.lit(v) for pair in RSS_ZONES.items() for v in pair])
+    zone = F.when(piece(6).rlike(r"^[+-]"), piece(6)).otherwise(
+        F.coalesce(F.try_element_at(names, F.upper(piece(6))), F.lit("+0000"))
+    )
+    plain = F.concat(piece(1), F.lit(" "), F.initcap(piece(2)), F.lit(" "), year, F.lit(" "), piece(4), second, F.lit(" "), zone)
+    parsed = F.try_to_timestamp(plain, F.lit("d MMM yyyy H:mm:ss xx")).cast("timestamp_ntz")
+    return F.when(clean.rlike(parts), parsed)
 
 
 def iso_utc(clock: Column) -> Column:

@@ -13,8 +13,14 @@ from hindcast.sinks.tables import news_records
 from hindcast.sources.feeds import feed_events, feed_summary, parse_feeds
 
 
-def stream_feed_documents(spark: SparkSession, path: str) -> DataFrame:
-    """New files under ticker=SYMBOL/, one document per file."""
+def stream_feed_documents(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
+    """Newly landed documents.
+
+    `text`: one document per file under ticker=SYMBOL/, as a poller lands them.
+    `parquet`: tables of (ticker, document, xml), for pollers that batch.
+    """
+    if fmt == "parquet":
+        return spark.readStream.schema("ticker string, document string, xml string").parquet(path)
     return (
         spark.readStream.format("text").option("wholetext", "true").schema("value string, ticker string").load(path)
         .select("ticker", F.input_file_name().alias("document"), F.col("value").alias("xml"))
