@@ -99,13 +99,18 @@ RSS_ZONES = {
 
 
 def parse_rss_date(text: Column) -> Column:
-    """RFC 2822 date -> UTC; no zone means UTC; null when unparsable.
-
-    The weekday and comments are dropped, the zone name is turned into an
-    offset, then one pattern parses what is left.
-    """
-    clean = F.regexp_replace(squeeze(text), r"^[A-Za-z]{3,9}\.?,?\s+", "")
-    clean = F.regexp_replace(clean, r"\s*\([^)]*\)$", "")
+    """RFC 2822 date -> UTC; no zone means UTC; null when unparsable."""
+    clean = F.regexp_replace(squeeze(text), r"^[A-Za-z]{3,9}\.?,?\s+|\s*\([^)]*\)$", "")
+    plain = F.try_to_timestamp(
+        F.regexp_replace(clean, r" (?:GMT|UTC?|Z)$", " +0000"), F.lit("d MMM yyyy H:mm[:ss][ xx]")
+    ).cast("timestamp_ntz")
+    # Nearly all dates take the one-pattern form; the rest is looked at only
+    # when that fails.
+    return F.coalesce(plain, _rss_date_by_parts(clean))
+
+
+def _rss_date_by_parts(clean: Column) -> Column:
+    """Zone names, long or lower-case months, two-digit years, dashes."""
     parts = r"^(\d{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -](\d{4}|\d{2}) (\d{1,2}:\d{2})(:\d{2})?(?: ([A-Za-z]+|[+-]\d{4}))?$"
     piece = lambda i: F.regexp_extract(clean, parts, i)
     year = F.when(F.length(piece(3)) == 2, F.concat(F.when(piece(3) < "69", F.lit("20")).otherwise(F.lit("19")), piece(3))).otherwise(piece(3))

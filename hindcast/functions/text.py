@@ -21,7 +21,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (squeeze(text) == "")
+    """Stops at the first character that is not whitespace."""
+    return text.isNull() | ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def normalize_headline(text: Column) -> Column:

@@ -6,6 +6,8 @@ JSON read turns the number 5 into the text "5".
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,22 +17,46 @@ from hindcast.functions.text import strip
 
 NUMBER = r"^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
+_BROKEN = "_broken"
+_JSON_OPTIONS = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": _BROKEN}
+
+
+def json_fields(text: Column, names: Sequence[str]) -> Column:
+    """Named top-level values of a JSON object as variants, in one parse."""
+    return F.from_json(text, ", ".join(f"{n} variant" for n in (*names,)) + f", {_BROKEN} string", _JSON_OPTIONS)
+
+
+def is_json_object(text: Column, fields: Column) -> Column:
+    """True for exactly one well-formed object and nothing after it.
+
+    `fields` is the parsed struct of the same text. The parser stops at the end
+    of the first value; text whose first closing brace is its last character
+    has nothing behind it, any other text is counted as a list of values.
+    """
+    bare = F.btrim(text, F.lit(" \t\r\n"))
+    alone = (F.instr(bare, "}") == F.length(bare)) | (
+        F.json_array_length(F.concat(F.lit("["), bare, F.lit("]"))) == 1
+    )
+    return F.coalesce(bare.startswith("{") & fields[_BROKEN].isNull() & alone, F.lit(False))
+
 
-def json_type(doc: Column, path: str = "$") -> Column:
-    """SQL type name of the value at a path; null when absent."""
-    return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+def is_json_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
 
-def json_text(doc: Column, path: str) -> Column:
-    return F.when(json_type(doc, path) == "STRING", F.try_variant_get(doc, path, "string"))
+def json_text(value: Column) -> Column:
+    """A variant as text, only if it is a JSON string."""
+    return F.when(is_json_text(value), value.cast("string"))
 
 
-def json_number(doc: Column, path: str) -> Column:
-    return F.when(json_type(doc, path).rlike(NUMBER), F.try_variant_get(doc, path, "double"))
+def json_number(value: Column) -> Column:
+    """A variant as double, only if it is a JSON number."""
+    return F.when(F.schema_of_variant(value).rlike(NUMBER), F.try_variant_get(value, "$", "double"))
 
 
-def is_json_object(doc: Column) -> Column:
-    return F.coalesce(json_type(doc).startswith("OBJECT"), F.lit(False))
+def is_absent(value: Column) -> Column:
+    """No such key, or null."""
+    return F.coalesce(F.schema_of_variant(value) == "VOID", F.lit(True))
 
 
 def encode_payload(event_id: Column, headline: Column, ticker: Column, source: Column, published_at: Column, url: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hindcast.fixed_values import ACTIONS, DECISIONS, EVENT_SOURCES, HIT_SOURCES, RATIONALE_MAX_CHARS, UNIVERSE
 from hindcast.functions.clocks import has_zone, utc_from_zoned
 from hindcast.functions.text import is_blank, normalize_ticker, strip
-from hindcast.functions.wire import is_json_object, json_number, json_text, strip_fences
+from hindcast.functions.wire import is_json_object, json_fields, json_number, json_text, strip_fences
 
 
 class ContractError(ValueError):
@@ -101,15 +101,16 @@ def proposal_checks(action: Column, confidence: Column, rationale: Column, event
 
 def parse_proposal(df: DataFrame, text_col: str = "response") -> DataFrame:
     """Free text -> proposal columns plus `errors`."""
-    doc = F.try_parse_json(strip_fences(F.col(text_col)))
-    fields = df.withColumn("_doc", doc).withColumns(
+    names = ("action", "confidence", "rationale", "event_id", "ticker")
+    parsed = df.withColumn("_text", strip_fences(F.col(text_col))).withColumn("_f", json_fields(F.col("_text"), names))
+    fields = parsed.withColumns(
         {
-            "action": json_text(F.col("_doc"), "$.action"),
-            "confidence": json_number(F.col("_doc"), "$.confidence"),
-            "rationale": json_text(F.col("_doc"), "$.rationale"),
-            "proposed_event_id": json_text(F.col("_doc"), "$.event_id"),
-            "proposed_ticker": json_text(F.col("_doc"), "$.ticker"),
-            "_object": is_json_object(F.col("_doc")),
+            "action": json_text(F.col("_f.action")),
+            "confidence": json_number(F.col("_f.confidence")),
+            "rationale": json_text(F.col("_f.rationale")),
+            "proposed_event_id": json_text(F.col("_f.event_id")),
+            "proposed_ticker": json_text(F.col("_f.ticker")),
+            "_object": is_json_object(F.col("_text"), F.col("_f")),
         }
     )
     checks = {"json": F.col("_object")}
@@ -119,7 +120,7 @@ def parse_proposal(df: DataFrame, text_col: str = "response") -> DataFrame:
             F.col("action"), F.col("confidence"), F.col("rationale"), F.col("proposed_event_id"), F.col("proposed_ticker")
         ).items()
     }
-    return with_errors(fields, checks).drop("_doc", "_object")
+    return with_errors(fields, checks).drop("_text", "_f", "_object")
 
 
 def check_proposal(df: DataFrame) -> DataFrame:

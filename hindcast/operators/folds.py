@@ -39,18 +39,26 @@ def split_bounds(split: DataFrame, clock: str = "published_at") -> DataFrame:
     )
 
 
+def fold_bounds(n: int, folds: int = TIME_FOLDS) -> list[tuple[int, int, int]]:
+    """(fold, last training rank, last validation rank) of expanding folds."""
+    size = n // (folds + 1)
+    first = n - folds * size
+    return [(f, first + (f - 1) * size, first + f * size) for f in range(1, folds + 1)]
+
+
 def time_folds(ranked: DataFrame, n: int, folds: int = TIME_FOLDS) -> DataFrame:
     """Rows with fold and role: fold f validates on one slice of n // (folds+1)
     rows and trains on everything before it. A row occurs once per fold."""
-    size = n // (folds + 1)
-    first = n - folds * size
-    fold = F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold")
-    out = ranked.select("*", fold)
-    start = F.lit(first) + (F.col("fold") - 1) * size
-    role = F.when(F.col("time_rank") <= start, F.lit("train")).when(
-        F.col("time_rank") <= start + size, F.lit("validate")
+    bounds = F.array(
+        *[
+            F.struct(F.lit(f).alias("fold"), F.lit(start).alias("start"), F.lit(end).alias("end"))
+            for f, start, end in fold_bounds(n, folds)
+        ]
     )
-    return out.withColumn("role", role).filter(F.col("role").isNotNull())
+    rank = F.col("time_rank")
+    used = ranked.withColumn("_b", F.explode(F.filter(bounds, lambda b: rank <= b["end"])))
+    role = F.when(rank <= F.col("_b.start"), F.lit("train")).otherwise(F.lit("validate"))
+    return used.withColumns({"fold": F.col("_b.fold"), "role": role}).drop("_b")
 
 
 def check_folds(folded: DataFrame, label: str = "label", min_rows: int = MIN_FOLD_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.fixed_values import PAYLOAD_VERSION, UNIVERSE
-from hindcast.functions.wire import is_json_object, json_text, json_type
+from hindcast.functions.wire import is_absent, is_json_object, is_json_text, json_fields, json_text
 from hindcast.operators.contracts import check_news_event
 
 _FIELDS = ("event_id", "headline", "ticker", "source", "published_at", "url")
@@ -19,24 +19,21 @@ def decode_payload(df: DataFrame, value_col: str = "value", universe: Sequence[s
 
     Checks run in a fixed order: UTF-8 JSON, object, version, contract.
     """
-    text = F.try_validate_utf8(F.col(value_col).cast("string"))
-    docs = df.withColumn("_doc", F.try_parse_json(text))
-    raw = docs.withColumns(
-        {name: json_text(F.col("_doc"), f"$.{name}") for name in _FIELDS}
-        | {
-            "_version": json_text(F.col("_doc"), "$.payload_version"),
-            "_object": is_json_object(F.col("_doc")),
-            "_url_type": F.coalesce(json_type(F.col("_doc"), "$.url"), F.lit("VOID")),
-        }
+    parsed = df.withColumn("_text", F.try_validate_utf8(F.col(value_col).cast("string"))).withColumn(
+        "_f", json_fields(F.col("_text"), ("payload_version", *_FIELDS))
     )
+    text, field = F.col("_text"), lambda name: F.col(f"_f.{name}")
+    raw = parsed.withColumns({name: json_text(field(name)) for name in _FIELDS})
     checked = check_news_event(raw, universe)
+    # Told apart only for records that are no good anyway.
+    what = F.when(
+        text.isNull() | text.rlike(r"^\s*\{") | F.try_parse_json(text).isNull(), F.lit("invalid JSON payload")
+    ).otherwise(F.lit("payload must be a JSON object"))
+    version = json_text(field("payload_version"))
     reason = (
-        F.when(F.col("_doc").isNull(), F.lit("invalid JSON payload"))
-        .when(~F.col("_object"), F.lit("payload must be a JSON object"))
-        .when(
-            F.coalesce(F.col("_version") != PAYLOAD_VERSION, F.lit(True)), F.lit("unknown payload_version")
-        )
+        F.when(~is_json_object(text, F.col("_f")), what)
+        .when(F.coalesce(version != PAYLOAD_VERSION, F.lit(True)), F.lit("unknown payload_version"))
         .when(F.size("errors") > 0, F.concat(F.lit("invalid: "), F.array_join("errors", ",")))
-        .when(~F.col("_url_type").isin("VOID", "STRING"), F.lit("invalid: url"))
+        .when(~is_absent(field("url")) & ~is_json_text(field("url")), F.lit("invalid: url"))
     )
-    return checked.withColumn("reason", reason).drop("_doc", "_version", "_object", "_url_type", "errors")
+    return checked.withColumn("reason", reason).drop("_text", "_f", "errors")

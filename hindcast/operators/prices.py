@@ -22,7 +22,8 @@ from hindcast.fixed_values import (
     SHORT_RETURN_SESSIONS,
 )
 from hindcast.functions.risk import finite, label_high_risk, simple_return
-from hindcast.operators.scale import MAX_BROADCAST_ROWS, bounded, skew_join
+from hindcast.operators.scale import MAX_BROADCAST_ROWS, skew_join, small
+from hindcast.session import stage
 
 
 def scan_closes(closes: DataFrame, start=None, end=None, tickers: Sequence[str] | None = None) -> DataFrame:
@@ -39,7 +40,7 @@ def scan_closes(closes: DataFrame, start=None, end=None, tickers: Sequence[str]
 
 def join_closes(closes: DataFrame, sessions: DataFrame) -> DataFrame:
     """Closes that fall on a session, with the session's position."""
-    positions = F.broadcast(sessions.select("session_idx", "session_date"))
+    positions = small(sessions.select("session_idx", "session_date"), sessions.count())
     return scan_closes(closes).filter(F.col("close").isNotNull()).join(positions, "session_date")
 
 
@@ -77,8 +78,8 @@ def join_benchmark(priced: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
     slice_ = priced.filter(F.col("ticker") == benchmark).select(
         "session_idx", F.col("return_5d_prior").alias("spy_return_5d")
     )
-    # At most one row per session.
-    return priced.join(F.broadcast(slice_), "session_idx", "left")
+    # At most one row per session on this side, so the join cannot be skewed.
+    return priced.join(slice_, "session_idx", "left")
 
 
 def price_features(closes: DataFrame, sessions: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
@@ -101,15 +102,16 @@ def join_event_features(
     The feature table is broadcast while its checked row count allows; past
     that, (ticker, session) keys with very many events are spread over salts.
     """
-    staged = bounded(features, "price-features", max_rows)
+    staged = stage(features, "price-features")
+    rows = staged.count()
     at_feature = staged.select(
         "ticker", F.col("session_idx").alias("feature_idx"),
         "volatility_20d", "return_5d_prior", "return_20d_prior", "spy_return_5d",
     )
     at_label = staged.select("ticker", F.col("session_idx").alias("label_idx"), "fwd_return_5d")
-    if staged.count() <= max_rows:
-        both = events.join(F.broadcast(at_feature), ["ticker", "feature_idx"], "left").join(
-            F.broadcast(at_label), ["ticker", "label_idx"], "left"
+    if rows <= max_rows:
+        both = events.join(small(at_feature, rows, max_rows), ["ticker", "feature_idx"], "left").join(
+            small(at_label, rows, max_rows), ["ticker", "label_idx"], "left"
         )
     else:
         one, _ = skew_join(events, at_feature, ["ticker", "feature_idx"], "left", F.col(id_col))

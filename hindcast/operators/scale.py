@@ -15,14 +15,18 @@ SALTS = 32
 HASH_BUCKET_HEX_DIGITS = 4
 
 
-def bounded(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Stage a lookup side and hint a broadcast only if its row count allows.
+def small(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only if the known row count allows.
 
-    Beyond the bound the staged table is returned unhinted and the join is
-    planned from its measured size.
+    Beyond the bound there is no hint and the join is planned from its size.
     """
+    return F.broadcast(df) if rows <= max_rows else df
+
+
+def bounded(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Stage a lookup side, count it, and hint a broadcast if it is small."""
     staged = stage(df, name)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    return small(staged, staged.count(), max_rows)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
@@ -51,11 +55,8 @@ def skew_join(
     n_hot = hot.count()
     if n_hot == 0:
         return many.join(few, keys, how), False
-    # At most total_rows / min_rows keys can be hot, so this side stays small;
-    # the bound is still checked before the hint.
-    flagged = hot.withColumn("_hot", F.lit(True))
-    if n_hot <= MAX_BROADCAST_ROWS:
-        flagged = F.broadcast(flagged)
+    # At most total_rows / min_rows keys can be hot; the count is still checked.
+    flagged = small(hot.withColumn("_hot", F.lit(True)), n_hot)
     left = many.join(flagged, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
     )
@@ -82,6 +83,8 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, s
 def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
     """Exact 1-based position of every row under a total order, at any size.
 
+    Range partitioning samples its input, so stage an expensive input first.
+
     Range-partition on the full order (a repeated leading value still splits on
     the next column), sort inside partitions, pin the position by staging, then
     add the row count of the earlier partitions.
@@ -89,14 +92,15 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Data
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     pinned = stage(ordered.withColumn("_mono", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright(F.col("_mono"), 33)
-    # One row per range partition, not per input row.
+    # One row per range partition, not per input row: bounded by the number of
+    # shuffle partitions.
     counts = pinned.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     position = F.col("_mono") - F.shiftleft(F.col("_part"), 33) + 1 + F.col("_offset")
     return (
         pinned.withColumn("_part", part)
-        .join(bounded(offsets, "offsets"), "_part")
+        .join(F.broadcast(offsets), "_part")
         .withColumn(name, position.cast("long"))
         .drop("_part", "_mono", "_offset")
     )

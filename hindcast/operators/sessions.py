@@ -1,8 +1,8 @@
 """Exchange sessions and the two as-of joins, as equi-joins on the UTC day.
 
 A session table has one row per trading day, so its size is bounded by the
-number of calendar days whatever the number of events; that is the bound behind
-the broadcasts here.
+number of calendar days whatever the number of events. The broadcasts here are
+hinted only after that count has been checked.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.operators.scale import small
+
 
 def scan_sessions(days: DataFrame, close_clock: Column | None = None, date_col: str = "session_date") -> DataFrame:
     """sessions(session_idx, session_date, close_ts) from any table of days.
@@ -66,7 +68,10 @@ def join_sessions(events: DataFrame, sessions: DataFrame, clock: str = "publishe
         F.count(F.lit(1)).alias("n"),
     ).first()
     calendar = day_calendar(sessions)
-    calendar = F.broadcast(calendar.select([F.col(c).alias(f"_{c}") for c in calendar.columns]))
+    # One row per day between the first and the last close.
+    calendar = small(
+        calendar.select([F.col(c).alias(f"_{c}") for c in calendar.columns]), (edge.last_day - edge.first_day).days + 1
+    )
     joined = events.withColumn("_day", F.to_date(clock)).join(calendar, "_day", "left")
     close = F.col("_close_ts")
     closed = F.coalesce(close <= F.col(clock), F.lit(False))
@@ -109,4 +114,4 @@ def join_label_session(events: DataFrame, sessions: DataFrame, clock: str = "pub
 def session_offset(df: DataFrame, sessions: DataFrame, idx: str, n: int, name: str) -> DataFrame:
     """Date of the session n places after (or before) index column `idx`."""
     target = sessions.select((F.col("session_idx") - n).cast("int").alias(idx), F.col("session_date").alias(name))
-    return df.join(F.broadcast(target), idx, "left")
+    return df.join(small(target, sessions.count()), idx, "left")

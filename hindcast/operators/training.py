@@ -26,7 +26,7 @@ from hindcast.fixed_values import (
     TIME_FOLDS,
 )
 from hindcast.operators.evaluation import log_loss, pick_winner
-from hindcast.operators.folds import check_folds, time_folds
+from hindcast.operators.folds import check_folds, fold_bounds, time_folds
 
 
 class ModelRefused(ValueError):
@@ -97,30 +97,27 @@ def hpo_time_grid(
 ) -> DataFrame:
     """Mean validation log loss of every grid point over expanding folds.
 
-    `train` carries time_rank, features, label and weight. Each fold is cached
-    once. Boosting adds trees one at a time with a seed per tree, so a model of
+    `train` carries time_rank, features, label and weight and should be cached;
+    a fold is a range of ranks over it, not a copy. Boosting adds trees one at a time with a seed per tree, so a model of
     few rounds is the head of the longer one: one fit per (depth, step, fold)
     serves every number of rounds. Fits are submitted from a few threads.
     """
     spark = train.sparkSession
-    folded = check_folds(time_folds(train, n, folds)).cache()
+    check_folds(time_folds(train.select("time_rank", "label"), n, folds))
     longest = max(rounds)
+    rank = F.col("time_rank")
 
-    def losses(task: tuple[int, float, int]) -> list[tuple]:
-        depth, step, fold = task
-        part = folded.filter(F.col("fold") == fold)
-        model = fit_gate_model(part.filter(F.col("role") == "train"), depth, step, longest)
-        checked = part.filter(F.col("role") == "validate").withColumn("weight", F.lit(1.0))
+    def losses(task: tuple[int, float, tuple[int, int, int]]) -> list[tuple]:
+        depth, step, (fold, start, end) = task
+        model = fit_gate_model(train.filter(rank <= start), depth, step, longest)
+        checked = train.filter((rank > start) & (rank <= end)).withColumn("weight", F.lit(1.0))
         # Mean of 2 * log(1 + exp(-2 y f)) after each round: twice the log loss.
         curve = model.stages[-1].evaluateEachIteration(model.stages[0].transform(checked))
         return [(depth, float(step), r, fold, curve[r - 1] / 2) for r in rounds]
 
-    tasks = [(d, s, f) for d in depths for s in steps for f in range(1, folds + 1)]
-    try:
-        with ThreadPoolExecutor(submit) as pool:
-            found = [row for rows in pool.map(losses, tasks) for row in rows]
-    finally:
-        folded.unpersist()
+    tasks = [(d, s, b) for d in depths for s in steps for b in fold_bounds(n, folds)]
+    with ThreadPoolExecutor(submit) as pool:
+        found = [row for rows in pool.map(losses, tasks) for row in rows]
     schema = "max_depth int, step_size double, rounds int, fold int, log_loss double"
     per_fold = spark.createDataFrame(found, schema)
     return per_fold.groupBy("max_depth", "step_size", "rounds").agg(

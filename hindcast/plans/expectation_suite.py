@@ -20,7 +20,7 @@ from hindcast.fixed_values import (
 from hindcast.functions.clocks import utc_from_zoned
 from hindcast.functions.risk import Policy, gate_policy
 from hindcast.functions.text import is_blank, normalize_ticker
-from hindcast.functions.wire import NUMBER
+from hindcast.functions.wire import json_number
 from hindcast.operators.contracts import proposal_checks, zoned_clock_ok
 from hindcast.operators.retrieval import filter_nested_as_of
 
@@ -40,11 +40,6 @@ def _all(conditions) -> Column:
     return out
 
 
-def number_or_null(value: Column) -> Column:
-    """A variant as double, only if it is a JSON number."""
-    return F.when(F.schema_of_variant(value).rlike(NUMBER), F.try_variant_get(value, "$", "double"))
-
-
 def event_ok(ticker: Column, universe: Sequence[str], headline: Column, source: Column, event_id: Column, clock: Column) -> Column:
     return _all(
         [
@@ -60,7 +55,7 @@ def event_ok(ticker: Column, universe: Sequence[str], headline: Column, source:
 def schema_outcome(universe: Sequence[str]) -> Column:
     proposal = _all(
         proposal_checks(
-            F.col("action"), number_or_null(F.col("confidence")), _or("rationale", _TEXT), _or("event_id", _EVENT),
+            F.col("action"), json_number(F.col("confidence")), _or("rationale", _TEXT), _or("event_id", _EVENT),
             _or("ticker", _TICKER),
         ).values()
     )
@@ -102,7 +97,7 @@ def forced_score(threshold: float) -> Column:
     return (
         F.when(sentinel == SCORE_AT_THRESHOLD, F.lit(float(threshold)))
         .when(sentinel == SCORE_BELOW_THRESHOLD, F.lit(float(threshold) - SCORE_EPSILON))
-        .otherwise(number_or_null(F.col("force_score")))
+        .otherwise(json_number(F.col("force_score")))
     )
 
 

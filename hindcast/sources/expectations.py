@@ -10,14 +10,18 @@ from hindcast.functions.text import is_blank
 from hindcast.functions.wire import is_json_object
 from hindcast.sources.files import SourceError
 
+_TEXTS = (
+    "case_id", "check", "expect", "model", "action", "rationale", "event_id", "headline", "ticker", "source",
+    "published_at", "document_id", "text", "available_at", "llm_ticker", "input_ticker", "llm_event_id",
+    "input_event_id", "via",
+)
+_HITS = "array<struct<document_id: string, text: string, ticker: string, available_at: string, source: string, score: double>>"
 _CASE = (
-    "case_id string, check string, expect string, model string, action string, rationale string, event_id string, "
-    "headline string, ticker string, source string, published_at string, document_id string, text string, "
-    "available_at string, llm_ticker string, input_ticker string, llm_event_id string, input_event_id string, "
-    "volatility_20d double, tmp_vol_veto boolean, via string, score double, "
-    "hits array<struct<document_id: string, text: string, ticker: string, available_at: string, "
-    "source: string, score: double>>"
+    ", ".join(f"{c} string" for c in _TEXTS)
+    + ", volatility_20d double, tmp_vol_veto boolean, score double, confidence variant, force_score variant"
+    + f", hits {_HITS}, _broken string"
 )
+_OPTIONS = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_broken"}
 
 
 def parse_expectations(lines: DataFrame) -> DataFrame:
@@ -26,17 +30,12 @@ def parse_expectations(lines: DataFrame) -> DataFrame:
     confidence and force_score keep their JSON type: a case may carry a text
     where a number belongs, or a sentinel.
     """
-    docs = lines.filter(~is_blank(F.col("value"))).withColumn("_doc", F.try_parse_json("value"))
-    keys = F.json_object_keys("value")
-    rows = docs.select(
-        F.col("_doc"), keys.alias("_keys"), F.from_json("value", _CASE).alias("_case"),
-    ).select("_doc", "_keys", "_case.*")
-    typed = rows.withColumns(
-        {
-            "confidence": F.try_variant_get("_doc", "$.confidence", "variant"),
-            "force_score": F.try_variant_get("_doc", "$.force_score", "variant"),
-        }
-    )
+    docs = lines.filter(~is_blank(F.col("value"))).withColumn("_case", F.from_json("value", _CASE, _OPTIONS))
+    typed = docs.select(
+        is_json_object(F.col("value"), F.col("_case")).alias("_object"),
+        F.json_object_keys("value").alias("_keys"),
+        "_case.*",
+    ).drop("_broken")
     lacking = F.lit(None).cast("array<string>")
     for check, needed in EXPECTATION_KEYS.items():
         missing = F.array_except(F.array(*[F.lit(k) for k in needed]), F.col("_keys"))
@@ -55,10 +54,9 @@ def parse_expectations(lines: DataFrame) -> DataFrame:
     )
     absent = F.transform(F.coalesce(lacking, F.array().cast("array<string>")), lambda k: F.concat(F.lit("missing key "), k))
     errors = F.concat(universal, F.coalesce(unknown, F.array().cast("array<string>")), absent)
-    not_object = ~is_json_object(F.col("_doc"))
-    return typed.withColumn("errors", F.when(not_object, F.array(F.lit("not a JSON object"))).otherwise(errors)).drop(
-        "_doc", "_keys"
-    )
+    return typed.withColumn(
+        "errors", F.when(F.col("_object"), errors).otherwise(F.array(F.lit("not a JSON object")))
+    ).drop("_object", "_keys")
 
 
 def duplicate_cases(cases: DataFrame) -> DataFrame:

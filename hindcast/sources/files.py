@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from hindcast.fixed_values import FEATURE_NAMES, TRAINING_COLUMNS, UNIVERSE
 from hindcast.functions.text import is_blank
-from hindcast.functions.wire import is_json_object, json_text
+from hindcast.functions.wire import is_json_object, json_fields, json_text
 from hindcast.operators.contracts import check_news_event, check_retrieval_hit, require_valid, with_errors
 
 
@@ -56,14 +56,14 @@ def scan_news_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 def parse_events_jsonl(lines: DataFrame, universe: Sequence[str] = UNIVERSE) -> DataFrame:
     """`value` lines -> event columns plus `errors`; blank lines are skipped."""
-    docs = lines.filter(~is_blank(F.col("value"))).withColumn("_doc", F.try_parse_json("value"))
-    fields = ("event_id", "headline", "ticker", "source", "published_at", "url")
+    names = ("event_id", "headline", "ticker", "source", "published_at", "url")
+    docs = lines.filter(~is_blank(F.col("value"))).withColumn("_f", json_fields(F.col("value"), names))
     raw = docs.select(
-        "value", is_json_object(F.col("_doc")).alias("_object"), *[json_text(F.col("_doc"), f"$.{f}").alias(f) for f in fields]
+        is_json_object(F.col("value"), F.col("_f")).alias("_object"), *[json_text(F.col(f"_f.{n}")).alias(n) for n in names]
     )
     checked = check_news_event(raw, universe)
     errors = F.when(F.col("_object"), F.col("errors")).otherwise(F.array(F.lit("json")))
-    return checked.withColumn("errors", errors).drop("_object", "value")
+    return checked.withColumn("errors", errors).drop("_object")
 
 
 def scan_events_jsonl(spark: SparkSession, path: str, universe: Sequence[str] = UNIVERSE, strict: bool = True) -> DataFrame:
