@@ -97,8 +97,12 @@ def vector_topk_join(
     meet in one task, and only k rows per event leave a task. A second,
     group-limited pass merges the blocks.
     """
-    e = events.select("event_id", "point_id", "ticker", "published_at", unit(F.col("vector")).alias("vector"))
-    p = points.select("point_id", "ticker", "available_at", unit(F.col("vector")).alias("vector"))
+    # Fresh column identities: events and points may come from the same table.
+    fresh = lambda d, *names: d.select(
+        *[F.col(n).alias(n) for n in names], unit(F.col("vector")).alias("vector")
+    )
+    e = fresh(events, "event_id", "point_id", "ticker", "published_at")
+    p = fresh(points, "point_id", "ticker", "available_at")
     e, p = (d.filter(F.col("vector").isNotNull()) for d in (e, p))
     blocks = lambda d, name: d.groupBy("ticker").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name)
