@@ -678,6 +678,11 @@ FROM decoded WHERE reason IS NULL"""
 ORACLE["poison_to_dlq"] = f"""WITH {PAYLOADS}
 SELECT reason, 2 * count(*) AS records, count(DISTINCT id) AS offsets FROM decoded WHERE reason IS NOT NULL GROUP BY 1"""
 
+ORACLE["idempotent_redelivery"] = f"""WITH {PAYLOADS}
+SELECT upper(trim(ticker)) AS ticker, 2 * count(*) AS deliveries, count(*) AS points FROM decoded WHERE reason IS NULL GROUP BY 1"""
+ORACLE["stop_on_failure"] = f"""WITH {PAYLOADS}
+SELECT upper(trim(ticker)) AS ticker, count(*) AS points, true AS failed_once FROM decoded WHERE reason IS NULL GROUP BY 1"""
+
 # --- end to end ------------------------------------------------------------
 
 

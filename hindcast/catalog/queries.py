@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -860,6 +861,41 @@ def q_poison_to_dlq(spark, sf):
     )
 
 
+@query
+def q_idempotent_redelivery(spark, sf):
+    """Every record is delivered twice; each event leaves one point."""
+    out, _ = ingested(spark, sf)
+    stored = spark.read.parquet(out).groupBy("ticker").agg(F.count(F.lit(1)).alias("deliveries"))
+    kept = point_sink.read_points(spark, out).groupBy("ticker").agg(F.count(F.lit(1)).alias("points"))
+    return stored.join(kept, "ticker")
+
+
+def failing_encoder(frames):
+    raise RuntimeError("encoder down")
+    yield from frames
+
+
+@query
+def q_stop_on_failure(spark, sf):
+    """The first run fails in its sink and commits nothing; the second starts
+    over from the same records."""
+    landed, out, dlq, check = (new_path(spark, n) for n in ("landed", "points", "dlq", "ck"))
+    v.payloads(spark, sf).select("key", "value", "topic", "partition", "offset").write.parquet(landed)
+
+    def run(**how):
+        stream = streams.stream_record_files(spark, landed)
+        stream_ingest(stream, out, dlq, check, available_now=True, prefix=v.PREFIX, **how).awaitTermination()
+
+    failed = False
+    try:
+        run(encode_text=failing_encoder, attempts=1)
+    except StreamingQueryException:
+        failed = True
+    run()
+    points = point_sink.read_points(spark, out)
+    return points.groupBy("ticker").agg(F.count(F.lit(1)).alias("points")).withColumn("failed_once", F.lit(failed))
+
+
 @query
 def q_feed_micro_batch(spark, sf):
     landed, out, summary = (new_path(spark, n) for n in ("feeds", "records", "summary"))

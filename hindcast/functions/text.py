@@ -17,7 +17,7 @@ def squeeze(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop whitespace at both ends and leave the inside alone."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.regexp_extract(text, r"(?Us)^[\s\x1c-\x1f]*(.*[^\s\x1c-\x1f])?", 1)
 
 
 def is_blank(text: Column) -> Column:

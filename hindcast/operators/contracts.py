@@ -11,6 +11,7 @@ from hindcast.fixed_values import ACTIONS, DECISIONS, EVENT_SOURCES, HIT_SOURCES
 from hindcast.functions.clocks import has_zone, utc_from_zoned
 from hindcast.functions.text import is_blank, normalize_ticker, strip
 from hindcast.functions.wire import is_json_object, json_fields, json_number, json_text, strip_fences
+from hindcast.operators.scale import computed_once
 
 
 class ContractError(ValueError):
@@ -120,7 +121,10 @@ def parse_proposal(df: DataFrame, text_col: str = "response") -> DataFrame:
             F.col("action"), F.col("confidence"), F.col("rationale"), F.col("proposed_event_id"), F.col("proposed_ticker")
         ).items()
     }
-    return with_errors(fields, checks).drop("_text", "_f", "_object")
+    checked = with_errors(fields, checks).drop("_text", "_f", "_object")
+    return computed_once(
+        checked, ["action", "confidence", "rationale", "proposed_event_id", "proposed_ticker", "errors"]
+    )
 
 
 def check_proposal(df: DataFrame) -> DataFrame:

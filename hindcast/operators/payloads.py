@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hindcast.fixed_values import PAYLOAD_VERSION, UNIVERSE
 from hindcast.functions.wire import is_absent, is_json_object, is_json_text, json_fields, json_text
 from hindcast.operators.contracts import check_news_event
+from hindcast.operators.scale import computed_once
 
 _FIELDS = ("event_id", "headline", "ticker", "source", "published_at", "url")
 
@@ -36,4 +37,5 @@ def decode_payload(df: DataFrame, value_col: str = "value", universe: Sequence[s
         .when(F.size("errors") > 0, F.concat(F.lit("invalid: "), F.array_join("errors", ",")))
         .when(~is_absent(field("url")) & ~is_json_text(field("url")), F.lit("invalid: url"))
     )
-    return checked.withColumn("reason", reason).drop("_text", "_f", "errors")
+    decoded = checked.withColumn("reason", reason).drop("_text", "_f", "errors")
+    return computed_once(decoded, [*_FIELDS, "reason"])

@@ -29,6 +29,19 @@ def bounded(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return small(staged, staged.count(), max_rows)
 
 
+def computed_once(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Keep costly columns from being recomputed by the filters put on them.
+
+    A filter on a projected column is pushed below the projection with the
+    expression inlined at every use, so one parsed document may be parsed dozens
+    of times. Columns that come out of a generator are not inlined.
+    """
+    names = [c for c in df.columns if c in set(names)]
+    rest = [c for c in df.columns if c not in names]
+    packed = df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_once"))
+    return packed.select(*[F.col(f"_once.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Keys held by more than `min_rows` rows; counted with map-side combine."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

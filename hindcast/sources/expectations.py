@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hindcast.fixed_values import EXPECTATION_KEYS
 from hindcast.functions.text import is_blank
 from hindcast.functions.wire import is_json_object
+from hindcast.operators.scale import computed_once
 from hindcast.sources.files import SourceError
 
 _TEXTS = (
@@ -54,9 +55,10 @@ def parse_expectations(lines: DataFrame) -> DataFrame:
     )
     absent = F.transform(F.coalesce(lacking, F.array().cast("array<string>")), lambda k: F.concat(F.lit("missing key "), k))
     errors = F.concat(universal, F.coalesce(unknown, F.array().cast("array<string>")), absent)
-    return typed.withColumn(
+    cases = typed.withColumn(
         "errors", F.when(F.col("_object"), errors).otherwise(F.array(F.lit("not a JSON object")))
     ).drop("_object", "_keys")
+    return computed_once(cases, cases.columns)
 
 
 def duplicate_cases(cases: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from hindcast.fixed_values import MAX_FEED_ITEMS, UNIVERSE
 from hindcast.functions.clocks import iso_utc, parse_rss_date
 from hindcast.functions.ids import DEFAULT_PREFIX, rss_event_id, rss_item_key
 from hindcast.functions.text import normalize_ticker, strip
+from hindcast.operators.scale import computed_once
 
 _ITEM = "struct<title: string, link: string, guid: string, pubDate: string>"
 # `rss` holds a channel; a bare `channel` root holds the items itself.
@@ -80,7 +81,7 @@ def parse_feeds(
     )
     good = F.filter("_items", lambda i: i["title"].isNotNull() & i["published_at"].isNotNull())
     none = F.lit(0)
-    return (
+    shaped_docs = (
         parsed.withColumn("error", error)
         .withColumn("_items", F.when(F.col("error").isNull(), shaped))
         .withColumn("_good", good)
@@ -93,6 +94,7 @@ def parse_feeds(
         )
         .drop("_feed", "_root", "_items", "_good", "xml")
     )
+    return computed_once(shaped_docs, ["error", "items", "n_items", "skipped"])
 
 
 def feed_events(parsed: DataFrame, prefix: str = DEFAULT_PREFIX) -> DataFrame:

@@ -12,6 +12,7 @@ from hindcast.fixed_values import FEATURE_NAMES, TRAINING_COLUMNS, UNIVERSE
 from hindcast.functions.text import is_blank
 from hindcast.functions.wire import is_json_object, json_fields, json_text
 from hindcast.operators.contracts import check_news_event, check_retrieval_hit, require_valid, with_errors
+from hindcast.operators.scale import computed_once
 
 
 class SourceError(ValueError):
@@ -63,7 +64,7 @@ def parse_events_jsonl(lines: DataFrame, universe: Sequence[str] = UNIVERSE) ->
     )
     checked = check_news_event(raw, universe)
     errors = F.when(F.col("_object"), F.col("errors")).otherwise(F.array(F.lit("json")))
-    return checked.withColumn("errors", errors).drop("_object")
+    return computed_once(checked.withColumn("errors", errors).drop("_object"), [*names, "errors"])
 
 
 def scan_events_jsonl(spark: SparkSession, path: str, universe: Sequence[str] = UNIVERSE, strict: bool = True) -> DataFrame:
