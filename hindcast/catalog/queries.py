@@ -982,8 +982,10 @@ def q_run_decisions(spark, sf):
 
 @query
 def q_build_training_events(spark, sf):
+    """The job without its fail-closed checks: the smallest tables have prices
+    too thin for any complete row, and the SQL then says so too."""
     closes, sessions = v.market(spark, sf)
-    table = build.build_training_events(v.archive(spark, sf), closes, sessions, v.options(), allow_shortfall=True)
+    table = build.training_events(v.archive(spark, sf), closes, sessions, v.options())
     assert table.columns == list(TRAINING_COLUMNS)
     return rounded(table, *FEATURE_OUT)
 
@@ -992,8 +994,7 @@ def q_build_training_events(spark, sf):
 def q_build_training_events_full(spark, sf):
     """The same build with no sample: every archive row that qualifies."""
     closes, sessions = v.market(spark, sf)
-    table = build.build_training_events(v.archive(spark, sf), closes, sessions, v.options(target=None))
-    return rounded(table, *FEATURE_OUT)
+    return rounded(build.training_events(v.archive(spark, sf), closes, sessions, v.options(target=None)), *FEATURE_OUT)
 
 
 @query
