@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hindcast.llm.language import op8_language_id
 from hindcast.llm.mixing import op1_mixing_sources
 from hindcast.llm.oracle import ORACLE
+from hindcast.llm.quality import op4_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing_sources": op1_mixing_sources,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_language_id": op8_language_id,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
