@@ -10,11 +10,15 @@ from hindcast.llm.language import op8_language_id
 from hindcast.llm.mixing import op1_mixing_sources
 from hindcast.llm.oracle import ORACLE
 from hindcast.llm.quality import op4_quality_rules
+from hindcast.llm.tokens import op10_token_files
+from hindcast.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing_sources": op1_mixing_sources,
     "op4_quality_rules": op4_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op10_token_files": op10_token_files,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
