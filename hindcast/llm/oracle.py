@@ -32,4 +32,45 @@ SELECT b.doc_id, b.source, b.size, r.source_size, r.target,
 FROM base b JOIN rest r ON b.source IS NOT DISTINCT FROM r.source
 LEFT JOIN bound bd ON b.source IS NOT DISTINCT FROM bd.source
 """
-ORACLE = {"op1_mixing_sources": OP1}
+OP5 = """
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+ans AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) AS r FROM t WHERE role = 'assistant'),
+last AS (SELECT conv_id, turn AS lturn, text AS ltext FROM ans WHERE r = 1),
+plan AS (
+  SELECT l.conv_id, l.lturn, CASE WHEN n.conv_id IS NOT NULL THEN n.ltext ELSE (SELECT ltext FROM last ORDER BY conv_id LIMIT 1) END AS other
+  FROM last l LEFT JOIN last n ON n.conv_id = l.conv_id + 1),
+side AS (
+  SELECT t.conv_id, 'chosen' AS side, turn, role, text FROM t
+  UNION ALL
+  SELECT t.conv_id, 'rejected', turn, role,
+         CASE WHEN role = 'assistant' AND turn IS NOT DISTINCT FROM lturn THEN other ELSE text END
+  FROM t LEFT JOIN plan p ON p.conv_id = t.conv_id),
+clean AS (
+  SELECT conv_id, side, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM side),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS k FROM clean),
+differ AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.k, r.k)) AS k
+  FROM (SELECT * FROM ranked WHERE side = 'chosen') c FULL JOIN (SELECT * FROM ranked WHERE side = 'rejected') r
+    ON c.conv_id = r.conv_id AND c.k = r.k
+  WHERE c.k IS NULL OR r.k IS NULL OR c.role <> r.role OR c.text <> r.text GROUP BY 1),
+placed AS (
+  SELECT ranked.*, coalesce(differ.k, 1 + count(*) FILTER (ranked.side = 'chosen') OVER (PARTITION BY ranked.conv_id)) AS d,
+         '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
+  FROM ranked LEFT JOIN differ USING (conv_id)),
+offs AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, side, k >= d ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM placed)
+SELECT conv_id AS pair_id, max(d) - 1 AS n_shared,
+       count(*) FILTER (side = 'chosen') AS n_chosen, count(*) FILTER (side = 'rejected') AS n_rejected,
+       coalesce(string_agg(head || body, '' ORDER BY k) FILTER (side = 'chosen' AND k < d), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY k) FILTER (side = 'chosen' AND k >= d), '') AS chosen,
+       coalesce(string_agg(head || body, '' ORDER BY k) FILTER (side = 'rejected' AND k >= d), '') AS rejected,
+       coalesce(string_agg((pos + length(head))::BIGINT || '-' || (pos + length(head) + length(body))::BIGINT, ',' ORDER BY k)
+                FILTER (side = 'chosen' AND k >= d AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((pos + length(head))::BIGINT || '-' || (pos + length(head) + length(body))::BIGINT, ',' ORDER BY k)
+                FILTER (side = 'rejected' AND k >= d AND role = 'assistant'), '') AS rejected_spans
+FROM offs GROUP BY conv_id
+"""
+
+ORACLE = {"op1_mixing_sources": OP1, "op5_chat_formatting": OP5}

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hindcast.llm.chat import op5_chat_formatting
+from hindcast.llm.decontamination import op6_benchmark_decontamination
 from hindcast.llm.language import op8_language_id
 from hindcast.llm.mixing import op1_mixing_sources
 from hindcast.llm.oracle import ORACLE
@@ -16,6 +18,8 @@ from hindcast.llm.toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing_sources": op1_mixing_sources,
     "op4_quality_rules": op4_quality_rules,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op10_token_files": op10_token_files,
