@@ -11,6 +11,7 @@ from hindcast.llm.decontamination import op6_benchmark_decontamination
 from hindcast.llm.language import op8_language_id
 from hindcast.llm.mixing import op1_mixing_sources
 from hindcast.llm.oracle import ORACLE
+from hindcast.llm.pages import op9_html_extraction
 from hindcast.llm.quality import op4_quality_rules
 from hindcast.llm.tokens import op10_token_files
 from hindcast.llm.toxicity import op7_toxicity
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_html_extraction": op9_html_extraction,
     "op10_token_files": op10_token_files,
 }
 
