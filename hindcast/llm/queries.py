@@ -14,12 +14,14 @@ from hindcast.llm.oracle import ORACLE
 from hindcast.llm.pages import op9_html_extraction
 from hindcast.llm.quality import op4_quality_rules
 from hindcast.llm.similar import op2_jaccard_join
+from hindcast.llm.substrings import op3_suffix_dedup
 from hindcast.llm.tokens import op10_token_files
 from hindcast.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing_sources": op1_mixing_sources,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
