@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from hindcast.llm.common import GOLDEN, hash_strings, mix64, n_words, slices, table, text_array, words
 from hindcast.session import stage
 
-MASKS = ("11101011", "11010111", "10110111", "1110010100111")
+MASKS = ("11101011", "110111011", "10110111", "1110010100111")
 MIN_OVERLAP = 10
-PENALTY = 4
+PENALTY = 2
 BLOCK_WORDS = 2_000_000
 FILTER_BITS = 22
 CHUNK = 2_000_000

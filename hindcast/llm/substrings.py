@@ -387,6 +387,8 @@ def partial_spans(texts: DataFrame, runs: DataFrame, length: int, seed: int, hot
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Per row of texts (_row, text) with repeats: _row and its covered spans, in no order and perhaps overlapping."""
+    if not 0 < seed <= length or length - seed > 255:
+        raise ValueError("a string must be as long as its seed, and at most 255 bytes longer")
     runs = equal_runs(texts, length, seed)
     first = F.shiftright("place", 8)
     last = F.col("place").bitwiseAND(F.lit(255))
