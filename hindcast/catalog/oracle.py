@@ -304,6 +304,7 @@ def feed_totals(n: int, by: str) -> str:
     return f"""SELECT {key}count(*) AS fetched,
       CAST(coalesce(sum(CASE WHEN error IS NULL AND NOT empty_channel THEN least(n_good, {n}) WHEN error IS NULL THEN 0 END), 0) AS BIGINT) AS produced,
       CAST(coalesce(sum(CASE WHEN error IS NULL AND NOT empty_channel THEN n - n_good WHEN error IS NULL THEN 0 END), 0) AS BIGINT) AS skipped_items,
+      CAST(coalesce(sum(CASE WHEN error IS NULL AND NOT empty_channel THEN greatest(n_good - {n}, 0) WHEN error IS NULL THEN 0 END), 0) AS BIGINT) AS cut_items,
       count(error) AS errors, count(error) = 0 AS ok FROM docs {group}"""
 
 
@@ -327,7 +328,7 @@ ORACLE["scan_feature_rows"] = """SELECT CAST(o_orderkey AS VARCHAR) AS event_id,
 ORACLE["scan_rss_xml"] = f"""WITH {FEEDS}
 SELECT {uuid5("'hindcast:rss:' || ticker || ':' || coalesce(guid, link, substr(sha256(headline || '|' || " + iso('stamp') + "), 1, 32))")} AS event_id,
   headline, ticker, 'rss' AS source, stamp AS published_at, link AS url, document
-FROM kept WHERE pos <= 10"""
+FROM kept"""
 
 ORACLE["scan_closes"] = f"""WITH {CLOSES}
 SELECT ticker, session_date, round(close, 6) AS close FROM closes
@@ -576,9 +577,9 @@ ORACLE["label_rate_by_ticker"] = f"""WITH {TRAINING}
 SELECT ticker, count(*) AS events, count(volatility_20d) AS with_volatility, count(label_high_risk) AS labelled, round(avg(label_high_risk), 6) AS label_rate
 FROM featured GROUP BY 1"""
 
-ORACLE["feed_summary"] = f"WITH {FEEDS} {feed_totals(10, 'ticker')}"
+ORACLE["feed_summary"] = f"WITH {FEEDS} {feed_totals(6, 'ticker')}"
 ORACLE["feed_to_events"] = f"WITH {FEEDS} {feed_totals(5, '')}"
-ORACLE["feed_micro_batch"] = f"WITH {FEEDS}, t AS ({feed_totals(10, 'ticker')}) SELECT ticker, fetched, produced, skipped_items, errors FROM t"
+ORACLE["feed_micro_batch"] = f"WITH {FEEDS}, t AS ({feed_totals(10, 'ticker')}) SELECT ticker, fetched, produced, skipped_items, cut_items, errors FROM t"
 
 # --- windows, sorts, sets --------------------------------------------------
 
@@ -683,6 +684,12 @@ SELECT upper(trim(ticker)) AS ticker, 2 * count(*) AS deliveries, count(*) AS po
 ORACLE["stop_on_failure"] = f"""WITH {PAYLOADS}
 SELECT upper(trim(ticker)) AS ticker, count(*) AS points, true AS failed_once FROM decoded WHERE reason IS NULL GROUP BY 1"""
 
+ORACLE["restart_new_checkpoint"] = f"""WITH {PAYLOADS}
+SELECT 'points' AS "table", count(*) AS records FROM decoded WHERE reason IS NULL
+UNION ALL SELECT 'dead letters', count(*) FROM decoded WHERE reason IS NOT NULL"""
+ORACLE["at_least_once"] = f"""WITH {PAYLOADS},
+e AS (SELECT event_id, count(*) AS copies FROM decoded WHERE reason IS NULL GROUP BY 1) SELECT copies, count(*) AS events FROM e GROUP BY 1"""
+
 # --- end to end ------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hindcast.fixed_values import ALIASES_OFF, ARCHIVE_ALIASES, UNIVERSE
 from hindcast.functions.clocks import parse_calendar_date
 from hindcast.functions.text import is_blank, normalize_headline, normalize_ticker
+from hindcast.operators.scale import first_rows
 
 AliasRules = Sequence[tuple[str, str, str]]
 
@@ -104,12 +105,10 @@ def normalise_rows(df: DataFrame) -> DataFrame:
 def dedup_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row per key: the one with the smallest `order`.
 
-    An aggregate, so copies are merged before the shuffle and a key with very
-    many copies costs one row per map task.
+    `order` numbers the rows. Copies are merged before the shuffle, so a key
+    with very many copies costs one number per map task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return kept.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    return first_rows(df, keys, order)
 
 
 DEDUP_KEYS = ("ticker", "calendar_date", "headline_digest")

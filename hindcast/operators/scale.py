@@ -93,6 +93,16 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, s
     return ranked.filter(F.col("rank") <= k)
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The row of each key with the smallest `order`, a number that no two rows share.
+
+    Only keys and numbers are aggregated (fixed-width buffers, merged before the
+    shuffle); the rows themselves are fetched by their number afterwards.
+    """
+    firsts = df.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
+    return df.join(firsts, order, "left_semi").select(*df.columns)
+
+
 def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
     """Exact 1-based position of every row under a total order, at any size.
 

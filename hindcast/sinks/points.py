@@ -1,16 +1,19 @@
 """Idempotent point table on plain Parquet.
 
-Each batch owns the partition `batch_id=N` and overwrites only that, so a
-replayed batch rewrites itself. Readers take the newest row per point.
+Each batch of a run owns a partition (see `runs`) and overwrites only that, so a
+replayed batch rewrites itself and a new checkpoint adds to what is stored.
+Readers take the newest row per point.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.ids import DEFAULT_PREFIX, event_point_id
 from hindcast.operators.retrieval import embed_unit
+from hindcast.session import stage
+from hindcast.sinks.runs import ORDER, ROW, read_batches, write_batch
 
 POINT_COLUMNS = ("point_id", "document_id", "text", "ticker", "available_at", "source", "vector")
 
@@ -30,28 +33,29 @@ def points_from_events(events: DataFrame, prefix: str = DEFAULT_PREFIX, encode_t
 
 
 def newest(points: DataFrame) -> DataFrame:
-    """One row per point: the latest by batch, then by place in the stream."""
-    order = F.struct(*[F.col(c) for c in ("batch_id", "partition", "offset") if c in points.columns])
-    rest = [c for c in POINT_COLUMNS if c != "point_id"]
-    best = points.groupBy("point_id").agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return best.select("point_id", *[F.col(f"_row.{c}").alias(c) for c in rest])
+    """One row per point: the latest written, then by place in the stream.
+
+    Winners are found on narrow rows; texts and vectors are read for them only.
+    """
+    latest = Window.partitionBy("point_id").orderBy(*[F.desc(c) for c in ORDER])
+    places = points.select("point_id", *ORDER).withColumn("_place", F.row_number().over(latest))
+    winners = places.filter(F.col("_place") == 1).select(*ROW)
+    return points.join(winners, list(ROW), "left_semi").select(*POINT_COLUMNS)
 
 
-def upsert_points(points: DataFrame, path: str, batch_id: int) -> None:
+def upsert_points(points: DataFrame, path: str, batch_id: int, run: str | None = None) -> None:
     """Write one batch; running it again leaves the same table."""
-    points.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    write_batch(points, path, batch_id, run)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    return newest(spark.read.option("basePath", path).parquet(path))
+    return newest(read_batches(spark, path))
 
 
 def compact_points(spark: SparkSession, path: str, target: str) -> None:
-    """Write the newest rows as batch -1 of a new table, by ticker and time.
+    """Write the newest rows as a run of their own in a new table, by ticker and time.
 
     The table being read is never overwritten; readers move to the new path.
     """
-    compacted = read_points(spark, path).withColumns({"partition": F.lit(0), "offset": F.lit(0).cast("long")})
-    compacted.repartitionByRange("ticker", "available_at", "point_id").write.mode("overwrite").parquet(
-        f"{target}/batch_id=-1"
-    )
+    compacted = stage(read_points(spark, path).withColumns({"partition": F.lit(0), "offset": F.lit(0).cast("long")}), "newest")
+    write_batch(compacted.repartitionByRange("ticker", "available_at", "point_id"), target, -1, "compacted")

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.fixed_values import NEWS_TOPIC
 from hindcast.functions.wire import encode_payload
+from hindcast.session import stage
+from hindcast.sinks.runs import write_batch
 from hindcast.sources.files import select_training_columns
 
 CANONICAL_NAME = "training_events.parquet"
 
 
 def sort_by_time(df: DataFrame) -> DataFrame:
-    """Range partitions in time order, sorted inside: a total order on disk."""
-    return df.repartitionByRange("published_at", "event_id").sortWithinPartitions("published_at", "event_id")
+    """Range partitions in time order, sorted inside: a total order on disk.
+
+    Staged first: range partitioning samples its input, which would run it twice.
+    """
+    return stage(df, "unsorted").repartitionByRange("published_at", "event_id").sortWithinPartitions("published_at", "event_id")
 
 
 def sink_training_parquet(df: DataFrame, path: str, development: bool = False) -> str:
@@ -46,9 +53,9 @@ def sink_news_raw(events: DataFrame, target: str, fmt: str = "kafka", topic: str
     if fmt == "kafka":
         records.write.format("kafka").option("kafka.bootstrap.servers", target).option("kafka.acks", "all").save()
         return
-    # A file has no broker to number its records.
+    # A file has no broker to number its records; numbers count within one append, so each has a folder of its own.
     numbered = records.withColumns({"partition": F.spark_partition_id(), "offset": F.monotonically_increasing_id()})
-    numbered.write.mode("append").format(fmt).save(target)
+    write_batch(numbered, target, 0, uuid.uuid4().hex, fmt)
 
 
 def sink_run_records(envelopes: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.fixed_values import MAX_FEED_ITEMS, UNIVERSE
+from hindcast.fixed_values import UNIVERSE
 from hindcast.functions.clocks import iso_utc, parse_rss_date
 from hindcast.functions.ids import DEFAULT_PREFIX, rss_event_id, rss_item_key
 from hindcast.functions.text import normalize_ticker, strip
@@ -44,16 +44,16 @@ def _text(item: Column, name: str) -> Column:
 def parse_feeds(
     documents: DataFrame,
     universe: Sequence[str] = UNIVERSE,
-    max_items: int = MAX_FEED_ITEMS,
+    max_items: int | None = None,
     prefix: str = DEFAULT_PREFIX,
 ) -> DataFrame:
     """documents(ticker, document, xml) -> the same rows with their items.
 
-    Adds `items` (good items, newest `max_items` in feed order), `n_items`
-    (before that cut), `skipped` (items without title or date) and `error`
+    Adds `items` (good items; with `max_items` only so many, in feed order),
+    `n_items` (before that cut), `skipped` (items without title or date) and `error`
     (null when the document is a feed of a universe ticker).
     """
-    if max_items < 1:
+    if max_items is not None and max_items < 1:
         raise ValueError(f"max_items must be at least 1, got {max_items}")
     root = root_element(F.col("xml"))
     parsed = documents.withColumns(
@@ -87,7 +87,7 @@ def parse_feeds(
         .withColumn("_good", good)
         .withColumns(
             {
-                "items": F.slice("_good", 1, max_items),
+                "items": F.col("_good") if max_items is None else F.slice("_good", 1, max_items),
                 "n_items": F.coalesce(F.size("_good"), none),
                 "skipped": F.coalesce(F.size("_items") - F.size("_good"), none),
             }
@@ -118,7 +118,7 @@ def feed_events(parsed: DataFrame, prefix: str = DEFAULT_PREFIX) -> DataFrame:
 
 
 def feed_summary(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """fetched, produced, skipped and errors; ok when there is no error.
+    """fetched, produced, skipped, cut by an item limit, and errors; ok when there is no error.
 
     A bad document counts as fetched and as an error and stops nothing else.
     """
@@ -127,5 +127,6 @@ def feed_summary(parsed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("fetched"),
         F.coalesce(F.sum(F.when(ok, F.size("items"))), F.lit(0)).alias("produced"),
         F.coalesce(F.sum(F.when(ok, F.col("skipped"))), F.lit(0)).alias("skipped_items"),
+        F.coalesce(F.sum(F.when(ok, F.col("n_items") - F.coalesce(F.size("items"), F.lit(0)))), F.lit(0)).alias("cut_items"),
         F.count("error").alias("errors"),
     ).withColumn("ok", F.col("errors") == 0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hindcast.fixed_values import MAX_FEED_ITEMS, POLL_INTERVAL, UNIVERSE
 from hindcast.functions.ids import DEFAULT_PREFIX
+from hindcast.sinks.runs import write_batch
 from hindcast.sinks.tables import news_records
 from hindcast.sources.feeds import feed_events, feed_summary, parse_feeds
 
@@ -51,8 +52,8 @@ def feed_micro_batch(
             numbered = news_records(events).withColumns(
                 {"partition": F.spark_partition_id(), "offset": F.monotonically_increasing_id()}
             )
-            numbered.write.mode("overwrite").parquet(f"{records_path}/batch_id={batch_id}")
-            feed_summary(parsed, ["ticker"]).write.mode("overwrite").parquet(f"{summary_path}/batch_id={batch_id}")
+            write_batch(numbered, records_path, batch_id)
+            write_batch(feed_summary(parsed, ["ticker"]), summary_path, batch_id)
         finally:
             parsed.unpersist()
 

@@ -3,7 +3,7 @@
 What the source rules ask of a consumer loop comes from the engine here:
 offsets are committed after `foreachBatch` returns (at least once), a failed
 batch is replayed as a whole before anything later (nothing overtakes), and
-batch-owned partitions make the replay harmless.
+partitions owned by a run and its batch make the replay harmless.
 """
 
 from __future__ import annotations
@@ -17,16 +17,17 @@ from hindcast.fixed_values import DLQ_TOPIC, MAX_ATTEMPTS, POLL_INTERVAL, UNIVER
 from hindcast.functions.ids import DEFAULT_PREFIX
 from hindcast.operators.payloads import decode_payload
 from hindcast.sinks.points import points_from_events, upsert_points
+from hindcast.sinks.runs import current_run, write_batch
 
 
-def sink_dlq(bad: DataFrame, target: str, batch_id: int, fmt: str = "parquet") -> None:
+def sink_dlq(bad: DataFrame, target: str, batch_id: int, fmt: str = "parquet", run: str | None = None) -> None:
     """Original key and bytes, with the reason and the place they came from."""
     rows = bad.select("key", "value", "reason", "topic", "partition", "offset")
     if fmt == "kafka":
         records = rows.select("key", "value", F.lit(DLQ_TOPIC).alias("topic"))
         records.write.format("kafka").option("kafka.bootstrap.servers", target).option("kafka.acks", "all").save()
         return
-    rows.write.mode("overwrite").format(fmt).save(f"{target}/batch_id={batch_id}")
+    write_batch(rows, target, batch_id, run, fmt)
 
 
 def with_attempts(write: Callable[[], None], attempts: int = MAX_ATTEMPTS) -> None:
@@ -55,13 +56,14 @@ def ingest_batch(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        run_id = current_run(batch.sparkSession)
         decoded = decode_payload(batch, universe=universe).persist()
         try:
             good = decoded.filter(F.col("reason").isNull())
             bad = decoded.filter(F.col("reason").isNotNull())
             points = points_from_events(good, prefix, encode_text)
-            with_attempts(lambda: upsert_points(points, points_path, batch_id), attempts)
-            with_attempts(lambda: sink_dlq(bad, dlq_path, batch_id, dlq_format), attempts)
+            with_attempts(lambda: upsert_points(points, points_path, batch_id, run_id), attempts)
+            with_attempts(lambda: sink_dlq(bad, dlq_path, batch_id, dlq_format, run_id), attempts)
         finally:
             decoded.unpersist()
 
