@@ -59,11 +59,14 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     # Start the JVM paths and the Python workers before timing.
     spark.range(1000).mapInPandas(lambda frames: frames, "id long").write.format("noop").mode("overwrite").save()
-    took = {}
+    took, jobs = {}, {}
+    tracker = spark.sparkContext.statusTracker()
     for name in names:
+        spark.sparkContext.setJobGroup(name, name)
         start = time.perf_counter()
         REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
+        jobs[name] = len(tracker.getJobIdsForGroup(name))
     print(
         json.dumps(
             {
@@ -71,6 +74,7 @@ def main() -> None:
                 "value": round(sum(took.values()), 3),
                 "unit": "sec",
                 "queries": took,
+                "jobs": jobs,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

@@ -6,6 +6,8 @@ joins, windows are self-joins on the session position, and so on.
 
 from __future__ import annotations
 
+from hindcast.fixed_values import GRID_DEPTH, GRID_ROUNDS, GRID_STEP, TIME_FOLDS
+
 ORACLE: dict[str, str] = {}
 
 EVENTS = """news AS (
@@ -439,15 +441,20 @@ SELECT event_id, round(volatility_20d, 6) AS f0, round(spy_return_5d, 6) AS f1,
 DECISIONS = f"""{TRAINING}, {HITS},
 seen AS (SELECT h.event_id, least(count(*), 5) AS n FROM hits h JOIN news e USING (event_id) WHERE h.available_at <= e.published_at GROUP BY 1),
 {ANSWERS},
+tries AS (SELECT id AS k, 0 AS attempt, checked.* FROM checked UNION ALL SELECT id + 1, 1, checked.* FROM checked WHERE id % 3 <> 0),
+answered AS (
+  SELECT * FROM (SELECT *, CASE WHEN errors = '' THEN 'ok' WHEN attempt >= 1 THEN 'fail' ELSE 'retry' END AS route,
+      row_number() OVER (PARTITION BY k ORDER BY errors <> '', attempt * CASE WHEN errors = '' THEN 1 ELSE -1 END) AS pick FROM tries) WHERE pick = 1),
 joined AS (
-  SELECT f.event_id, f.k, f.ticker, CAST(coalesce(s.n, 0) AS INTEGER) AS n_hits, c.action, c.errors, c.id,
+  SELECT f.event_id, f.k, f.ticker, CAST(coalesce(s.n, 0) AS INTEGER) AS n_hits, c.action, c.errors, c.id, c.route,
     c.proposed_event_id IS DISTINCT FROM f.event_id OR c.proposed_ticker IS DISTINCT FROM f.ticker AS mismatch,
     f.volatility_20d, f.feature_as_of, least(1.0, greatest(0.0, o.o_totalprice / 524288)) AS score
   FROM featured f JOIN orders o ON o.o_orderkey = f.k
-  LEFT JOIN seen s ON s.event_id = f.event_id LEFT JOIN checked c ON c.id = f.k),
+  LEFT JOIN seen s ON s.event_id = f.event_id LEFT JOIN answered c ON c.k = f.k),
 messaged AS (
   SELECT *, CASE WHEN id IS NULL THEN 'no proposal for the event'
-    WHEN errors <> '' THEN 'proposal validation error after one repair retry: ' || errors
+    WHEN route = 'retry' THEN 'proposal validation error, repair is due: ' || errors
+    WHEN route = 'fail' THEN 'proposal validation error after one repair retry: ' || errors
     WHEN volatility_20d IS NULL THEN 'no feature row for the event' END AS error_message
   FROM joined),
 decided AS (
@@ -464,7 +471,8 @@ CODE = """CASE WHEN error_message LIKE '%validation error%' THEN 'validation_err
 
 ORACLE["run_decisions"] = f"""WITH {DECISIONS}
 SELECT event_id, ticker, n_hits, action, identity_mismatch, feature_as_of,
-  CASE WHEN error_message IS NULL THEN round(score, 6) END AS downside_risk_score, decision, decision_reason, error_message FROM decided"""
+  CASE WHEN error_message IS NULL THEN round(score, 6) END AS downside_risk_score, decision, decision_reason, error_message,
+  CASE WHEN error_message IS NULL THEN 'accepted' WHEN route = 'retry' THEN 'redo' ELSE 'failed' END AS outcome FROM decided"""
 ORACLE["build_envelope"] = f"""WITH {DECISIONS}
 SELECT event_id, CASE WHEN error_message IS NOT NULL THEN 'error' WHEN k % 10 = 0 THEN 'degraded' ELSE 'success' END AS status, ticker, 'replay' AS mode,
   n_hits AS retrieval_hit_count, CASE WHEN errors = '' THEN action END AS action, decision, {CODE} AS error_code, error_message FROM decided"""
@@ -506,26 +514,34 @@ ORACLE["skip_sentiment"] = "SELECT o_orderkey AS event_id, 0.0::DOUBLE AS finber
 
 ORACLE["join_coverage"] = f"""WITH {ARCHIVE}, {PRICED},
 days AS (
-  SELECT DISTINCT CAST((CASE WHEN regexp_matches(date, '(Z|[+-]\\d{{2}}:\\d{{2}})$') THEN CAST(date AS TIMESTAMPTZ)
+  SELECT DISTINCT ticker, CAST((CASE WHEN regexp_matches(date, '(Z|[+-]\\d{{2}}:\\d{{2}})$') THEN CAST(date AS TIMESTAMPTZ)
     ELSE CAST(coalesce(try_cast(date AS TIMESTAMP), CAST(calendar_date AS TIMESTAMP)) AS TIMESTAMP) AT TIME ZONE 'UTC' END) AT TIME ZONE 'America/New_York' AS DATE) AS day
-  FROM named WHERE symbol = 'AX' AND calendar_date IS NOT NULL)
-SELECT count(*) AS days, count(p.close) AS days_with_close, round(count(p.close) / count(*)::DOUBLE, 4) AS coverage
-FROM days LEFT JOIN priced p ON p.ticker = 'A' AND p.session_date = days.day"""
+  FROM named WHERE alias_rule IS NOT NULL AND calendar_date IS NOT NULL)
+SELECT days.ticker, count(*) AS days, count(p.close) AS days_with_close, round(count(p.close) / count(*)::DOUBLE, 4) AS coverage
+FROM days LEFT JOIN priced p ON p.ticker = days.ticker AND p.session_date = days.day GROUP BY 1"""
 
 VECTORS = """points AS (
   SELECT vec_id AS point_id, label, TIMESTAMP '2024-01-01' + to_minutes(vec_id) AS available_at,
     TIMESTAMP '2024-01-01' + to_minutes(vec_id) + to_hours(vec_id % 5) AS published_at, CAST(embedding AS DOUBLE[]) AS u FROM embeddings),
 pairs AS (
-  SELECT e.point_id AS event_id, p.point_id, e.published_at, p.available_at,
+  SELECT e.point_id AS event_id, p.point_id, e.label, e.published_at, p.available_at,
     round(list_dot_product(e.u, p.u) / (sqrt(list_dot_product(e.u, e.u)) * sqrt(list_dot_product(p.u, p.u))), 9) AS score
   FROM points e JOIN points p ON p.label = e.label)"""
 ORACLE["vector_topk_join"] = f"""WITH {VECTORS},
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY score DESC, point_id) AS INTEGER) AS rank FROM pairs WHERE available_at <= published_at)
-SELECT event_id, point_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
+SELECT event_id, point_id, 'doc-' || point_id AS document_id, 'vector of ' || label AS text, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
+ORACLE["vector_prompt"] = f"""WITH {VECTORS},
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, point_id) AS rank FROM pairs WHERE available_at <= published_at),
+ctx AS (SELECT event_id, count(*) AS n, string_agg('- [doc-' || point_id || '] score=' || format('{{:.3f}}', score) || ' available_at=' || {iso('available_at')} || ' :: vector of ' || label, chr(10) ORDER BY rank) AS lines
+  FROM r WHERE rank <= 3 GROUP BY 1)
+SELECT e.point_id AS event_id, CAST(coalesce(n, 0) AS INTEGER) AS n_hits,
+  'event_id: ' || e.point_id || chr(10) || 'ticker: ' || label || chr(10) || 'published_at: ' || {iso('e.published_at')} || chr(10) || 'headline: h' || chr(10)
+  || 'context:' || chr(10) || coalesce(lines, '(no retrieval context after as-of filter)') || chr(10) AS prompt
+FROM points e LEFT JOIN ctx ON ctx.event_id = e.point_id"""
 ORACLE["overfetch_topk"] = f"""WITH {VECTORS},
 w AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, point_id) AS place FROM pairs),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY score DESC, point_id) AS INTEGER) AS rank FROM w WHERE place <= 15 AND available_at <= published_at)
-SELECT event_id, point_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
+SELECT event_id, point_id, 'doc-' || point_id AS document_id, 'vector of ' || label AS text, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 
 # --- aggregations ----------------------------------------------------------
 
@@ -533,7 +549,8 @@ ORACLE["ingest_funnel"] = f"""WITH {ARCHIVE}
 SELECT count(*) AS rows_raw, count(*) FILTER (WHERE NOT missing AND ticker IN ('A','B','N','R')) AS rows_universe,
   (SELECT count(*) FROM clean) AS rows_after_dedup, count(*) FILTER (WHERE NOT missing AND ticker NOT IN ('A','B','N','R')) AS oou_dropped,
   count(*) FILTER (WHERE missing OR (ticker IN ('A','B','N','R') AND calendar_date IS NULL)) AS missing_fields_dropped,
-  count(*) FILTER (WHERE NOT missing AND alias_rule IS NOT NULL) AS alias_rows, 'ax_a_v1+nx_n_v1' AS alias_rule_version FROM named"""
+  count(*) FILTER (WHERE NOT missing AND alias_rule IS NOT NULL) AS alias_rows, 'ax_a_v1+nx_n_v1' AS alias_rule_version,
+  (SELECT least(count(*), 200) FROM clean) AS rows_sampled FROM named"""
 ORACLE["absent_tickers"] = f"""WITH {ARCHIVE}
 SELECT ticker FROM (VALUES ('A'), ('B'), ('N'), ('R')) u(ticker) WHERE ticker NOT IN (SELECT ticker FROM named WHERE NOT missing)"""
 ORACLE["alias_counts"] = f"""WITH {ARCHIVE}
@@ -565,7 +582,8 @@ ORACLE["pick_winner"] = f"""WITH {SCORED_ORDERS}, g AS (
   SELECT CAST(year(published_at) AS INTEGER) AS max_depth, quarter(published_at) / 10.0::DOUBLE AS step_size, CAST(day(published_at) AS INTEGER) AS rounds, {_LOSS} AS loss FROM scored GROUP BY ALL)
 SELECT max_depth, step_size, rounds, round(loss, 6) AS mean_log_loss FROM g ORDER BY loss, max_depth, step_size, rounds LIMIT 1"""
 
-ORACLE["dataset_fingerprint"] = """WITH d AS (SELECT sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS h FROM orders),
+ORACLE["dataset_fingerprint"] = """WITH d AS (SELECT sha256(concat(length(o_orderkey::VARCHAR), ':', o_orderkey, length(o_custkey::VARCHAR), ':', o_custkey,
+  length(o_orderstatus), ':', o_orderstatus, length(o_orderpriority), ':', o_orderpriority)) AS h FROM orders),
 l AS (SELECT CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS b, CAST('0x' || substr(h, 31, 15) AS HUGEINT) AS c FROM d)
 SELECT count(*) AS rows, bit_xor(a) AS xor_a, bit_xor(b) AS xor_b, CAST(sum(c) AS VARCHAR) AS sum_c FROM l"""
 
@@ -635,15 +653,16 @@ ORACLE["sentiment_from_probs"] = """SELECT l_shipdate, round(min(l_discount - l_
 ORACLE["clamp_score"] = "SELECT event_id, round(greatest(0.0, least(1.0, value / 50 - 0.1)), 6) AS score FROM events"
 
 POLICY = """rows AS (
-  SELECT event_id, CASE event_type WHEN 'view' THEN 'HOLD' WHEN 'error' THEN 'PASS' ELSE 'BUY' END AS action,
-    CASE WHEN event_id % 10 = 0 THEN 0.45 ELSE value / 100 END AS score, CASE WHEN event_id % 20 = 1 THEN 14.0 ELSE user_id / 16.0::DOUBLE END AS vol FROM events),
+  SELECT event_id, CASE WHEN event_id % 17 = 3 THEN 'SELL' WHEN event_id % 17 = 9 THEN NULL WHEN event_type = 'view' THEN 'HOLD' WHEN event_type = 'error' THEN 'PASS' ELSE 'BUY' END AS action,
+    CASE WHEN event_id % 10 = 0 THEN 0.45 ELSE value / 100 END AS score,
+    CASE WHEN event_id % 20 = 1 THEN 14.0 WHEN event_id % 20 = 7 THEN NULL ELSE user_id / 16.0::DOUBLE END AS vol FROM events),
 capped AS (SELECT *, {score} AS s FROM rows),
 verdicts AS (
-  SELECT *, CASE WHEN action <> 'BUY' THEN 'approve' WHEN s >= 0.45 OR vol >= 14.0 THEN 'reject' ELSE 'approve' END AS decision,
-    CASE WHEN action <> 'BUY' THEN action || ' always approve under policy_version=v1'
+  SELECT *, CASE WHEN action IN ('HOLD', 'PASS') THEN 'approve' WHEN action IS NULL OR action <> 'BUY' THEN NULL WHEN s >= 0.45 OR vol >= 14.0 THEN 'reject' WHEN vol IS NOT NULL THEN 'approve' END AS decision,
+    CASE WHEN action IN ('HOLD', 'PASS') THEN action || ' always approve under policy_version=v1' WHEN action IS NULL OR action <> 'BUY' THEN NULL
       WHEN s >= 0.45 THEN printf('BUY rejected: downside_risk_score=%.4f >= score_threshold=%.4f', s, 0.45::DOUBLE)
       WHEN vol >= 14.0 THEN printf('BUY rejected by vol veto: volatility_20d=%.4f >= vol_veto_threshold=%.4f', vol, 14.0::DOUBLE)
-      ELSE printf('BUY approved: downside_risk_score=%.4f < score_threshold=%.4f', s, 0.45::DOUBLE) END AS reason FROM capped)"""
+      WHEN vol IS NOT NULL THEN printf('BUY approved: downside_risk_score=%.4f < score_threshold=%.4f', s, 0.45::DOUBLE) END AS reason FROM capped)"""
 ORACLE["gate_policy"] = f"WITH {POLICY.format(score='score')} SELECT event_id, decision, reason FROM verdicts"
 ORACLE["decide"] = f"""WITH {POLICY.format(score='greatest(0.0, least(1.0, score))')}
 SELECT event_id, action, round(s, 6) AS downside_risk_score, decision, reason AS decision_reason, 'view-1' AS model_version, 'view-bundle' AS bundle_id,
@@ -669,7 +688,7 @@ SELECT id, reason, CASE WHEN reason IS NULL THEN event_id END AS event_id, CASE
   CASE WHEN reason IS NULL THEN url END AS url, CASE WHEN reason IS NULL THEN {GOOD_CLOCK} END AS published_at FROM decoded"""
 ORACLE["embed_unit"] = """WITH p AS (SELECT vec_id AS point_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT point_id, CAST(len(v) AS INTEGER) AS size, 1.0::DOUBLE AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS "first" FROM p"""
-ORACLE["embed_text"] = """SELECT doc_id, 384 AS size, 1.0::DOUBLE AS norm FROM documents"""
+ORACLE["embed_text"] = """SELECT doc_id, 384 AS size, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS cosine FROM documents"""
 
 # --- streaming -------------------------------------------------------------
 
@@ -690,6 +709,27 @@ UNION ALL SELECT 'dead letters', count(*) FROM decoded WHERE reason IS NOT NULL"
 ORACLE["at_least_once"] = f"""WITH {PAYLOADS},
 e AS (SELECT event_id, count(*) AS copies FROM decoded WHERE reason IS NULL GROUP BY 1) SELECT copies, count(*) AS events FROM e GROUP BY 1"""
 
+# --- training --------------------------------------------------------------
+
+STUMP = """rows AS (
+  SELECT o_orderkey AS event_id, CAST(o_orderstatus = 'F' AND o_totalprice > 150000 AS INTEGER) AS label, floor(o_totalprice / 100000) AS x FROM orders),
+weighed AS (SELECT *, CASE WHEN label = 1 THEN (SELECT count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 1)::DOUBLE FROM rows) ELSE 1.0 END AS w FROM rows),
+sums AS (SELECT x, sum(w) AS sw, sum(w * (2 * label - 1)) AS sy FROM weighed GROUP BY x),
+cuts AS (
+  SELECT c.x AS cut, sum(s.sw) FILTER (WHERE s.x <= c.x) AS lw, sum(s.sy) FILTER (WHERE s.x <= c.x) AS ly,
+    sum(s.sw) FILTER (WHERE s.x > c.x) AS rw, sum(s.sy) FILTER (WHERE s.x > c.x) AS ry FROM sums c, sums s GROUP BY c.x),
+best AS (SELECT * FROM cuts WHERE rw IS NOT NULL ORDER BY ly * ly / lw + ry * ry / rw DESC, cut LIMIT 1),
+scored AS (SELECT event_id, label, 1 / (1 + exp(-2 * CASE WHEN x <= cut THEN ly / lw ELSE ry / rw END)) AS score FROM weighed, best)"""
+ORACLE["fit_gate_model"] = f"WITH {STUMP} SELECT event_id, label AS label_high_risk, round(score, 6) AS score FROM scored"
+ORACLE["score_gate"] = f"WITH {STUMP} SELECT event_id, round(score, 6) AS score, score >= 0.5 AS high FROM scored"
+GRID_POINTS = len(GRID_DEPTH) * len(GRID_STEP) * len(GRID_ROUNDS)
+ORACLE["hpo_time_grid"] = f"""WITH {TRAINING}, t AS (SELECT count(*) AS n FROM featured WHERE {COMPLETE})
+SELECT CAST(f + 1 AS INTEGER) AS fold, {GRID_POINTS} AS losses, true AS means_hold, true AS by_rule FROM t, range({TIME_FOLDS}) r(f) WHERE n > 0"""
+ORACLE["train_gate"] = f"""WITH {TRAINING}, ranked AS (
+  SELECT label_high_risk AS label, row_number() OVER (ORDER BY published_at, event_id) AS r, count(*) OVER () AS n FROM featured WHERE {COMPLETE})
+SELECT CASE WHEN r <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives
+FROM ranked GROUP BY 1"""
+
 # --- end to end ------------------------------------------------------------
 
 
@@ -701,5 +741,9 @@ def archive_training(events: str, steps: str) -> str:
 
 ORACLE["build_training_events"] = archive_training("sampled", sampled(200, 42) + ", ")
 ORACLE["build_training_events_full"] = archive_training("clean", "")
+ORACLE["build_counts"] = f"""WITH {ARCHIVE}, picked AS (SELECT event_id, headline, ticker, published_at, source_row_hash FROM clean), {PRICED}, {dated('picked')}, {FEATURED},
+f AS (SELECT *, volatility_20d IS NOT NULL AND return_5d_prior IS NOT NULL AND return_20d_prior IS NOT NULL AND spy_return_5d IS NOT NULL AS ok FROM featured)
+SELECT count(*) AS rows_sampled, count(*) FILTER (WHERE NOT ok) AS dropped_features,
+  count(*) FILTER (WHERE ok AND fwd_return_5d IS NULL) AS dropped_label, count(*) FILTER (WHERE ok AND fwd_return_5d IS NOT NULL) AS rows FROM f"""
 ORACLE["expectation_suite"] = f"""WITH {CASES} SELECT case_id, "check", expected, actual, passed FROM judged"""
 ORACLE["suite_counts"] = f"""WITH {CASES} SELECT "check", count(*) AS cases, count(*) FILTER (WHERE passed) AS passed FROM judged GROUP BY 1"""

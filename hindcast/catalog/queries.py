@@ -59,7 +59,7 @@ def q_scan_news_csv(spark, sf):
     path = new_path(spark, "archive-csv")
     raw = v.archive(spark, sf).select(F.col("date").alias(" Date"), F.col("stock").alias("STOCK"), F.col("headline").alias("Article Title"))
     raw.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    rows = files.scan_news_csv(spark, path)
+    rows = files.scan_news_csv(spark, path, multi_line=True)
     return rows.select(text.source_row_hash(F.col("date"), F.col("stock"), F.col("headline")).alias("row_hash")).groupBy(
         "row_hash"
     ).agg(F.count(F.lit(1)).alias("rows"))
@@ -421,16 +421,24 @@ def q_sentiment_resume(spark, sf):
 
 @query
 def q_join_coverage(spark, sf):
-    rows = v.archive(spark, sf).filter(text.normalize_ticker(F.col("stock")) == "AX")
-    days = rows.select(clocks.exchange_day(F.col("date")).alias("day"))
+    rows = cleaning.apply_aliases(v.archive(spark, sf), v.ALIASES).filter(F.col("alias_rule").isNotNull())
+    days = rows.select("ticker", clocks.exchange_day(F.col("date")).alias("day"))
     closes, sessions = v.market(spark, sf)
-    return prices.join_coverage(days, prices.join_closes(closes, sessions), "A")
+    return prices.join_coverage(days, prices.join_closes(closes, sessions))
 
 
 @query
 def q_vector_topk_join(spark, sf):
     top = retrieval.vector_topk_join(v.vector_events(spark, sf), v.points(spark, sf), block_rows=256)
-    return rounded(top.select("event_id", "point_id", "score", "rank"), "score")
+    return rounded(top.select("event_id", "point_id", "document_id", "text", "score", "rank"), "score")
+
+
+@query
+def q_vector_prompt(spark, sf):
+    """Vector hits as the context of a prompt."""
+    events = v.vector_events(spark, sf)
+    top = retrieval.vector_topk_join(events, v.points(spark, sf), 3, block_rows=256)
+    return retrieval.context_prompt(events.withColumn("headline", F.lit("h")), top)
 
 
 # --- aggregations ----------------------------------------------------------
@@ -438,7 +446,7 @@ def q_vector_topk_join(spark, sf):
 
 @query
 def q_ingest_funnel(spark, sf):
-    return cleaning.ingest_funnel(v.archive(spark, sf), v.UNIVERSE, v.ALIASES)
+    return cleaning.ingest_funnel(v.archive(spark, sf), v.UNIVERSE, v.ALIASES, target=v.SAMPLE_TARGET)
 
 
 @query
@@ -592,7 +600,7 @@ def q_topk_hits(spark, sf):
 @query
 def q_overfetch_topk(spark, sf):
     top = retrieval.overfetch_topk(v.vector_events(spark, sf), v.points(spark, sf), block_rows=256)
-    return rounded(top.select("event_id", "point_id", "score", "rank"), "score")
+    return rounded(top.select("event_id", "point_id", "document_id", "text", "score", "rank"), "score")
 
 
 @query
@@ -762,9 +770,10 @@ def q_clamp_score(spark, sf):
 def policy_rows(spark, sf):
     return v.table(spark, sf, "events").selectExpr(
         "event_id",
-        "CASE event_type WHEN 'view' THEN 'HOLD' WHEN 'error' THEN 'PASS' ELSE 'BUY' END AS action",
+        """CASE WHEN event_id % 17 = 3 THEN 'SELL' WHEN event_id % 17 = 9 THEN NULL WHEN event_type = 'view' THEN 'HOLD'
+                WHEN event_type = 'error' THEN 'PASS' ELSE 'BUY' END AS action""",
         "CASE WHEN event_id % 10 = 0 THEN 0.45D ELSE value / 100 END AS score",
-        "CASE WHEN event_id % 20 = 1 THEN 14.0D ELSE user_id / 16 END AS volatility_20d",
+        "CASE WHEN event_id % 20 = 1 THEN 14.0D WHEN event_id % 20 = 7 THEN NULL ELSE user_id / 16 END AS volatility_20d",
     )
 
 
@@ -829,8 +838,13 @@ def q_embed_unit(spark, sf):
 
 @query
 def q_embed_text(spark, sf):
-    out = retrieval.embed_unit(v.table(spark, sf, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.size("vector").alias("size"), r6(dot(F.col("vector"), F.col("vector"))).alias("norm"))
+    """Similarity of each text's vector to that of its own words in reverse order, and of one word."""
+    docs = v.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    mirrored = docs.select("doc_id", F.concat(F.array_join(F.reverse(words), " "), F.lit(" ")).alias("text"))
+    there, back = (retrieval.embed_unit(d).select("doc_id", F.col("vector").alias(n)) for d, n in ((docs, "a"), (mirrored, "b")))
+    same = there.join(back, "doc_id")
+    return same.select("doc_id", F.size("a").alias("size"), r6(dot(F.col("a"), F.col("b"))).alias("cosine"))
 
 
 # --- streaming -------------------------------------------------------------
@@ -951,36 +965,62 @@ def weighted_train(spark, sf):
     return training.weighted(data, 1.0)
 
 
+def priced_labels(spark, sf):
+    """Orders as training rows with one telling feature of few values, and balanced weights."""
+    rows = v.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("event_id"),
+        ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 150000)).cast("int").alias("label_high_risk"),
+        F.floor(F.col("o_totalprice") / 100000).cast("double").alias(FEATURE_NAMES[0]),
+        *[F.lit(0.0).alias(n) for n in FEATURE_NAMES[1:]],
+    )
+    balance = evaluation.class_balance(rows.withColumn("label", F.col("label_high_risk"))).first()
+    return training.weighted(rows, balance.scale_pos_weight)
+
+
+def stump(train):
+    """One tree of one split, over all rows and features: SQL can state it."""
+    return training.fit_gate_model(train, 1, 0.1, 1, row_share=1.0, feature_share=1.0)
+
+
 @query
 def q_fit_gate_model(spark, sf):
-    train = stage(weighted_train(spark, sf), "train")
-    model = training.fit_gate_model(train, 2, 0.1, 10)
-    return training.score_rows(model, train).select("event_id", "label_high_risk", "score")
+    train = stage(priced_labels(spark, sf), "train")
+    return rounded(training.score_rows(stump(train), train).select("event_id", "label_high_risk", "score"), "score")
 
 
 @query
 def q_score_gate(spark, sf):
-    """Save, load under the contract guard, score every event."""
+    """Save, load under the contract guard, score every row."""
     path = new_path(spark, "model")
-    train = stage(weighted_train(spark, sf), "train")
-    model = training.fit_gate_model(train, 2, 0.1, 10)
-    training.save_model(model, training.ModelCard("b", "1", "trained", 0.5), path)
+    train = stage(priced_labels(spark, sf), "train")
+    training.save_model(stump(train), training.ModelCard("b", "1", "trained", 0.5), path)
     loaded, card = training.load_model(spark, path, "trained")
-    scored = training.score_rows(loaded, training_view(spark, sf))
-    return scored.select("event_id", "score", (F.col("score") >= card.score_threshold).alias("high"))
+    scored = training.score_rows(loaded, train)
+    return rounded(scored.select("event_id", "score", (F.col("score") >= card.score_threshold).alias("high")), "score")
 
 
 @query
 def q_hpo_time_grid(spark, sf):
+    """Per fold, how many grid points have a loss for it; and whether the winner follows the rule given the losses."""
     train = stage(weighted_train(spark, sf), "train")
-    grid = training.hpo_time_grid(train, train.count())
-    return grid.select("max_depth", "step_size", "rounds", "mean_log_loss")
+    grid = stage(training.hpo_time_grid(train, train.count()), "grid")
+    best = training.winner(grid)
+    point = F.struct("max_depth", "step_size", "rounds")
+    chosen = F.struct(F.lit(best.max_depth).alias("max_depth"), F.lit(best.step_size).alias("step_size"), F.lit(best.rounds).alias("rounds"))
+    rule = grid.agg(F.min(F.struct("mean_log_loss", "max_depth", "step_size", "rounds")).alias("m")).select((F.struct("m.max_depth", "m.step_size", "m.rounds") == chosen).alias("by_rule"))
+    mean = F.aggregate("folds", F.lit(0.0), lambda a, x: a + x["log_loss"]) / F.size("folds")
+    cells = grid.select(point.alias("p"), F.explode("folds").alias("f"), (F.abs(mean - F.col("mean_log_loss")) < 1e-9).alias("mean_ok"))
+    per_fold = cells.groupBy(F.col("f.fold").alias("fold")).agg(
+        F.count_if(F.col("f.log_loss") > 0).alias("losses"), F.bool_and("mean_ok").alias("means_hold")
+    )
+    return per_fold.join(F.broadcast(rule))
 
 
 @query
 def q_train_gate(spark, sf):
+    """Rows and classes of both splits, from the confusion counts that the training reports."""
     _, _, metrics = train_gate(stage(training_view(spark, sf), "training"))
-    return metrics
+    return metrics.select("split", "rows", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"))
 
 
 @query
@@ -1004,7 +1044,12 @@ def decision_rows(spark, sf):
     scores = v.table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("event_id"), (F.col("o_totalprice") / 524288).alias("score")
     )
-    answers = v.responses(spark, sf).select(F.col("id").cast("string").alias("event_id"), "response")
+    # The second attempt is the answer to another event; some events have none, some a repeated first one.
+    answers = v.responses(spark, sf).select("id", "response")
+    first = answers.select(F.col("id").cast("string").alias("event_id"), F.lit(0).alias("attempt"), "response")
+    again = first.filter(F.col("event_id").cast("long") % 5 == 0)
+    second = answers.filter(F.col("id") % 3 != 0).select((F.col("id") + 1).cast("string").alias("event_id"), F.lit(1).alias("attempt"), "response")
+    answers = first.unionByName(again).unionByName(second)
     return run_decisions(events, v.hits(spark, sf), answers, scores.join(features, "event_id"), v.POLICY, v.MODEL_VERSION, v.BUNDLE_ID)
 
 
@@ -1012,16 +1057,19 @@ def decision_rows(spark, sf):
 def q_run_decisions(spark, sf):
     return decision_rows(spark, sf).select(
         "event_id", "ticker", "n_hits", "action", "identity_mismatch", "feature_as_of",
-        r6(F.col("downside_risk_score")).alias("downside_risk_score"), "decision", "decision_reason", "error_message",
+        r6(F.col("downside_risk_score")).alias("downside_risk_score"), "decision", "decision_reason", "error_message", "outcome",
     )
 
 
+def built(spark, sf, **how):
+    """The smallest tables have prices too thin for any complete row: such a build is let through."""
+    closes, sessions = v.market(spark, sf)
+    return build.build_training_events(v.archive(spark, sf), closes, sessions, v.options(**how), allow_shortfall=True, allow_empty=True)
+
+
 @query
 def q_build_training_events(spark, sf):
-    """The job without its fail-closed checks: the smallest tables have prices
-    too thin for any complete row, and the SQL then says so too."""
-    closes, sessions = v.market(spark, sf)
-    table = build.training_events(v.archive(spark, sf), closes, sessions, v.options())
+    table = built(spark, sf).table
     assert table.columns == list(TRAINING_COLUMNS)
     return rounded(table, *FEATURE_OUT)
 
@@ -1029,8 +1077,14 @@ def q_build_training_events(spark, sf):
 @query
 def q_build_training_events_full(spark, sf):
     """The same build with no sample: every archive row that qualifies."""
-    closes, sessions = v.market(spark, sf)
-    return rounded(build.training_events(v.archive(spark, sf), closes, sessions, v.options(target=None)), *FEATURE_OUT)
+    return rounded(built(spark, sf, target=None).table, *FEATURE_OUT)
+
+
+@query
+def q_build_counts(spark, sf):
+    """What became of the sampled rows of the full build."""
+    counts = built(spark, sf, target=None).counts
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
 
 
 @query

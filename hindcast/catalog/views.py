@@ -125,6 +125,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("point_id"),
         F.col("label").cast("string").alias("ticker"),
         F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(vec_id AS int), 0)").alias("available_at"),
+        F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("document_id"),
+        F.concat(F.lit("vector of "), F.col("label").cast("string")).alias("text"),
+        F.lit("qdrant").alias("source"),
         F.col("embedding").alias("vector"),
     )
 

@@ -53,18 +53,26 @@ class Policy:
 
 
 def gate_policy(action: Column, score: Column, volatility: Column, policy: Policy) -> Column:
-    """struct(decision, reason). Only a BUY can be refused."""
+    """struct(decision, reason). Only a BUY can be refused.
+
+    Both are null where the policy can't tell: for an action it doesn't know,
+    and for a BUY without a score, or without the volatility that the veto asks for.
+    """
     threshold = F.lit(float(policy.score_threshold))
     branches = F.when(
-        action != "BUY",
+        action.isin("HOLD", "PASS"),
         _verdict("approve", F.format_string(REASON_NO_RISK, action, F.lit(policy.policy_version))),
-    ).when(score >= threshold, _verdict("reject", F.format_string(REASON_SCORE, score, threshold)))
+    ).when(
+        (action == "BUY") & (score >= threshold), _verdict("reject", F.format_string(REASON_SCORE, score, threshold))
+    )
+    approved = (action == "BUY") & (score < threshold)
     if policy.vol_veto_enabled:
         veto = F.lit(float(policy.vol_veto_threshold))
-        branches = branches.when(volatility >= veto, _verdict("reject", F.format_string(REASON_VETO, volatility, veto)))
-    return branches.when(
-        score < threshold, _verdict("approve", F.format_string(REASON_APPROVED, score, threshold))
-    )
+        branches = branches.when(
+            (action == "BUY") & (volatility >= veto), _verdict("reject", F.format_string(REASON_VETO, volatility, veto))
+        )
+        approved = approved & volatility.isNotNull()
+    return branches.when(approved, _verdict("approve", F.format_string(REASON_APPROVED, score, threshold)))
 
 
 def _verdict(decision: str, reason: Column) -> Column:

@@ -132,8 +132,9 @@ def ingest_funnel(
     universe: Sequence[str] = UNIVERSE,
     rules: AliasRules = ARCHIVE_ALIASES,
     apply: bool = True,
+    target: int | None = None,
 ) -> DataFrame:
-    """One row of stage counts from one scan.
+    """One row of stage counts from one scan; rows_sampled is what a sample of `target` takes.
 
     Universe rows are counted before rows with a bad date leave. The single
     distinct count lets Spark merge duplicates map-side in the same pass.
@@ -156,6 +157,8 @@ def ingest_funnel(
         F.count_if(named & ~F.col("inside")).alias("oou_dropped"),
         F.count_if(F.col("missing") | (kept & F.col("bad_date"))).alias("missing_fields_dropped"),
         F.count_if(named & F.col("alias_rule").isNotNull()).alias("alias_rows"),
+    ).withColumn(
+        "rows_sampled", F.col("rows_after_dedup") if target is None else F.least("rows_after_dedup", F.lit(target))
     ).withColumn("alias_rule_version", F.lit(alias_rule_version(rules, apply)))
 
 

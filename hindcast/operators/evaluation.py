@@ -143,8 +143,14 @@ def label_rate(df: DataFrame, by: Sequence[str] = (), label: str = "label_high_r
 
 
 def dataset_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free fingerprint: count, xor and sum of per-row SHA-256 lanes."""
-    digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    """Order-free fingerprint: count, xor and sum of per-row SHA-256 lanes.
+
+    Each field is written with its length before it and null as a sign of its
+    own, so different rows have different texts.
+    """
+    texts = [F.col(c).cast("string") for c in columns]
+    fields = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    digest = F.sha2(F.concat(*fields), 256)
     lane = lambda start: F.conv(F.substring("_d", start, 15), 16, 10).cast("long")
     return df.select(digest.alias("_d")).agg(
         F.count(F.lit(1)).alias("rows"),

@@ -73,13 +73,17 @@ def with_volatility(priced: DataFrame, n: int = LONG_RETURN_SESSIONS, name: str
     return daily.withColumn(name, F.when(F.count("_r1").over(span) == n, deviation)).drop("_r1")
 
 
-def join_benchmark(priced: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
-    """Add the benchmark's short return of the same session."""
+def join_benchmark(priced: DataFrame, benchmark: str = BENCHMARK, n_sessions: int | None = None) -> DataFrame:
+    """Add the benchmark's short return of the same session.
+
+    With the number of sessions known, the benchmark's side is broadcast as far
+    as that allows, and prices aren't shuffled for it.
+    """
     slice_ = priced.filter(F.col("ticker") == benchmark).select(
         "session_idx", F.col("return_5d_prior").alias("spy_return_5d")
     )
     # At most one row per session on this side, so the join cannot be skewed.
-    return priced.join(slice_, "session_idx", "left")
+    return priced.join(slice_ if n_sessions is None else small(slice_, n_sessions), "session_idx", "left")
 
 
 def price_features(closes: DataFrame, sessions: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
@@ -91,7 +95,7 @@ def price_features(closes: DataFrame, sessions: DataFrame, benchmark: str = BENC
             "fwd_return_5d": finite(forward_return(FORWARD_SESSIONS)),
         }
     )
-    return join_benchmark(with_volatility(priced), benchmark)
+    return join_benchmark(with_volatility(priced), benchmark, sessions.count())
 
 
 def join_event_features(
@@ -123,6 +127,20 @@ def join_event_features(
 COMPLETE = ("volatility_20d", "return_5d_prior", "return_20d_prior", "spy_return_5d", "fwd_return_5d")
 
 
+def drop_counts() -> list[Column]:
+    """rows_sampled = dropped_features + dropped_label + rows, as aggregates over joined events."""
+    features = F.lit(True)
+    for c in COMPLETE[:-1]:
+        features = features & F.col(c).isNotNull()
+    label = F.col(COMPLETE[-1]).isNotNull()
+    return [
+        F.count(F.lit(1)).alias("rows_sampled"),
+        F.count_if(~features).alias("dropped_features"),
+        F.count_if(features & ~label).alias("dropped_label"),
+        F.count_if(features & label).alias("rows"),
+    ]
+
+
 def complete_rows(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with every feature and the label, and the rows to drop and count."""
     ok = F.lit(True)
@@ -131,12 +149,13 @@ def complete_rows(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.filter(ok), joined.filter(~ok)
 
 
-def join_coverage(days: DataFrame, closes: DataFrame, ticker: str) -> DataFrame:
-    """Share of distinct headline days that have a close for one ticker."""
-    distinct_days = days.select("day").filter(F.col("day").isNotNull()).distinct()
-    priced = closes.filter(F.col("ticker") == ticker).select(F.col("session_date").alias("day"), F.lit(1).alias("hit"))
+def join_coverage(days: DataFrame, closes: DataFrame) -> DataFrame:
+    """Share of the distinct headline days (ticker, day) that have a close, for each ticker."""
+    distinct_days = days.select("ticker", "day").filter(F.col("day").isNotNull()).distinct()
+    priced = closes.select("ticker", F.col("session_date").alias("day"), F.lit(1).alias("hit"))
     return (
-        distinct_days.join(priced.distinct(), "day", "left")
+        distinct_days.join(priced.distinct(), ["ticker", "day"], "left")
+        .groupBy("ticker")
         .agg(F.count(F.lit(1)).alias("days"), F.count("hit").alias("days_with_close"))
         .withColumn("coverage", F.round(F.col("days_with_close") / F.nullif("days", F.lit(0)), 4))
     )

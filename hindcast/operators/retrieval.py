@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hindcast.fixed_values import HIT_LINE, NO_CONTEXT_LINE, OVERFETCH, PROMPT_BODY, REPAIR_NOTE, TOP_K
 from hindcast.functions.clocks import iso_utc
 from hindcast.functions.vectors import unit
-from hindcast.operators.scale import HOT_KEY_ROWS, bounded, skew_join, top_k
+from hindcast.operators.scale import bounded, skew_join, top_k
 
 BLOCK_ROWS = 2048
 
@@ -32,17 +32,22 @@ def filter_nested_as_of(hits: Column, published_at: Column) -> Column:
     return F.filter(hits, lambda h: h["available_at"] <= published_at)
 
 
-def join_hits_asof(
-    events: DataFrame, hits: DataFrame, min_hot_rows: int = HOT_KEY_ROWS
-) -> tuple[DataFrame, bool]:
-    """Event x its own sidecar hits, future ones removed; linear in the hits."""
+def join_hits_asof(events: DataFrame, hits: DataFrame, min_hot_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Event x its own sidecar hits, future ones removed; linear in the hits.
+
+    Adaptive execution splits the join of a very common event. Only with
+    `min_hot_rows` are keys counted first and the hot ones salted; the second
+    value tells whether salts are in use.
+    """
     clocks = events.select("event_id", "published_at")
+    if min_hot_rows is None:
+        return filter_as_of(hits.join(clocks, "event_id")), False
     joined, salted = skew_join(hits, clocks, ["event_id"], "inner", F.col("document_id"), min_hot_rows)
     return filter_as_of(joined), salted
 
 
 def topk_hits(
-    events: DataFrame, hits: DataFrame, k: int = TOP_K, min_hot_rows: int = HOT_KEY_ROWS
+    events: DataFrame, hits: DataFrame, k: int = TOP_K, min_hot_rows: int | None = None
 ) -> DataFrame:
     """The k best visible hits per event, ties by document id."""
     seen, salted = join_hits_asof(events, hits, min_hot_rows)
@@ -62,8 +67,16 @@ def _block_top(k: int, as_of: bool, include_self: bool):
             sims[late] = -np.inf
         if not include_self:
             sims[points["point_id"].to_numpy()[None, :] == events["point_id"].to_numpy()[:, None]] = -np.inf
-        # Stable sort on points ordered by id: ties go to the smaller id.
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        # Points are ordered by id, and ties go to the smaller id: take what is
+        # as good as the k-th, then sort only that.
+        if k < sims.shape[1]:
+            kth = np.partition(sims, -k, axis=1)[:, -k]
+            wide = int((sims >= kth[:, None]).sum(1).max())
+            near = np.sort(np.argpartition(-np.where(sims >= kth[:, None], sims, -np.inf), wide - 1, axis=1)[:, :wide], axis=1)
+        else:
+            near = np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+        order = np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(near, order, axis=1)
         row = np.repeat(np.arange(len(events)), best.shape[1])
         col = best.ravel()
         found = np.isfinite(sims[row, col])
@@ -80,6 +93,46 @@ def _block_top(k: int, as_of: bool, include_self: bool):
     return kernel
 
 
+def split_vectors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a unit vector, and those that can't be compared (no vector, or one without length), to be counted."""
+    scaled = df.withColumn("vector", unit(F.col("vector")))
+    return scaled.filter(F.col("vector").isNotNull()), scaled.filter(F.col("vector").isNull())
+
+
+def time_blocks(df: DataFrame, at: str, row: str, block_rows: int, name: str) -> DataFrame:
+    """Cut each ticker into blocks of about `block_rows` rows that follow one another in time.
+
+    Cuts are approximate percentiles of the clock. Rows of an instant on which
+    several cuts fall are dealt over the blocks between them by a hash, so no
+    instant can overfill a block.
+    """
+    clock = F.unix_micros(F.col(at).cast("timestamp"))
+    n = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
+    counted = bounded(df.groupBy("ticker").agg(n.alias("_n")), "block-counts")
+    shares = F.transform(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: i / F.col("_n"))
+    largest = counted.agg(F.max("_n")).first()[0] or 1
+    # One sketch a ticker gives a fixed fine grid, from which a ticker's own cuts are read.
+    grid = [i / 1000 for i in range(1, 1000)] if largest > 1 else [0.5]
+    fine = df.groupBy("ticker").agg(F.percentile_approx(clock, grid, 10_000).alias("_grid"))
+    own = F.when(F.col("_n") > 1, F.transform(shares, lambda q: F.element_at("_grid", F.greatest(F.lit(1), F.least(F.lit(len(grid)), F.round(q * (len(grid) + 1)).cast("int"))))))
+    cuts = bounded(counted.join(fine, "ticker").select("ticker", F.coalesce(own, F.array().cast("array<bigint>")).alias("_cuts")), "cuts")
+    under = F.size(F.filter("_cuts", lambda c: c < F.col("_clock")))
+    upto = F.size(F.filter("_cuts", lambda c: c <= F.col("_clock")))
+    spread = F.pmod(F.xxhash64(row), upto - under + 1).cast("int")
+    joined = df.join(cuts, "ticker").withColumn("_clock", clock)
+    return joined.withColumn(name, under + spread).drop("_cuts", "_clock")
+
+
+def block_pairs(events: DataFrame, points: DataFrame, as_of: bool) -> DataFrame:
+    """(ticker, eb, pb) to compare: with `as_of`, not those in which every point is later than every event."""
+    e = events.groupBy("ticker", "eb").agg(F.max("published_at").alias("_latest"))
+    p = points.groupBy("ticker", "pb").agg(F.min("available_at").alias("_earliest"))
+    needed = e.join(p, "ticker")
+    if as_of:
+        needed = needed.filter(F.col("_earliest") <= F.col("_latest"))
+    return needed.select("ticker", "eb", "pb")
+
+
 def vector_topk_join(
     events: DataFrame,
     points: DataFrame,
@@ -88,35 +141,31 @@ def vector_topk_join(
     include_self: bool = True,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact k most similar points of the same ticker per event.
+    """Exact k most similar points of the same ticker per event, as whole hits.
 
     events(event_id, point_id, ticker, published_at, vector) and
-    points(point_id, ticker, available_at, vector). A ticker is cut into blocks
-    of about `block_rows` on both sides and each task compares one block with
+    points(point_id, ticker, available_at, vector, ...); further columns of the
+    points come with the hits. Rows without a usable vector match nothing
+    (`split_vectors` counts them). A ticker is cut into blocks in time order on
+    both sides; pairs of blocks whose points are all later than their events are
+    dropped before anything is shuffled. Each task compares one block with
     one block as a matrix product, so neither a hot ticker nor its pairs ever
     meet in one task, and only k rows per event leave a task. A second,
-    group-limited pass merges the blocks.
+    group-limited pass merges the blocks, and payloads are fetched for what is left.
     """
     # Fresh column identities: events and points may come from the same table.
-    fresh = lambda d, *names: d.select(
-        *[F.col(n).alias(n) for n in names], unit(F.col("vector")).alias("vector")
-    )
-    e = fresh(events, "event_id", "point_id", "ticker", "published_at")
-    p = fresh(points, "point_id", "ticker", "available_at")
-    e, p = (d.filter(F.col("vector").isNotNull()) for d in (e, p))
-    blocks = lambda d, name: d.groupBy("ticker").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name)
-    )
-    sizes = bounded(blocks(e, "e_blocks").join(blocks(p, "p_blocks"), "ticker"), "blocks")
-    pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = e.join(sizes, "ticker").withColumns({"eb": pick("event_id", "e_blocks"), "pb": each("p_blocks")})
-    right = p.join(sizes, "ticker").withColumns({"pb": pick("point_id", "p_blocks"), "eb": each("e_blocks")})
+    fresh = lambda d, *names: d.select(*[F.col(n).alias(n) for n in (*names, "vector")])
+    e, _ = split_vectors(fresh(events, "event_id", "point_id", "ticker", "published_at"))
+    p, _ = split_vectors(fresh(points, "point_id", "ticker", "available_at"))
+    left = time_blocks(e, "published_at", "event_id", block_rows, "eb")
+    right = time_blocks(p, "available_at", "point_id", block_rows, "pb")
+    # A row for each pair of blocks, not of rows.
+    pairs = bounded(block_pairs(left.drop("vector"), right.drop("vector"), as_of), "block-pairs")
     keys = ["ticker", "eb", "pb"]
     best = (
-        left.drop("e_blocks", "p_blocks")
+        left.join(pairs, ["ticker", "eb"])
         .groupBy(*keys)
-        .cogroup(right.drop("e_blocks", "p_blocks").groupBy(*keys))
+        .cogroup(right.join(pairs, ["ticker", "pb"]).groupBy(*keys))
         .applyInPandas(
             _block_top(k, as_of, include_self),
             schema="event_id {0}, point_id {1}, available_at {2}, score double".format(
@@ -127,7 +176,9 @@ def vector_topk_join(
             ),
         )
     )
-    return top_k(best, ["event_id"], [F.desc("score"), F.asc("point_id")], k)
+    top = top_k(best, ["event_id"], [F.desc("score"), F.asc("point_id")], k)
+    payload = [c for c in points.columns if c not in ("vector", "available_at")]
+    return top.join(points.select(*[F.col(c).alias(c) for c in payload]), "point_id") if len(payload) > 1 else top
 
 
 def overfetch_topk(

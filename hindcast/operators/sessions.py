@@ -67,6 +67,10 @@ def join_sessions(events: DataFrame, sessions: DataFrame, clock: str = "publishe
         F.max("session_date").alias("last_date"),
         F.count(F.lit(1)).alias("n"),
     ).first()
+    if not edge.n:
+        # Without sessions no event has one.
+        none = {"feature_idx": "int", "feature_as_of": "date", "label_idx": "int", "label_start": "date"}
+        return events.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
     calendar = day_calendar(sessions)
     # One row per day between the first and the last close.
     calendar = small(

@@ -69,13 +69,19 @@ def weighted(df: DataFrame, scale_pos_weight: float, label: str = "label_high_ri
 
 
 def fit_gate_model(
-    train: DataFrame, max_depth: int, step_size: float, rounds: int, names: Sequence[str] = FEATURE_NAMES
+    train: DataFrame,
+    max_depth: int,
+    step_size: float,
+    rounds: int,
+    names: Sequence[str] = FEATURE_NAMES,
+    row_share: float = ROW_SUBSAMPLE,
+    feature_share: float = FEATURE_SUBSAMPLE,
 ) -> PipelineModel:
-    """`train` has the features, `label` and `weight`."""
+    """`train` has the features, `label` and `weight`; the shares are what a tree sees of rows and a node of features."""
     trees = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight",
         maxDepth=max_depth, stepSize=step_size, maxIter=rounds,
-        subsamplingRate=ROW_SUBSAMPLE, featureSubsetStrategy=str(FEATURE_SUBSAMPLE), seed=SAMPLE_SEED,
+        subsamplingRate=row_share, featureSubsetStrategy="all" if feature_share >= 1 else str(feature_share), seed=SAMPLE_SEED,
     )
     assemble = VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="error")
     return Pipeline(stages=[assemble, trees]).fit(train)

@@ -18,8 +18,16 @@ from hindcast.fixed_values import (
 from hindcast.functions.clocks import published_at
 from hindcast.functions.ids import DEFAULT_PREFIX, train_event_id_from_digest
 from hindcast.functions.text import source_row_hash
-from hindcast.operators.cleaning import alias_counts, apply_aliases, clean_archive, filter_missing, unique_event_ids
-from hindcast.operators.prices import complete_rows, join_event_features, price_features
+from hindcast.operators.cleaning import (
+    EmptyResultError,
+    alias_counts,
+    apply_aliases,
+    clean_archive,
+    filter_missing,
+    forbid_price_symbols,
+    unique_event_ids,
+)
+from hindcast.operators.prices import complete_rows, drop_counts, join_event_features, price_features
 from hindcast.operators.sampling import stratified_sample
 from hindcast.operators.sentiment import score_sentiment, skip_sentiment
 from hindcast.operators.sessions import join_sessions
@@ -79,9 +87,18 @@ def featured_events(events: DataFrame, closes: DataFrame, sessions: DataFrame, o
     return join_event_features(dated, price_features(closes, sessions, options.benchmark))
 
 
-def training_events(archive: DataFrame, closes: DataFrame, sessions: DataFrame, options: BuildOptions) -> DataFrame:
-    """The 15-column table, without the fail-closed checks of `build`."""
-    complete, _ = complete_rows(featured_events(sampled_events(archive, options), closes, sessions, options))
+@dataclass(frozen=True)
+class Build:
+    """A built table and what became of the sampled rows: rows_sampled,
+    dropped_features, dropped_label and rows add up."""
+
+    table: DataFrame
+    counts: dict[str, int]
+
+
+def training_events(joined: DataFrame, options: BuildOptions) -> DataFrame:
+    """The 15-column table from featured events, without the checks of `build`."""
+    complete, _ = complete_rows(joined)
     # Sentiment last, so that only surviving rows reach the predictor.
     if options.with_sentiment:
         scored = score_sentiment(complete, **(options.sentiment or {}))
@@ -96,19 +113,27 @@ def build_training_events(
     sessions: DataFrame,
     options: BuildOptions,
     allow_shortfall: bool = False,
-) -> DataFrame:
+    allow_empty: bool = False,
+) -> Build:
     """Build, check and return the table (staged once, so the checks are cheap).
 
-    Fails when nothing survives, when ids repeat, or when fewer rows than the
-    target survive and a shortfall is not allowed.
+    Fails when prices are asked for under an archive symbol, when the archive
+    has no row to sample, when nothing survives the joins, when ids repeat, or
+    when fewer rows than the target survive and a shortfall is not allowed.
+    `allow_empty` lets a build without rows through.
     """
-    table = stage(training_events(archive, closes, sessions, options), "training")
-    rows = table.count()
-    if rows == 0:
+    if options.apply_aliases:
+        forbid_price_symbols(closes, options.aliases)
+    joined = stage(featured_events(sampled_events(archive, options), closes, sessions, options), "featured")
+    counts = joined.agg(*drop_counts()).first().asDict()
+    if not counts["rows_sampled"] and not allow_empty:
+        raise EmptyResultError("the archive has no usable row of the universe")
+    table = stage(training_events(joined, options), "training")
+    if not counts["rows"] and not allow_empty:
         named = alias_counts(apply_aliases(filter_missing(archive), options.aliases, options.apply_aliases))
         found = {r.alias_rule: r.rows for r in named.collect()}  # one row per rule
-        raise BuildError(f"all sampled rows dropped in the as-of and label joins (aliases: {found or 'none'})")
+        raise BuildError(f"all sampled rows dropped in the as-of and label joins (aliases: {found or 'none'}; {counts})")
     unique_event_ids(table)
-    if options.target is not None and rows < options.target and not allow_shortfall:
-        raise BuildError(f"shortfall: {rows} rows after the joins, target {options.target}")
-    return table
+    if options.target is not None and counts["rows"] < options.target and not allow_shortfall:
+        raise BuildError(f"shortfall: {counts['rows']} rows after the joins, target {options.target} ({counts})")
+    return Build(table, counts)

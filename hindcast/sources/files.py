@@ -38,13 +38,22 @@ def archive_columns(header: Sequence[str]) -> list[Column]:
     return [F.col(f"`{column}`").alias(name) for name, column in wanted.items()]
 
 
-def scan_news_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def unbalanced_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with an odd number of quotes: a field goes on in the next line."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.filter(quotes % 2 == 1)
+
+
+def scan_news_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Headline archive as text columns, plus an order that stands for file order.
 
-    Quoted headlines may span lines; such a file cannot be split, so a large
-    archive should come as many files. Pass multi_line=False for files known to
-    hold one row per line: they are split freely.
+    Files are split freely, which is right for one row per line; a file whose
+    quotes span lines is refused. multi_line=True reads such files, each in one
+    task, so a large archive should then come as many files.
     """
+    if not multi_line and not unbalanced_lines(spark, path).isEmpty():
+        raise SourceError("quoted fields go over line ends; pass multi_line=True")
     raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
     # Order: file, start of the split, place within it.
     order = F.struct(

@@ -80,7 +80,9 @@ def test_header_aliases(spark, folder):
     for header in ("Date,STOCK,Headline", " date ,stock,title", "date,Stock,Article Title"):
         path = f"{folder}/{abs(hash(header))}.csv"
         open(path, "w").write(header + '\n2020-01-01,AAPL,"two\nlines, ""quoted"""\n')
-        row = files.scan_news_csv(spark, path).first()
+        with pytest.raises(files.SourceError, match="multi_line"):
+            files.scan_news_csv(spark, path)
+        row = files.scan_news_csv(spark, path, multi_line=True).first()
         assert (row.date, row.stock, row.headline) == ("2020-01-01", "AAPL", 'two\nlines, "quoted"')
     open(f"{folder}/bad.csv", "w").write("date,headline\n1,2\n")
     with pytest.raises(files.SourceError, match="stock"):

@@ -98,12 +98,14 @@ def test_label_boundary_and_returns(spark):
     [
         ("HOLD", 0.99, 9.0, 0.05, "approve"), ("PASS", 0.99, 9.0, 0.05, "approve"),
         ("BUY", 0.45, 0.0, None, "reject"), ("BUY", 0.449999, 0.0, None, "approve"),
+        ("SELL", 0.1, 0.0, 0.05, None), ("SELL", 0.9, 9.0, 0.05, None), (None, 0.1, 0.0, None, None), ("BUY", None, 0.0, None, None),
+        ("BUY", 0.1, None, 0.05, None), ("BUY", 0.1, None, None, "approve"), ("BUY", 0.9, None, 0.05, "reject"),
         ("BUY", 0.1, 0.05, 0.05, "reject"), ("BUY", 0.1, 0.049, 0.05, "approve"), ("BUY", 0.1, 9.0, None, "approve"),
     ],
 )
 def test_policy_table(spark, action, score, vol, veto, expected):
     policy = Policy(0.45, veto is not None, veto)
-    verdict = risk.gate_policy(F.lit(action), F.lit(score), F.lit(vol), policy)
+    verdict = risk.gate_policy(F.lit(action), F.lit(score).cast("double"), F.lit(vol).cast("double"), policy)
     assert spark.range(1).select(verdict["decision"]).first()[0] == expected
 
 

@@ -142,9 +142,10 @@ def test_event_features_broadcast_and_salted_agree(spark, sessions, closes):
 
 def test_coverage(spark, closes):
     days = spark.createDataFrame([(DAYS[0],), (DAYS[0],), (date(2020, 1, 5),), (DAYS[1],), (None,)], "day date")
-    row = prices.join_coverage(days, closes, "A").first()
+    days = days.withColumn("ticker", F.lit("A"))
+    row = prices.join_coverage(days, closes).first()
     assert (row.days, row.days_with_close, row.coverage) == (3, 2, 0.6667)
-    assert prices.join_coverage(days.filter("false"), closes, "A").first().coverage is None
+    assert prices.join_coverage(days.filter("false"), closes).count() == 0
 
 
 def test_scan_closes_range(closes):

@@ -35,10 +35,12 @@ ROWS = [(f"2020-03-{d:02d}", s, f"{s} moves {d}") for d in range(2, 28) for s in
 
 def test_build(spark, market):
     options = build.BuildOptions("set", target=20)
-    table = build.build_training_events(archive(spark, ROWS), *market, options)
+    built = build.build_training_events(archive(spark, ROWS), *market, options)
+    table = built.table
+    assert built.counts == {"rows_sampled": 20, "dropped_features": 0, "dropped_label": 0, "rows": 20}
     assert table.columns == list(TRAINING_COLUMNS) and table.count() == 20
     assert {r.ticker for r in table.collect()} == {"AAPL", "META"}
-    again = build.build_training_events(archive(spark, ROWS).repartition(6), *market, options)
+    again = build.build_training_events(archive(spark, ROWS).repartition(6), *market, options).table
     assert sorted(r.event_id for r in again.collect()) == sorted(r.event_id for r in table.collect())
 
 
@@ -48,12 +50,18 @@ def test_build_fails_closed(spark, market):
     late = [("2031-03-02", "FB", "too late")]
     with pytest.raises(build.BuildError, match="fb_meta_v1"):
         build.build_training_events(archive(spark, late), *market, build.BuildOptions("set"), allow_shortfall=True)
-    with pytest.raises(build.BuildError):
+    with pytest.raises(build.EmptyResultError, match="no usable row"):
         build.build_training_events(archive(spark, []), *market, build.BuildOptions("set"), allow_shortfall=True)
+    closes, sessions = market
+    raw = closes.unionByName(spark.createDataFrame([("FB", date(2020, 3, 2), 1.0)], closes.schema))
+    with pytest.raises(ValueError, match="forbidden by rule fb_meta_v1"):
+        build.build_training_events(archive(spark, ROWS), raw, sessions, build.BuildOptions("set", target=20))
+    few = build.build_training_events(archive(spark, ROWS + late), *market, build.BuildOptions("set", target=None), allow_shortfall=True)
+    assert few.counts["dropped_label"] == 1 and few.counts["rows_sampled"] == few.counts["rows"] + 1
 
 
 def test_development_build_has_no_sentiment(spark, market):
-    table = build.build_training_events(archive(spark, ROWS), *market, build.BuildOptions("set", target=None, with_sentiment=False))
+    table = build.build_training_events(archive(spark, ROWS), *market, build.BuildOptions("set", target=None, with_sentiment=False)).table
     assert {r.finbert_sentiment for r in table.collect()} == {0.0}
 
 
@@ -106,17 +114,27 @@ def test_expectation_suite(spark):
 
 def test_decisions_report_every_event(spark):
     events = spark.createDataFrame(
-        [(f"e{i}", "AAPL", "2024-03-12 14:30:00") for i in range(5)], "event_id string, ticker string, at string"
+        [(f"e{i}", "AAPL", "2024-03-12 14:30:00") for i in range(6)], "event_id string, ticker string, at string"
     ).withColumn("published_at", F.col("at").cast("timestamp_ntz"))
     hits = spark.createDataFrame([], "event_id string, document_id string, score double, available_at timestamp_ntz")
     say = lambda **k: json.dumps({"action": "BUY", "confidence": 0.5, "rationale": "r", "event_id": "e0", "ticker": "AAPL"} | k)
     answers = spark.createDataFrame(
-        [("e0", say()), ("e1", say(action="SELL")), ("e2", say()), ("e3", say(event_id="zz", ticker="MSFT"))], "event_id string, response string"
+        [
+            ("e0", 0, say()), ("e0", 0, say()), ("e1", 0, say(action="SELL")), ("e1", 1, say(action="SELL")), ("e2", 0, "?"), ("e2", 1, say()),
+            ("e3", 0, say(event_id="zz", ticker="MSFT")), ("e3", 1, "?"), ("e5", 0, "no JSON"),
+        ],
+        "event_id string, attempt int, response string",
     )
     features = spark.createDataFrame(
         [("e0", 0.9, 0.1), ("e1", 0.9, 0.1), ("e3", 0.1, 0.1), ("e4", 0.1, 0.1)], "event_id string, score double, volatility_20d double"
     ).withColumn("feature_as_of", F.lit("2024-03-11").cast("date"))
-    rows = {r.event_id: r for r in run_decisions(events, hits, answers, features, Policy(0.45), "m", "b").collect()}
+    out = run_decisions(events, hits, answers, features, Policy(0.45), "m", "b").collect()
+    rows = {r.event_id: r for r in out}
+    assert len(out) == len(rows) == 6
+    assert {k: r.outcome for k, r in rows.items()} == {"e0": "accepted", "e1": "failed", "e2": "failed", "e3": "accepted", "e4": "failed", "e5": "redo"}
+    assert "repair is due: json" in rows["e5"].error_message
+    with pytest.raises(ValueError, match="duplicate"):
+        run_decisions(events, hits, answers, features.unionByName(features), Policy(0.45), "m", "b")
     assert (rows["e0"].decision, rows["e0"].identity_mismatch, rows["e0"].error_message) == ("reject", False, None)
     assert "action" in rows["e1"].error_message and rows["e1"].decision is None
     assert rows["e2"].error_message == "no feature row for the event"

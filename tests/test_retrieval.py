@@ -105,6 +105,24 @@ def test_vector_topk_equals_brute_force(spark, vectors, block_rows, include_self
     assert {(r.event_id, r.point_id, r.rank) for r in top.collect()} == brute(vectors, 5, include_self)
 
 
+def test_later_blocks_are_dropped_before_the_shuffle(spark, vectors):
+    events, points = vector_frames(spark, vectors)
+    left = retrieval.time_blocks(events, "published_at", "event_id", 16, "eb")
+    right = retrieval.time_blocks(points, "available_at", "point_id", 16, "pb")
+    assert left.count() == right.count() == len(vectors)
+    every, needed = (retrieval.block_pairs(left, right, as_of).count() for as_of in (False, True))
+    assert needed < 0.75 * every
+    same = points.withColumn("available_at", F.lit(T0).cast("timestamp_ntz"))
+    sizes = retrieval.time_blocks(same, "available_at", "point_id", 16, "pb").groupBy("ticker", "pb").count()
+    assert sizes.agg(F.max("count")).first()[0] < 40
+
+
+def test_vectors_without_length_are_told_apart(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [3.0, 4.0])], "id int, vector array<double>")
+    good, bad = retrieval.split_vectors(df)
+    assert [list(r.vector) for r in good.collect()] == [[0.6, 0.8]] and bad.count() == 2
+
+
 def test_overfetch_may_return_fewer(spark, vectors):
     events, points = vector_frames(spark, vectors)
     got = {(r.event_id, r.point_id, r.rank) for r in retrieval.overfetch_topk(events, points, 5, block_rows=32).collect()}
