@@ -12,6 +12,7 @@ from hindcast.functions.clocks import has_zone, utc_from_zoned
 from hindcast.functions.text import is_blank, normalize_ticker, strip
 from hindcast.functions.wire import is_json_object, json_fields, json_number, json_text, strip_fences
 from hindcast.operators.scale import computed_once
+from hindcast.session import stage
 
 
 class ContractError(ValueError):
@@ -30,7 +31,11 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def require_valid(df: DataFrame, what: str) -> DataFrame:
-    """Strict load: fail on any invalid row, naming how many and why."""
+    """Strict load: fail on any invalid row, naming how many and why.
+
+    The rows are staged, so they are parsed once for the check and for the caller.
+    """
+    df = stage(df, what)
     _, invalid = split_valid(df)
     bad = invalid.agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.flatten(F.collect_set("errors"))).alias("reasons")

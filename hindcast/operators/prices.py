@@ -118,6 +118,8 @@ def join_event_features(
             small(at_label, rows, max_rows), ["ticker", "label_idx"], "left"
         )
     else:
+        # Counted twice and joined twice: computed once.
+        events = stage(events, "events")
         one, _ = skew_join(events, at_feature, ["ticker", "feature_idx"], "left", F.col(id_col))
         both, _ = skew_join(one.drop("_salt"), at_label, ["ticker", "label_idx"], "left", F.col(id_col))
         both = both.drop("_salt")

@@ -10,6 +10,7 @@ from hindcast.functions.text import is_blank
 from hindcast.functions.wire import is_json_object
 from hindcast.operators.scale import computed_once
 from hindcast.sources.files import SourceError
+from hindcast.session import stage
 
 _TEXTS = (
     "case_id", "check", "expect", "model", "action", "rationale", "event_id", "headline", "ticker", "source",
@@ -68,7 +69,7 @@ def duplicate_cases(cases: DataFrame) -> DataFrame:
 
 def scan_expectations(spark: SparkSession, path: str) -> DataFrame:
     """Cases of one or more JSON-lines files; any malformed case fails the load."""
-    cases = parse_expectations(spark.read.text(path))
+    cases = stage(parse_expectations(spark.read.text(path)), "cases")
     bad = cases.filter(F.size("errors") > 0).select("case_id", "errors").first()
     if bad is not None:
         raise SourceError(f"case {bad.case_id!r}: {bad.errors}")

@@ -13,6 +13,7 @@ from hindcast.operators import sessions as calendars
 from hindcast.plans import training_events as build
 from hindcast.plans.expectation_suite import expectation_suite, suite_counts
 from hindcast.plans.run_decisions import run_decisions
+from hindcast.sinks.points import newest
 from hindcast.sources.expectations import parse_expectations
 
 SF = "/root/testdata/sf0.001"
@@ -155,6 +156,14 @@ def test_no_product_joins_and_no_row_at_a_time_python(spark, name):
         assert word not in plan, f"{name}: {word}"
 
 
+def test_first_and_newest_rows_are_not_sort_aggregated(spark):
+    point_rows = "point_id string, document_id string, text string, ticker string, available_at timestamp_ntz, source string, vector array<double>"
+    stored = spark.createDataFrame([], point_rows + ", written_ns long, partition int, offset long, row_id long")
+    for df in (queries.REGISTRY["dedup_first"](spark, SF), newest(stored)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+
+
 def test_scans_read_only_needed_columns(spark):
     plan = views.news_events(spark, SF).select("event_id", "published_at")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
