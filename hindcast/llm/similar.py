@@ -22,7 +22,8 @@ of failing is under 1e-18 a document.)
 
 Groups. Documents with equal sets are one node, so groups of copies never grow.
 Documents that name the same block are candidates. First every node is compared
-with the smallest node it meets; verified links make components. Then only
+with the smallest nodes it meets, which most of a group have in common; verified
+links make components. Then only
 candidates of different components are compared. So all candidate pairs are
 either compared or in one component already, and no task holds or emits a
 group's pairs. In each task a named block is passed on once, whatever the number
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import GOLDEN, hash_strings, mix64, owners, signed, slices, table, text_array, unused, word_codes
+from hindcast.llm.common import GOLDEN, hash_strings, in_arrow, mix64, owners, signed, slices, table, text_array, unused, word_codes
 from hindcast.llm.components import components
 from hindcast.operators.scale import small
 from hindcast.session import stage
@@ -52,9 +53,11 @@ WIDTH = 5
 SKETCH_BITS = 512
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 COUNT_BITS = 20
-SMALL_BAND = 5
+#: Bits of a block's number: what is added to a band's own number, by the first band that it holds for; smaller sets have SMALL_BITS.
+BLOCK_BITS = {5: 2, 7: 1, 9: 0}
 SMALL_BITS = 40
-FLUSH_ROWS = 2_000_000
+KEY_BITS = 48
+FLUSH_ROWS = 700_000
 TEXT_FILTER_BITS = 24
 
 
@@ -126,7 +129,7 @@ def describe(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.nda
         yield pa.RecordBatch.from_arrays([empty, pa.array(heavy), *[empty] * (1 + len(SKETCH)), pa.array(times[heavy])], names=names)
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    both = stage(narrow.mapInArrow(run, schema), "sets")
+    both = stage(narrow.transform(in_arrow, run, schema), "sets")
     counts = both.filter(F.col("times").isNotNull()).groupBy("node").agg(F.sum("times").alias("times")).toPandas()
     level = np.zeros(buckets, np.uint8)
     level[counts["node"].to_numpy(np.int64)] = np.log2(counts["times"].to_numpy(float)).astype(np.uint8)
@@ -151,7 +154,8 @@ def named_blocks(ends: np.ndarray, values: np.ndarray, level: np.ndarray) -> tup
         for b in np.unique(home[takes]):
             mine = takes & (home == b)
             rows = np.flatnonzero(mine[of])
-            bits = int(b) + 2 if b >= SMALL_BAND else SMALL_BITS
+            added = [more for first, more in BLOCK_BITS.items() if b >= first]
+            bits = int(b) + added[-1] if added else SMALL_BITS
             block = values[rows] >> np.uint64(64 - bits)
             text = of[rows]
             new = np.ones(len(rows), bool)
@@ -185,26 +189,62 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, nodes, begins
 
 
+def _pack(part: int, met: bool, keys: np.ndarray, nodes: np.ndarray) -> tuple:
+    """One row for many (key, node) of a task: sorted keys as differences, nodes by their place in a list."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    base = int(steps[0])
+    steps[0] = 0
+    narrow = bool((steps < 1 << 32).all())
+    distinct, place = np.unique(nodes, return_inverse=True)
+    kind = np.uint16 if len(distinct) < 1 << 16 else np.uint32
+    return part, met, base, narrow, steps.astype(np.uint32 if narrow else np.uint64).tobytes(), distinct.tobytes(), place.reshape(-1).astype(kind).tobytes()
+
+
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.frombuffer(row["steps"], np.uint32 if row["narrow"] else np.uint64)
+    distinct = np.frombuffer(row["nodes"], np.uint64)
+    place = np.frombuffer(row["places"], np.uint16 if len(distinct) < 1 << 16 else np.uint32)
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(row["base"]), distinct[place]
+
+
 def shared_blocks(docs: DataFrame, text: str, level: np.ndarray) -> DataFrame:
     """(key, node) for each key that two nodes or more name.
 
-    The lowest bit of a key in the shuffle tells rows that need no partner any
-    more (their key was shared in the task already) from a key's one row of a
-    task.
+    A task packs what it sends to a partition into a few rows. A key that several
+    of its nodes share is met already: its rows need no partner any more and are
+    dealt anywhere (`met`), and one row of it goes to the key's own partition.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(level)
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(level)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ["part", "met", "base", "narrow", "steps", "nodes", "places"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         seen: set[int] = set()
         keys, nodes, waiting = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            k, v, begins = _stars(np.concatenate(keys), np.concatenate(nodes))
+            k, v, begins = _stars(np.concatenate(keys) >> np.uint64(64 - KEY_BITS), np.concatenate(nodes))
             alone = begins.copy()
             alone[:-1] &= begins[1:]
-            k = (k >> np.uint64(1)) << np.uint64(1)
-            out_k = np.concatenate((k[begins], k[~alone] | np.uint64(1)))
-            return pa.RecordBatch.from_arrays([pa.array(signed(out_k)), pa.array(signed(np.concatenate((v[begins], v[~alone]))))], names=["key", "node"])
+            rows = []
+            own_k, own_v = k[begins], v[begins]
+            # Keys are hashes, so equal ranges of them are equal shares.
+            edges = [(p << KEY_BITS) // partitions for p in range(1, partitions)]
+            cuts = np.searchsorted(own_k, np.array(edges, np.uint64))
+            for p, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(own_k)], strict=True)):
+                if b > a:
+                    rows.append(_pack(p, False, own_k[a:b], own_v[a:b]))
+            met_k, met_v = k[~alone], v[~alone]
+            for at in range(0, len(met_k), 100_000):
+                part = (task + at // 100_000) % partitions
+                rows.append(_pack(part, True, met_k[at : at + 100_000], met_v[at : at + 100_000]))
+            return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema(
+                [("part", pa.int32()), ("met", pa.bool_()), ("base", pa.int64()), ("narrow", pa.bool_())] + [(c, pa.binary()) for c in names[4:]]
+            ))
 
         for batch in slices(batches, text):
             ends, values = shingle_sets(text_array(batch.column(text)))
@@ -225,28 +265,28 @@ def shared_blocks(docs: DataFrame, text: str, level: np.ndarray) -> DataFrame:
             if waiting > FLUSH_ROWS:
                 yield flush()
                 keys, nodes, waiting = [], [], 0
-        if keys:
+        if waiting:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = [], []
+        out = ["key", "node"]
         for batch in batches:
-            k = batch.column("key").to_numpy().view(np.uint64)
-            met = (k & np.uint64(1)) == 1
-            if met.any():
-                yield pa.RecordBatch.from_arrays([pa.array(signed(k[met] & ~np.uint64(1))), batch.column("node").filter(pa.array(met))], names=["key", "node"])
-            keys.append(k[~met])
-            nodes.append(batch.column("node").to_numpy().view(np.uint64)[~met])
+            for row in batch.to_pylist():
+                k, v = _unpack(row)
+                if row["met"]:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(signed(v))], names=out)
+                else:
+                    keys.append(k)
+                    nodes.append(v)
         if keys:
             k, v, begins = _stars(np.concatenate(keys), np.concatenate(nodes))
             alone = begins.copy()
             alone[:-1] &= begins[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(k[~alone])), pa.array(signed(v[~alone]))], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(k[~alone])), pa.array(signed(v[~alone]))], names=out)
 
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.select(text).mapInArrow(name, "key long, node long")
-    dealt = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.xxhash64("key", "node")).otherwise(F.xxhash64("key"))
-    return stage(named.repartition(partitions, dealt).mapInArrow(meet, "key long, node long"), "blocks")
+    packed = docs.select(text).transform(in_arrow, name, "part int, met boolean, base long, narrow boolean, steps binary, nodes binary, places binary")
+    return stage(packed.repartitionById(partitions, "part").transform(in_arrow, meet, "key long, node long"), "blocks")
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -275,7 +315,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     a = texts.select(F.col("node").alias("u"), F.col("text").alias("_a"))
     b = texts.select(F.col("node").alias("v"), F.col("text").alias("_b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "_a", "_b").mapInArrow(run, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "_a", "_b").transform(in_arrow, run, "u long, v long")
+
+
+def compared(docs: DataFrame, text: str, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The linked ones of the pairs (u, v): first by sizes and bit sketches, then by their texts."""
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    known = rows.filter("n > 0").join(ends, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", *SKETCH)
+    u, v = known.alias("a"), known.alias("b")
+    likely = pairs.join(u, F.col("u") == F.col("a.node")).join(v, F.col("v") == F.col("b.node")).filter(_may_link("a", "b")).select("u", "v")
+    likely = stage(likely, "likely")
+    nodes = likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))).distinct()
+    return stage(verified(likely, texts_of(docs, text, stage(nodes, "nodes"))), "verified")
 
 
 def texts_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
@@ -305,7 +356,7 @@ def texts_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
                     rows.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(signed(ids[rows])), texts.take(pa.array(rows, pa.int64()))], names=["node", "text"])
 
-    found = docs.select(text).mapInArrow(run, "node long, text string")
+    found = docs.select(text).transform(in_arrow, run, "node long, text string")
     # Equal sets may have different texts; any of them will do.
     return stage(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
 
@@ -317,27 +368,26 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     """
     rows, level = describe(docs, text, doc_id)
     blocks = shared_blocks(docs, text, level)
-    known = stage(rows.filter("n > 0").groupBy("node", "n", *SKETCH).agg(F.lit(1).alias("_")).drop("_").join(blocks.select("node").distinct(), "node", "left_semi"), "nodes")
-    # Every node with the smallest node of all blocks that it names.
+    # Every node with the smallest nodes of the blocks that it names.
     least = blocks.groupBy("key").agg(F.min("node").alias("v"))
     first = blocks.join(least, "key").groupBy(F.col("node").alias("u")).agg(F.min("v").alias("v")).filter("u <> v")
-    u, v = known.alias("a"), known.alias("b")
-    first = first.join(u, F.col("u") == F.col("a.node")).join(v, F.col("v") == F.col("b.node")).filter(_may_link("a", "b")).select("u", "v")
     first = stage(first, "pairs")
-    texts = texts_of(docs, text, known.select("node"))
-    found = stage(verified(first, texts), "verified")
+    found = compared(docs, text, rows, first)
     label = stage(components(found), "components")
-    # Candidates that are in different components still.
+    # Candidates that are in different components still; rows stay narrow until pairs are distinct.
+    sizes = rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
     tagged = blocks.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = tagged.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("key")
-    open_rows = stage(tagged.join(mixed, "key", "left_semi").join(known, "node"), "open")
+    open_rows = stage(tagged.join(mixed, "key", "left_semi").join(sizes, "node"), "open")
     x, y = open_rows.alias("a"), open_rows.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _may_link("a", "b")
+    sized = (4 * F.col("a.n") >= 3 * F.col("b.n")) & (4 * F.col("b.n") >= 3 * F.col("a.n"))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & sized
     more = x.join(y, apart).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
     more = stage(more.join(first, ["u", "v"], "left_anti"), "pairs")
-    also = stage(verified(more, texts), "verified")
-    if not also.isEmpty():
-        label = stage(components(found.unionByName(also)), "components")
+    if not more.isEmpty():
+        also = compared(docs, text, rows, more)
+        if not also.isEmpty():
+            label = stage(components(found.unionByName(also)), "components")
     return rows.select("doc_id", "node", "n"), label
 
 
