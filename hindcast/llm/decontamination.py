@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import GOLDEN, hash_strings, mix64, n_words, slices, table, text_array, words
+from hindcast.llm.common import GOLDEN, hash_strings, in_arrow, mix64, n_words, slices, table, text_array, words
 from hindcast.session import stage
 
 MASKS = ("11101011", "110111011", "10110111", "1110010100111")
@@ -195,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
                 columns = [ids, pa.array(sent.value.items[got["item"]].astype(np.int64)), *[pa.array(got[c].astype(np.int64)) for c in FOUND[1:]]]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-        out = out.unionByName(narrow.mapInArrow(run, schema))
+        out = out.unionByName(narrow.transform(in_arrow, run, schema))
     return out
 
 
@@ -212,7 +212,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_ov
                 clean[got["text"]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(in_arrow, run, docs.schema)
     return docs
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import held_out, slices, table, text_array, with_columns
+from hindcast.llm.common import held_out, in_arrow, slices, table, text_array, with_columns
 from hindcast.session import stage
 
 ORDER = 3
@@ -93,7 +93,7 @@ def count_contexts(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
         yield from flush()
 
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang)
-    return known.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return known.transform(in_arrow, run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -240,7 +240,7 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
                 best, score, bits = np.where(told, winner, best), np.where(told, share, 0.0), np.where(told, least, 0.0)
             yield with_columns(batch, lang_pred=pa.array(names[best], pa.string()), score=score, bits=bits)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_arrow, run, schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import slices, table, unused
+from hindcast.llm.common import in_arrow, slices, table, unused
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form"
@@ -367,7 +367,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text", model: Fiel
             arrays = [batch.column(f.name) for f in rest] + [pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return pages.mapInArrow(run, schema)
+    return pages.transform(in_arrow, run, schema)
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import owners, per_text, raw, slices, table, text_array, unused, with_columns, word_codes
+from hindcast.llm.common import in_arrow, owners, per_text, raw, slices, table, text_array, unused, with_columns, word_codes
 
 MAX_ROWS = 20_000
 MAX_RULES = 12
@@ -138,7 +138,7 @@ def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFr
             counts = text_counts(text_array(batch.column(text)))
             yield with_columns(batch, **{prefix + c: counts[c] for c in COUNTS})
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_arrow, run, schema)
 
 
 @dataclass(frozen=True)

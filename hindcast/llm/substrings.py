@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import mix64, raw, signed, slices, table, text_array
+from hindcast.llm.common import in_arrow, mix64, raw, signed, slices, table, text_array
 from hindcast.session import stage
 
 LENGTH = 200
@@ -187,8 +187,8 @@ def equal_runs(texts: DataFrame, length: int, seed: int) -> DataFrame:
 
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.xxhash64("_row", "place")).otherwise(F.xxhash64("whole"))
-    sent = texts.mapInArrow(send, "key long, whole long, _row long, place long").repartition(partitions, dealt)
-    return stage(sent.mapInArrow(meet, "key long, _row long, place long"), "runs")
+    sent = texts.transform(in_arrow, send, "key long, whole long, _row long, place long").repartition(partitions, dealt)
+    return stage(sent.transform(in_arrow, meet, "key long, _row long, place long"), "runs")
 
 
 def _bit_table(keys: DataFrame, bits: int) -> np.ndarray:
@@ -381,8 +381,8 @@ def partial_spans(texts: DataFrame, runs: DataFrame, length: int, seed: int, hot
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "key long, _row long, place long, before long, n long, bytes binary"
-    dealt = texts.mapInArrow(send, schema).repartition(partitions, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "_row long, start long, end long")
+    dealt = texts.transform(in_arrow, send, schema).repartition(partitions, "key").sortWithinPartitions("key")
+    return dealt.transform(in_arrow, compare, "_row long, start long, end long")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -439,7 +439,7 @@ def remove_repeats(
             )
 
     joined = numbered.join(spans, "_row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>")
+    return joined.transform(in_arrow, run, "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>")
 
 
 def digest(removed: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ rows give no files and an empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import slices, table, text_array, word_codes
+from hindcast.llm.common import in_arrow, slices, table, text_array, word_codes
 from hindcast.session import new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -46,7 +47,7 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
 KNOWN_WORDS = 400_000
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 300_000
 
 LEVEL = "struct<chunks: binary, more: binary, ranks: binary, n: long>"
 SCHEMA = f"part int, segment int, n_tokens long, n_docs long, doc_id array<long>, doc_tokens array<int>, levels array<{LEVEL}>"
@@ -86,25 +87,28 @@ class WordEncoder:
         # Byte-level vocabularies show the other bytes as the characters from 256 on.
         self.shown = {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(keep))}
         self.special = "<|"
-        self.by_piece: dict[str, tuple[int, ...]] = {}
-        self.by_word: dict[str, np.ndarray] = {}
+        # Ids as little-endian 32-bit numbers: a few dozen bytes a word.
+        self.by_piece: dict[str, bytes] = {}
+        self.by_word: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         got = self.by_piece.get(piece)
         if got is None:
             if len(self.by_piece) >= KNOWN_PIECES:
                 self.by_piece.clear()
-            got = tuple(t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown)))
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+            got = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
             self.by_piece[piece] = got
         return got
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         if self.pieces is None or self.special in word or not self.plain.fullmatch(word):
-            return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         low = word.lower()
         if low.isalpha():
             return self._piece(low)
-        return tuple(i for piece in self.pieces.findall(low) for i in self._piece(piece))
+        return b"".join(map(self._piece, self.pieces.findall(low)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each has (without end ids)."""
@@ -117,8 +121,8 @@ class WordEncoder:
                     known.clear()
                 got = known[w] = self.word(w)
             lists.append(got)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), "<u4")
         first = np.cumsum(sizes) - sizes
         n = sizes[codes]
         stops = np.cumsum(n)
@@ -231,7 +235,7 @@ def write_tokens(
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
     ordered = narrow.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    ordered.mapInArrow(run, SCHEMA).write.parquet(path)
+    ordered.transform(in_arrow, run, SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -261,7 +265,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     [batch.column("doc_id")[k].values, pa.array(stops - n), pa.array(n), pa.array(crc, pa.int64()), *same], names=out.fieldNames()
                 )
 
-    local = segments.select("part", "segment", "doc_id", "doc_tokens", "levels").mapInArrow(run, out)
+    local = segments.select("part", "segment", "doc_id", "doc_tokens", "levels").transform(in_arrow, run, out)
     return local.join(starts, ["part", "segment"]).select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import held_out, owners, slices, table, text_array, with_columns, words
+from hindcast.llm.common import held_out, in_arrow, owners, slices, table, text_array, with_columns, words
 from hindcast.session import stage
 
 MAX_ROWS = 20_000
@@ -173,7 +173,7 @@ def learn(
                 [pa.array(names, pa.string()), pa.array(bad), pa.array(np.bincount(what, minlength=len(names)) - bad)], names=["f", "bad", "good"]
             )
 
-    by_feature = rows.mapInArrow(counts, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    by_feature = rows.transform(in_arrow, counts, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (n_good - F.col("good") + 0.5))
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     chosen = by_feature.filter(F.col("bad") + F.col("good") >= MIN_TEXTS).withColumn("z", odds / spread).filter(F.abs("z") >= MIN_Z)
@@ -200,7 +200,7 @@ def learn(
             )
 
     # At most max_rows rows, each with chosen features only.
-    got = rows.mapInArrow(present, "y int, features array<long>, swaps array<string>").toPandas()
+    got = rows.transform(in_arrow, present, "y int, features array<long>, swaps array<string>").toPandas()
     label_of = got["y"].to_numpy(float)
     n = np.array([len(x) for x in got["features"]], np.int64)
     feature = np.concatenate([np.asarray(x, np.int64) for x in got["features"]]) if n.sum() else np.zeros(0, np.int64)
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             got = sent.value.scores(text_array(batch.column(text)))
             yield with_columns(batch, score=got, predicted=pa.array((got >= threshold).astype(np.int32)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_arrow, run, schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
