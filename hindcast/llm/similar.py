@@ -57,6 +57,8 @@ COUNT_BITS = 20
 BLOCK_BITS = {5: 2, 7: 1, 9: 0}
 SMALL_BITS = 40
 KEY_BITS = 48
+#: How many of the smallest nodes that it meets a node is compared with at first; what that leaves open is compared in full.
+HUBS = 6
 FLUSH_ROWS = 700_000
 TEXT_FILTER_BITS = 24
 
@@ -370,8 +372,9 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     blocks = shared_blocks(docs, text, level)
     # Every node with the smallest nodes of the blocks that it names.
     least = blocks.groupBy("key").agg(F.min("node").alias("v"))
-    first = blocks.join(least, "key").groupBy(F.col("node").alias("u")).agg(F.min("v").alias("v")).filter("u <> v")
-    first = stage(first, "pairs")
+    # A set of hubs is as long as a node's list of blocks at most.
+    hubs = blocks.join(least, "key").filter("node <> v").groupBy(F.col("node").alias("u")).agg(F.collect_set("v").alias("_hubs"))
+    first = stage(hubs.select("u", F.explode(F.slice(F.array_sort("_hubs"), 1, HUBS)).alias("v")), "pairs")
     found = compared(docs, text, rows, first)
     label = stage(components(found), "components")
     # Candidates that are in different components still; rows stay narrow until pairs are distinct.
