@@ -111,7 +111,8 @@ def test_later_blocks_are_dropped_before_the_shuffle(spark, vectors):
     right = retrieval.time_blocks(points, "available_at", "point_id", 16, "pb")
     assert left.count() == right.count() == len(vectors)
     every, needed = (retrieval.block_pairs(left, right, as_of).count() for as_of in (False, True))
-    assert needed < 0.75 * every
+    # An event sees points of the hour after its own; blocks later than that are left out.
+    assert needed < 0.9 * every
     same = points.withColumn("available_at", F.lit(T0).cast("timestamp_ntz"))
     sizes = retrieval.time_blocks(same, "available_at", "point_id", 16, "pb").groupBy("ticker", "pb").count()
     assert sizes.agg(F.max("count")).first()[0] < 40
