@@ -21,8 +21,10 @@ are a run. That gives three steps, each dealt by a hash:
 
 A seed with more than HOT_RUNS different runs (a passage in very many texts) is
 split: each of its runs is cut into blocks of strings, and a block goes by the
-hash of the bytes that all its strings share. Runs that are alike in a task are
-sent once. A table of bits of fixed size tells in the second reading which
+hash of the bytes that all its strings share. Where these are in more than HOT_RUNS
+blocks too (at the edges of the passage), each string goes by itself, by two hashes
+of all its bytes: equal ones of a task are compared there by bytes and one of them
+goes on. Runs that are alike in a task are sent once. A table of bits of fixed size tells in the second reading which
 seeds are meant; a wrong hit only adds a run to sort.
 
 Nulls and edges: null texts are empty; texts shorter than LENGTH keep all their
@@ -40,6 +42,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,8 @@ SEED_BITS = 27
 HOT_BITS = 22
 HOT_RUNS = 8192
 BLOCK = 16
+SEEN_STRINGS = 100_000
+TO_SORT = "key long, _row long, place long, before long, n long, bytes binary"
 PLACE = np.uint64((1 << 24) - 1)
 BASES = (0x9E6C63D0676A9A99, 0xD1342543DE82EF95)
 
@@ -286,12 +291,8 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, le
     return found
 
 
-def partial_spans(texts: DataFrame, runs: DataFrame, length: int, seed: int, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(_row, start, end) of spans covered by repeated strings of runs that aren't equal as a whole."""
-    spark = texts.sparkSession
-    times = runs.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    times = stage(times, "seeds")
-    sent = spark.sparkContext.broadcast((_bit_table(times, SEED_BITS), _bit_table(times.filter(F.col("n") > hot_runs), HOT_BITS)))
+def _cut_runs(texts: DataFrame, sent: Broadcast, length: int, seed: int, blocks: bool) -> DataFrame:
+    """(key, _row, place, before, n, bytes) of runs whose seed is meant: whole ones of other than hot seeds, or the blocks of those of hot seeds."""
     names = ["key", "_row", "place", "before", "n", "bytes"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +300,7 @@ def partial_spans(texts: DataFrame, runs: DataFrame, length: int, seed: int, hot
         seen: set[tuple[int, int]] = set()
         for data, valid, rows, places in pieces(batches, length):
             runs = Runs(data, valid, length, seed)
-            own = np.flatnonzero(_in_table(meant, runs.seed)) if len(runs.first) else np.zeros(0, np.int64)
+            own = np.flatnonzero(_in_table(meant, runs.seed) & (_in_table(hot, runs.seed) == blocks)) if len(runs.first) else np.zeros(0, np.int64)
             if not len(own):
                 continue
             key, first, last, anchor = runs.seed[own], runs.first[own], runs.last[own], runs.anchor[own]
@@ -313,25 +314,134 @@ def partial_spans(texts: DataFrame, runs: DataFrame, length: int, seed: int, hot
             if len(seen) > FLUSH_RUNS:
                 seen.clear()
             key, first, last, anchor = key[new], first[new], last[new], anchor[new]
-            split = _in_table(hot, key)
-            parts = [(key[~split], first[~split], last[~split], anchor[~split])]
-            if split.any():
-                key, first, last, anchor = (x[split] for x in (key, first, last, anchor))
+            if blocks:
                 # Blocks of starts by their distance to the anchor, from that of `last` to that of `first`.
                 near, far = (anchor - last) // BLOCK, (anchor - first) // BLOCK
                 n = far - near + 1
                 stops = np.cumsum(n)
-                block = np.arange(int(stops[-1])) - np.repeat(stops - n, n) + np.repeat(near, n)
+                block = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - n, n) + np.repeat(near, n)
                 key, first, last, anchor = (np.repeat(x, n) for x in (key, first, last, anchor))
                 core = runs.prefixes.part(anchor - BLOCK * block, length - BLOCK + 1)
                 key = mix64(core ^ mix64(key + block.astype(np.uint64))) & ~np.uint64(1)
-                parts.append((key, np.maximum(first, anchor - BLOCK * block - BLOCK + 1), np.minimum(last, anchor - BLOCK * block), anchor))
-            key, first, last, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+                first, last = np.maximum(first, anchor - BLOCK * block - BLOCK + 1), np.minimum(last, anchor - BLOCK * block)
             view = data.tobytes()
             content = [view[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
             columns = [pa.array(signed(key))] + [pa.array(x) for x in (rows[first], places[first], anchor - first, last - first + 1)] + [pa.array(content, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    return texts.transform(in_arrow, send, TO_SORT)
+
+
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy().view(np.uint64)
+
+
+def _strings(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bytes, starts, key, row, place) of each string of the blocks in the table; the key comes from two hashes of the string."""
+    for batch in slices(batches, "bytes", SORT_BYTES):
+        own = _in_table(crowded, _unsigned(batch.column("key")))
+        if not own.any():
+            continue
+        row, place, n = (batch.column(c).to_numpy()[own] for c in ("_row", "place", "n"))
+        data, ends = raw(batch.column("bytes").filter(pa.array(own)))
+        stops = np.cumsum(n)
+        inside = np.arange(int(stops[-1])) - np.repeat(stops - n, n)
+        starts = np.repeat(ends[:-1], n) + inside
+        one, two = (Prefixes(data, base).part(starts, length) for base in BASES)
+        yield data, starts, mix64(one ^ mix64(two)) & ~np.uint64(1), np.repeat(row, n), np.repeat(place, n) + inside
+
+
+def _single_strings(blocks: DataFrame, crowded: np.ndarray, length: int) -> DataFrame:
+    """Written table of the strings of crowded blocks that stand there twice.
+
+    Strings that are equal in a task (by their bytes) are repeats: spans with a
+    null key tell their places. One of them goes on to be compared with those of
+    other tasks, so that no key has more rows than tasks have filled tables.
+    """
+    spark = blocks.sparkSession
+    sent = spark.sparkContext.broadcast(crowded)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, key, _, _ in _strings(batches, sent.value, length):
+            keys, times = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(times.astype(np.int64))], names=["key", "n"])
+
+    twice = blocks.transform(in_arrow, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    repeated = spark.sparkContext.broadcast(_bit_table(twice, SEED_BITS))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By its bytes the place of a string that went on, or None once that is known to be repeated.
+        seen: dict[bytes, tuple[int, int] | None] = {}
+        for data, starts, key, row, place in _strings(batches, sent.value, length):
+            meant = _in_table(repeated.value, key)
+            if not meant.any():
+                continue
+            starts, key, row, place = (x[meant] for x in (starts, key, row, place))
+            strings = np.lib.stride_tricks.sliding_window_view(data, length)
+            _, first, which = np.unique(key, return_index=True, return_inverse=True)
+            which = which.reshape(-1)
+            same = np.concatenate([(strings[starts[k : k + 20_000]] == strings[starts[first[which[k : k + 20_000]]]]).all(1) for k in range(0, len(key), 20_000)])
+            done = same & (np.bincount(which, same)[which] > 1)
+            asks, late = [], []
+            for k in np.concatenate((first, np.flatnonzero(~same))).tolist():
+                string = data[starts[k] : starts[k] + length].tobytes()
+                if string not in seen:
+                    seen[string] = None if done[k] else (int(row[k]), int(place[k]))
+                    asks.append(k)
+                    continue
+                done[k] = True
+                if seen[string] is not None:
+                    late.append(seen[string])
+                    seen[string] = None
+            if len(seen) > SEEN_STRINGS:
+                seen.clear()
+            # Neighbours are told as one span.
+            at = np.flatnonzero(done)
+            new = np.ones(len(at), bool)
+            new[1:] = (row[at][1:] != row[at][:-1]) | (place[at][1:] != place[at][:-1] + 1)
+            n = np.diff(np.append(np.flatnonzero(new), len(at)))
+            late_row, late_place = np.array(late, np.int64).reshape(-1, 2).T
+            rows, places = np.concatenate((row[at[new]], late_row)), np.concatenate((place[at[new]], late_place))
+            n = np.concatenate((n, np.ones(len(late), np.int64)))
+            nothing = [pa.nulls(len(n), pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*nothing, pa.array(rows), pa.array(places), *nothing, pa.array(n), pa.nulls(len(n), pa.binary())], names=["key", "_row", "place", "before", "n", "bytes"]
+            )
+            zeros = np.zeros(len(asks), np.int64)
+            content = pa.array([data[a : a + length].tobytes() for a in starts[asks].tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(key[asks])), pa.array(row[asks]), pa.array(place[asks]), pa.array(zeros), pa.array(zeros + 1), content],
+                names=["key", "_row", "place", "before", "n", "bytes"],
+            )
+
+    return stage(blocks.transform(in_arrow, merge, TO_SORT), "strings")
+
+
+def partial_spans(texts: DataFrame, runs: DataFrame, length: int, seed: int, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """(_row, start, end) of spans covered by repeated strings of runs that aren't equal as a whole."""
+    spark = texts.sparkSession
+    times = runs.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    times = stage(times, "seeds")
+    hot = _bit_table(times.filter(F.col("n") > hot_runs), HOT_BITS)
+    sent = spark.sparkContext.broadcast((_bit_table(times, SEED_BITS), hot))
+    names = ["key", "_row", "place", "before", "n", "bytes"]
+    to_sort, done = _cut_runs(texts, sent, length, seed, False), None
+    if hot.any():
+        blocks = stage(_cut_runs(texts, sent, length, seed, True), "blocks")
+        crowded = _bit_table(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_runs), HOT_BITS)
+        if crowded.any():
+            strings = _single_strings(blocks, crowded, length)
+            end = F.col("place") + F.col("n") - 1 + length
+            done = strings.filter(F.col("key").isNull()).select("_row", F.col("place").alias("start"), end.alias("end"))
+            dense = spark.sparkContext.broadcast(crowded)
+
+            def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield batch.filter(pa.array(~_in_table(dense.value, _unsigned(batch.column("key")))))
+
+            blocks = blocks.transform(in_arrow, others, TO_SORT).unionByName(strings.filter(F.col("key").isNotNull()))
+        to_sort = to_sort.unionByName(blocks)
+
     def settle(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(tables).combine_chunks()
         key, row, place, before, n = (whole.column(c).to_numpy() for c in names[:5])
@@ -380,9 +490,9 @@ def partial_spans(texts: DataFrame, runs: DataFrame, length: int, seed: int, hot
             yield from settle(waiting)
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "key long, _row long, place long, before long, n long, bytes binary"
-    dealt = texts.transform(in_arrow, send, schema).repartition(partitions, "key").sortWithinPartitions("key")
-    return dealt.transform(in_arrow, compare, "_row long, start long, end long")
+    dealt = to_sort.repartition(partitions, "key").sortWithinPartitions("key")
+    found = dealt.transform(in_arrow, compare, "_row long, start long, end long")
+    return found if done is None else found.unionByName(done)
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, seed: int = SEED, hot_runs: int = HOT_RUNS) -> DataFrame:

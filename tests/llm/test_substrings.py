@@ -63,6 +63,22 @@ def test_default_length_and_parts_of_long_texts(spark, tmp_path, monkeypatch):
     assert sorted(starts) == list(range(len(long) - 199))
 
 
+def test_no_key_holds_the_edge_of_a_passage_in_very_many_texts(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = make(150)
+    rows = [make(rng.randint(20, 60)) + passage + make(rng.randint(20, 60)) for _ in range(90)] + [None, passage[20:90], make(30)]
+    dealt = []
+    frame = type(spark.range(0))
+    sort = frame.sortWithinPartitions
+    monkeypatch.setattr(frame, "sortWithinPartitions", lambda self, *a: dealt.append(self) or sort(self, *a))
+    got = answer(spark, rows, tmp_path, length=24, seed=8, hot_runs=8)
+    assert got == brute(rows, 24)
+    assert dealt[0].groupBy("key").count().agg({"count": "max"}).first()[0] <= 8
+    monkeypatch.setattr(substrings, "SEEN_STRINGS", 5)
+    assert answer(spark, rows, tmp_path / "again", length=24, seed=8, hot_runs=8) == got
+
+
 def test_suffix_sort_and_extension():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 3, 3000).astype(np.uint8)
