@@ -7,7 +7,8 @@ hit the document and the item are compared word by word on that alignment: the
 best stretch counts an equal word as 1 and a substitution as -`penalty`. A
 document is contaminated by an item if the stretch has `min_overlap` equal words,
 or all words of a shorter item. Items with fewer words than a mask covers are
-searched whole.
+searched whole. The masks miss no such stretch of MIN_OVERLAP equal words; a
+smaller `min_overlap` or `penalty` needs other masks.
 
 Words are compared in small letters and without marks at their ends; words of
 marks only are passed over. The benchmark side is cut into blocks of at most
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 from hindcast.llm.common import GOLDEN, hash_strings, in_arrow, mix64, n_words, slices, table, text_array, words
 from hindcast.session import stage
 
-MASKS = ("11101011", "110111011", "10110111", "1110010100111")
+#: One of them hits every stretch of MIN_OVERLAP equal words that gains from both ends on at PENALTY or more (proved in the tests).
+MASKS = ("1110111", "11101101", "10110111", "1111000101", "1110100011")
 MIN_OVERLAP = 10
 PENALTY = 2
 BLOCK_WORDS = 2_000_000

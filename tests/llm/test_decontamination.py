@@ -1,10 +1,11 @@
+import itertools
 import random
 
 import pyarrow as pa
 from corpus import edited, sentence, vocabulary
 
 from hindcast.llm import decontamination
-from hindcast.llm.decontamination import contaminated, find, Index, keep_clean, MASKS
+from hindcast.llm.decontamination import contaminated, find, Index, keep_clean, MASKS, MIN_OVERLAP, PENALTY
 
 
 def tables(spark):
@@ -75,6 +76,60 @@ def test_stretches_against_brute_force():
         assert best == same - 4 * (span - same)
 
 
+def missed(masks, need=MIN_OVERLAP, penalty=PENALTY):
+    """The shortest pattern of at least `need` equal words that gains from both ends on and is hit by no mask, or None.
+
+    A least such pattern (none shorter within it) is two parts of under `need` equal words with only smaller ones
+    between, so its gain stays under 2 * need; that bounds the states: last words, gain, highest gain, equal words.
+    """
+    full = (1 << max(map(len, masks))) - 1
+    codes = [int(m, 2) for m in masks]
+    states = {(0, 0, 0, 0): ""}
+    waiting = list(states)
+    for state in waiting:
+        last, gain, high, equal = state
+        for bit in (1, 0):
+            now = gain + 1 if bit else gain - penalty
+            recent = (last << 1 | bit) & full
+            if 0 < now < 2 * need and not any(recent & m == m for m in codes):
+                new = (recent, now, max(high, now), min(need, equal + bit))
+                if bit and now > high and equal + bit >= need:
+                    return states[state] + "1"
+                if new not in states:
+                    states[new] = states[state] + str(bit)
+                    waiting.append(new)
+    return None
+
+
+def equal_words(same, penalty=PENALTY):
+    """Equal words of the best stretch: the first to end, and then the shortest."""
+    ends = [(sum(1 if x else -penalty for x in same[a:b]), -b, a) for a, b in itertools.combinations(range(len(same) + 1), 2)]
+    _, b, a = max(ends)
+    return sum(same[a:-b])
+
+
+def test_masks_miss_no_stretch():
+    assert missed(("11101011", "110111011", "10110111", "1110010100111")) == "111110011111"
+    assert missed(MASKS) is None
+
+
+def test_find_against_brute_force_on_patterns():
+    patterns = ["".join(p) for n in range(10, 14) for p in itertools.product("01", repeat=n) if p.count("1") == 10]
+    patterns += [("1" * run + "00") * 4 + "1" * last for run in (3, 4, 5, 6, 7) for last in (0, run)]
+    rng = random.Random(6)
+    patterns += ["".join("0" if rng.random() < rate else "1" for _ in range(15)) for rate in (0.1, 0.15, 0.2) for _ in range(1000)]
+    wanted, items, texts = set(), [], []
+    for k, pattern in enumerate(patterns):
+        same = [c == "1" for c in pattern]
+        items.append(" ".join(f"i{k}w{j}" for j in range(len(same))))
+        texts.append("before " + " ".join(f"i{k}w{j}" if x else f"x{k}w{j}" for j, x in enumerate(same)) + " after")
+        if equal_words(same) >= 10:
+            wanted.add((k, k))
+    index = Index.of(pa.array(range(len(items))).to_numpy(), pa.array(items), MASKS)
+    got = find(pa.array(texts), index)
+    assert set(zip(got["text"].tolist(), got["item"].tolist(), strict=True)) == wanted
+
+
 def test_empty(spark):
     docs, items, _ = tables(spark)
     assert contaminated(docs.limit(0), items).count() == 0
