@@ -14,8 +14,10 @@ languages play no part in the features, so that layouts are all it learns.
 
 Nulls and edges: null or empty html gives an empty text; a page without
 article blocks too; unclosed elements, truncated pages and stray end tags are
-read as far as they go. Script, style and other unseen elements give no blocks
-(that is markup, not judgement). `<br>` is white space inside a block.
+read as far as they go. Head, script, style, template, iframe and svg give no
+text (no reader sees it as such). Formulas and what stands in for scripts, objects
+and media are text like that of other inline elements; the field judges it.
+`<br>` is white space inside a block.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td"
     " textarea tfoot th thead tr ul".split()
 )
-UNSEEN = frozenset("head script style noscript template title iframe svg canvas object audio video math".split())
+UNSEEN = frozenset("head script style template title iframe svg".split())
 PARTS = frozenset("nav header footer aside form article main section figure table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that ends an open element of the second kind (up to the nearest element of the third kind).

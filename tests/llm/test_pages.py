@@ -25,6 +25,15 @@ def test_blocks():
     assert [b.text for b in leaf_blocks("</div></p>x</td><li>y<li>z")] == ["x", "y", "z"]
 
 
+def test_formulas_and_fallbacks_are_text():
+    page = "<head><noscript>n</noscript><title>t</title></head><body><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then stop.</p>"
+    assert [b.text for b in leaf_blocks(page)] == ["If x=2 then stop."]
+    for tag in ("noscript", "object", "video", "audio", "canvas"):
+        assert [b.text for b in leaf_blocks(f"<p>a <{tag}>b</{tag}> c</p>")] == ["a b c"]
+    for tag in ("script", "style", "template", "iframe", "svg"):
+        assert [b.text for b in leaf_blocks(f"<p>a <{tag}>b</{tag}> c</p>")] == ["a c"]
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "clash"), (2, None, None, ""), (3, "u", "", ""), (4, "u", "<nav><a href=x>y</a></nav>", ""), (1, "u", PAGE, "clash")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
