@@ -89,4 +89,40 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(r.y), d.do
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-ORACLE = {"op1_mixing_sources": OP1, "op2_jaccard_join": OP2, "op5_chat_formatting": OP5}
+OP11 = """
+WITH RECURSIVE base AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+least AS (SELECT text, min(doc_id) AS least FROM base GROUP BY text),
+marks AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+rows AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(ws) < 200)::INT + 2 * (100 * list_unique(ws) < 50 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(base.text, '[^A-Z]', '', 'g')) > 2 * length(base.text))::INT
+         + 8 * regexp_matches(base.text, '[#$%&*|]')::INT + 16 * coalesce(base.doc_id > least, false)::INT AS mask
+  FROM base JOIN least ON least.text = base.text LEFT JOIN marks ON marks.doc_id = base.doc_id),
+cells AS (SELECT part, mask, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM rows GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+walk AS (
+  SELECT letter AS filter_order, letter, bit, 0 AS applied, 1 AS step FROM f
+  UNION ALL
+  SELECT filter_order || f.letter, f.letter, f.bit, applied | walk.bit, step + 1
+  FROM walk JOIN f ON NOT contains(filter_order, f.letter)),
+counted AS (
+  SELECT part, filter_order, any_value(letter) AS letter, any_value(step) AS step,
+         coalesce(sum(docs) FILTER (mask & (applied | bit) = 0), 0) AS kept,
+         coalesce(sum(docs) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS removed,
+         coalesce(sum(docs) FILTER (mask & applied <> 0 AND mask & bit <> 0), 0) AS redundant,
+         coalesce(sum(docs) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM cells, walk GROUP BY part, filter_order),
+steps AS (SELECT filter_order AS whole, unnest(range(1, 6)) AS k FROM walk WHERE step = 5)
+SELECT part, whole AS filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM steps JOIN counted ON counted.filter_order = whole[1:k]
+"""
+
+ORACLE = {"op1_mixing_sources": OP1, "op2_jaccard_join": OP2, "op5_chat_formatting": OP5, "op11_filter_audit": OP11}

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hindcast.llm.chat import op5_chat_formatting
+from hindcast.llm.codes import op12_vector_codes
 from hindcast.llm.decontamination import op6_benchmark_decontamination
+from hindcast.llm.interaction import op11_filter_audit
 from hindcast.llm.language import op8_language_id
+from hindcast.llm.merges import op13_byte_bpe
 from hindcast.llm.mixing import op1_mixing_sources
 from hindcast.llm.oracle import ORACLE
 from hindcast.llm.pages import op9_html_extraction
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_files": op10_token_files,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
