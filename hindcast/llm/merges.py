@@ -4,19 +4,21 @@ Pieces (matches of the split pattern) become linked lists of tokens. Every
 adjacent pair that some token spells stands, by its left position, in the bucket
 of that token's rank; a bitmap over the ranks with a bitmap over its words, and
 so on up to a single word, gives the lowest rank with a bucket by one
-find-first-set a level. A bucket is worked through from left to right: an entry
-whose pair is no longer of this rank is stale and skipped, any other one is merged
-and its two new pairs enter their buckets. If one of these has a lower rank, the
-rest of the bucket goes back and the lower rank comes first, so the order is that
-of always merging the leftmost pair of the lowest rank. The work is a constant
-number of steps for each byte and merge, whatever the length of a piece.
-
-Pieces that a worker has not met yet share one queue: lists of different pieces
+find-first-set a level. A bucket is taken as a whole, from left to right: an entry
+whose pair is no longer of this rank is stale and skipped, the others are merged
+(of overlapping ones every other) and their new pairs enter their buckets. Where a
+merge of a piece uncovers a pair of lower rank, the rest of the piece's entries goes
+back and the lower rank comes first, so the order is that of always merging
+the leftmost pair of the lowest rank. The work follows the bytes and merges,
+whatever the length of a piece.
+
+Pieces that a task has not met yet share one queue: lists of different pieces
 have no pair in common, so each is merged as if alone. A piece that is a token
-is that token. Known pieces are kept in bounded number.
+is that token. Known pieces are kept in bounded number and given up with the task.
 
-Texts are encoded where they stand, nothing is shuffled; a long text is split into
-blocks of pieces, so memory follows a block and the longest single piece. A null
+Texts are encoded where they stand, nothing is shuffled; texts wait as numbers of their
+pieces, and a long text is split in blocks, so memory follows the bounds below and
+the longest single piece. A null
 text is empty: no ids, and the hashes of no bytes. Rows that repeat are encoded
 alike; a null id is kept; empty tables give no rows.
 """
@@ -26,7 +28,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -41,7 +43,9 @@ from hindcast.llm.common import in_arrow, slices, table, text_array
 RANKS = "byte_bpe_50k.tiktoken"
 KNOWN_PIECES = 200_000
 BLOCK_PIECES = 200_000
-MERGE_BYTES = 1_000_000
+MERGE_BYTES = 4_000_000
+FRESH_PIECES = 150_000
+WAITING_PIECES = 4_000_000
 WORD_BITS = 64
 
 
@@ -61,7 +65,7 @@ class RankQueue:
     """Buckets of positions by rank, and bitmaps that find the lowest rank in use."""
 
     def __init__(self, n_ranks: int):
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
         self.levels: list[list[int]] = []
         n = n_ranks
         while True:
@@ -70,9 +74,13 @@ class RankQueue:
             if n == 1:
                 break
 
-    def put(self, rank: int, positions: list[int]) -> None:
-        """A new bucket; the rank has none."""
-        self.buckets[rank] = positions
+    def put(self, rank: int, positions: np.ndarray) -> None:
+        """More positions of a rank."""
+        bucket = self.buckets.get(rank)
+        if bucket is not None:
+            bucket.append(positions)
+            return
+        self.buckets[rank] = [positions]
         for words in self.levels:
             at = rank // WORD_BITS
             had = words[at]
@@ -81,6 +89,17 @@ class RankQueue:
                 return
             rank = at
 
+    def put_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Every position into the bucket of its rank."""
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        bounds = [0, *cuts.tolist(), len(ranks)]
+        for rank, a, b in zip(ranks[bounds[:-1]].tolist(), bounds[:-1], bounds[1:], strict=True):
+            self.put(rank, positions[a:b])
+
     def lowest(self) -> int:
         """The lowest rank with a bucket, -1 if there is none."""
         if not self.levels[-1][0]:
@@ -91,17 +110,17 @@ class RankQueue:
             at = at * WORD_BITS + (word & -word).bit_length() - 1
         return at
 
-    def take(self, rank: int) -> list[int]:
-        """The rank's positions from left to right; it has no bucket afterwards."""
-        positions = self.buckets.pop(rank)
+    def take(self, rank: int) -> np.ndarray:
+        """The rank's positions from left to right, each once; it has no bucket afterwards."""
+        parts = self.buckets.pop(rank)
         for words in self.levels:
             at = rank // WORD_BITS
             words[at] &= ~(1 << rank % WORD_BITS)
             if words[at]:
                 break
             rank = at
-        positions.sort()
-        return positions
+        found = np.sort(np.concatenate(parts) if len(parts) > 1 else parts[0])
+        return found[np.append(True, found[1:] != found[:-1])]
 
 
 class Merger:
@@ -115,121 +134,187 @@ class Merger:
         self.base = max(self.spelt) + 1
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # Every way to put a token together from two.
-        self.pairs: dict[int, int] = {}
+        pairs = {}
         for t, i in ranks.items():
             for k in range(1, len(t)):
                 a, b = ranks.get(t[:k]), ranks.get(t[k:])
                 if a is not None and b is not None:
-                    self.pairs[a * self.base + b] = i
-        self.of_bytes = np.full((256, 256), -1, np.int64)
-        for t, i in ranks.items():
-            if len(t) == 2:
-                self.of_bytes[t[0], t[1]] = i
-        self.known: dict[str, bytes] = {}
+                    pairs[a * self.base + b] = i
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        # Tokens that can uncover a pair of lower rank than their own.
+        self.uncovers = np.zeros(self.base, bool)
+        for side in (self.keys // self.base, self.keys % self.base):
+            self.uncovers[side[self.merged < side]] = True
+        self.codes, self.spans = _Codes(), _Spans(np.uint32)
+        self.token_bytes = _Spans(np.uint8)
+        spelt = [self.spelt.get(i, b"") for i in range(self.base)]
+        self.token_bytes.add(np.fromiter(map(len, spelt), np.int64, self.base), np.frombuffer(b"".join(spelt), np.uint8))
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that two tokens spell, -1 if there is none."""
+        if not len(self.keys):
+            return np.full(len(left), -1, np.int64)
+        key = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], -1)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian 32-bit numbers. No piece is empty."""
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(data)
-        stops = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        starts = np.concatenate(([0], stops[:-1]))
-        first = np.full(n, -1, np.int64)
-        first[:-1] = self.of_bytes[data[:-1], data[1:]]
-        first[stops - 1] = -1
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        stops = np.cumsum(sizes)
+        starts = stops - sizes
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        token = self.bytes[data]
         following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         following[stops - 1], before[starts] = -1, -1
+        rank_at = np.full(n, -1, np.int64)
+        if n > 1:
+            rank_at[:-1] = self.rank_of(token[:-1], token[1:])
+        rank_at[stops - 1] = -1
         queue = RankQueue(self.base)
-        order = np.argsort(first, kind="stable")
-        order = order[np.searchsorted(first[order], 0) :]
-        for positions in np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else ():
-            queue.put(int(first[positions[0]]), positions.tolist())
-        token, rank_at, following, before = self.bytes[data].tolist(), first.tolist(), following.tolist(), before.tolist()
-        pairs, base, buckets = self.pairs, self.base, queue.buckets
+        paired = np.flatnonzero(rank_at >= 0)
+        queue.put_all(rank_at[paired], paired)
         while (rank := queue.lowest()) >= 0:
-            positions = queue.take(rank)
-            for k, p in enumerate(positions):
-                if rank_at[p] != rank:
-                    continue  # stale
-                gone = following[p]
-                token[p], token[gone], rank_at[gone], rank_at[p] = rank, -1, -1, -1
-                after, left, lower = following[gone], before[p], False
-                following[p] = after
-                if after >= 0:
-                    before[after] = p
-                    key = rank * base + token[after]
-                    if key in pairs:
-                        new = rank_at[p] = pairs[key]
-                        lower = new < rank
-                        if new in buckets:
-                            buckets[new].append(p)
-                        else:
-                            queue.put(new, [p])
-                if left >= 0:
-                    key = token[left] * base + rank
-                    if key in pairs:
-                        new = rank_at[left] = pairs[key]
-                        lower = lower or new < rank
-                        if new in buckets:
-                            buckets[new].append(left)
-                        else:
-                            queue.put(new, [left])
-                    else:
-                        rank_at[left] = -1
-                if lower:
-                    if k + 1 < len(positions):
-                        queue.put(rank, positions[k + 1 :])
-                    break
-        ids = np.array(token, np.int64)
-        live = ids >= 0
+            p = queue.take(rank)
+            p = p[rank_at[p] == rank]  # the others are stale
+            if not len(p):
+                continue
+            listed = p
+            if len(p) > 1:
+                # Of pairs that overlap, every other one from the left.
+                chained = np.append(False, following[p[:-1]] == p[1:])
+                if chained.any():
+                    at = np.arange(len(p))
+                    p = p[(at - np.maximum.accumulate(np.where(chained, 0, at))) % 2 == 0]
+            gone = following[p]
+            after = following[gone]
+            if self.uncovers[rank]:
+                p, gone, after = self._upto_lower(rank, listed, p, gone, after, token, before, piece, queue)
+            token[p], token[gone], rank_at[gone] = rank, -1, -1
+            following[p] = after
+            on = after >= 0
+            before[after[on]] = p[on]
+            rank_at[p] = -1
+            right, right_after = p[on], after[on]
+            left = before[p]
+            left = left[left >= 0]
+            at = np.concatenate((right, left))
+            new = self.rank_of(token[at], np.concatenate((token[right_after], token[following[left]])))
+            rank_at[at] = new
+            some = new >= 0
+            queue.put_all(new[some], at[some])
+        live = token >= 0
         upto = np.concatenate(([0], np.cumsum(live)))[np.concatenate(([0], stops))].tolist()
-        whole = ids[live].astype("<u4").tobytes()
+        whole = token[live].astype("<u4").tobytes()
         return [whole[4 * a : 4 * b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode pieces that are not known yet."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        names, waiting, size = [], [], 0
-        for piece in set(pieces).difference(self.known):
-            raw = piece.encode()
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                self.known[piece] = struct.pack("<I", rank)
-                continue
-            names.append(piece)
-            waiting.append(raw)
-            size += len(raw)
-            if size >= MERGE_BYTES:
-                self.known.update(zip(names, self.merge(waiting), strict=True))
-                names, waiting, size = [], [], 0
-        if waiting:
-            self.known.update(zip(names, self.merge(waiting), strict=True))
-
-    def blocks(self, texts: list[str], limit: int = BLOCK_PIECES) -> Iterator[list[tuple[int, list[str]]]]:
-        """The pieces of all texts, as lists of (text, pieces) of about `limit` pieces; a long text goes over several."""
-        held, size = [], 0
-        for k, text in enumerate(texts):
-            # A piece has a character at least.
-            parts = [self.pattern.findall(text)] if len(text) <= limit else _cut((m.group() for m in self.pattern.finditer(text)), limit)
-            for pieces in parts:
-                held.append((k, pieces))
-                size += len(pieces)
-                if size >= limit:
-                    yield held
-                    held, size = [], 0
-        if held:
-            yield held
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
-        """(text, ids) in order; a long text comes in several portions."""
-        for block in self.blocks(texts):
-            self.learn(piece for _, pieces in block for piece in pieces)
-            get = self.known.__getitem__
-            for k, pieces in block:
-                yield k, b"".join(map(get, pieces))
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.spelt.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def _upto_lower(self, rank, listed, p, gone, after, token, before, piece, queue) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The merges up to the first in each piece that uncovers a lower rank; the rest go back into the bucket."""
+        # One after the other: the left neighbour may be merged already, the right one isn't yet.
+        right = np.where(after >= 0, self.rank_of(np.full(len(p), rank), token[after]), -1)
+        left = before[p]
+        merged_left = np.append(False, gone[:-1] == left[1:])
+        left_token = np.where(merged_left, rank, token[left])
+        left = np.where(left >= 0, self.rank_of(left_token, np.full(len(p), rank)), -1)
+        lower = ((right >= 0) & (right < rank)) | ((left >= 0) & (left < rank))
+        if not lower.any():
+            return p, gone, after
+        # Merges of the piece before this one that uncover something.
+        own = piece[p]
+        seen = np.cumsum(lower) - lower
+        first = np.append(True, own[1:] != own[:-1])
+        ready = seen == np.maximum.accumulate(np.where(first, seen, 0))
+        if not ready.all():
+            # All entries of such a piece: one that overlaps a merge which waits may still be due.
+            queue.put(rank, listed[np.isin(piece[listed], own[~ready])])
+        return p[ready], gone[ready], after[ready]
+
+    def settle(self) -> None:
+        """Merge the pieces that have a code and no ids yet."""
+        names = self.codes.fresh
+        if not names:
+            return
+        ids: list[bytes] = []
+        unknown = []
+        for k, piece in enumerate(names):
+            rank = self.ranks.get(piece)
+            ids.append(struct.pack("<I", rank) if rank is not None else b"")
+            if rank is None:
+                unknown.append(k)
+        start = 0
+        while start < len(unknown):
+            stop, size = start, 0
+            while stop < len(unknown) and (stop == start or size + len(names[unknown[stop]]) <= MERGE_BYTES):
+                size += len(names[unknown[stop]])
+                stop += 1
+            for k, found in zip(unknown[start:stop], self.merge([names[k] for k in unknown[start:stop]]), strict=True):
+                ids[k] = found
+            start = stop
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.spans.add(sizes, np.frombuffer(b"".join(ids), "<u4"))
+        self.codes.fresh, self.codes.fresh_bytes = [], 0
+
+    def forget(self) -> None:
+        """Start anew where more pieces are known than are to be kept."""
+        if len(self.codes) > self.limit:
+            self.codes, self.spans = _Codes(), _Spans(np.uint32)
+
+    def pieces(self, text: str) -> Iterator[np.ndarray]:
+        """The codes of the text's pieces; a long text comes in portions."""
+        # A piece has a character at least.
+        short = len(text) <= BLOCK_PIECES
+        for part in [self.pattern.findall(text)] if short else _cut((m.group() for m in self.pattern.finditer(text)), BLOCK_PIECES):
+            yield np.fromiter(map(self.codes.__getitem__, part), np.int32, len(part))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        codes = [list(self.pieces(t)) for t in texts]
+        self.settle()
+        got = [[self.spans.of(c)[0] for c in portions] for portions in codes]
+        self.forget()
+        return [np.concatenate(g) if g else np.zeros(0, np.uint32) for g in got]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and how many each has."""
+        return self.token_bytes.of(ids)
+
+
+class _Codes(dict):
+    """Numbers pieces as they are met."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+        self.fresh_bytes = 0
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = len(self)
+        raw = piece.encode()
+        self.fresh.append(raw)
+        self.fresh_bytes += len(raw)
+        return code
+
+
+class _Spans:
+    """Lists of numbers by code, one behind the other."""
+
+    def __init__(self, kind):
+        self.flat = np.zeros(0, kind)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of all codes joined, and the size of each."""
+        n = self.size[codes]
+        stops = np.cumsum(n)
+        total = int(stops[-1]) if len(stops) else 0
+        return self.flat[np.arange(total) + np.repeat(self.first[codes] - stops + n, n)], n
 
 
 def _cut(items: Iterator[str], size: int) -> Iterator[list[str]]:
@@ -252,24 +337,53 @@ def encode_decode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     fields += [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())] if with_ids else []
     out = T.StructType(fields)
 
+    def digests(own: Merger, ids: pa.Array, held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        n, by_ids, by_bytes, whole = [], [], [], []
+        for portions in held:
+            count, a, b = 0, hashlib.sha256(), hashlib.sha256()
+            kept: tuple[list[bytes], list[bytes]] = ([], [])
+            for codes in portions:
+                found, _ = own.spans.of(codes)
+                raw, decoded = found.astype("<u4", copy=False).tobytes(), own.decode(found)[0].tobytes()
+                count += len(found)
+                a.update(raw)
+                b.update(decoded)
+                if with_ids:
+                    kept[0].append(raw)
+                    kept[1].append(decoded)
+            n.append(count)
+            by_ids.append(a.hexdigest())
+            by_bytes.append(b.hexdigest())
+            whole.append(kept)
+        columns = [ids, pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_bytes, pa.string())]
+        columns += [pa.array([b"".join(x[i]) for x in whole], pa.binary()) for i in (0, 1)] if with_ids else []
+        return pa.RecordBatch.from_arrays(columns, names=out.fieldNames())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(file, split)
-        for batch in slices(batches, "text"):
-            texts = text_array(batch.column("text")).to_pylist()
-            n = [0] * len(texts)
-            hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in texts]
-            kept: list[tuple[list[bytes], list[bytes]]] = [([], []) for _ in texts]
-            for k, ids in own.encode(texts):
-                decoded = own.decode(ids)
-                n[k] += len(ids) // 4
-                hashes[k][0].update(ids)
-                hashes[k][1].update(decoded)
-                if with_ids:
-                    kept[k][0].append(ids)
-                    kept[k][1].append(decoded)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array([h[i].hexdigest() for h in hashes], pa.string()) for i in (0, 1)]]
-            columns += [pa.array([b"".join(x[i]) for x in kept], pa.binary()) for i in (0, 1)] if with_ids else []
-            yield pa.RecordBatch.from_arrays(columns, names=out.fieldNames())
+        # Texts wait as codes of their pieces until enough new pieces are there for one queue.
+        waiting, size = [], 0
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            own.settle()
+            for ids, held in waiting:
+                yield digests(own, ids, held)
+            waiting.clear()
+            own.forget()
+
+        try:
+            for batch in slices(batches, "text"):
+                held = [list(own.pieces(text)) for text in text_array(batch.column("text")).to_pylist()]
+                waiting.append((batch.column("doc_id").take(pa.array(np.arange(batch.num_rows))), held))
+                size += sum(len(c) for portions in held for c in portions)
+                if len(own.codes.fresh) >= FRESH_PIECES or own.codes.fresh_bytes >= MERGE_BYTES or size >= WAITING_PIECES:
+                    yield from ready()
+                    size = 0
+            yield from ready()
+        finally:
+            own.limit, limit = 0, own.limit
+            own.forget()
+            own.limit = limit
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(in_arrow, run, out)
 

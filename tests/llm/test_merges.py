@@ -5,6 +5,7 @@ import sys
 import numpy as np
 import pytest
 
+from hindcast.llm import merges
 from hindcast.llm.merges import Merger, RankQueue, default_pattern, default_ranks, encode_decode, merger
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -26,7 +27,7 @@ def known(own):
 
 
 def ids(own, text):
-    return np.frombuffer(b"".join(x for _, x in own.encode([text])), "<u4").tolist()
+    return own.encode([text])[0].tolist()
 
 
 def samples(seed, n):
@@ -36,19 +37,18 @@ def samples(seed, n):
 
 def test_ids_are_those_of_the_library(own, known, monkeypatch):
     for text in [t or "" for t in TEXTS] + samples(1, 400):
-        own.known.clear()
-        assert ids(own, text) == known.encode_ordinary(text)
-        assert own.decode(b"".join(x for _, x in own.encode([text]))).decode() == text
+        got = own.encode([text])[0]
+        assert got.tolist() == known.encode_ordinary(text)
+        assert own.decode(got)[0].tobytes().decode() == text
     # Many texts at once, in small blocks and with a small memory.
-    monkeypatch.setattr(own, "limit", 10)
     texts = samples(2, 50)
-    for limit in (1, 30, 10**6):
-        got = [b""] * len(texts)
-        for block in own.blocks(texts, limit):
-            own.learn(p for _, pieces in block for p in pieces)
-            for k, pieces in block:
-                got[k] += b"".join(own.known[p] for p in pieces)
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [known.encode_ordinary(t) for t in texts]
+    want = [known.encode_ordinary(t) for t in texts]
+    for block, merge, limit in ((10**6, 10**6, 10**6), (30, 10, 10), (1, 1, 0)):
+        monkeypatch.setattr(merges, "BLOCK_PIECES", block)
+        monkeypatch.setattr(merges, "MERGE_BYTES", merge)
+        monkeypatch.setattr(own, "limit", limit)
+        assert [g.tolist() for g in own.encode(texts)] == want
+        assert len(own.codes) <= limit
 
 
 def test_split_of_every_character(own, known):
@@ -88,14 +88,18 @@ def test_queue():
         for _ in range(300):
             rank = rng.randrange(n)
             if rank not in model:
-                model[rank] = [rng.randrange(9) for _ in range(3)]
-                queue.put(rank, list(model[rank]))
+                model[rank] = sorted(rng.sample(range(9), 3))
+                queue.put(rank, np.array(model[rank]))
             if rng.random() < 0.4:
                 low = min(model)
-                assert queue.lowest() == low and queue.take(low) == sorted(model.pop(low))
+                assert queue.lowest() == low and queue.take(low).tolist() == model.pop(low)
         while model:
-            assert queue.take(queue.lowest()) == sorted(model.pop(min(model)))
+            assert queue.take(queue.lowest()).tolist() == model.pop(min(model))
         assert queue.lowest() == -1
+    queue.put_all(np.array([7, 3, 7, 3]), np.array([5, 1, 2, 1]))
+    queue.put(7, np.array([2, 9]))
+    assert queue.lowest() == 3 and queue.take(3).tolist() == [1]
+    assert queue.take(7).tolist() == [2, 5, 9]
 
 
 def test_documents(spark, known):
@@ -113,14 +117,12 @@ def test_documents(spark, known):
     assert {r["decoded"].decode() for r in full} == {TEXTS[4], "repeat"}
 
 
-def test_long_text_in_blocks(own, known):
+def test_long_text_in_portions(own, known, monkeypatch):
     text = " ".join(samples(9, 40)) * 3
-    got = [b""]
-    for block in own.blocks([text], 50):
-        assert sum(len(p) for _, p in block) <= 50
-        own.learn(p for _, pieces in block for p in pieces)
-        got += [own.known[p] for _, pieces in block for p in pieces]
-    assert np.frombuffer(b"".join(got), "<u4").tolist() == known.encode_ordinary(text)
+    monkeypatch.setattr(merges, "BLOCK_PIECES", 50)
+    portions = list(own.pieces(text))
+    assert len(portions) > 5 and max(map(len, portions)) <= 50
+    assert ids(own, text) == known.encode_ordinary(text)
 
 
 def test_empty(spark):
