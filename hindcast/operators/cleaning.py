@@ -11,6 +11,7 @@ from hindcast.fixed_values import ALIASES_OFF, ARCHIVE_ALIASES, UNIVERSE
 from hindcast.functions.clocks import parse_calendar_date
 from hindcast.functions.text import is_blank, normalize_headline, normalize_ticker
 from hindcast.operators.scale import first_rows
+from hindcast.session import stage
 
 AliasRules = Sequence[tuple[str, str, str]]
 
@@ -121,10 +122,14 @@ def clean_archive(
     apply: bool = True,
     order: str = "row_order",
 ) -> DataFrame:
-    """missing -> aliases -> universe -> dates -> first of each duplicate."""
+    """missing -> aliases -> universe -> dates -> first of each duplicate.
+
+    Staged before the duplicates: they are found and then fetched, and rows must
+    not be read, normalised and hashed for each.
+    """
     named = apply_aliases(filter_missing(archive), rules, apply)
     dated = normalise_rows(filter_universe(named, universe)[0]).filter(F.col("calendar_date").isNotNull())
-    return dedup_first(dated, DEDUP_KEYS, order)
+    return dedup_first(stage(dated, "dated"), DEDUP_KEYS, order)
 
 
 def ingest_funnel(

@@ -13,10 +13,7 @@ from hindcast.functions.text import is_blank
 from hindcast.functions.wire import is_json_object, json_fields, json_text
 from hindcast.operators.contracts import check_news_event, check_retrieval_hit, require_valid, with_errors
 from hindcast.operators.scale import computed_once
-
-
-class SourceError(ValueError):
-    """An input does not have the required shape."""
+from hindcast.sources.archive import SourceError, scan_quoted_csv
 
 
 HEADLINE_NAMES = ("headline", "title", "article title")
@@ -38,30 +35,14 @@ def archive_columns(header: Sequence[str]) -> list[Column]:
     return [F.col(f"`{column}`").alias(name) for name, column in wanted.items()]
 
 
-def unbalanced_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with an odd number of quotes: a field goes on in the next line."""
-    lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return lines.filter(quotes % 2 == 1)
-
+def scan_news_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Headline archive as text columns, plus the byte offset of each row as `row_order`.
 
-def scan_news_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Headline archive as text columns, plus an order that stands for file order.
-
-    Files are split freely, which is right for one row per line; a file whose
-    quotes span lines is refused. multi_line=True reads such files, each in one
-    task, so a large archive should then come as many files.
+    Files are split freely, whether or not quoted fields go over line ends (see `archive`).
     """
-    if not multi_line and not unbalanced_lines(spark, path).isEmpty():
-        raise SourceError("quoted fields go over line ends; pass multi_line=True")
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
-    # Order: file, start of the split, place within it.
-    order = F.struct(
-        F.input_file_name().alias("file"),
-        F.expr("input_file_block_start()").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-    )
-    return raw.select(*archive_columns(raw.columns), order.alias("row_order"))
+    rows, header = scan_quoted_csv(spark, path)
+    named = rows.select("row_order", *[F.col(f"c{k}").alias(name) for k, name in enumerate(header)])
+    return named.select(*archive_columns(header), "row_order")
 
 
 def parse_events_jsonl(lines: DataFrame, universe: Sequence[str] = UNIVERSE) -> DataFrame:

@@ -80,9 +80,7 @@ def test_header_aliases(spark, folder):
     for header in ("Date,STOCK,Headline", " date ,stock,title", "date,Stock,Article Title"):
         path = f"{folder}/{abs(hash(header))}.csv"
         open(path, "w").write(header + '\n2020-01-01,AAPL,"two\nlines, ""quoted"""\n')
-        with pytest.raises(files.SourceError, match="multi_line"):
-            files.scan_news_csv(spark, path)
-        row = files.scan_news_csv(spark, path, multi_line=True).first()
+        row = files.scan_news_csv(spark, path).first()
         assert (row.date, row.stock, row.headline) == ("2020-01-01", "AAPL", 'two\nlines, "quoted"')
     open(f"{folder}/bad.csv", "w").write("date,headline\n1,2\n")
     with pytest.raises(files.SourceError, match="stock"):
@@ -92,9 +90,8 @@ def test_header_aliases(spark, folder):
 def test_csv_order_is_file_order(spark, folder):
     lines = [f"2020-01-{1 + i % 28:02d},AAPL,h{i}" for i in range(500)]
     open(f"{folder}/a.csv", "w").write("date,stock,headline\n" + "\n".join(lines))
-    for multi_line in (True, False):
-        rows = files.scan_news_csv(spark, f"{folder}/a.csv", multi_line).orderBy("row_order").collect()
-        assert [r.headline for r in rows] == [f"h{i}" for i in range(500)]
+    rows = files.scan_news_csv(spark, f"{folder}/a.csv").orderBy("row_order").collect()
+    assert [r.headline for r in rows] == [f"h{i}" for i in range(500)]
 
 
 @pytest.fixture
