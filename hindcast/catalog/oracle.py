@@ -723,13 +723,71 @@ scored AS (SELECT event_id, label, 1 / (1 + exp(-2 * CASE WHEN x <= cut THEN ly
 ORACLE["fit_gate_model"] = f"WITH {STUMP} SELECT event_id, label AS label_high_risk, round(score, 6) AS score FROM scored"
 ORACLE["score_gate"] = f"WITH {STUMP} SELECT event_id, round(score, 6) AS score, score >= 0.5 AS high FROM scored"
 GRID_POINTS = len(GRID_DEPTH) * len(GRID_STEP) * len(GRID_ROUNDS)
-ORACLE["hpo_time_grid"] = f"""WITH {TRAINING}, t AS (SELECT count(*) AS n FROM featured WHERE {COMPLETE})
+ORACLE["hpo_tree_grid"] = f"""WITH {TRAINING}, t AS (SELECT count(*) AS n FROM featured WHERE {COMPLETE})
 SELECT CAST(f + 1 AS INTEGER) AS fold, {GRID_POINTS} AS losses, true AS means_hold, true AS by_rule FROM t, range({TIME_FOLDS}) r(f) WHERE n > 0"""
-ORACLE["train_gate"] = f"""WITH {TRAINING}, ranked AS (
+ORACLE["train_gate_trees"] = f"""WITH {TRAINING}, ranked AS (
   SELECT label_high_risk AS label, row_number() OVER (ORDER BY published_at, event_id) AS r, count(*) OVER () AS n FROM featured WHERE {COMPLETE})
 SELECT CASE WHEN r <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives
 FROM ranked GROUP BY 1"""
 
+def second_order(n_cuts: list[int], depth: int, step: float, rounds: int, src: str, tag: str) -> str:
+    """Boosting stated level by level. `src`: k (which fit), train, label, w and bins b0, b1, ...; {tag}t: margins m after t trees."""
+    bins = ", ".join(f"b{i}" for i in range(len(n_cuts)))
+    pairs = ", ".join(f"{{'f': {i}, 'b': b{i}}}" for i in range(len(n_cuts)))
+    parts = [f"{tag}0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS m FROM {src})"]
+    for t in range(rounds):
+        p, n = "1 / (1 + exp(-m))", f"{tag}{t}n"
+        parts.append(f"{n}0 AS MATERIALIZED (SELECT *, w * ({p} - label) AS g, w * ({p}) * (1 - {p}) AS h, 1 AS node FROM {tag}{t})")
+        for d in range(depth):
+            parts += [
+                f"{n}{d}h AS (SELECT k, node, u.f AS f, u.b AS b, sum(g) AS g, sum(h) AS h FROM (SELECT k, node, g, h, unnest([{pairs}]) AS u FROM {n}{d} WHERE train) GROUP BY ALL)",
+                f"{n}{d}c AS (SELECT *, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER a AS gt, sum(h) OVER a AS ht FROM {n}{d}h WINDOW u AS (PARTITION BY k, node, f ORDER BY b), a AS (PARTITION BY k, node, f))",
+                f"{n}{d}g AS (SELECT *, round(gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1), 9) AS gain FROM {n}{d}c WHERE b < {n_cuts}[f + 1] AND hl >= 1 AND ht - hl >= 1)",
+                f"{n}{d}s AS MATERIALIZED (SELECT k, node, f, b FROM {n}{d}g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY k, node ORDER BY gain DESC, f, b) = 1)",
+                f"{n}{d + 1} AS MATERIALIZED (SELECT x.* REPLACE (CASE WHEN s.f IS NULL THEN x.node WHEN [{bins}][s.f + 1] <= s.b THEN 2 * x.node ELSE 2 * x.node + 1 END AS node) FROM {n}{d} x LEFT JOIN {n}{d}s s ON s.k = x.k AND s.node = x.node)".replace(f"[{bins}]", "[" + ", ".join(f"x.b{i}" for i in range(len(n_cuts))) + "]"),
+            ]
+        parts.append(f"{n}w AS MATERIALIZED (SELECT k, node, -sum(g) / (sum(h) + 1) AS leaf FROM {n}{depth} WHERE train GROUP BY ALL)")
+        parts.append(f"{tag}{t + 1} AS MATERIALIZED (SELECT x.* EXCLUDE (g, h, node) REPLACE (x.m + {step} * leaf AS m) FROM {n}{depth} x JOIN {n}w l ON l.k = x.k AND l.node = x.node)")
+    return ", ".join(parts)
+
+
+def _bin(value: str, cuts: tuple) -> str:
+    return f"len(list_filter({list(cuts)}, lambda c: c < {value}))"
+
+
+GATE_CUTS = ((0, 1, 2, 3, 4, 5, 6), (3, 6, 9), (0, 2, 4, 6, 8))
+GATE_N = [len(c) for c in GATE_CUTS]
+GATE = f"""gate AS (
+  SELECT o_orderkey AS event_id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS published_at,
+    CAST((o_orderstatus = 'F' AND o_totalprice > 150000) OR o_custkey % 11 = 0 AS INTEGER) AS label,
+    {_bin('floor(o_totalprice / 50000)', GATE_CUTS[0])} AS b0, {_bin('month(o_orderdate)', GATE_CUTS[1])} AS b1, {_bin('o_custkey % 11', GATE_CUTS[2])} AS b2 FROM orders),
+gated AS (SELECT *, row_number() OVER (ORDER BY published_at, event_id) AS time_rank, CAST(floor(count(*) OVER () * 0.8) AS BIGINT) AS m FROM gate)"""
+ORACLE["fit_second_order"] = f"""WITH {GATE}, src AS (SELECT event_id, label, CASE WHEN label = 1 THEN 3.0 ELSE 1.0 END AS w, b0, b1, b2, 1 AS k, true AS train FROM gated),
+{second_order(GATE_N, 2, 0.3, 2, 'src', 'a')} SELECT event_id, label AS label_high_risk, round(1 / (1 + exp(-m)), 6) AS score FROM a2"""
+_NEAR = "-ln(greatest(1e-15, least(1 - 1e-15, CASE WHEN label = 1 THEN 1 / (1 + exp(-m)) ELSE 1 - 1 / (1 + exp(-m)) END)))"
+ORACLE["hpo_time_grid"] = f"""WITH {GATE}, src AS (
+  SELECT fold AS k, gated.*, m - 3 * (m // 4) + (fold - 1) * (m // 4) AS start, m - 3 * (m // 4) + fold * (m // 4) AS stop, CASE WHEN label = 1 THEN 3.0 ELSE 1.0 END AS w
+  FROM gated, (VALUES (1), (2), (3)) v(fold) WHERE time_rank <= m),
+folded AS (SELECT * EXCLUDE (m), time_rank <= start AS train FROM src WHERE time_rank <= stop),
+{second_order(GATE_N, 1, 0.3, 3, 'folded', 'a')}, {second_order(GATE_N, 2, 0.3, 3, 'folded', 'c')},
+points AS ({' UNION ALL '.join(f"SELECT {d} AS max_depth, {r} AS rounds, k, start, stop, train, label, m FROM {t}{r}" for d, t in ((1, 'a'), (2, 'c')) for r in (1, 3))}),
+losses AS (SELECT max_depth, 0.3::DOUBLE AS step_size, rounds, CAST(k AS INTEGER) AS fold, start AS last_train_rank, stop AS last_rank, avg({_NEAR}) AS log_loss FROM points WHERE NOT train GROUP BY ALL),
+means AS (SELECT *, avg(log_loss) OVER (PARTITION BY max_depth, rounds) AS mean_log_loss FROM losses)
+SELECT max_depth, step_size, rounds, fold, last_train_rank, last_rank, round(log_loss, 6) AS log_loss, round(mean_log_loss, 6) AS mean_log_loss,
+  dense_rank() OVER (ORDER BY mean_log_loss, max_depth, rounds) = 1 AS wins FROM means"""
+ORACLE["train_gate"] = f"""WITH {GATE}, src AS (
+  SELECT event_id, label, b0, b1, b2, 1 AS k, time_rank <= m AS train,
+    CASE WHEN label = 1 THEN count(*) FILTER (label = 0 AND time_rank <= m) OVER () / (count(*) FILTER (label = 1 AND time_rank <= m) OVER ())::DOUBLE ELSE 1.0 END AS w FROM gated),
+{second_order(GATE_N, 2, 0.3, 2, 'src', 'a')}, scores AS (SELECT *, 1 / (1 + exp(-m)) AS score FROM a2),
+grid AS (SELECT unnest(range(1, 20)) * 5 / 100.0::DOUBLE AS threshold),
+tried AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND label = 0) AS fp, count(*) FILTER (WHERE score < threshold AND label = 1) AS fn FROM scores, grid WHERE train GROUP BY 1),
+best AS (SELECT threshold FROM tried ORDER BY CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END DESC, threshold LIMIT 1),
+c AS (SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS split, count(*) AS rows, threshold, {CONFUSION.format(p='score >= threshold')} FROM scores, best GROUP BY ALL),
+x AS (SELECT *, {PRF} FROM c)
+SELECT split, rows, tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, round(threshold, 6) AS threshold FROM x"""
+ORACLE["vector_topk_cells"] = ORACLE["vector_topk_join"]
+ORACLE["dedup_first_csv"] = f"WITH {ARCHIVE} SELECT date, stock, ticker, calendar_date, sha256(normalized) AS headline_digest FROM clean"
+
 # --- end to end ------------------------------------------------------------
 
 

@@ -557,6 +557,17 @@ def q_dedup_first(spark, sf):
     return clean.select("row_order", "ticker", "calendar_date", "headline_digest")
 
 
+@query
+def q_dedup_first_csv(spark, sf):
+    """The same rule with the archive read from split files, rows in file order."""
+    path = new_path(spark, "archive-csv")
+    v.archive(spark, sf).repartitionByRange("row_order").sortWithinPartitions("row_order").select("date", "stock", "headline").write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    clean = cleaning.clean_archive(files.scan_news_csv(spark, path), v.UNIVERSE, v.ALIASES)
+    return clean.select("date", "stock", "ticker", "calendar_date", "headline_digest")
+
+
 @query
 def q_stratified_sample(spark, sf):
     events = build.identified(cleaning.clean_archive(v.archive(spark, sf), v.UNIVERSE, v.ALIASES), v.options())
@@ -597,6 +608,13 @@ def q_topk_hits(spark, sf):
     return top.select("event_id", "document_id", "score", "rank")
 
 
+@query
+def q_vector_topk_cells(spark, sf):
+    """As `vector_topk_join`, with blocks so small that cells are cut and skipped at every scale."""
+    top = retrieval.vector_topk_join(v.vector_events(spark, sf), v.points(spark, sf), block_rows=24)
+    return rounded(top.select("event_id", "point_id", "document_id", "text", "score", "rank"), "score")
+
+
 @query
 def q_overfetch_topk(spark, sf):
     top = retrieval.overfetch_topk(v.vector_events(spark, sf), v.points(spark, sf), block_rows=256)
@@ -999,8 +1017,58 @@ def q_score_gate(spark, sf):
     return rounded(scored.select("event_id", "score", (F.col("score") >= card.score_threshold).alias("high")), "score")
 
 
+def gate_rows(spark, sf):
+    """Orders as a training table; the first three features have few values."""
+    return v.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("event_id"),
+        F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 AS int), 0, 0)").alias("published_at"),
+        ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 150000) | (F.col("o_custkey") % 11 == 0)).cast("int").alias("label_high_risk"),
+        F.floor(F.col("o_totalprice") / 50000).cast("double").alias(FEATURE_NAMES[0]),
+        F.month("o_orderdate").cast("double").alias(FEATURE_NAMES[1]),
+        (F.col("o_custkey") % 11).cast("double").alias(FEATURE_NAMES[2]),
+        *[F.lit(0.0).alias(n) for n in FEATURE_NAMES[3:]],
+    )
+
+
+#: Cuts of the first three features, all rows and features in every tree: SQL can state it.
+GATE_CUTS = ((0, 1, 2, 3, 4, 5, 6), (3, 6, 9), (0, 2, 4, 6, 8))
+
+
+def second_order():
+    cuts = {n: list(map(float, c)) for n, c in zip(FEATURE_NAMES, (*GATE_CUTS, *[()] * len(FEATURE_NAMES)))}  # noqa: B905
+    return training.SecondOrderTrees(cuts=cuts, row_share=1.0, feature_share=1.0)
+
+
+@query
+def q_fit_second_order(spark, sf):
+    """Two rounds of depth 2 on all rows."""
+    train = stage(training.weighted(gate_rows(spark, sf), 3.0), "train")
+    learner = second_order()
+    return rounded(learner.score(learner.fit(train, 2, 0.3, 2), train).select("event_id", "label_high_risk", "score"), "score")
+
+
 @query
 def q_hpo_time_grid(spark, sf):
+    """Every grid point with the loss and the ranks of each fold, the mean, and which point wins."""
+    rows = folds.time_split(gate_rows(spark, sf)).filter(F.col("split") == "train")
+    train = stage(training.weighted(rows, 3.0), "train")
+    grid = stage(training.hpo_time_grid(train, train.count(), (1, 2), (0.3,), (1, 3), learner=second_order()), "grid")
+    best = training.winner(grid)
+    won = (F.col("max_depth") == best.max_depth) & (F.col("step_size") == best.step_size) & (F.col("rounds") == best.rounds)
+    flat = grid.select("max_depth", "step_size", "rounds", "mean_log_loss", won.alias("wins"), F.inline("folds"))
+    return rounded(flat, "log_loss", "mean_log_loss")
+
+
+@query
+def q_train_gate(spark, sf):
+    """Both splits with the threshold fitted on the training rows, counts, precision, recall and F1."""
+    _, card, metrics = train_gate(stage(gate_rows(spark, sf), "training"), depths=(2,), steps=(0.3,), rounds=(2,), learner=second_order())
+    out = metrics.select("split", "rows", "tp", "fp", "tn", "fn", "precision", "recall", "f1", F.lit(card.score_threshold).alias("threshold"))
+    return rounded(out, "precision", "recall", "f1", "threshold")
+
+
+@query
+def q_hpo_tree_grid(spark, sf):
     """Per fold, how many grid points have a loss for it; and whether the winner follows the rule given the losses."""
     train = stage(weighted_train(spark, sf), "train")
     grid = stage(training.hpo_time_grid(train, train.count()), "grid")
@@ -1017,7 +1085,7 @@ def q_hpo_time_grid(spark, sf):
 
 
 @query
-def q_train_gate(spark, sf):
+def q_train_gate_trees(spark, sf):
     """Rows and classes of both splits, from the confusion counts that the training reports."""
     _, _, metrics = train_gate(stage(training_view(spark, sf), "training"))
     return metrics.select("split", "rows", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from hindcast.fixed_values import HIT_LINE, NO_CONTEXT_LINE, OVERFETCH, PROMPT_BODY, REPAIR_NOTE, TOP_K
 from hindcast.functions.clocks import iso_utc
 from hindcast.functions.vectors import unit
-from hindcast.operators.scale import bounded, skew_join, top_k
+from hindcast.operators.cells import search
+from hindcast.operators.scale import skew_join, top_k
 
 BLOCK_ROWS = 2048
 
@@ -99,40 +100,6 @@ def split_vectors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scaled.filter(F.col("vector").isNotNull()), scaled.filter(F.col("vector").isNull())
 
 
-def time_blocks(df: DataFrame, at: str, row: str, block_rows: int, name: str) -> DataFrame:
-    """Cut each ticker into blocks of about `block_rows` rows that follow one another in time.
-
-    Cuts are approximate percentiles of the clock. Rows of an instant on which
-    several cuts fall are dealt over the blocks between them by a hash, so no
-    instant can overfill a block.
-    """
-    clock = F.unix_micros(F.col(at).cast("timestamp"))
-    n = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
-    counted = bounded(df.groupBy("ticker").agg(n.alias("_n")), "block-counts")
-    shares = F.transform(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: i / F.col("_n"))
-    largest = counted.agg(F.max("_n")).first()[0] or 1
-    # One sketch a ticker gives a fixed fine grid, from which a ticker's own cuts are read.
-    grid = [i / 1000 for i in range(1, 1000)] if largest > 1 else [0.5]
-    fine = df.groupBy("ticker").agg(F.percentile_approx(clock, grid, 10_000).alias("_grid"))
-    own = F.when(F.col("_n") > 1, F.transform(shares, lambda q: F.element_at("_grid", F.greatest(F.lit(1), F.least(F.lit(len(grid)), F.round(q * (len(grid) + 1)).cast("int"))))))
-    cuts = bounded(counted.join(fine, "ticker").select("ticker", F.coalesce(own, F.array().cast("array<bigint>")).alias("_cuts")), "cuts")
-    under = F.size(F.filter("_cuts", lambda c: c < F.col("_clock")))
-    upto = F.size(F.filter("_cuts", lambda c: c <= F.col("_clock")))
-    spread = F.pmod(F.xxhash64(row), upto - under + 1).cast("int")
-    joined = df.join(cuts, "ticker").withColumn("_clock", clock)
-    return joined.withColumn(name, under + spread).drop("_cuts", "_clock")
-
-
-def block_pairs(events: DataFrame, points: DataFrame, as_of: bool) -> DataFrame:
-    """(ticker, eb, pb) to compare: with `as_of`, not those in which every point is later than every event."""
-    e = events.groupBy("ticker", "eb").agg(F.max("published_at").alias("_latest"))
-    p = points.groupBy("ticker", "pb").agg(F.min("available_at").alias("_earliest"))
-    needed = e.join(p, "ticker")
-    if as_of:
-        needed = needed.filter(F.col("_earliest") <= F.col("_latest"))
-    return needed.select("ticker", "eb", "pb")
-
-
 def vector_topk_join(
     events: DataFrame,
     points: DataFrame,
@@ -146,41 +113,37 @@ def vector_topk_join(
     events(event_id, point_id, ticker, published_at, vector) and
     points(point_id, ticker, available_at, vector, ...); further columns of the
     points come with the hits. Rows without a usable vector match nothing
-    (`split_vectors` counts them). A ticker is cut into blocks in time order on
-    both sides; pairs of blocks whose points are all later than their events are
-    dropped before anything is shuffled. Each task compares one block with
-    one block as a matrix product, so neither a hot ticker nor its pairs ever
-    meet in one task, and only k rows per event leave a task. A second,
-    group-limited pass merges the blocks, and payloads are fetched for what is left.
+    (`split_vectors` counts them). Where a ticker has more than `block_rows` rows
+    on a side, both sides are cut into cells of at most that many rows, and
+    cells that cannot hold a hit are skipped (see `cells`); otherwise a ticker is
+    one block. A task multiplies one block by one block and emits k rows per event;
+    a second, group-limited pass merges the blocks, and payloads are fetched for what
+    is left.
     """
     # Fresh column identities: events and points may come from the same table.
     fresh = lambda d, *names: d.select(*[F.col(n).alias(n) for n in (*names, "vector")])
     e, _ = split_vectors(fresh(events, "event_id", "point_id", "ticker", "published_at"))
     p, _ = split_vectors(fresh(points, "point_id", "ticker", "available_at"))
-    left = time_blocks(e, "published_at", "event_id", block_rows, "eb")
-    right = time_blocks(p, "available_at", "point_id", block_rows, "pb")
-    # A row for each pair of blocks, not of rows.
-    pairs = bounded(block_pairs(left.drop("vector"), right.drop("vector"), as_of), "block-pairs")
-    keys = ["ticker", "eb", "pb"]
-    best = (
-        left.join(pairs, ["ticker", "eb"])
-        .groupBy(*keys)
-        .cogroup(right.join(pairs, ["ticker", "pb"]).groupBy(*keys))
-        .applyInPandas(
-            _block_top(k, as_of, include_self),
-            schema="event_id {0}, point_id {1}, available_at {2}, score double".format(
-                *(
-                    d.schema[c].dataType.simpleString()
-                    for d, c in ((e, "event_id"), (p, "point_id"), (p, "available_at"))
-                )
-            ),
-        )
+    kernel = _block_top(k, as_of, include_self)
+    found = "event_id {0}, point_id {1}, available_at {2}, score double".format(
+        *(d.schema[c].dataType.simpleString() for d, c in ((e, "event_id"), (p, "point_id"), (p, "available_at")))
     )
+    if one_block_each(events, points, block_rows):
+        best = e.groupBy("ticker").cogroup(p.groupBy("ticker")).applyInPandas(kernel, found)
+    else:
+        best = search(e, p, k, as_of, block_rows, kernel, found).best
     top = top_k(best, ["event_id"], [F.desc("score"), F.asc("point_id")], k)
     payload = [c for c in points.columns if c not in ("vector", "available_at")]
     return top.join(points.select(*[F.col(c).alias(c) for c in payload]), "point_id") if len(payload) > 1 else top
 
 
+def one_block_each(events: DataFrame, points: DataFrame, block_rows: int) -> bool:
+    """No ticker has more than `block_rows` rows on either side."""
+    rows = events.select("ticker", F.lit(1).alias("e"), F.lit(0).alias("p")).unionByName(points.select("ticker", F.lit(0).alias("e"), F.lit(1).alias("p")))
+    largest = rows.groupBy("ticker").agg(F.sum("e").alias("e"), F.sum("p").alias("p")).agg(F.max(F.greatest("e", "p"))).first()[0]
+    return (largest or 0) <= block_rows
+
+
 def overfetch_topk(
     events: DataFrame, points: DataFrame, k: int = TOP_K, factor: int = OVERFETCH, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:

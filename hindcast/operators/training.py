@@ -25,6 +25,7 @@ from hindcast.fixed_values import (
     SCORE_KIND,
     TIME_FOLDS,
 )
+from hindcast.operators import boosting
 from hindcast.operators.evaluation import log_loss, pick_winner
 from hindcast.operators.folds import check_folds, fold_bounds, time_folds
 
@@ -52,6 +53,42 @@ class ModelCard:
     train_end: str = ""
     dataset_hash: str = ""
     metrics: dict = field(default_factory=dict)
+    family: str = "spark-trees"
+
+
+class SparkTrees:
+    """Spark's boosted trees: first-order, subsets of features by node."""
+
+    family = "spark-trees"
+
+    def fit(self, train: DataFrame, max_depth: int, step_size: float, rounds: int) -> PipelineModel:
+        return fit_gate_model(train, max_depth, step_size, rounds)
+
+    def score(self, model: PipelineModel, df: DataFrame) -> DataFrame:
+        return score_rows(model, df)
+
+    def losses(self, model: PipelineModel, rows: DataFrame, rounds: Sequence[int]) -> dict[int, float]:
+        # Mean of 2 * log(1 + exp(-2 y f)) after each round: twice the log loss.
+        curve = model.stages[-1].evaluateEachIteration(model.stages[0].transform(rows.withColumn("weight", F.lit(1.0))))
+        return {r: curve[r - 1] / 2 for r in rounds}
+
+
+class SecondOrderTrees:
+    """Second-order trees with lambda, and features drawn by tree; `options` go to `boosting.fit_boosted`."""
+
+    family = "second-order"
+
+    def __init__(self, names: Sequence[str] = FEATURE_NAMES, **options):
+        self.names, self.options = names, options
+
+    def fit(self, train: DataFrame, max_depth: int, step_size: float, rounds: int) -> boosting.Boosted:
+        return boosting.fit_boosted(train, max_depth, step_size, rounds, self.names, **self.options)
+
+    def score(self, model: boosting.Boosted, df: DataFrame) -> DataFrame:
+        return boosting.score_boosted(model, df)
+
+    def losses(self, model: boosting.Boosted, rows: DataFrame, rounds: Sequence[int]) -> dict[int, float]:
+        return boosting.log_losses(model, rows, rounds)
 
 
 def ordered_features(df: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
@@ -100,6 +137,7 @@ def hpo_time_grid(
     rounds: Sequence[int] = GRID_ROUNDS,
     folds: int = TIME_FOLDS,
     submit: int = 4,
+    learner: SparkTrees | SecondOrderTrees | None = None,
 ) -> DataFrame:
     """Mean validation log loss of every grid point over expanding folds.
 
@@ -112,22 +150,21 @@ def hpo_time_grid(
     check_folds(time_folds(train.select("time_rank", "label"), n, folds))
     longest = max(rounds)
     rank = F.col("time_rank")
+    learner = learner or SparkTrees()
 
     def losses(task: tuple[int, float, tuple[int, int, int]]) -> list[tuple]:
         depth, step, (fold, start, end) = task
-        model = fit_gate_model(train.filter(rank <= start), depth, step, longest)
-        checked = train.filter((rank > start) & (rank <= end)).withColumn("weight", F.lit(1.0))
-        # Mean of 2 * log(1 + exp(-2 y f)) after each round: twice the log loss.
-        curve = model.stages[-1].evaluateEachIteration(model.stages[0].transform(checked))
-        return [(depth, float(step), r, fold, curve[r - 1] / 2) for r in rounds]
+        model = learner.fit(train.filter(rank <= start), depth, step, longest)
+        curve = learner.losses(model, train.filter((rank > start) & (rank <= end)), rounds)
+        return [(depth, float(step), r, fold, start, end, curve[r]) for r in rounds]
 
     tasks = [(d, s, b) for d in depths for s in steps for b in fold_bounds(n, folds)]
     with ThreadPoolExecutor(submit) as pool:
         found = [row for rows in pool.map(losses, tasks) for row in rows]
-    schema = "max_depth int, step_size double, rounds int, fold int, log_loss double"
+    schema = "max_depth int, step_size double, rounds int, fold int, last_train_rank long, last_rank long, log_loss double"
     per_fold = spark.createDataFrame(found, schema)
     return per_fold.groupBy("max_depth", "step_size", "rounds").agg(
-        F.array_sort(F.collect_list(F.struct("fold", "log_loss"))).alias("folds"),
+        F.array_sort(F.collect_list(F.struct("fold", "last_train_rank", "last_rank", "log_loss"))).alias("folds"),
         F.avg("log_loss").alias("mean_log_loss"),
     )
 
@@ -140,9 +177,14 @@ def validation_loss(model: PipelineModel, rows: DataFrame) -> float:
     return log_loss(score_rows(model, rows)).first().log_loss
 
 
-def save_model(model: PipelineModel, card: ModelCard, path: str) -> None:
+def save_model(model: PipelineModel | boosting.Boosted, card: ModelCard, path: str) -> None:
     spark = SparkSession.getActiveSession()
-    model.write().overwrite().save(f"{path}/model")
+    if isinstance(model, boosting.Boosted):
+        card.family = SecondOrderTrees.family
+        trees = spark.createDataFrame([(json.dumps(model.to_dict()),)], "trees string")
+        trees.coalesce(1).write.mode("overwrite").text(f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(json.dumps(asdict(card)),)], "card string").coalesce(1).write.mode("overwrite").text(
         f"{path}/card"
     )
@@ -150,7 +192,7 @@ def save_model(model: PipelineModel, card: ModelCard, path: str) -> None:
 
 def load_model(
     spark: SparkSession, path: str, required_kind: str | None = None, names: Sequence[str] = FEATURE_NAMES
-) -> tuple[PipelineModel, ModelCard]:
+) -> tuple[PipelineModel | boosting.Boosted, ModelCard]:
     """Load, refusing a model whose contract differs from the caller's."""
     try:
         card = ModelCard(**json.loads(spark.read.text(f"{path}/card").first()[0]))
@@ -162,4 +204,6 @@ def load_model(
         raise ModelRefused(f"model refused: score kind {card.score_kind!r}, expected {SCORE_KIND!r}")
     if required_kind and card.bundle_kind != required_kind:
         raise ModelRefused(f"model refused: kind {card.bundle_kind!r}, required {required_kind!r}")
+    if card.family == SecondOrderTrees.family:
+        return boosting.Boosted.from_dict(json.loads(spark.read.text(f"{path}/model").first()[0])), card
     return PipelineModel.load(f"{path}/model"), card

@@ -19,10 +19,10 @@ from hindcast.operators.evaluation import (
 from hindcast.operators.folds import split_bounds, time_split
 from hindcast.operators.training import (
     ModelCard,
-    fit_gate_model,
     hpo_time_grid,
+    SecondOrderTrees,
+    SparkTrees,
     save_model,
-    score_rows,
     weighted,
     winner,
 )
@@ -42,9 +42,11 @@ def train_gate(
     depths: Sequence[int] = GRID_DEPTH,
     steps: Sequence[float] = GRID_STEP,
     rounds: Sequence[int] = GRID_ROUNDS,
+    learner: SparkTrees | SecondOrderTrees | None = None,
 ):
     """Split by time, search on the first 80 %, refit, fit the threshold on the
     training rows only, measure both splits. Returns model, card and metrics."""
+    learner = learner or SparkTrees()
     data = time_split(check_training_table(table)).withColumn("label", F.col("label_high_risk").cast("double"))
     bounds = {r.split: r for r in split_bounds(data).collect()}  # two rows
     balance = class_balance(data.filter(F.col("split") == "train")).first()
@@ -56,10 +58,10 @@ def train_gate(
     ).cache()
     try:
         train = rows.filter(F.col("split") == "train")
-        grid = hpo_time_grid(train, bounds["train"].rows, depths, steps, rounds)
+        grid = hpo_time_grid(train, bounds["train"].rows, depths, steps, rounds, learner=learner)
         best = winner(grid)
-        model = fit_gate_model(train, best.max_depth, best.step_size, best.rounds)
-        scored = stage(score_rows(model, rows), "scored")
+        model = learner.fit(train, best.max_depth, best.step_size, best.rounds)
+        scored = stage(learner.score(model, rows), "scored")
     finally:
         rows.unpersist()
     threshold = fit_threshold(scored.filter(F.col("split") == "train"))
@@ -71,6 +73,7 @@ def train_gate(
         bundle_id=bundle_id,
         model_version=model_version,
         bundle_kind="trained",
+        family=learner.family,
         score_threshold=threshold,
         label_definition=label_definition(),
         train_start=str(bounds["train"].first),

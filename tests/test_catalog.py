@@ -14,12 +14,12 @@ from hindcast.catalog.queries import REGISTRY
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: The smallest tables have too few complete rows to train on.
-NEED_ROWS = {"hpo_time_grid", "train_gate"}
+NEED_ROWS = {"hpo_tree_grid", "train_gate_trees"}
 QUICK = {
     "check_news_event", "check_proposal", "decode_payload", "ingest_funnel", "dedup_first", "stratified_sample", "open_stamp",
     "parse_published_at", "train_event_id", "join_feature_session", "join_label_session", "volatility_20d", "join_event_features",
     "topk_hits", "context_prompt", "vector_topk_join", "gate_policy", "run_decisions", "time_split", "time_folds", "threshold_f1",
-    "log_loss", "sentiment_resume", "fit_gate_model", "score_gate", "restart_new_checkpoint", "at_least_once", "vector_prompt", "build_training_events", "upsert_points", "stream_ingest", "scan_rss_xml", "expectation_suite",
+    "log_loss", "sentiment_resume", "fit_gate_model", "score_gate", "restart_new_checkpoint", "at_least_once", "vector_prompt", "build_training_events", "fit_second_order", "train_gate", "dedup_first_csv", "vector_topk_cells", "upsert_points", "stream_ingest", "scan_rss_xml", "expectation_suite",
 }
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.operators import decisions, retrieval, scale
+from hindcast.operators import cells, decisions, retrieval, scale
 
 T0 = datetime(2024, 3, 12, 14, 30)
 
@@ -105,17 +105,49 @@ def test_vector_topk_equals_brute_force(spark, vectors, block_rows, include_self
     assert {(r.event_id, r.point_id, r.rank) for r in top.collect()} == brute(vectors, 5, include_self)
 
 
-def test_later_blocks_are_dropped_before_the_shuffle(spark, vectors):
-    events, points = vector_frames(spark, vectors)
-    left = retrieval.time_blocks(events, "published_at", "event_id", 16, "eb")
-    right = retrieval.time_blocks(points, "available_at", "point_id", 16, "pb")
-    assert left.count() == right.count() == len(vectors)
-    every, needed = (retrieval.block_pairs(left, right, as_of).count() for as_of in (False, True))
-    # An event sees points of the hour after its own; blocks later than that are left out.
-    assert needed < 0.9 * every
-    same = points.withColumn("available_at", F.lit(T0).cast("timestamp_ntz"))
-    sizes = retrieval.time_blocks(same, "available_at", "point_id", 16, "pb").groupBy("ticker", "pb").count()
-    assert sizes.agg(F.max("count")).first()[0] < 40
+def clustered(spark, n, tickers=("HOT",), late=0):
+    """Vectors in tight groups, in time order."""
+    rng = np.random.default_rng(8)
+    groups = rng.normal(size=(12, 16))
+    rows = [(i, i, tickers[i % len(tickers)], T0 + timedelta(minutes=late * i), (groups[rng.integers(12)] + rng.normal(size=16) * 0.02).tolist()) for i in range(n)]
+    return rows, vector_frames(spark, rows)
+
+
+def searched(events, points, k, as_of, block_rows):
+    e, p = (retrieval.split_vectors(d)[0] for d in (events.select("event_id", "point_id", "ticker", "published_at", "vector"), points))
+    return cells.search(e, p, k, as_of, block_rows, retrieval._block_top(k, as_of, True), "event_id long, point_id long, available_at timestamp_ntz, score double")
+
+
+def test_cells_that_cannot_hold_a_hit_are_skipped(spark):
+    rows, (events, points) = clustered(spark, 900, ("HOT", "HOT", "B"))
+    done = searched(events, points, 5, True, 40)
+    assert done.every == done.in_time and done.compared < 0.5 * done.in_time
+    top = scale.top_k(done.best, ["event_id"], [F.desc("score"), F.asc("point_id")], 5)
+    assert {(r.event_id, r.point_id, r.rank) for r in top.collect()} == brute(rows, 5)
+
+
+def test_later_cells_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(cells, "SLAB_BLOCKS", 2)
+    rows, (events, points) = clustered(spark, 600, late=1)
+    done = searched(events, points, 3, True, 16)
+    assert done.in_time < 0.8 * done.every and done.compared < done.in_time
+    top = scale.top_k(done.best, ["event_id"], [F.desc("score"), F.asc("point_id")], 3)
+    assert {(r.event_id, r.point_id, r.rank) for r in top.collect()} == brute(rows, 3)
+
+
+def test_block_rows_hold_for_a_ticker_with_very_many_blocks(spark):
+    """10,000 blocks asked for, an instant that a third of the rows share."""
+    df = spark.range(40_000).selectExpr(
+        "id AS point_id", "'HOT' AS ticker", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(if(id % 3 = 0, 7, id) AS int), 0) AS available_at",
+        "array(cos(id), sin(id)) AS vector",
+    )
+    cut = cells.slabs(df, "available_at", "point_id", cells.SLAB_BLOCKS * 4)
+    assert cut.groupBy("slab").count().agg(F.max("count")).first()[0] < 3 * cells.SLAB_BLOCKS * 4
+    rows = cells.cells(df, "available_at", "point_id", 4)
+    sizes = rows.groupBy("slab", "cell").count()
+    assert rows.count() == 40_000 and sizes.agg(F.max("count")).first()[0] <= 4
+    told = cells.about(rows, "")
+    assert told.count() == sizes.count() and told.agg(F.sum("n")).first()[0] == 40_000
 
 
 def test_vectors_without_length_are_told_apart(spark):
