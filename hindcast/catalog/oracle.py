@@ -785,6 +785,13 @@ best AS (SELECT threshold FROM tried ORDER BY CASE WHEN tp = 0 THEN 0.0 ELSE 2.0
 c AS (SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS split, count(*) AS rows, threshold, {CONFUSION.format(p='score >= threshold')} FROM scores, best GROUP BY ALL),
 x AS (SELECT *, {PRF} FROM c)
 SELECT split, rows, tp, fp, tn, fn, round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, round(threshold, 6) AS threshold FROM x"""
+ORACLE["join_hits_asof_ticker"] = f"""WITH {EVENTS}, {HITS},
+placed AS (SELECT ticker, document_id, row_number() OVER (PARTITION BY ticker ORDER BY available_at, document_id DESC) AS place FROM hits),
+line AS (SELECT ticker, available_at AS clock, 0 AS kind, NULL AS event_id FROM hits UNION ALL SELECT ticker, published_at, 1, event_id FROM news),
+seen AS (SELECT *, count(*) FILTER (WHERE kind = 0) OVER (PARTITION BY ticker ORDER BY clock, kind) AS n FROM line),
+counted AS (SELECT * FROM seen WHERE kind = 1)
+SELECT c.event_id, c.n AS n_visible, coalesce(string_agg(document_id, ',' ORDER BY place DESC), '') AS newest
+FROM counted c LEFT JOIN placed p ON p.ticker = c.ticker AND p.place IN (c.n, c.n - 1, c.n - 2) GROUP BY ALL"""
 ORACLE["vector_topk_cells"] = ORACLE["vector_topk_join"]
 ORACLE["dedup_first_csv"] = f"WITH {ARCHIVE} SELECT date, stock, ticker, calendar_date, sha256(normalized) AS headline_digest FROM clean"
 

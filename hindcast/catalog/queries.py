@@ -12,7 +12,7 @@ from hindcast.catalog import views as v
 from hindcast.fixed_values import FEATURE_NAMES, TRAINING_COLUMNS
 from hindcast.functions import clocks, ids, risk, text, wire
 from hindcast.functions.vectors import dot, unit
-from hindcast.operators import cleaning, contracts, decisions, evaluation, folds, payloads, prices, retrieval, scale
+from hindcast.operators import cleaning, context, contracts, decisions, evaluation, folds, payloads, prices, retrieval, scale
 from hindcast.operators import sentiment as sentiments
 from hindcast.operators import sessions as calendars
 from hindcast.operators import training
@@ -427,6 +427,15 @@ def q_join_coverage(spark, sf):
     return prices.join_coverage(days, prices.join_closes(closes, sessions))
 
 
+@query
+def q_join_hits_asof_ticker(spark, sf):
+    """How many hits of its ticker an event may see, and the three newest."""
+    hits = v.hits(spark, sf).select("document_id", "ticker", "available_at")
+    seen = context.newest_visible(v.news_events(spark, sf), hits, 3)
+    newest = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "document_id")))), lambda h: h["document_id"]), ",")
+    return seen.groupBy("event_id", "n_visible").agg(newest.alias("newest"))
+
+
 @query
 def q_vector_topk_join(spark, sf):
     top = retrieval.vector_topk_join(v.vector_events(spark, sf), v.points(spark, sf), block_rows=256)
