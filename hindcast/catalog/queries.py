@@ -24,6 +24,7 @@ from hindcast.plans.run_decisions import run_decisions
 from hindcast.plans.train_gate import train_gate
 from hindcast.session import new_path, stage
 from hindcast.sinks import points as point_sink
+from hindcast.sinks import snapshots
 from hindcast.sinks import tables as sinks
 from hindcast.sinks.runs import read_batches
 from hindcast.sources import expectations, feeds, files, streams
@@ -898,7 +899,7 @@ def q_stream_ingest(spark, sf):
 @query
 def q_poison_to_dlq(spark, sf):
     _, dlq = ingested(spark, sf)
-    return spark.read.parquet(dlq).groupBy("reason").agg(
+    return read_batches(spark, dlq).groupBy("reason").agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("offset").alias("offsets")
     )
 
@@ -907,7 +908,7 @@ def q_poison_to_dlq(spark, sf):
 def q_idempotent_redelivery(spark, sf):
     """Every record is delivered twice; each event leaves one point."""
     out, _ = ingested(spark, sf)
-    stored = spark.read.parquet(out).groupBy("ticker").agg(F.count(F.lit(1)).alias("deliveries"))
+    stored = read_batches(spark, out).groupBy("ticker").agg(F.count(F.lit(1)).alias("deliveries"))
     kept = point_sink.read_points(spark, out).groupBy("ticker").agg(F.count(F.lit(1)).alias("points"))
     return stored.join(kept, "ticker")
 
@@ -947,6 +948,44 @@ def q_at_least_once(spark, sf):
     return stored.groupBy("copies").agg(F.count(F.lit(1)).alias("events"))
 
 
+def picky_encoder(frames):
+    for frame in frames:
+        if frame["text"].str.contains("user 3", regex=False).any():
+            raise ValueError("refused")
+        yield frame.assign(vector=[[float(len(t)), 1.0] for t in frame["text"]])
+
+
+@query
+def q_attempts_to_dlq(spark, sf):
+    """Records that decode and that the encoder refuses: three attempts each, then the dead letters; all others arrive."""
+    landed, out, dlq = (new_path(spark, n) for n in ("landed", "points", "dlq"))
+    v.payloads(spark, sf).select("key", "value", "topic", "partition", "offset").write.parquet(landed)
+    stream = streams.stream_record_files(spark, landed)
+    stream_ingest(stream, out, dlq, new_path(spark, "ck"), available_now=True, prefix=v.PREFIX, encode_text=picky_encoder).awaitTermination()
+    arrived = point_sink.read_points(spark, out).groupBy("ticker").agg(F.count(F.lit(1)).alias("points"))
+    tried = spark.read.parquet(f"{out}/_attempts").groupBy("partition", "offset").agg(F.max("attempt").alias("attempts"))
+    dead = read_batches(spark, dlq).filter(F.startswith("reason", F.lit("encoder"))).join(tried, ["partition", "offset"])
+    symbol = F.upper(F.trim(F.get_json_object(F.col("value").cast("string"), "$.ticker")))
+    refused = dead.groupBy(symbol.alias("ticker")).agg(F.count(F.lit(1)).alias("refused"), F.max("attempts").alias("attempts"))
+    return arrived.join(refused, "ticker", "full").fillna(0)
+
+
+@query
+def q_sink_snapshot(spark, sf):
+    """A second write that fails half-way: readers still find the first table, whole."""
+    path = new_path(spark, "snapshots")
+    rows = v.news_events(spark, sf).select("event_id", "ticker", "published_at")
+    snapshots.write_snapshot(rows, path)
+    failed = False
+    try:
+        bad = F.when(F.col("ticker") == "R", F.raise_error(F.lit("no such row"))).otherwise(F.col("event_id"))
+        snapshots.write_snapshot(rows.withColumn("event_id", bad), path)
+    except Exception as exc:
+        failed = "no such row" in str(exc)
+    kept = snapshots.read_snapshot(spark, path)
+    return kept.groupBy("ticker").agg(F.count(F.lit(1)).alias("events"), F.max("published_at").alias("last")).withColumn("failed_once", F.lit(failed))
+
+
 def failing_encoder(frames):
     raise RuntimeError("encoder down")
     yield from frames
@@ -965,7 +1004,7 @@ def q_stop_on_failure(spark, sf):
 
     failed = False
     try:
-        run(encode_text=failing_encoder, attempts=1)
+        run(encode_text=failing_encoder)
     except StreamingQueryException:
         failed = True
     run()
@@ -979,7 +1018,7 @@ def q_feed_micro_batch(spark, sf):
     v.feed_documents(spark, sf).select("ticker", "document", "xml").write.parquet(landed)
     stream = stream_feed_documents(spark, landed, "parquet")
     feed_micro_batch(stream, out, summary, new_path(spark, "ck"), v.UNIVERSE, prefix=v.PREFIX, available_now=True).awaitTermination()
-    return spark.read.parquet(summary).groupBy("ticker").agg(
+    return read_batches(spark, summary).groupBy("ticker").agg(
         *[F.sum(c).alias(c) for c in ("fetched", "produced", "skipped_items", "cut_items", "errors")]
     )
 

@@ -1,8 +1,8 @@
 """Idempotent point table on plain Parquet.
 
-Each batch of a run owns a partition (see `runs`) and overwrites only that, so a
-replayed batch rewrites itself and a new checkpoint adds to what is stored.
-Readers take the newest row per point.
+Each batch of a run owns a partition (see `runs`); a replayed batch takes its own
+place once it is whole, and a new checkpoint adds to what is stored. Readers take
+the newest row per point.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from hindcast.sinks.runs import ORDER, ROW, read_batches, write_batch
 POINT_COLUMNS = ("point_id", "document_id", "text", "ticker", "available_at", "source", "vector")
 
 
-def points_from_events(events: DataFrame, prefix: str = DEFAULT_PREFIX, encode_text=None) -> DataFrame:
-    """Event -> point: unit vector of the headline plus payload columns."""
-    rows = events.select(
+def payload_columns(events: DataFrame, prefix: str = DEFAULT_PREFIX) -> DataFrame:
+    """Event -> point without its vector."""
+    return events.select(
         event_point_id(F.col("event_id").cast("string"), prefix).alias("point_id"),
         F.col("event_id").cast("string").alias("document_id"),
         F.col("headline").alias("text"),
@@ -29,7 +29,11 @@ def points_from_events(events: DataFrame, prefix: str = DEFAULT_PREFIX, encode_t
         F.lit("qdrant").alias("source"),
         *[c for c in ("topic", "partition", "offset") if c in events.columns],
     )
-    return embed_unit(rows, "text", encode_text=encode_text)
+
+
+def points_from_events(events: DataFrame, prefix: str = DEFAULT_PREFIX, encode_text=None) -> DataFrame:
+    """Event -> point: unit vector of the headline plus payload columns."""
+    return embed_unit(payload_columns(events, prefix), "text", encode_text=encode_text)
 
 
 def newest(points: DataFrame) -> DataFrame:

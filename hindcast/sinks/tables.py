@@ -11,6 +11,7 @@ from hindcast.fixed_values import NEWS_TOPIC
 from hindcast.functions.wire import encode_payload
 from hindcast.session import stage
 from hindcast.sinks.runs import write_batch
+from hindcast.sinks.snapshots import write_snapshot
 from hindcast.sources.files import select_training_columns
 
 CANONICAL_NAME = "training_events.parquet"
@@ -25,14 +26,14 @@ def sort_by_time(df: DataFrame) -> DataFrame:
 
 
 def sink_training_parquet(df: DataFrame, path: str, development: bool = False) -> str:
-    """Write the training table; the commit protocol makes it all or nothing.
+    """Write the training table as a new snapshot of `path`; returns the snapshot's folder.
 
-    Development output (no sentiment) may not take the canonical name.
+    Readers of `snapshots.read_snapshot(path)` see the old table until the new one is
+    whole. Development output (no sentiment) may not take the canonical name.
     """
     if development and CANONICAL_NAME in path:
         raise ValueError(f"development output cannot be written as {CANONICAL_NAME}")
-    sort_by_time(select_training_columns(df)).write.mode("overwrite").parquet(path)
-    return path
+    return write_snapshot(sort_by_time(select_training_columns(df)), path)
 
 
 def news_records(events: DataFrame, topic: str = NEWS_TOPIC) -> DataFrame:

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from hindcast.fixed_values import DLQ_TOPIC, MAX_ATTEMPTS, POLL_INTERVAL, UNIVERSE
 from hindcast.functions.ids import DEFAULT_PREFIX
+from hindcast.functions.vectors import unit
 from hindcast.operators.payloads import decode_payload
-from hindcast.sinks.points import points_from_events, upsert_points
+from hindcast.sinks.points import payload_columns, points_from_events, upsert_points
 from hindcast.sinks.runs import current_run, write_batch
+from hindcast.streaming.attempts import PLACE, encode_with_attempts, guarded
 
 
 def sink_dlq(bad: DataFrame, target: str, batch_id: int, fmt: str = "parquet", run: str | None = None) -> None:
@@ -40,6 +42,26 @@ def with_attempts(write: Callable[[], None], attempts: int = MAX_ATTEMPTS) -> No
                 raise
 
 
+def encoded_points(good: DataFrame, bad: DataFrame, prefix: str, encode_text, ledger: str, attempts: int) -> tuple[DataFrame, DataFrame]:
+    """Points of what the encoder takes, and the dead letters with what it has refused for good."""
+    rows = payload_columns(good, prefix)
+
+    def encode(pending: DataFrame) -> DataFrame:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pending.schema)
+        raw = pending.mapInPandas(guarded(encode_text), f"{fields}, vector array<float>, _error string")
+        return raw.withColumn("vector", unit(F.col("vector")))
+
+    passed, given_up = encode_with_attempts(rows, encode, ledger, attempts)
+    if passed is None:
+        passed = encode(rows.limit(0)).drop("_error")
+    if given_up is not None:
+        # A record that is delivered twice is refused twice.
+        reasons = given_up.groupBy(*PLACE).agg(F.min("reason").alias("reason"))
+        refused = good.drop("reason").join(reasons, list(PLACE))
+        bad = bad.select("key", "value", "reason", *PLACE).unionByName(refused.select("key", "value", "reason", *PLACE))
+    return passed, bad
+
+
 def ingest_batch(
     points_path: str,
     dlq_path: str,
@@ -52,7 +74,9 @@ def ingest_batch(
     """foreachBatch function: decode once, write both splits.
 
     A record that cannot be decoded never will be, so it goes to the dead
-    letters at once; repeated attempts are for failing writes.
+    letters at once. One that a caller's encoder refuses is tried `attempts` times,
+    over replays, and then goes there too (see `attempts`). A failing write is
+    repeated and then ends the batch.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -61,7 +85,10 @@ def ingest_batch(
         try:
             good = decoded.filter(F.col("reason").isNull())
             bad = decoded.filter(F.col("reason").isNotNull())
-            points = points_from_events(good, prefix, encode_text)
+            if encode_text is None:
+                points = points_from_events(good, prefix)
+            else:
+                points, bad = encoded_points(good, bad, prefix, encode_text, f"{points_path}/_attempts", attempts)
             with_attempts(lambda: upsert_points(points, points_path, batch_id, run_id), attempts)
             with_attempts(lambda: sink_dlq(bad, dlq_path, batch_id, dlq_format, run_id), attempts)
         finally:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from hindcast.operators.retrieval import embed_unit
 from hindcast.sinks import points as point_sink
+from hindcast.sinks.runs import read_batches, write_batch
+from hindcast.sinks.snapshots import current_snapshot, read_snapshot, write_snapshot
 from hindcast.sinks.tables import sink_news_raw
 from hindcast.sources.streams import RECORD_SCHEMA, stream_record_files
+from hindcast.streaming.attempts import guarded
 from hindcast.streaming.ingest import ingest_batch, stream_ingest, with_attempts
 
 
@@ -60,7 +63,84 @@ def test_a_replayed_batch_rewrites_itself(spark, folder):
     run = ingest_batch(f"{folder}/points", f"{folder}/dlq")
     run(batch, 7)
     run(batch, 7)
-    assert spark.read.parquet(f"{folder}/points").count() == 2
+    assert read_batches(spark, f"{folder}/points").count() == 2
+
+
+def test_a_replay_that_fails_takes_nothing_away(spark, folder):
+    rows = spark.range(10).withColumn("offset", F.col("id"))
+    write_batch(rows, f"{folder}/t", 3, "r")
+    bad = rows.withColumn("id", F.when(F.col("id") == 7, F.raise_error(F.lit("half-way")).cast("long")).otherwise(F.col("id")))
+    for _ in range(2):
+        with pytest.raises(Exception, match="half-way"):
+            write_batch(bad, f"{folder}/t", 3, "r")
+        assert read_batches(spark, f"{folder}/t").count() == 10
+    write_batch(rows.limit(4), f"{folder}/t", 3, "r")
+    write_batch(rows.limit(1), f"{folder}/t", 4, "r")
+    assert sorted(r.batch_id for r in read_batches(spark, f"{folder}/t").collect()) == [3, 3, 3, 3, 4]
+
+
+def test_a_snapshot_that_fails_takes_nothing_away(spark, folder):
+    rows = spark.range(10)
+    first = write_snapshot(rows, f"{folder}/s")
+    bad = rows.select(F.when(F.col("id") == 7, F.raise_error(F.lit("half-way")).cast("long")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="half-way"):
+        write_snapshot(bad, f"{folder}/s")
+    assert current_snapshot(spark, f"{folder}/s") == first and read_snapshot(spark, f"{folder}/s").count() == 10
+    held = read_snapshot(spark, f"{folder}/s")
+    write_snapshot(spark.range(3), f"{folder}/s")
+    assert read_snapshot(spark, f"{folder}/s").count() == 3
+    # One who has resolved the pointer before goes on reading.
+    assert held.count() == 10
+
+
+def refuses(word, calls=None):
+    def encode(frames):
+        for frame in frames:
+            if frame["text"].str.contains(word).any():
+                raise ValueError(f"no {word}")
+            yield frame.assign(vector=[[3.0, 4.0]] * len(frame))
+
+    return encode
+
+
+def test_a_refused_record_goes_to_the_dead_letters_after_three_attempts(spark, folder):
+    land(spark, folder, [record(0), record(1, headline="bad one"), record(2), record(2), record(3, headline="bad two")])
+    points = {r.document_id: list(r.vector) for r in ingest(spark, folder, encode_text=refuses("bad")).collect()}
+    assert set(points) == {"e0", "e2"} and points["e0"] == pytest.approx([0.6, 0.8])
+    dead = read_batches(spark, f"{folder}/dlq").orderBy("offset").collect()
+    assert [(r.offset, r.reason) for r in dead] == [(1, "encoder: ValueError: no bad"), (3, "encoder: ValueError: no bad")]
+    tried = spark.read.parquet(f"{folder}/points/_attempts").orderBy("offset", "attempt").collect()
+    assert [(r.offset, r.attempt) for r in tried] == [(o, a) for o in (1, 3) for a in (1, 2, 3)]
+
+
+def test_attempts_survive_restarts(spark, folder):
+    """A batch of which nothing passes is replayed, until its record has had its attempts."""
+    land(spark, folder, [record(5, headline="bad")])
+    for _ in range(2):
+        with pytest.raises(Exception, match="no bad"):
+            ingest(spark, folder, encode_text=refuses("bad"))
+    land(spark, folder, [record(6)])
+    assert {r.document_id for r in ingest(spark, folder, encode_text=refuses("bad")).collect()} == {"e6"}
+    assert [(r.offset, r.reason) for r in read_batches(spark, f"{folder}/dlq").collect()] == [(5, "encoder: ValueError: no bad")]
+
+
+def test_an_encoder_is_started_once_unless_it_fails():
+    import pandas as pd
+
+    starts = []
+
+    def encode(frames):
+        starts.append(1)
+        for frame in frames:
+            if "bad" in set(frame["text"]):
+                raise ValueError("bad")
+            yield frame.assign(vector=[[1.0]] * len(frame))
+
+    frames = [pd.DataFrame({"text": t}) for t in (["a", "b"], [], ["c"], ["d", "bad", "e"], ["f"])]
+    out = pd.concat(list(guarded(encode)(iter(frames))))
+    assert out["text"].tolist() == ["a", "b", "c", "d", "bad", "e", "f"]
+    assert out["_error"].notna().tolist() == [False] * 4 + [True] + [False] * 2
+    assert len(starts) == 4
 
 
 def test_failing_sink_stops_the_batch_and_nothing_overtakes(spark, folder):
@@ -72,7 +152,7 @@ def test_failing_sink_stops_the_batch_and_nothing_overtakes(spark, folder):
         yield from frames
 
     with pytest.raises(Exception, match="encoder down"):
-        ingest(spark, folder, encode_text=broken, attempts=1)
+        ingest(spark, folder, encode_text=broken)
     # Nothing was committed, so the next run starts with the same records.
     assert {r.document_id for r in ingest(spark, folder).collect()} == {"e0", "e1"}
 
