@@ -29,19 +29,19 @@ seeds are meant; a wrong hit only adds a run to sort.
 
 Nulls and edges: null texts are empty; texts shorter than LENGTH keep all their
 bytes; repeated rows are different texts, so they remove each other; matches
-never cross texts. Equality of whole runs rests on two independent 64-bit
-hashes. Texts must be read from files, so that rows are numbered alike in each
+never cross texts. Equality of whole runs rests on a 64-bit hash of all their bytes
+that is no polynomial, and on the hash of their seed. Texts must be read from files, so that rows are numbered alike in each
 reading.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,7 +117,11 @@ class Runs:
         self.seed = grams[self.anchor] & ~np.uint64(1)
         size = self.last - self.first
         shape = ((self.anchor - self.first) * 256 + size).astype(np.uint64)
-        self.whole = mix64(Prefixes(data, BASES[1]).part(self.first, size + length) ^ mix64(shape))
+        # Not a polynomial: texts can be made whose polynomial hashes agree for every odd base.
+        raw_ = data.tobytes()
+        spans = zip(self.first.tolist(), (self.last + length).tolist(), strict=True)
+        digests = np.fromiter((xxhash.xxh3_64_intdigest(raw_[a:b]) for a, b in spans), np.uint64, len(self.first))
+        self.whole = mix64(digests ^ mix64(shape))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

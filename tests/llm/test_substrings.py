@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from hindcast.llm import substrings
-from hindcast.llm.substrings import Prefixes, common_extension, digest, pieces, remove_repeats, repeated_starts, suffix_sort
+from hindcast.llm.substrings import Prefixes, Runs, common_extension, digest, pieces, remove_repeats, repeated_starts, suffix_sort
 
 
 def brute(texts, length):
@@ -115,3 +115,32 @@ def test_empty(spark, tmp_path):
     assert answer(spark, [], tmp_path) == []
     with pytest.raises(ValueError):
         remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=10, seed=20)
+
+
+def colliding():
+    """Two texts of 320 bytes without a common string of 200, whose polynomial hashes modulo 2 ** 64 agree for the bases in use."""
+    product = np.array([1], object)
+    for power, times in ((1, 3), (2, 2), (4, 2), (8, 2), (16, 2), (32, 2), (192, 1)):
+        factor = np.zeros(power + 1, object)
+        factor[0], factor[-1] = -1, 1
+        for _ in range(times):
+            product = np.convolve(product, factor)
+    # The product's coefficients are the differences of the bytes; the middle 64 are equal, and are to be the anchor of all strings.
+    rng = np.random.default_rng(1)
+    every = np.ones(121, bool)
+    while True:
+        a = rng.integers(76, 83, len(product)) + (product // 2).astype(np.int64)
+        b = a - product.astype(np.int64)
+        if all(len(Runs(x.astype(np.uint8), every, 200, 64).first) == 1 for x in (a, b)):
+            return a.astype(np.uint8).tobytes().decode(), b.astype(np.uint8).tobytes().decode()
+
+
+def test_texts_whose_polynomial_hashes_agree_are_kept(spark, tmp_path):
+    a, b = colliding()
+    assert len(a) == len(b) == 320 and max(a + b) < "~"
+    size, at = np.array([320]), np.array([0])
+    one, two = (Prefixes(np.frombuffer(t.encode(), np.uint8)).part(at, size) for t in (a, b))
+    assert one == two
+    rows = [a, b]
+    assert answer(spark, rows, tmp_path) == brute(rows, 200)
+    assert [r[1] for r in brute(rows, 200)] == [0, 0]
