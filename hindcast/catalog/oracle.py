@@ -795,6 +795,8 @@ FROM counted c LEFT JOIN placed p ON p.ticker = c.ticker AND p.place IN (c.n, c.
 ORACLE["attempts_to_dlq"] = f"""WITH {PAYLOADS}, r AS (SELECT upper(trim(ticker)) AS ticker, contains(headline, 'user 3') AS bad FROM decoded WHERE reason IS NULL)
 SELECT ticker, count(*) FILTER (WHERE NOT bad) AS points, count(*) FILTER (WHERE bad) AS refused, CAST(CASE WHEN bool_or(bad) THEN 3 ELSE 0 END AS INTEGER) AS attempts FROM r GROUP BY 1"""
 ORACLE["sink_snapshot"] = f"WITH {EVENTS} SELECT ticker, count(*) AS events, max(published_at) AS last, true AS failed_once FROM news GROUP BY 1"
+ORACLE["redelivery_watermark"] = ORACLE["idempotent_redelivery"]
+ORACLE["scan_closes_partitioned"] = f"WITH {CLOSES} SELECT ticker, session_date, round(close, 6) AS close FROM closes WHERE ticker IN ('A', 'R')"
 ORACLE["vector_topk_cells"] = ORACLE["vector_topk_join"]
 ORACLE["dedup_first_csv"] = f"WITH {ARCHIVE} SELECT date, stock, ticker, calendar_date, sha256(normalized) AS headline_digest FROM clean"
 

@@ -116,6 +116,15 @@ def q_scan_closes(spark, sf):
     return rounded(rows, "close")
 
 
+@query
+def q_scan_closes_partitioned(spark, sf):
+    """Closes in a folder a ticker; only the folders of tickers that the events have are read."""
+    path = new_path(spark, "closes")
+    prices.write_closes(v.closes(spark, sf), path)
+    events = v.news_events(spark, sf).filter(F.col("ticker") != "N")
+    return rounded(prices.closes_of(events, prices.read_closes(spark, path)).select("ticker", "session_date", "close"), "close")
+
+
 @query
 def q_scan_sessions(spark, sf):
     return v.market(spark, sf)[1]
@@ -913,6 +922,21 @@ def q_idempotent_redelivery(spark, sf):
     return stored.join(kept, "ticker")
 
 
+@query
+def q_redelivery_watermark(spark, sf):
+    """All records three times: a minute later (dropped before the sink), and ten days later (stored, settled when read)."""
+    landed, out, dlq, check = (new_path(spark, n) for n in ("landed", "points", "dlq", "ck"))
+    records = v.payloads(spark, sf).select("key", "value", "topic", "partition", "offset")
+    tick = spark.createDataFrame([(None, bytearray(b"tick"), "news.raw", -1, 0)], streams.RECORD_SCHEMA)
+    for rows, arrived in ((records, "2024-05-01 00:00:00"), (records, "2024-05-01 00:01:00"), (tick, "2024-05-06 00:00:00"), (records, "2024-05-11 00:00:00")):
+        rows.withColumn("arrived_at", F.lit(arrived).cast("timestamp")).write.mode("append").parquet(landed)
+        stream = streams.without_redeliveries(streams.stream_record_files(spark, landed, timed=True), "1 hour")
+        stream_ingest(stream, out, dlq, check, available_now=True, prefix=v.PREFIX).awaitTermination()
+    stored = read_batches(spark, out).groupBy("ticker").agg(F.count(F.lit(1)).alias("deliveries"))
+    kept = point_sink.read_points(spark, out).groupBy("ticker").agg(F.count(F.lit(1)).alias("points"))
+    return stored.join(kept, "ticker")
+
+
 @query
 def q_restart_new_checkpoint(spark, sf):
     """Two streams with a checkpoint each into the same tables: all records of both stay."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast.fixed_values import (
@@ -22,7 +22,7 @@ from hindcast.fixed_values import (
     SHORT_RETURN_SESSIONS,
 )
 from hindcast.functions.risk import finite, label_high_risk, simple_return
-from hindcast.operators.scale import MAX_BROADCAST_ROWS, skew_join, small
+from hindcast.operators.scale import MAX_BROADCAST_ROWS, bounded, skew_join, small
 from hindcast.session import stage
 
 
@@ -38,6 +38,31 @@ def scan_closes(closes: DataFrame, start=None, end=None, tickers: Sequence[str]
     return rows.withColumn("close", finite(F.col("close")))
 
 
+CLOSE_COLUMNS = "session_date date, close double, ticker string"
+
+
+def write_closes(closes: DataFrame, path: str) -> None:
+    """Closes in a folder a ticker. Dealt by ticker and year, so that a long series is not one task."""
+    rows = scan_closes(closes)
+    rows.repartition("ticker", F.year("session_date")).write.partitionBy("ticker").parquet(path)
+
+
+def read_closes(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_closes` wrote; the schema is known, so no file is opened to plan a query."""
+    return spark.read.schema(CLOSE_COLUMNS).parquet(path)
+
+
+def closes_of(events: DataFrame, closes: DataFrame) -> DataFrame:
+    """The closes of the tickers that occur in the events.
+
+    The tickers (one row each, size-checked broadcast) prune the folders of `closes`
+    when the query runs: those of other tickers are not opened. The comparison
+    tells the planner that the tickers are a selection.
+    """
+    wanted = bounded(events.filter(F.col("ticker") > "").select("ticker").distinct(), "tickers")
+    return closes.join(wanted.filter(F.col("ticker") > ""), "ticker", "left_semi")
+
+
 def join_closes(closes: DataFrame, sessions: DataFrame) -> DataFrame:
     """Closes that fall on a session, with the session's position."""
     positions = small(sessions.select("session_idx", "session_date"), sessions.count())

@@ -12,6 +12,7 @@ from hindcast.operators.cleaning import unique_event_ids
 from hindcast.operators.contracts import parse_proposal
 from hindcast.operators.decisions import decide, stamp_identity
 from hindcast.operators.retrieval import visible
+from hindcast.session import stage
 
 ANSWER = ("action", "confidence", "rationale", "proposed_event_id", "proposed_ticker", "errors")
 
@@ -51,7 +52,8 @@ def run_decisions(
     one row an event. All joins are equi-joins on event_id, so one hash
     partitioning serves them.
     """
-    unique_event_ids(scored_features)
+    # Checked for repeated ids and then joined: not computed for each.
+    scored_features = unique_event_ids(stage(scored_features, "features"))
     clocks = events.select("event_id", "published_at")
     seen = hits.select("event_id", "available_at").join(clocks, "event_id").filter(visible())
     n_hits = seen.groupBy("event_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n_hits"))

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.session import stage
+from hindcast.sources.streams import PLACE
 
-PLACE = ("topic", "partition", "offset")
 LEDGER = "topic string, partition int, offset long, attempt int, reason string"
 MAX_REASON = 300
 

@@ -19,7 +19,8 @@ from hindcast.functions.vectors import unit
 from hindcast.operators.payloads import decode_payload
 from hindcast.sinks.points import payload_columns, points_from_events, upsert_points
 from hindcast.sinks.runs import current_run, write_batch
-from hindcast.streaming.attempts import PLACE, encode_with_attempts, guarded
+from hindcast.sources.streams import PLACE
+from hindcast.streaming.attempts import encode_with_attempts, guarded
 
 
 def sink_dlq(bad: DataFrame, target: str, batch_id: int, fmt: str = "parquet", run: str | None = None) -> None:

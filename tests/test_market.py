@@ -2,6 +2,7 @@
 
 import bisect
 import math
+import os
 import random
 from datetime import date, datetime, timedelta
 
@@ -151,3 +152,20 @@ def test_coverage(spark, closes):
 def test_scan_closes_range(closes):
     rows = prices.scan_closes(closes, DAYS[3], DAYS[5], ["A"]).collect()
     assert sorted(r.session_date for r in rows) == DAYS[3:6]
+
+
+def test_folders_of_absent_tickers_are_not_read(spark, folder):
+    """A file that cannot be read stands in an absent ticker's folder."""
+    days = [(t, date(2024, 1, 1 + i), float(i)) for t in ("A", "B", "C") for i in range(9)]
+    path = f"{folder}/closes"
+    prices.write_closes(spark.createDataFrame(days, "ticker string, session_date date, close double"), path)
+    os.makedirs(f"{path}/ticker=ZZ")
+    with open(f"{path}/ticker=ZZ/part-0.parquet", "wb") as f:
+        f.write(b"not a table")
+    closes = prices.read_closes(spark, path)
+    with pytest.raises(Exception, match="part-0.parquet|Parquet"):
+        closes.count()
+    events = spark.createDataFrame([("1", "A"), ("2", "A"), ("3", "C"), ("4", "none"), ("5", None), ("6", "")], "event_id string, ticker string")
+    got = prices.closes_of(events, closes)
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.ticker, r.n) for r in got.groupBy("ticker").agg(F.count("close").alias("n")).collect()} == {("A", 9), ("C", 9)}

@@ -10,7 +10,7 @@ from hindcast.sinks import points as point_sink
 from hindcast.sinks.runs import read_batches, write_batch
 from hindcast.sinks.snapshots import current_snapshot, read_snapshot, write_snapshot
 from hindcast.sinks.tables import sink_news_raw
-from hindcast.sources.streams import RECORD_SCHEMA, stream_record_files
+from hindcast.sources.streams import RECORD_SCHEMA, stream_record_files, without_redeliveries
 from hindcast.streaming.attempts import guarded
 from hindcast.streaming.ingest import ingest_batch, stream_ingest, with_attempts
 
@@ -188,3 +188,20 @@ def test_published_records_round_trip(spark, folder):
     assert "url" not in json.loads(spark.read.parquet(f"{folder}/in").select(F.col("value").cast("string")).first()[0])
     vector = embed_unit(events.select(F.col("headline").alias("text"))).first().vector
     assert list(row.vector) == list(vector)
+
+
+def test_redeliveries_within_the_bound_do_not_reach_the_sink(spark, folder):
+    def deliver(rows, arrived):
+        rows = [(bytearray(k), bytearray(v), t, p, o) for k, v, t, p, o in rows]
+        timed = spark.createDataFrame(rows, RECORD_SCHEMA).withColumn("arrived_at", F.lit(arrived).cast("timestamp"))
+        timed.write.mode("append").parquet(f"{folder}/in")
+        stream = without_redeliveries(stream_record_files(spark, f"{folder}/in", timed=True), "1 hour")
+        stream_ingest(stream, f"{folder}/points", f"{folder}/dlq", f"{folder}/ck", available_now=True).awaitTermination()
+        return sorted(r.offset for r in read_batches(spark, f"{folder}/points").collect())
+
+    assert deliver([record(0), record(1), record(1)], "2024-05-01 00:00:00") == [0, 1]
+    assert deliver([record(0), record(2)], "2024-05-01 00:10:00") == [0, 1, 2]
+    assert deliver([record(3)], "2024-05-06 00:00:00") == [0, 1, 2, 3]
+    # Beyond the bound a redelivery is stored again and settled by the reader.
+    assert deliver([record(0)], "2024-05-11 00:00:00") == [0, 0, 1, 2, 3]
+    assert sorted(r.document_id for r in point_sink.read_points(spark, f"{folder}/points").collect()) == ["e0", "e1", "e2", "e3"]
