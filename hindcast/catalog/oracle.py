@@ -797,6 +797,8 @@ SELECT ticker, count(*) FILTER (WHERE NOT bad) AS points, count(*) FILTER (WHERE
 ORACLE["sink_snapshot"] = f"WITH {EVENTS} SELECT ticker, count(*) AS events, max(published_at) AS last, true AS failed_once FROM news GROUP BY 1"
 ORACLE["redelivery_watermark"] = ORACLE["idempotent_redelivery"]
 ORACLE["scan_closes_partitioned"] = f"WITH {CLOSES} SELECT ticker, session_date, round(close, 6) AS close FROM closes WHERE ticker IN ('A', 'R')"
+ORACLE["envelope_extras"] = f"""WITH {EVENTS} SELECT event_id, 'success' AS status, CASE WHEN k % 7 > 2 THEN k % 5 END AS shard,
+  CASE WHEN k % 7 > 2 THEN 'w' || (k % 3) END AS name, CASE WHEN k % 7 > 2 THEN 'b' || (k % 4) END AS tag, CAST(NULL AS BIGINT) AS no_number FROM news"""
 ORACLE["vector_topk_cells"] = ORACLE["vector_topk_join"]
 ORACLE["dedup_first_csv"] = f"WITH {ARCHIVE} SELECT date, stock, ticker, calendar_date, sha256(normalized) AS headline_digest FROM clean"
 

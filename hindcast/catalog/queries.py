@@ -339,6 +339,27 @@ def q_build_envelope(spark, sf):
     )
 
 
+@query
+def q_envelope_extras(spark, sf):
+    """Free-form extras of several kinds, written with the run records and read back by path."""
+    path = new_path(spark, "runs")
+    key = F.col("event_id").cast("long")
+    text = F.when(key % 7 == 0, F.lit("[1, 2]")).when(key % 7 == 1, F.lit("not json")).when(key % 7 == 2, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit('{"shard": '), (key % 5).cast("string"), F.lit(', "who": {"name": "w'), (key % 3).cast("string"), F.lit('"}, "tags": ["a", "b'), (key % 4).cast("string"), F.lit('"]}'))
+    )
+    events = v.news_events(spark, sf)
+    lacking = ("action", "rationale", "decision", "decision_reason", "model_version", "bundle_id", "policy_version", "error_message")
+    rows = events.select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in lacking], *[F.lit(None).cast("double").alias(c) for c in ("confidence", "downside_risk_score", "features_used")],
+        F.lit(None).cast("date").alias("feature_as_of"), F.lit(False).alias("proposal_ok"), F.lit(0).alias("n_hits"),
+    )
+    sinks.sink_run_records(decisions.build_envelope(rows, extras=text), path)
+    return sinks.read_run_records(spark, path).select(
+        "event_id", "status", decisions.extra("shard", "long").alias("shard"), decisions.extra("who.name", "string").alias("name"),
+        decisions.extra("tags[1]", "string").alias("tag"), decisions.extra("who", "long").alias("no_number"),
+    )
+
+
 # --- joins -----------------------------------------------------------------
 
 

@@ -72,15 +72,30 @@ def error_code(message: Column) -> Column:
     )
 
 
+def free_form(text: Column) -> Column:
+    """JSON text of an object as a variant, parsed once; an empty object for anything else."""
+    parsed = F.try_parse_json(text)
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed).otherwise(F.parse_json(F.lit("{}")))
+
+
+def extra(name: str, kind: str, column: str = "extras") -> Column:
+    """A field of the extras by its path, null where it is absent or of another kind."""
+    return F.try_variant_get(F.col(column), f"$.{name}", kind)
+
+
 def build_envelope(
     rows: DataFrame,
     mode: str = "replay",
     rag_mode: str = "fixture",
     resource_mode: str = "replay_fixture",
     side_output_failed: Column | None = None,
+    extras: Column | None = None,
 ) -> DataFrame:
     """Nested run record per event.
 
+    `extras` is free-form: JSON text of an object, kept as a variant with its own types;
+    anything else gives an empty object.
+
     Status is `error` with a message, `degraded` when only a side output
     failed, else `success`.
     """
@@ -112,5 +127,5 @@ def build_envelope(
         F.when(failed, error).alias("error"),
         now.alias("started_at"),
         now.alias("finished_at"),
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("extras"),
+        free_form(F.lit("{}") if extras is None else extras).alias("extras"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.fixed_values import NEWS_TOPIC
@@ -63,3 +63,11 @@ def sink_run_records(envelopes: DataFrame, path: str) -> None:
     """One JSON document per run, by run date."""
     dated = envelopes.withColumn("run_date", F.to_date("started_at"))
     dated.write.mode("append").partitionBy("run_date").json(path)
+
+
+RUN_COLUMNS = "run_id string, event_id string, ticker string, status string, mode string, retrieval_hit_count long, extras variant"
+
+
+def read_run_records(spark: SparkSession, path: str) -> DataFrame:
+    """The flat part of stored run records, and their extras as a variant."""
+    return spark.read.schema(RUN_COLUMNS).json(path)
