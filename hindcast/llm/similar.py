@@ -24,10 +24,13 @@ Groups. Documents with equal sets are one node, so groups of copies never grow.
 Documents that name the same block are candidates. First every node is compared
 with the smallest nodes it meets, which most of a group have in common; verified
 links make components. Then only
-candidates of different components are compared. So all candidate pairs are
-either compared or in one component already, and no task holds or emits a
-group's pairs. In each task a named block is passed on once, whatever the number
-of its nodes, so a very common block doesn't fill one task.
+candidates of different components meet. Blocks named by the very same nodes count
+once; sizes, sketches and whether the two met at a smaller key already are conditions
+of the join, so only what texts must settle leaves it, nearly always once. A block named
+by very many nodes is dealt in parts of bounded size, each part against each.
+So all candidate pairs are either compared or in one component already, and no task
+holds or emits a group's pairs. In each task a named block is passed on once, whatever
+the number of its nodes, so a very common block doesn't fill one task.
 
 Nulls and edges: a text without words (or null) has no shingles and links with
 nothing; with fewer words than a shingle the whole sequence is one. Rows with
@@ -59,6 +62,10 @@ SMALL_BITS = 40
 KEY_BITS = 48
 #: How many of the smallest nodes that it meets a node is compared with at first; what that leaves open is compared in full.
 HUBS = 6
+#: How many of a node's smallest open keys travel with it, to tell pairs that met already.
+MET = 4
+#: Nodes of one key that are compared in one task with as many others.
+PART_NODES = 4096
 FLUSH_ROWS = 700_000
 TEXT_FILTER_BITS = 24
 
@@ -105,17 +112,17 @@ def bit_sketches(ends: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.ndarray]:
-    """Per row doc_id, node, n and its bit sketch; and by the low bits of a shingle's hash how frequent it is (log 2).
+    """Per row doc_id, node, n, its bit sketch and a hash of its text; and by the low bits of a shingle's hash how frequent it is (log 2).
 
     The frequencies are sums over all documents of what stands out in a task; a
     table of fixed size.
     """
-    schema = f"doc_id long, node long, n long, {', '.join(f'{s} long' for s in SKETCH)}, times long"
+    schema = f"doc_id long, node long, n long, {', '.join(f'{s} long' for s in SKETCH)}, t long, times long"
     buckets = 1 << COUNT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.zeros(buckets, np.int64)
-        names = ["doc_id", "node", "n", *SKETCH, "times"]
+        names = ["doc_id", "node", "n", *SKETCH, "t", "times"]
         for batch in slices(batches, "text"):
             ends, values = shingle_sets(text_array(batch.column("text")))
             times += np.bincount((values & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
@@ -123,14 +130,14 @@ def describe(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.nda
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(signed(set_ids(ends, values))), pa.array(np.diff(ends))]
                 + [pa.array(signed(words[:, k])) for k in range(len(SKETCH))]
-                + [pa.nulls(batch.num_rows, pa.int64())],
+                + [batch.column("t"), pa.nulls(batch.num_rows, pa.int64())],
                 names=names,
             )
         heavy = np.flatnonzero(times >= 8 + 2 * times.mean())
         empty = pa.nulls(len(heavy), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, pa.array(heavy), *[empty] * (1 + len(SKETCH)), pa.array(times[heavy])], names=names)
+        yield pa.RecordBatch.from_arrays([empty, pa.array(heavy), *[empty] * (2 + len(SKETCH)), pa.array(times[heavy])], names=names)
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     both = stage(narrow.transform(in_arrow, run, schema), "sets")
     counts = both.filter(F.col("times").isNotNull()).groupBy("node").agg(F.sum("times").alias("times")).toPandas()
     level = np.zeros(buckets, np.uint8)
@@ -304,8 +311,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_a"):
             n = batch.num_rows
-            # The two texts of pair k are texts k and n + k.
-            ends, values = shingle_sets(pa.concat_arrays([text_array(batch.column("_a")), text_array(batch.column("_b"))]))
+            # The two texts of pair k are texts k and n + k; a node's text is cut into shingles once.
+            nodes = np.concatenate([batch.column(c).to_numpy() for c in ("u", "v")])
+            _, first, place = np.unique(nodes, return_index=True, return_inverse=True)
+            both = pa.concat_arrays([text_array(batch.column("_a")), text_array(batch.column("_b"))])
+            at, sets = shingle_sets(both.take(pa.array(first)))
+            length = np.diff(at)[place]
+            ends = np.concatenate(([0], np.cumsum(length)))
+            values = sets[np.arange(ends[-1]) + np.repeat(at[:-1][place] - ends[:-1], length)]
             pair = owners(ends) % n
             order = np.lexsort((values, pair))
             values, pair = values[order], pair[order]
@@ -327,17 +340,24 @@ def compared(docs: DataFrame, text: str, rows: DataFrame, pairs: DataFrame) -> D
     u, v = known.alias("a"), known.alias("b")
     likely = pairs.join(u, F.col("u") == F.col("a.node")).join(v, F.col("v") == F.col("b.node")).filter(_may_link("a", "b")).select("u", "v")
     likely = stage(likely, "likely")
+    return settled(docs, text, rows, likely)
+
+
+def settled(docs: DataFrame, text: str, rows: DataFrame, likely: DataFrame) -> DataFrame:
+    """The linked ones of the pairs (u, v) by their texts."""
     nodes = likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))).distinct()
-    return stage(verified(likely, texts_of(docs, text, stage(nodes, "nodes"))), "verified")
+    return stage(verified(likely, texts_of(docs, text, rows, nodes)), "verified")
 
 
-def texts_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, text: str, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """One text for each of the nodes. Documents pass a bit table of fixed size before they are shuffled."""
     low = (1 << TEXT_FILTER_BITS) - 1
-    place = F.col("node").bitwiseAND(F.lit(low))
+    # Equal sets may have different texts; any of them will do.
+    wanted = stage(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "wanted")
+    place = F.col("t").bitwiseAND(F.lit(low))
     # At most 2 ** TEXT_FILTER_BITS / 64 rows.
-    marks = nodes.groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast((node & {low}) % 64 as int))")).alias("bits")
+    marks = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast((t & {low}) % 64 as int))")).alias("bits")
     ).toPandas()
     bits = np.zeros((low + 1) // 64, np.int64)
     bits[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
@@ -345,22 +365,61 @@ def texts_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, text):
-            texts = text_array(batch.column(text))
-            ids = set_ids(*shingle_sets(texts))
-            at = ids & np.uint64(low)
-            marked = (sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        for batch in batches:
+            at = batch.column("t").to_numpy().view(np.uint64)
+            place = at & np.uint64(low)
+            marked = (sent.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
             rows = []
             for k in np.flatnonzero(marked).tolist():
-                i = int(ids[k])
+                i = int(at[k])
                 if i not in seen:
                     seen.add(i)
                     rows.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(ids[rows])), texts.take(pa.array(rows, pa.int64()))], names=["node", "text"])
+            yield batch.take(pa.array(rows, pa.int64()))
+
+    found = docs.select(F.xxhash64(text).alias("t"), F.col(text).alias("text")).transform(in_arrow, run, "t long, text string")
+    return stage(found.join(wanted, "t").groupBy("node").agg(F.min("text").alias("text")), "texts")
 
-    found = docs.select(text).transform(in_arrow, run, "node long, text string")
-    # Equal sets may have different texts; any of them will do.
-    return stage(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+def apart(blocks: DataFrame, label: DataFrame, rows: DataFrame, part_nodes: int = PART_NODES) -> DataFrame:
+    """Pairs (u, v) of different components that share a key and may link by sizes and sketches."""
+    tagged = blocks.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    # What stands for a key's list of nodes: sums of the halves of two hashes.
+    hashes = [F.xxhash64("node"), F.xxhash64("node", F.lit(1))]
+    halves = [h for x in hashes for h in (x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32))]
+    lists = tagged.groupBy("key").agg(
+        F.min("component").alias("_x"), F.max("component").alias("_y"), F.count(F.lit(1)).alias("_n"),
+        *[F.sum(h).alias(f"_h{k}") for k, h in enumerate(halves)],
+    ).filter("_x <> _y")
+    keys = lists.groupBy("_n", *[f"_h{k}" for k in range(len(halves))]).agg(F.min("key").alias("key"))
+    parts = F.ceil(F.col("_n") / part_nodes).cast("int").alias("parts")
+    open_rows = stage(tagged.join(keys.select("key", parts), "key"), "open")
+    met = open_rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, MET).alias("_met"))
+    about = rows.filter("n > 0").groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", *SKETCH)])
+    # Fewer than MET keys: the last one is repeated.
+    first = [F.coalesce(F.get("_met", F.lit(k)), F.element_at("_met", -1)).alias(f"m{k}") for k in range(MET)]
+    about = met.join(about, "node").select("node", "n", *SKETCH, *first)
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    slots = F.expr("transform(sequence(0, parts - 1), p -> greatest(p, own) * parts + least(p, own))")
+    dealt = (
+        open_rows.join(about, "node")
+        .withColumn("own", own)
+        .withColumn("slot", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(slots)))
+        .withColumn("alone", F.col("slot") == F.col("own") * (F.col("parts") + 1))
+        .drop("parts")
+    )
+    dealt = stage(dealt, "dealt")
+    met_before = F.lit(False)
+    for i in range(MET):
+        for j in range(MET):
+            met_before |= (F.col(f"a.m{i}") == F.col(f"b.m{j}")) & (F.col(f"a.m{i}") < F.col("a.key"))
+    meet = (
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.component") < F.col("b.component"))
+        # Two of one part meet in that part's own slot only.
+        & (F.col("a.alone") | (F.col("a.own") != F.col("b.own")))
+        & _may_link("a", "b") & ~met_before
+    )
+    return dealt.alias("a").join(dealt.alias("b"), meet).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -377,18 +436,10 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     first = stage(hubs.select("u", F.explode(F.slice(F.array_sort("_hubs"), 1, HUBS)).alias("v")), "pairs")
     found = compared(docs, text, rows, first)
     label = stage(components(found), "components")
-    # Candidates that are in different components still; rows stay narrow until pairs are distinct.
-    sizes = rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    tagged = blocks.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = tagged.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("key")
-    open_rows = stage(tagged.join(mixed, "key", "left_semi").join(sizes, "node"), "open")
-    x, y = open_rows.alias("a"), open_rows.alias("b")
-    sized = (4 * F.col("a.n") >= 3 * F.col("b.n")) & (4 * F.col("b.n") >= 3 * F.col("a.n"))
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & sized
-    more = x.join(y, apart).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-    more = stage(more.join(first, ["u", "v"], "left_anti"), "pairs")
+    # Candidates that are in different components still.
+    more = stage(apart(blocks, label, rows).join(first, ["u", "v"], "left_anti"), "pairs")
     if not more.isEmpty():
-        also = compared(docs, text, rows, more)
+        also = settled(docs, text, rows, more)
         if not also.isEmpty():
             label = stage(components(found.unionByName(also)), "components")
     return rows.select("doc_id", "node", "n"), label

@@ -125,3 +125,32 @@ def test_components(spark):
 
 def test_empty(spark, tmp_path):
     assert answer(spark, [], tmp_path) == []
+
+
+@pytest.mark.parametrize("part_nodes", [3, 4096])
+def test_pairs_of_different_components_against_all_pairs(spark, part_nodes):
+    """Keys with equal lists, repeated rows, hot keys in parts: the same pairs as meeting at every key."""
+    rng = np.random.default_rng(part_nodes)
+    n = 40
+    size = rng.integers(5, 40, n)
+    sketch = rng.integers(0, 8, (n, len(similar.SKETCH)))
+    lists = [rng.choice(n, int(k), replace=False) for k in rng.integers(1, 25, 30)]
+    lists += lists[:10] + [np.arange(n)]
+    blocks = [(100 + k, int(i)) for k, nodes in enumerate(lists) for i in nodes] + [(100, int(i)) for i in lists[0]]
+    label = {i: i % 9 for i in range(n) if i % 3}
+    rows = [(i, i, int(size[i]), *map(int, sketch[i])) for i in range(n)]
+    got = similar.apart(
+        spark.createDataFrame(blocks, "key long, node long"),
+        spark.createDataFrame(list(label.items()), "node long, component long"),
+        spark.createDataFrame(rows, ["doc_id", "node", "n", *similar.SKETCH]),
+        part_nodes,
+    )
+    expected = set()
+    for nodes in lists:
+        for u in nodes.tolist():
+            for v in nodes.tolist():
+                sized = 4 * size[u] >= 3 * size[v] and 4 * size[v] >= 3 * size[u]
+                near = 7 * np.bitwise_count(sketch[u] ^ sketch[v]).sum() <= size[u] + size[v]
+                if u > v and label.get(u, u) != label.get(v, v) and sized and near:
+                    expected.add((u, v))
+    assert expected and sorted(map(tuple, got.collect())) == sorted(expected)
