@@ -13,7 +13,8 @@ empty and a null role as `unknown`; null equals null in the comparison. A pair
 with one side missing has an empty completion there and no shared turns. If one
 side is the beginning of the other, its completion is empty; equal sides share
 all turns and both are empty. Rows with a null pair or an unknown side are left
-out. `<|` in a text is written `< |`, so that no text can close a turn.
+out. `<|` in a text or role is written `< |`, so that none can close a turn; in a
+role `|>` is written `| >` too, and a line end is a space, so that it stays in its header.
 
 All turns of one conversation become one string, which is the result itself;
 nothing else is gathered.
@@ -59,7 +60,10 @@ def _spans(turns: Column) -> Column:
 def format_preferences(turns: DataFrame) -> DataFrame:
     """turns: pair_id, side (`chosen` or `rejected`), turn, role, text. One row a pair."""
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |"))
-    turn = F.struct("turn", F.coalesce(F.col("role"), F.lit("unknown")).alias("role"), text.alias("text"))
+    role = F.translate(F.coalesce(F.col("role"), F.lit("unknown")), "\n\r", "  ")
+    for mark in ("<|", "|>"):
+        role = F.replace(role, F.lit(mark), F.lit(" ".join(mark)))
+    turn = F.struct("turn", role.alias("role"), text.alias("text"))
     of = {s: F.sort_array(F.collect_list(F.when(F.col("side") == s, turn))).alias(f"_{s}") for s in ("chosen", "rejected")}
     known = turns.filter(F.col("pair_id").isNotNull() & F.col("side").isin(*of))
     pairs = known.groupBy("pair_id").agg(*of.values())

@@ -10,12 +10,17 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
+
+from hindcast.operators.scale import small
+from hindcast.session import stage
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BATCH_BYTES = "16m"
@@ -34,10 +39,32 @@ def give_back() -> None:
         pass  # another C library
 
 
+_remembered: list = []
+
+
+def remembered(maxsize: int) -> Callable:
+    """lru_cache for what a worker keeps from task to task; tasks of other modules drop it."""
+
+    def wrap(make: Callable) -> Callable:
+        kept = lru_cache(maxsize)(make)
+        _remembered.append(kept)
+        return kept
+
+    return wrap
+
+
+def forget_others(module: str) -> None:
+    for kept in _remembered:
+        if kept.__module__ != module:
+            kept.cache_clear()
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow whose workers keep no memory after a task."""
+    """mapInArrow whose workers keep no memory after a task but what `run`'s module remembers."""
+    module = run.__module__
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(module)
         try:
             yield from run(batches)
         finally:
@@ -51,6 +78,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one file may hold.
+FILE_ROWS_BITS = 40
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row: its file's place among all file names, and its place in the file.
+
+    It is the same in every scan, however files are split over tasks then. docs is a
+    Parquet table, filtered or with columns selected at most; other frames (and tables
+    of other formats) are written first. File names reach the driver, as they do when
+    Spark lists the files.
+    """
+    path, place = unused("_path", docs.columns), unused("_place", docs.columns)
+    try:
+        meta = docs.metadataColumn("_metadata")
+        placed = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(place))
+    except AnalysisException:  # not read from Parquet files
+        return numbered(stage(docs, "unnumbered"), name)
+    paths = sorted(r[0] for r in placed.select(path).distinct().collect())
+    file = unused("_file", docs.columns)
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"{file} long, {path} string")
+    number = F.shiftleft(file, FILE_ROWS_BITS).bitwiseOR(F.col(place))
+    return placed.join(small(files, len(paths)), path).select(*docs.columns, number.alias(name))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

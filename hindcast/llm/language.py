@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import held_out, in_arrow, slices, table, text_array, with_columns
+from hindcast.llm.common import held_out, in_arrow, slices, table, text_array, unused, with_columns
 from hindcast.session import stage
 
 ORDER = 3
@@ -218,11 +218,15 @@ def code_lengths(trees: Trees, texts: pa.Array) -> np.ndarray:
 
 
 def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (share of the best language among all, by code length) and bits (of the best)."""
+    """docs with lang_pred, score (share of the best language among all, by code length) and bits (of the best).
+
+    A name that docs has already gets `_` before it.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(trees)
     names = np.array([*trees.langs, UNKNOWN], dtype=object)
-    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
+    lang_name, score_name, bits_name = (unused(c, docs.columns) for c in ("lang_pred", "score", "bits"))
+    extra = [T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType()), T.StructField(bits_name, T.DoubleType())]
     schema = T.StructType([*docs.schema.fields, *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +242,7 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
                 least = lengths[np.arange(n), winner]
                 share = 1 / np.exp2(np.maximum(least[:, None] - lengths, -1000)).sum(1)
                 best, score, bits = np.where(told, winner, best), np.where(told, share, 0.0), np.where(told, least, 0.0)
-            yield with_columns(batch, lang_pred=pa.array(names[best], pa.string()), score=score, bits=bits)
+            yield with_columns(batch, **{lang_name: pa.array(names[best], pa.string()), score_name: score, bits_name: bits})
 
     return docs.transform(in_arrow, run, schema)
 

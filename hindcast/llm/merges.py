@@ -29,7 +29,6 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import in_arrow, slices, table, text_array
+from hindcast.llm.common import in_arrow, remembered, slices, table, text_array
 
 RANKS = "byte_bpe_50k.tiktoken"
 KNOWN_PIECES = 200_000
@@ -322,7 +321,7 @@ def _cut(items: Iterator[str], size: int) -> Iterator[list[str]]:
         yield part
 
 
-@lru_cache(maxsize=2)
+@remembered(maxsize=2)
 def merger(path: str, pattern: str) -> Merger:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}

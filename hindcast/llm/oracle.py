@@ -46,7 +46,7 @@ side AS (
          CASE WHEN role = 'assistant' AND turn IS NOT DISTINCT FROM lturn THEN other ELSE text END
   FROM t LEFT JOIN plan p ON p.conv_id = t.conv_id),
 clean AS (
-  SELECT conv_id, side, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM side),
+  SELECT conv_id, side, turn, replace(replace(translate(coalesce(role, 'unknown'), chr(10) || chr(13), '  '), '<|', '< |'), '|>', '| >') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM side),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS k FROM clean),
 differ AS (

@@ -14,7 +14,9 @@ languages play no part in the features, so that layouts are all it learns.
 
 Nulls and edges: null or empty html gives an empty text; a page without
 article blocks too; unclosed elements, truncated pages and stray end tags are
-read as far as they go. Head, script, style, template, iframe and svg give no
+read as far as they go. Tags that may be left out end where a browser ends them: a
+head at the first thing that is no metadata, an svg at the first element of a page.
+Reading takes time in proportion to the page, however deep it is. Head, script, style, template, iframe and svg give no
 text (no reader sees it as such). Formulas and what stands in for scripts, objects
 and media are text like that of other inline elements; the field judges it.
 `<br>` is white space inside a block.
@@ -23,6 +25,8 @@ and media are text like that of other inline elements; the field judges it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -42,6 +46,16 @@ BLOCKS = frozenset(
     " textarea tfoot th thead tr ul".split()
 )
 UNSEEN = frozenset("head script style template title iframe svg".split())
+INLINE = frozenset(
+    "a abbr audio b bdi bdo canvas cite code data del dfn em font i ins kbd mark math noscript object q ruby s samp small span strong"
+    " sub sup time tt u var video".split()
+)
+#: What a head may hold, and the elements of a page that an svg cannot hold.
+METADATA = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre"
+    " ruby s small span strike strong sub sup table tt u ul var".split()
+)
 PARTS = frozenset("nav header footer aside form article main section figure table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that ends an open element of the second kind (up to the nearest element of the third kind).
@@ -72,6 +86,7 @@ SIZES = (3, 8, 15, 30, 60, 120)
 @dataclass
 class Block:
     text: str
+    #: Known tags around it, each once, the innermost last.
     path: tuple[str, ...]
     hints: frozenset[str]
     #: The innermost ancestor that tells a part of a page by its name or tag.
@@ -80,12 +95,27 @@ class Block:
     label: int = 0
 
 
+@dataclass(slots=True)
+class Open:
+    """An open element, and what its blocks inherit."""
+
+    tag: str
+    hints: frozenset[str]
+    path: tuple[str, ...]
+    near: str
+    #: Whether its end ends a block; nothing does inside an element without text.
+    parts_text: bool
+
+
 class Leaves(HTMLParser):
     """The leaf blocks of a page, in order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, frozenset[str]]] = []
+        self.open: list[Open] = []
+        #: Where in `open` each tag stands, ascending.
+        self.at: dict[str, list[int]] = {}
+        self.hints: Counter[str] = Counter()
         self.unseen = 0
         self.links = 0
         self.parts: list[str] = []
@@ -95,59 +125,85 @@ class Leaves(HTMLParser):
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            hints = frozenset().union(*(h for _, h in self.open)) if self.open else frozenset()
-            near = next((",".join(sorted(h)) if h else t for t, h in reversed(self.open) if h or t in PARTS), "none")
-            self.blocks.append(Block(text, tuple(t for t, _ in self.open), hints, near, self.linked))
+            path, near = (self.open[-1].path, self.open[-1].near) if self.open else ((), "none")
+            self.blocks.append(Block(text, path, frozenset(self.hints), near, self.linked))
         self.parts, self.linked = [], 0
 
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag, or -1."""
+        return self.at[tag][-1] if tag in self.at else -1
+
+    def push(self, tag: str, hints: frozenset[str]) -> None:
+        path, near = (self.open[-1].path, self.open[-1].near) if self.open else ((), "none")
+        if (tag in BLOCKS or tag in INLINE) and path[-1:] != (tag,):
+            path = (*(t for t in path if t != tag), tag)
+        if hints or tag in PARTS:
+            near = ",".join(sorted(hints)) or tag
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append(Open(tag, hints, path, near, tag in BLOCKS and not self.unseen))
+        self.hints.update(hints)
+        self.unseen += tag in UNSEEN
+        self.links += tag == "a"
+
     def pop(self, keep: int) -> None:
         """Close open elements down to `keep` of them."""
-        if any(t in BLOCKS for t, _ in self.open[keep:]):
+        if any(e.parts_text for e in self.open[keep:]):
             self.flush()
-        for t, _ in self.open[keep:]:
-            self.unseen -= t in UNSEEN
-            self.links -= t == "a"
-        del self.open[keep:]
+        while len(self.open) > keep:
+            e = self.open.pop()
+            self.at[e.tag].pop()
+            if not self.at[e.tag]:
+                del self.at[e.tag]
+            for h in e.hints:
+                self.hints[h] -= 1
+                if not self.hints[h]:
+                    del self.hints[h]
+            self.unseen -= e.tag in UNSEEN
+            self.links -= e.tag == "a"
+
+    def end_unseen(self, tag: str) -> None:
+        """Close what a start tag ends without an end tag: svg, head, and before a body whatever gives no text."""
+        while tag in ENDS_SVG and self.last("svg") > self.last("foreignobject"):
+            self.pop(self.last("svg"))
+        if self.unseen == 1 and "head" in self.at and tag not in METADATA:
+            self.pop(self.last("head"))
+        if tag == "body" and self.unseen:
+            self.pop(min(self.at[t][0] for t in UNSEEN if t in self.at))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.unseen:
+            self.end_unseen(tag)
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag == "body" and self.unseen:  # a head that was never closed
-            self.pop(next(k for k, (t, _) in enumerate(self.open) if t in UNSEEN))
+        if tag == "head" and any(t != "html" for t in self.at):  # a page has one head, at its start
+            return
         ended, until = CLOSES.get(tag, ((), ()))
-        cut = None
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in until:
-                break
-            if self.open[k][0] in ended:
-                cut = k
-        if cut is not None:
-            self.pop(cut)
-        if tag in BLOCKS:
+        floor = max(map(self.last, (*until, "template", "foreignobject")))
+        cuts = [self.at[t][k] for t in ended if t in self.at and (k := bisect_right(self.at[t], floor)) < len(self.at[t])]
+        if cuts:
+            self.pop(min(cuts))
+        if tag in BLOCKS and not self.unseen:
             self.flush()
         if tag in VOID:
             return
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-        hints = frozenset(HINT_OF[w] for w in map(str.lower, WORDS.findall(named)) if w in HINT_OF)
-        self.open.append((tag, hints))
-        self.unseen += tag in UNSEEN
-        self.links += tag == "a"
+        self.push(tag, frozenset(HINT_OF[w] for w in map(str.lower, WORDS.findall(named)) if w in HINT_OF))
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.pop(k)
-                return
-        if tag == "p":
+        if tag in self.at:
+            self.pop(self.last(tag))
+        elif tag == "p":
             self.flush()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.open[-1][0] == tag:
+        if tag not in VOID and self.open and self.open[-1].tag == tag:
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.unseen == 1 and self.open[-1].tag == "head" and data.strip():
+            self.pop(len(self.open) - 1)
         if not self.unseen:
             self.parts.append(data)
             if self.links:
@@ -265,7 +321,7 @@ def labelled_page(rng: np.random.Generator) -> str:
     def text(low: int, high: int, end: str = ".") -> str:
         return " ".join("w" * int(k) for k in rng.integers(1, 9, int(rng.integers(low, high + 1)))) + end
 
-    def pick(*options: str) -> str:
+    def pick(*options):
         return options[int(rng.integers(len(options)))]
 
     def links(low: int, high: int) -> str:
@@ -325,6 +381,9 @@ def labelled_page(rng: np.random.Generator) -> str:
             blocks.append(part("comment"))
         a, z = pick("article", "article", "main", "div", "section"), ""
         a, z = (f"<{a}>" if a in ("article", "main") and rng.random() < 0.6 else f'<{a} {pick("class", "id")}="{pick("content", "post-content", "entry", "article-body", "story", "main")}">'), f"</{a}>"
+        if rng.random() < 0.25:  # a container that tells nothing, or none
+            name = pick("", "", "container", "wrapper", "row", "col", "inner")
+            a, z = pick(("", ""), (f'<div class="{name}">' if name else "<div>", "</div>"))
         whole = a + "".join(blocks) + z
         if rng.random() < 0.3:
             whole = f"<main>{whole}{''.join(part(k) for k in ('side', 'share', 'ad', 'comment') if rng.random() < 0.4)}</main>"
@@ -332,7 +391,18 @@ def labelled_page(rng: np.random.Generator) -> str:
 
     before = [part(k) for k in ("header", "nav", "note", "ad", "form", "share", "side") if rng.random() < 0.4]
     after = [part(k) for k in ("share", "side", "ad", "comment", "form", "note") if rng.random() < 0.4] + [part("footer")] * (rng.random() < 0.85)
-    return "<html><head><title>t</title></head><body>" + "".join(before) + article() + "".join(after) + "</body></html>"
+    layout = rng.random()
+    if layout < 0.08:  # nothing but the article, in a page that names no parts
+        before, after = [], []
+    inside = article()
+    if layout < 0.16:
+        cells = ["".join(before), inside, "".join(after)]
+        body = "<table><tr>" + "".join(f"<td>{c}</td>" for c in cells if c) + "</tr></table>"
+    else:
+        body = "".join(before) + inside + "".join(after)
+    if rng.random() < 0.1:  # a form around the whole page
+        body = f'<form action="/page">{pick(body, f"<div>{body}</div>")}</form>'
+    return f"<html><head><title>t</title></head><body>{body}</body></html>"
 
 
 @lru_cache(maxsize=1)
@@ -345,7 +415,7 @@ def trained(n_pages: int = 1200, seed: int = 7) -> Field:
             b.label = int(b.text.startswith("\x01"))
             b.text = b.text.replace("\x01", "").strip() or "-"
         pages.append(blocks)
-    return train(pages)
+    return train(pages, rounds=120)
 
 
 def main_text(html: str, model: Field) -> str:

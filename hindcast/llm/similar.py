@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import GOLDEN, hash_strings, in_arrow, mix64, owners, signed, slices, table, text_array, unused, word_codes
+from hindcast.llm.common import GOLDEN, hash_strings, in_arrow, mix64, numbered, owners, signed, slices, table, text_array, unused, word_codes
 from hindcast.llm.components import components
 from hindcast.operators.scale import small
 from hindcast.session import stage
@@ -67,6 +67,8 @@ MET = 4
 #: Nodes of one key that are compared in one task with as many others.
 PART_NODES = 4096
 FLUSH_ROWS = 700_000
+#: A set names up to half as many blocks as it has shingles.
+PARTITION_SHINGLES = 8_000_000
 TEXT_FILTER_BITS = 24
 
 
@@ -216,16 +218,18 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64) + np.uint64(row["base"]), distinct[place]
 
 
-def shared_blocks(docs: DataFrame, text: str, level: np.ndarray) -> DataFrame:
+def shared_blocks(docs: DataFrame, text: str, level: np.ndarray, shingles: int = 0) -> DataFrame:
     """(key, node) for each key that two nodes or more name.
 
     A task packs what it sends to a partition into a few rows. A key that several
     of its nodes share is met already: its rows need no partner any more and are
-    dealt anywhere (`met`), and one row of it goes to the key's own partition.
+    dealt anywhere (`met`), and one row of it goes to the key's own partition. The
+    number of partitions grows with the shingles of all sets, so that what a task
+    gathers does not.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(level)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // PARTITION_SHINGLES))
     names = ["part", "met", "base", "narrow", "steps", "nodes", "places"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +432,7 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     node stands for a set of shingles; documents with equal sets share it.
     """
     rows, level = describe(docs, text, doc_id)
-    blocks = shared_blocks(docs, text, level)
+    blocks = shared_blocks(docs, text, level, rows.agg(F.sum("n")).first()[0] or 0)
     # Every node with the smallest nodes of the blocks that it names.
     least = blocks.groupBy("key").agg(F.min("node").alias("v"))
     # A set of hubs is as long as a node's list of blocks at most.
@@ -458,15 +462,15 @@ def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Of each group of linked documents the one with the smallest id (null last), columns unchanged.
 
-    docs must be read from files, so that its rows can be numbered alike twice.
+    Rows are told apart by their place in the files (`numbered`).
     """
     row = unused("_row", docs.columns)
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows, label = links(numbered, text, row)
-    ids = numbered.select(F.col(row).alias("_r"), F.col(doc_id).alias("_id"))
+    placed = numbered(docs, row)
+    rows, label = links(placed, text, row)
+    ids = placed.select(F.col(row).alias("_r"), F.col(doc_id).alias("_id"))
     grouped = rows.filter("n > 0").join(label, "node", "left").select(F.col("doc_id").alias("_r"), F.coalesce("component", "node").alias("_c"))
     order = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("y"), F.col("_r").alias("z"))
     grouped = grouped.join(ids, "_r").select("_r", "_c", order.alias("_order"))
     best = grouped.groupBy("_c").agg(F.min("_order").alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     leave = stage(grouped.join(best, "_c").filter(F.col("_r") != F.col("_best.z")).select(F.col("_r").alias(row)), "repeats")
-    return numbered.join(small(leave, leave.count()), row, "left_anti").select(*docs.columns)
+    return placed.join(small(leave, leave.count()), row, "left_anti").select(*docs.columns)

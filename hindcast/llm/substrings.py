@@ -37,7 +37,6 @@ reading.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import in_arrow, mix64, raw, signed, slices, table, text_array
+from hindcast.llm.common import in_arrow, mix64, numbered, raw, remembered, signed, slices, table, text_array
 from hindcast.session import stage
 
 LENGTH = 200
@@ -64,7 +63,7 @@ PLACE = np.uint64((1 << 24) - 1)
 BASES = (0x9E6C63D0676A9A99, 0xD1342543DE82EF95)
 
 
-@lru_cache(maxsize=4)
+@remembered(maxsize=4)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** k and its inverse ** k, modulo 2 ** 64."""
     out = []
@@ -526,8 +525,8 @@ def remove_repeats(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, seed: int = SEED, hot_runs: int = HOT_RUNS
 ) -> DataFrame:
     """Per row: doc_id, kept (the remaining bytes), n_bytes, n_removed, starts and ends of the removed spans (bytes)."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeated_spans(numbered.select("_row", "text"), length, seed, hot_runs)
+    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "_row")
+    spans = repeated_spans(rows.select("_row", "text"), length, seed, hot_runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -552,7 +551,7 @@ def remove_repeats(
                 names=["doc_id", "kept", "n_bytes", "n_removed", "starts", "ends"],
             )
 
-    joined = numbered.join(spans, "_row", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, "_row", "left").select("doc_id", "text", "spans")
     return joined.transform(in_arrow, run, "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>")
 
 

@@ -29,7 +29,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import in_arrow, slices, table, text_array, word_codes
+from hindcast.llm.common import in_arrow, remembered, slices, table, text_array, word_codes
 from hindcast.session import new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -131,7 +130,7 @@ class WordEncoder:
         return flat[at], np.diff(upto[ends])
 
 
-@lru_cache(maxsize=2)
+@remembered(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 

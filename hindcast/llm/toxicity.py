@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import held_out, in_arrow, owners, slices, table, text_array, with_columns, words
+from hindcast.llm.common import held_out, in_arrow, owners, slices, table, text_array, unused, with_columns, words
 from hindcast.session import stage
 
 MAX_ROWS = 20_000
@@ -218,14 +218,15 @@ def learn(
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted."""
+    """docs with score and predicted (with `_` before the name if docs has such a column)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    value, label = unused("score", docs.columns), unused("predicted", docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(value, T.DoubleType()), T.StructField(label, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             got = sent.value.scores(text_array(batch.column(text)))
-            yield with_columns(batch, score=got, predicted=pa.array((got >= threshold).astype(np.int32)))
+            yield with_columns(batch, **{value: got, label: pa.array((got >= threshold).astype(np.int32))})
 
     return docs.transform(in_arrow, run, schema)
 

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -34,6 +35,45 @@ def test_formulas_and_fallbacks_are_text():
         assert [b.text for b in leaf_blocks(f"<p>a <{tag}>b</{tag}> c</p>")] == ["a c"]
 
 
+PLAIN = "".join(f"<p>Plain paragraph number {k} says a few things about the river, the town and its people." for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><meta name=x>{}", "<head><script>x</script>{}", "<html><head><style>p</style><body>{}", "<title>t</title>{}",
+        "<body><svg><path d=x>{}", "<head><svg><g>{}", "<body><div><head><title>late</title></head>{}</div>",
+        "<body><div>{}</div>", "<body><div class=container>{}</div>", "<table><tr><td>{}</td></tr></table>", "<body>{}", "{}",
+    ],
+)
+def test_no_article_is_lost(page):
+    assert main_text(page.format(PLAIN), trained()).count("Plain paragraph") == 6
+
+
+def test_what_ends_a_head_and_an_svg():
+    def texts(page):
+        return [b.text for b in leaf_blocks(page)]
+
+    assert texts("<head>loose<p>a") == ["loose", "a"]
+    assert texts("<head> <title>t</title> <template><p>no</p></template> <meta x><p>a") == ["a"]
+    assert texts("<p>a<svg><text>no</text><foreignObject><p>no</p></foreignObject></svg>b") == ["ab"]
+    assert texts("<p>a<svg><svg><text>no<p>b</svg>c") == ["a", "bc"]
+    assert texts("<div>a<template><p>no</div>b<body>c") == ["a", "b", "c"]
+
+
+def test_deep_pages_are_read_in_linear_time():
+    """Paths, hints and what is around a block against a plain walk; and 20,000 open elements."""
+    page = "<div class=nav><ul><li>a<li>b<section id=comments><p>c<div>d</section>e<td>f</ul>g"
+    blocks = leaf_blocks(page)
+    assert [b.text for b in blocks] == ["a", "b", "c", "d", "e", "f", "g"]
+    assert [b.path[-1] for b in blocks] == ["li", "li", "p", "div", "li", "td", "div"]
+    assert [b.near for b in blocks] == ["nav", "nav", "comment", "comment", "nav", "nav", "nav"]
+    assert [set(b.hints) for b in blocks[2:5]] == [{"nav", "comment"}, {"nav", "comment"}, {"nav"}]
+    start = time.process_time()
+    assert len(leaf_blocks("<div class=content>w <b><x-y>" * 20_000)) == 20_000
+    assert time.process_time() - start < 10
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "clash"), (2, None, None, ""), (3, "u", "", ""), (4, "u", "<nav><a href=x>y</a></nav>", ""), (1, "u", PAGE, "clash")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

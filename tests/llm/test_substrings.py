@@ -144,3 +144,25 @@ def test_texts_whose_polynomial_hashes_agree_are_kept(spark, tmp_path):
     rows = [a, b]
     assert answer(spark, rows, tmp_path) == brute(rows, 200)
     assert [r[1] for r in brute(rows, 200)] == [0, 0]
+
+
+def test_other_splits_between_scans(spark, tmp_path, monkeypatch):
+    """An executor lost or gained between scans changes how files are split: the same rows."""
+    rows = texts(5) * 3
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3).write.option("parquet.block.size", 1024).parquet(path)
+    kept = substrings.equal_runs
+
+    def then_split(*args):
+        runs = kept(*args)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return runs
+
+    monkeypatch.setattr(substrings, "equal_runs", then_split)
+    try:
+        got = digest(remove_repeats(spark.read.parquet(path), length=24, seed=8)).orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [tuple(r)[1:] for r in got] == brute(rows, 24)
