@@ -399,6 +399,8 @@ ORACLE["upsert_points"] = f"""WITH {EVENTS}
 SELECT {_POINT} AS point_id, event_id AS document_id, CASE WHEN ticker = 'A' THEN 'Again: ' ELSE '' END || headline AS text, ticker,
   CASE WHEN ticker = 'A' THEN published_at + INTERVAL 1 DAY ELSE published_at END AS available_at, 'qdrant' AS source FROM news"""
 
+ORACLE["upsert_points_bucketed"] = ORACLE["upsert_points"]
+
 # --- contracts -------------------------------------------------------------
 
 ORACLE["check_news_event"] = f"""WITH {RAW_NEWS}

@@ -23,6 +23,7 @@ from hindcast.plans.feed_to_events import feed_to_events
 from hindcast.plans.run_decisions import run_decisions
 from hindcast.plans.train_gate import train_gate
 from hindcast.session import new_path, stage
+from hindcast.sinks import buckets
 from hindcast.sinks import points as point_sink
 from hindcast.sinks import snapshots
 from hindcast.sinks import tables as sinks
@@ -222,6 +223,19 @@ def q_upsert_points(spark, sf):
     return point_sink.read_points(spark, path).select("point_id", "document_id", "text", "ticker", "available_at", "source")
 
 
+@query
+def q_upsert_points_bucketed(spark, sf):
+    """The same batches in key buckets, merged while they come in; the second is replayed after a merge."""
+    path = new_path(spark, "points")
+    rows = v.news_events(spark, sf).withColumns({"partition": F.lit(0), "offset": F.col("event_id").cast("long")})
+    again = rows.filter(F.col("ticker") == "A")
+    moved = again.withColumns({"headline": F.concat(F.lit("Again: "), "headline"), "published_at": F.expr("published_at + INTERVAL 1 DAY")})
+    for batch, df in ((0, rows), (1, again), (2, again), (3, moved), (3, moved)):
+        buckets.upsert_bucketed(point_sink.points_from_events(df, v.PREFIX), path, batch, buckets=8, slots=4)
+        buckets.compact_bucketed(spark, path, fan_in=2)
+    return buckets.read_bucketed(spark, path).select("point_id", "document_id", "text", "ticker", "available_at", "source")
+
+
 @query
 def q_sink_run_records(spark, sf):
     path = new_path(spark, "runs")

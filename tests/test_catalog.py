@@ -19,7 +19,7 @@ QUICK = {
     "check_news_event", "check_proposal", "decode_payload", "ingest_funnel", "dedup_first", "stratified_sample", "open_stamp",
     "parse_published_at", "train_event_id", "join_feature_session", "join_label_session", "volatility_20d", "join_event_features",
     "topk_hits", "context_prompt", "vector_topk_join", "gate_policy", "run_decisions", "time_split", "time_folds", "threshold_f1",
-    "log_loss", "sentiment_resume", "fit_gate_model", "score_gate", "restart_new_checkpoint", "at_least_once", "vector_prompt", "build_training_events", "fit_second_order", "train_gate", "dedup_first_csv", "vector_topk_cells", "upsert_points", "stream_ingest", "scan_rss_xml", "expectation_suite",
+    "log_loss", "sentiment_resume", "fit_gate_model", "score_gate", "restart_new_checkpoint", "at_least_once", "vector_prompt", "build_training_events", "fit_second_order", "train_gate", "dedup_first_csv", "vector_topk_cells", "upsert_points", "upsert_points_bucketed", "stream_ingest", "scan_rss_xml", "expectation_suite",
 }
 
 
