@@ -80,12 +80,12 @@ def test_queries_run_over_whole_tables(spark, name):
     if name in ORACLE:
         duckdb = pytest.importorskip("duckdb")
         con = duckdb.connect()
-        for t in ("documents", "conversations"):
+        for t in ("documents", "conversations", "labels"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = con.execute(ORACLE[name]).df()
         assert sorted(want.columns) == sorted(got.columns)
         rows = lambda df: sorted(tuple(round(float(v), 6) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
         assert rows(got) == rows(want)
     elif name not in ("op6_benchmark_decontamination",):
-        table = "pages" if name.startswith("op9_") else "documents"
+        table = {"op9": "pages", "op12": "embeddings"}.get(name.split("_")[0], "documents")
         assert len(got) == spark.read.parquet(f"{SF}/{table}.parquet").count()
