@@ -15,4 +15,6 @@ def dot(a: Column, b: Column) -> Column:
 def unit(vector: Column) -> Column:
     """L2-normalised copy; null for a zero vector."""
     norm = F.sqrt(dot(vector, vector))
-    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
+    # Repeated, not inlined: a lambda would compute the length anew for every component.
+    lengths = F.array_repeat(norm, F.size(vector))
+    return F.when(norm > 0, F.zip_with(vector, lengths, lambda x, n: x.cast("double") / n))

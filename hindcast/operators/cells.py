@@ -6,29 +6,35 @@ task: its rows go to the nearest of a few centres, and a cell that is still
 over `block_rows` is cut in time order. So a cell never holds more than
 `block_rows` rows, whatever the ticker holds, and its rows are alike.
 
-For unit vectors, no row of a block of events can be more similar to a row of a
-cell than their centres and radii allow. Every block of events meets its best cell
-first. The least k-th score of its events is then what another cell's bound
+Neighbouring slabs make a tile of about `TILE_ROWS` rows. A task compares a tile of
+events with a tile of points, so a row travels once for each tile of the other side
+and not once for each cell; tiles whose points are all later than the events don't
+meet. For unit vectors, no row of a block of events can be more similar to a row of a
+cell than their centres and radii allow. Within a task every block of events meets its
+best cell first. The least k-th score of its events is then what another cell's bound
 has to reach; cells under it, and cells in which all points are later than all
 events, are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.functions.vectors import dot
-from hindcast.operators.scale import bounded, top_k
+from hindcast.operators.scale import bounded
 from hindcast.session import stage
 
 SLAB_BLOCKS = 32
+#: Rows of a tile; a task holds two tiles and `SCORES` scores at a time.
+TILE_ROWS = 32_768
+SCORES = 4_000_000
+MAX_TASKS = 4096
 MAX_CENTRES = 64
 CENTRE_ROUNDS = 2
 CUTS = 999
@@ -112,16 +118,41 @@ def about(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.filter(F.col("n").isNotNull()).select("ticker", *[F.col(c).alias(prefix + c) for c in names])
 
 
-def bound() -> Column:
-    """The greatest similarity that a row of block e_ and a row of cell p_ can have."""
-    e, p = F.col("e_centre"), F.col("p_centre")
-    apart = F.sqrt(F.greatest(F.lit(0.0), dot(e, e) + dot(p, p) - 2 * dot(e, p)))
-    gap = F.greatest(F.lit(0.0), apart - F.col("e_radius") - F.col("p_radius"))
-    return 1 - gap * gap / 2 + SLACK
+def tiles(rows: DataFrame, at: str) -> DataFrame:
+    """A row for each slab with its tile: ticker, slab, tile, n_cells, first_at, last_at."""
+    # Slabs are numbered in time order; a ticker has one row for each of its slabs.
+    slab = rows.groupBy("ticker", "slab").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("n").alias("n_cells"), F.min(at).alias("first_at"), F.max(at).alias("last_at")
+    )
+    before = Window.partitionBy("ticker").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
+    return slab.withColumn("tile", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / TILE_ROWS)).drop("_n")
+
 
+@dataclass
+class _Side:
+    """One tile as arrays, rows in the order given; `rows` of each cell, and its centre, radius and times."""
 
-PAIR = ["ticker", "e_slab", "e_cell", "p_slab", "p_cell"]
-BLOCK = PAIR[:3]
+    frame: pd.DataFrame
+    at: str
+
+    def __post_init__(self) -> None:
+        self.x = np.stack(self.frame["vector"])
+        self.clock = self.frame[self.at].to_numpy()
+        owner = self.frame.groupby(["slab", "cell"], sort=False).ngroup().to_numpy()
+        order = np.argsort(owner, kind="stable")
+        self.rows = np.split(order, np.flatnonzero(np.diff(owner[order])) + 1)
+        self.cell = owner
+        self.centre = np.stack([self.x[r].mean(axis=0) for r in self.rows])
+        self.radius = np.array([np.linalg.norm(self.x[r] - c, axis=1).max() for r, c in zip(self.rows, self.centre, strict=True)])
+        self.first = np.array([self.clock[r].min() for r in self.rows])
+        self.last = np.array([self.clock[r].max() for r in self.rows])
+
+
+def bounds(e: _Side, p: _Side) -> np.ndarray:
+    """The greatest similarity that a row of each block of e and a row of each cell of p can have."""
+    square = (e.centre**2).sum(1)[:, None] + (p.centre**2).sum(1)[None, :] - 2 * e.centre @ p.centre.T
+    gap = np.maximum(0.0, np.sqrt(np.maximum(0.0, square)) - e.radius[:, None] - p.radius[None, :])
+    return 1 - gap * gap / 2 + SLACK
 
 
 @dataclass(frozen=True)
@@ -134,35 +165,80 @@ class Search:
     compared: int
 
 
+PAIR = ["ticker", "e_tile", "p_tile"]
+
+
+def _meet(k: int, as_of: bool, kernel: Callable) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Compare two tiles: hits, and a row without an event that counts the pairs of blocks."""
+
+    def parts(e: _Side, rows: np.ndarray, p: _Side, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        step = max(1, SCORES // max(1, len(cols)))
+        ours = p.x[cols], p.clock[cols], p.frame["point_id"].to_numpy()[cols]
+        for start in range(0, len(rows), step):
+            some = rows[start : start + step]
+            row, col, score = kernel.best(e.x[some], e.clock[some], e.frame["point_id"].to_numpy()[some], *ours)
+            yield some[row], cols[col], score
+
+    def meet(events: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        # Points by id: the smaller id wins a tie.
+        e, p = _Side(events, "published_at"), _Side(points.sort_values("point_id", ignore_index=True), "available_at")
+        bound, found, compared = bounds(e, p), [], 0
+        late = p.first[None, :] > e.last[:, None] if as_of else np.zeros(bound.shape, bool)
+        bound[late] = -np.inf
+        for block, rows in enumerate(e.rows):
+            home = int(np.argmax(bound[block]))
+            if late[block, home]:
+                continue
+            first = list(parts(e, rows, p, np.sort(p.rows[home])))
+            row, score = (np.concatenate([f[i] for f in first]) for i in (0, 2))
+            # A block with an event that has fewer than k hits yet has no floor.
+            full = len(row) == k * len(rows)
+            open_ = ~late[block] & (bound[block] >= score.min() if full else True)
+            open_[home] = True
+            compared += int(open_.sum())
+            found += first if open_.sum() == 1 else parts(e, rows, p, np.flatnonzero(open_[p.cell]))
+        row, col, score = (np.concatenate([f[i] for f in found]) if found else np.array([], int) for i in range(3))
+        hits = pd.DataFrame(
+            {
+                "event_id": events["event_id"].to_numpy()[row],
+                "point_id": p.frame["point_id"].to_numpy()[col],
+                "available_at": p.clock[col],
+                "score": score.astype(float),
+                "in_time": pd.array([None] * len(row), "Int64"),
+                "compared": pd.array([None] * len(row), "Int64"),
+            }
+        )
+        told = {"event_id": None, "point_id": None, "available_at": None, "score": None, "in_time": int((~late).sum()), "compared": compared}
+        return pd.concat([hits.astype(object), pd.DataFrame([told], dtype=object)], ignore_index=True)
+
+    return meet
+
+
 def search(events: DataFrame, points: DataFrame, k: int, as_of: bool, block_rows: int, kernel: Callable, found: str) -> Search:
     """events(event_id, point_id, ticker, published_at, vector), points(point_id, ticker, available_at, vector), unit vectors.
 
-    `kernel` compares a block of events with a cell of points and returns columns `found`.
+    `kernel.best` finds the k best of some points for each of some events; hits have
+    columns `found`.
     """
     left = cells(events, "published_at", "event_id", block_rows)
     right = cells(points, "available_at", "point_id", block_rows)
-    # A row for each pair of blocks, not of rows.
-    e, p = about(left, "e_"), about(right, "p_")
-    pairs = e.join(p, "ticker").withColumn("late", (F.col("p_first_at") > F.col("e_last_at")) if as_of else F.lit(False))
-    pairs = stage(pairs.select(*PAIR, "e_n", "late", bound().alias("bound")), "cell-pairs")
-    counts = pairs.agg(F.count(F.lit(1)).alias("every"), F.count_if(~F.col("late")).alias("in_time")).first()
-    pairs = pairs.filter(~F.col("late"))
-
-    def compare(chosen: DataFrame) -> DataFrame:
-        chosen = bounded(chosen.select(*PAIR), "chosen-pairs")
-        ours = left.select("event_id", "point_id", "ticker", F.col("slab").alias("e_slab"), F.col("cell").alias("e_cell"), "published_at", "vector")
-        theirs = right.select("point_id", "ticker", F.col("slab").alias("p_slab"), F.col("cell").alias("p_cell"), "available_at", "vector")
-        both = ours.join(chosen, BLOCK).groupBy(*PAIR).cogroup(theirs.join(chosen, ["ticker", "p_slab", "p_cell"]).groupBy(*PAIR))
-        return both.applyInPandas(kernel, found)
-
-    home = top_k(pairs, BLOCK, [F.desc("bound"), F.asc("p_slab"), F.asc("p_cell")], 1)
-    first = stage(compare(home), "home-hits")
-    of_event = first.groupBy("event_id").agg(F.count(F.lit(1)).alias("hits"), F.min("score").alias("kth"))
-    events_in = left.select("event_id", "ticker", F.col("slab").alias("e_slab"), F.col("cell").alias("e_cell"))
-    # A block with an event that has fewer than k hits yet has no floor.
-    full = F.count_if(F.coalesce(F.col("hits"), F.lit(0)) >= k) == F.count(F.lit(1))
-    floors = events_in.join(of_event, "event_id", "left").groupBy(*BLOCK).agg(F.when(full, F.min("kth")).alias("floor"))
-    others = pairs.join(home.select(*PAIR), PAIR, "left_anti").join(floors, BLOCK)
-    others = stage(others.filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).select(*PAIR), "other-pairs")
-    compared = others.count() + home.count()
-    return Search(first.unionByName(compare(others)), counts["every"], counts["in_time"], compared)
+    # A row for each slab, and for each pair of tiles.
+    e, p = bounded(tiles(left, "published_at"), "e-tiles"), bounded(tiles(right, "available_at"), "p-tiles")
+    e_cells, p_cells = (d.groupBy("ticker").agg(F.sum("n_cells").alias(c)) for d, c in ((e, "_e"), (p, "_p")))
+    every = e_cells.join(p_cells, "ticker").agg(F.sum(F.col("_e") * F.col("_p"))).first()[0] or 0
+    e_tiles = e.groupBy("ticker", F.col("tile").alias("e_tile")).agg(F.max("last_at").alias("_last"))
+    p_tiles = p.groupBy("ticker", F.col("tile").alias("p_tile")).agg(F.min("first_at").alias("_first"))
+    meeting = e_tiles.join(p_tiles, "ticker")
+    pairs = stage(meeting.filter(F.col("_first") <= F.col("_last") if as_of else F.lit(True)).select(*PAIR), "tile-pairs")
+    tasks = max(1, min(2 * pairs.count(), MAX_TASKS))
+    # Each row with all tiles that its own one meets; as many partitions as pairs, lest several big pairs wait in one task.
+    e_meets = bounded(e.join(pairs.groupBy("ticker", F.col("e_tile").alias("tile")).agg(F.collect_list("p_tile").alias("_with")), ["ticker", "tile"]).select("ticker", "slab", F.col("tile").alias("e_tile"), "_with"), "e-meets")
+    p_meets = bounded(p.join(pairs.groupBy("ticker", F.col("p_tile").alias("tile")).agg(F.collect_list("e_tile").alias("_with")), ["ticker", "tile"]).select("ticker", "slab", F.col("tile").alias("p_tile"), "_with"), "p-meets")
+    ours = left.select("event_id", "point_id", "ticker", "slab", "cell", "published_at", "vector").join(e_meets, ["ticker", "slab"])
+    theirs = right.select("point_id", "ticker", "slab", "cell", "available_at", "vector").join(p_meets, ["ticker", "slab"])
+    ours = ours.withColumn("p_tile", F.explode("_with")).drop("_with").repartition(tasks, *PAIR)
+    theirs = theirs.withColumn("e_tile", F.explode("_with")).drop("_with").repartition(tasks, *PAIR)
+    both = ours.groupBy(*PAIR).cogroup(theirs.groupBy(*PAIR))
+    met = stage(both.applyInPandas(_meet(k, as_of, kernel), f"{found}, in_time long, compared long"), "hits")
+    counts = met.agg(F.sum("in_time"), F.sum("compared")).first()
+    return Search(met.filter(F.col("compared").isNull()).drop("in_time", "compared"), every, counts[0] or 0, counts[1] or 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
@@ -55,43 +57,43 @@ def topk_hits(
     return top_k(seen, ["event_id"], [F.desc("score"), F.asc("document_id")], k, salted)
 
 
-def _block_top(k: int, as_of: bool, include_self: bool):
+@dataclass(frozen=True)
+class _block_top:  # noqa: N801
     """Top-k of one block of events against one block of points."""
 
-    def kernel(events: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if events.empty or points.empty:
-            return pd.DataFrame({"event_id": [], "point_id": [], "available_at": [], "score": []})
-        points = points.sort_values("point_id", ignore_index=True)
-        sims = np.round(np.stack(events["vector"]) @ np.stack(points["vector"]).T, 9)
-        if as_of:
-            late = points["available_at"].to_numpy()[None, :] > events["published_at"].to_numpy()[:, None]
-            sims[late] = -np.inf
-        if not include_self:
-            sims[points["point_id"].to_numpy()[None, :] == events["point_id"].to_numpy()[:, None]] = -np.inf
+    k: int
+    as_of: bool
+    include_self: bool
+
+    def best(self, e_vectors, e_clock, e_points, p_vectors, p_clock, p_ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of events and points, and scores; points are ordered by id."""
+        sims = np.round(e_vectors @ p_vectors.T, 9)
+        if self.as_of:
+            sims[p_clock[None, :] > e_clock[:, None]] = -np.inf
+        if not self.include_self:
+            sims[p_ids[None, :] == e_points[:, None]] = -np.inf
         # Points are ordered by id, and ties go to the smaller id: take what is
         # as good as the k-th, then sort only that.
-        if k < sims.shape[1]:
-            kth = np.partition(sims, -k, axis=1)[:, -k]
-            wide = int((sims >= kth[:, None]).sum(1).max())
-            near = np.sort(np.argpartition(-np.where(sims >= kth[:, None], sims, -np.inf), wide - 1, axis=1)[:, :wide], axis=1)
+        if self.k < sims.shape[1]:
+            kth = np.partition(sims, -self.k, axis=1)[:, -self.k]
+            row, col = np.nonzero((sims >= kth[:, None]) & (sims > -np.inf))
         else:
-            near = np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
-        order = np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(near, order, axis=1)
-        row = np.repeat(np.arange(len(events)), best.shape[1])
-        col = best.ravel()
-        found = np.isfinite(sims[row, col])
-        row, col = row[found], col[found]
-        return pd.DataFrame(
-            {
-                "event_id": events["event_id"].to_numpy()[row],
-                "point_id": points["point_id"].to_numpy()[col],
-                "available_at": points["available_at"].to_numpy()[col],
-                "score": sims[row, col],
-            }
+            row, col = np.nonzero(sims > -np.inf)
+        score = sims[row, col]
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        return row[kept], col[kept], score[kept]
+
+    def __call__(self, events: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        if events.empty or points.empty:
+            return pd.DataFrame({"event_id": [], "point_id": [], "available_at": [], "score": []})
+        points = points.sort_values("point_id", ignore_index=True)
+        clock, ids = points["available_at"].to_numpy(), points["point_id"].to_numpy()
+        row, col, score = self.best(
+            np.stack(events["vector"]), events["published_at"].to_numpy(), events["point_id"].to_numpy(), np.stack(points["vector"]), clock, ids
         )
-
-    return kernel
+        return pd.DataFrame({"event_id": events["event_id"].to_numpy()[row], "point_id": ids[col], "available_at": clock[col], "score": score})
 
 
 def split_vectors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,8 +118,8 @@ def vector_topk_join(
     (`split_vectors` counts them). Where a ticker has more than `block_rows` rows
     on a side, both sides are cut into cells of at most that many rows, and
     cells that cannot hold a hit are skipped (see `cells`); otherwise a ticker is
-    one block. A task multiplies one block by one block and emits k rows per event;
-    a second, group-limited pass merges the blocks, and payloads are fetched for what
+    one block. A task compares one tile of blocks with another and emits k rows per event;
+    a second, group-limited pass merges the tiles, and payloads are fetched for what
     is left.
     """
     # Fresh column identities: events and points may come from the same table.
@@ -129,7 +131,7 @@ def vector_topk_join(
         *(d.schema[c].dataType.simpleString() for d, c in ((e, "event_id"), (p, "point_id"), (p, "available_at")))
     )
     if one_block_each(events, points, block_rows):
-        best = e.groupBy("ticker").cogroup(p.groupBy("ticker")).applyInPandas(kernel, found)
+        best = e.groupBy("ticker").cogroup(p.groupBy("ticker")).applyInPandas(lambda ours, theirs: kernel(ours, theirs), found)
     else:
         best = search(e, p, k, as_of, block_rows, kernel, found).best
     top = top_k(best, ["event_id"], [F.desc("score"), F.asc("point_id")], k)

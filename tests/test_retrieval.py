@@ -135,6 +135,21 @@ def test_later_cells_are_skipped(spark, monkeypatch):
     assert {(r.event_id, r.point_id, r.rank) for r in top.collect()} == brute(rows, 3)
 
 
+@pytest.mark.parametrize("as_of", [True, False])
+def test_rows_travel_once_for_each_tile_of_the_other_side(spark, monkeypatch, as_of):
+    rows, (events, points) = clustered(spark, 400, late=1)
+    cut = cells.cells(retrieval.split_vectors(points)[0], "available_at", "point_id", 8)
+    told = cells.tiles(cut, "available_at")
+    assert told.agg(F.sum("n_cells")).first()[0] >= 50 and {r.tile for r in told.collect()} == {0}
+    monkeypatch.setattr(cells, "TILE_ROWS", 100)
+    monkeypatch.setattr(cells, "SLAB_BLOCKS", 4)
+    done = searched(events, points, 3, as_of, 8)
+    assert done.compared <= done.in_time <= done.every
+    if as_of:
+        top = scale.top_k(done.best, ["event_id"], [F.desc("score"), F.asc("point_id")], 3)
+        assert {(r.event_id, r.point_id, r.rank) for r in top.collect()} == brute(rows, 3)
+
+
 def test_block_rows_hold_for_a_ticker_with_very_many_blocks(spark):
     """10,000 blocks asked for, an instant that a third of the rows share."""
     df = spark.range(40_000).selectExpr(
