@@ -473,7 +473,7 @@ CODE = """CASE WHEN error_message LIKE '%validation error%' THEN 'validation_err
 
 ORACLE["run_decisions"] = f"""WITH {DECISIONS}
 SELECT event_id, ticker, n_hits, action, identity_mismatch, feature_as_of,
-  CASE WHEN error_message IS NULL THEN round(score, 6) END AS downside_risk_score, decision, decision_reason, error_message,
+  CASE WHEN error_message IS NULL THEN CAST(round(CAST(score AS DECIMAL(18, 15)), 6) AS DOUBLE) END AS downside_risk_score, decision, decision_reason, error_message,
   CASE WHEN error_message IS NULL THEN 'accepted' WHEN route = 'retry' THEN 'redo' ELSE 'failed' END AS outcome FROM decided"""
 ORACLE["build_envelope"] = f"""WITH {DECISIONS}
 SELECT event_id, CASE WHEN error_message IS NOT NULL THEN 'error' WHEN k % 10 = 0 THEN 'degraded' ELSE 'success' END AS status, ticker, 'replay' AS mode,

@@ -105,6 +105,6 @@ REPAIR_NOTE = "\nPrevious output was invalid: %s\nFix and return valid JSON only
 
 # Policy reasons.
 REASON_NO_RISK = "%s always approve under policy_version=%s"
-REASON_SCORE = "BUY rejected: downside_risk_score=%.4f >= score_threshold=%.4f"
-REASON_VETO = "BUY rejected by vol veto: volatility_20d=%.4f >= vol_veto_threshold=%.4f"
-REASON_APPROVED = "BUY approved: downside_risk_score=%.4f < score_threshold=%.4f"
+REASON_SCORE = "BUY rejected: downside_risk_score=%s >= score_threshold=%s"
+REASON_VETO = "BUY rejected by vol veto: volatility_20d=%s >= vol_veto_threshold=%s"
+REASON_APPROVED = "BUY approved: downside_risk_score=%s < score_threshold=%s"

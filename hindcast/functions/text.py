@@ -44,3 +44,26 @@ def lexicon_sentiment(text: Column, positive: list[str], negative: list[str]) ->
     pos = F.size(F.filter(words, lambda w: w.isin(positive)))
     neg = F.size(F.filter(words, lambda w: w.isin(negative)))
     return F.coalesce((pos - neg) / F.nullif(pos + neg, F.lit(0)), F.lit(0.0))
+
+
+def fixed(value: Column, places: int) -> Column:
+    """A number as text with so many decimals, as C and Python print it.
+
+    They round the exact binary value, ties to even; `format_string` rounds the
+    shortest decimal that reads back as the number, half up: 0.00375 is 0.0037 here
+    and 0.0038 there. The remainder to a half is exact: the fraction is split in two
+    short parts, whose products with a small integer have no rounding error.
+    """
+    whole = F.floor(F.abs(value))
+    part = F.abs(value) - whole
+    wide = part * 134217729.0
+    head = wide - (wide - part)
+    scale = float(2 * 10**places)
+    steps = F.floor(part * 10**places)
+    rest = (head * scale - (2 * steps + 1)) + (part - head) * scale
+    steps = steps + F.when((rest > 0) | ((rest == 0) & (steps % 2 == 1)), 1).otherwise(0)
+    units = whole + F.floor(steps / 10**places)
+    digits = F.lpad((steps % 10**places).cast("string"), places, "0")
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    # Doubles from 2**53 on have no fraction.
+    return F.when(F.abs(value) < 2.0**53, F.concat(sign, units.cast("string"), F.lit("."), digits)).otherwise(F.format_string(f"%.{places}f", value))

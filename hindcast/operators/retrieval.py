@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hindcast.fixed_values import HIT_LINE, NO_CONTEXT_LINE, OVERFETCH, PROMPT_BODY, REPAIR_NOTE, TOP_K
 from hindcast.functions.clocks import iso_utc
+from hindcast.functions.text import fixed
 from hindcast.functions.vectors import unit
 from hindcast.operators.cells import search
 from hindcast.operators.scale import skew_join, top_k
@@ -168,7 +169,7 @@ def context_text(hits: Column) -> Column:
     lines = F.transform(
         hits,
         lambda h: F.format_string(
-            HIT_LINE, h["document_id"], F.format_string("%.3f", h["score"]), iso_utc(h["available_at"]), h["text"]
+            HIT_LINE, h["document_id"], fixed(h["score"], 3), iso_utc(h["available_at"]), h["text"]
         ),
     )
     return F.when(F.coalesce(F.size(hits), F.lit(0)) > 0, F.array_join(lines, "\n")).otherwise(F.lit(NO_CONTEXT_LINE))

@@ -129,3 +129,11 @@ def test_repair_route_and_fences(spark):
 def test_lexicon_sentiment(spark):
     score = lambda c: text.lexicon_sentiment(c, ["gain"], ["loss"])
     assert column(spark, ["Gain, gain and LOSS", "nothing", None], score) == [pytest.approx(1 / 3), 0.0, 0.0]
+
+
+def test_fixed_decimals_round_the_exact_value(spark):
+    """As Python prints them; prices whose share of 2**19 ends in a five at the fifth decimal are ties or nearly so."""
+    values = [round(163.84 * i, 2) / 524288 for i in range(1, 3200)] + [0.0, 1.0, 0.99995, 0.99996, 14.0, 123.00005, -0.00375, 0.00005, 2.0**40 + 0.5]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for r in df.select("x", text.fixed(F.col("x"), 4).alias("four"), text.fixed(F.col("x"), 3).alias("three")).collect():
+        assert (r.four, r.three) == (f"{r.x:.4f}", f"{r.x:.3f}")
