@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -52,21 +53,40 @@ def guarded(encode: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]])
                 coder = None
                 raise
 
-        def apart(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            """Halves of a frame that failed, down to the records that do."""
-            try:
-                yield one(frame)
-            except Exception as exc:
-                if len(frame) == 1:
-                    yield frame.assign(vector=None, _error=f"encoder: {type(exc).__name__}: {exc}"[:MAX_REASON])
-                    return
-                half = len(frame) // 2
-                yield from apart(frame.iloc[:half])
-                yield from apart(frame.iloc[half:])
+        def apart(frame: pd.DataFrame, refused: list[tuple[int, str]]) -> Iterator[tuple[int, pd.DataFrame]]:
+            """Pieces of a frame that failed, down to the records that do.
+
+            A piece that passes is followed by one twice as long, one that fails is halved;
+            where all fail, each record costs one call.
+            """
+            start, size = 0, len(frame)
+            while start < len(frame):
+                piece = frame.iloc[start : start + size]
+                try:
+                    done = one(piece)
+                except Exception as exc:
+                    if len(piece) > 1:
+                        size = len(piece) // 2
+                        continue
+                    refused.append((start, f"encoder: {type(exc).__name__}: {exc}"[:MAX_REASON]))
+                    start, size = start + 1, 1
+                    continue
+                yield start, done
+                start, size = start + len(piece), 2 * len(piece)
 
         for frame in frames:
-            if not frame.empty:
-                yield from apart(frame)
+            if frame.empty:
+                continue
+            refused: list[tuple[int, str]] = []
+            # One frame out for a frame in: small ones cost more to send than to encode.
+            places, pieces = map(list, zip(*found, strict=True)) if (found := list(apart(frame, refused))) else ([], [])
+            at = np.repeat(places, [len(p) for p in pieces]).astype(int)
+            if refused:
+                rows, reasons = map(list, zip(*refused, strict=True))
+                pieces.append(frame.iloc[rows].assign(vector=None, _error=reasons))
+                at = np.concatenate([at, rows])
+            # Rows stay in the order they came in.
+            yield pieces[0] if len(pieces) == 1 else pd.concat(pieces, ignore_index=True).iloc[np.argsort(at, kind="stable")]
 
     return run
 
@@ -93,6 +113,7 @@ def encode_with_attempts(rows: DataFrame, encode: Callable[[DataFrame], DataFram
     so that it is replayed and nothing overtakes it.
     """
     spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     pending = rows.join(attempts_so_far(spark, ledger), list(PLACE), "left").withColumn("tried", F.coalesce("tried", F.lit(0)))
     pending = stage(pending, "pending")
     passed, given_up, n_passed = None, None, 0
@@ -100,7 +121,8 @@ def encode_with_attempts(rows: DataFrame, encode: Callable[[DataFrame], DataFram
     while True:
         # A record whose last attempt failed just before a restart has none left.
         spent = pending.filter(F.col("tried") >= attempts)
-        tried = stage(encode(pending.filter(F.col("tried") < attempts)), "encoded")
+        # Spread over tasks by place, not by the files they come in: a refused record costs a call of its own.
+        tried = stage(encode(pending.filter(F.col("tried") < attempts).repartition(parts, *PLACE)), "encoded")
         counts = tried.agg(F.count_if(F.col("_error").isNull()).alias("good"), F.count_if(F.col("_error").isNotNull()).alias("bad")).first()
         if not spent.isEmpty():
             given_up = both(given_up, spent.select(*PLACE, F.col("last_reason").alias("reason")))

@@ -157,6 +157,26 @@ def test_failing_sink_stops_the_batch_and_nothing_overtakes(spark, folder):
     assert {r.document_id for r in ingest(spark, folder).collect()} == {"e0", "e1"}
 
 
+def test_records_that_all_fail_cost_one_call_each_and_leave_in_one_frame():
+    import pandas as pd
+
+    calls = []
+
+    def encode(frames):
+        for f in frames:
+            calls.append(len(f))
+            if (f["n"] >= 8).any():
+                raise ValueError("no")
+            yield f.assign(vector=[[1.0]] * len(f))
+
+    out = list(guarded(encode)(iter([pd.DataFrame({"n": range(8, 72)})])))
+    assert len(calls) <= 64 + 6 and [len(f) for f in out] == [64] and out[0]["_error"].notna().all()
+    mixed = list(guarded(encode)(iter([pd.DataFrame({"n": [1, 9, 2, 3, 10, 4, 5, 6, 7]})])))
+    assert len(mixed) == 1
+    rows = mixed[0].sort_values("n")
+    assert list(rows["n"]) == [1, 2, 3, 4, 5, 6, 7, 9, 10] and list(rows["_error"].notna()) == [False] * 7 + [True] * 2
+
+
 def test_attempts_are_bounded():
     calls = []
 
