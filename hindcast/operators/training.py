@@ -28,6 +28,7 @@ from hindcast.fixed_values import (
 from hindcast.operators import boosting
 from hindcast.operators.evaluation import log_loss, pick_winner
 from hindcast.operators.folds import check_folds, fold_bounds, time_folds
+from hindcast.session import stage
 
 
 class ModelRefused(ValueError):
@@ -56,11 +57,36 @@ class ModelCard:
     family: str = "spark-trees"
 
 
+#: Into how many parts, at most, equal rows are dealt: the parts are what a tree samples.
+SAMPLE_LOTS = 16
+LOT = "_lot"
+
+
+def equal_rows(train: DataFrame, ends: Sequence[int] = (), names: Sequence[str] = FEATURE_NAMES, row: str = "event_id") -> DataFrame:
+    """Rows of equal features and label as few rows that carry the sum of their weights.
+
+    To a tree a row of weight 3 is three rows of weight 1, so all passes of all fits go over
+    what differs. With `ends`, `time_rank` becomes the first of them at or after it (null
+    after the last), so a filter `time_rank <= end` keeps what it kept. Rows are dealt into
+    lots by a hash of their id, so that a tree's share of the rows does not take or leave
+    all equal ones; rows that came out of here are added up by the lots they have.
+    """
+    lot = F.col(LOT) if LOT in train.columns else F.pmod(F.xxhash64(F.col(row).cast("string")), F.lit(SAMPLE_LOTS)).cast("int")
+    keys = {LOT: lot, "label": F.col("label"), **{n: F.col(n) for n in names}}
+    if ends:
+        keys["time_rank"] = F.coalesce(*[F.when(F.col("time_rank") <= end, F.lit(end)) for end in sorted(ends)]).cast("long")
+    return train.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.sum("weight").alias("weight"))
+
+
 class SparkTrees:
     """Spark's boosted trees: first-order, subsets of features by node."""
 
     family = "spark-trees"
 
+    def rows(self, train: DataFrame, ends: Sequence[int]) -> DataFrame:
+        """What `fit` is given for ranks up to one of `ends`."""
+        return stage(equal_rows(train, ends), "equal-rows")
+
     def fit(self, train: DataFrame, max_depth: int, step_size: float, rounds: int) -> PipelineModel:
         return fit_gate_model(train, max_depth, step_size, rounds)
 
@@ -81,6 +107,10 @@ class SecondOrderTrees:
     def __init__(self, names: Sequence[str] = FEATURE_NAMES, **options):
         self.names, self.options = names, options
 
+    def rows(self, train: DataFrame, ends: Sequence[int]) -> DataFrame:
+        """All rows: a tree's share is drawn by the row's id."""
+        return train
+
     def fit(self, train: DataFrame, max_depth: int, step_size: float, rounds: int) -> boosting.Boosted:
         return boosting.fit_boosted(train, max_depth, step_size, rounds, self.names, **self.options)
 
@@ -114,7 +144,11 @@ def fit_gate_model(
     row_share: float = ROW_SUBSAMPLE,
     feature_share: float = FEATURE_SUBSAMPLE,
 ) -> PipelineModel:
-    """`train` has the features, `label` and `weight`; the shares are what a tree sees of rows and a node of features."""
+    """`train` has the features, `label`, `weight` and an event_id; the shares are what a tree sees of rows and a node of features.
+
+    Equal rows are added up first, and ordered, so that tasks that are repeated sample alike.
+    """
+    train = equal_rows(train, names=names).sortWithinPartitions(LOT, "label", *names)
     trees = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight",
         maxDepth=max_depth, stepSize=step_size, maxIter=rounds,
@@ -144,17 +178,19 @@ def hpo_time_grid(
     `train` carries time_rank, features, label and weight and should be cached;
     a fold is a range of ranks over it, not a copy. Boosting adds trees one at a time with a seed per tree, so a model of
     few rounds is the head of the longer one: one fit per (depth, step, fold)
-    serves every number of rounds. Fits are submitted from a few threads.
+    serves every number of rounds. Fits are submitted from a few threads, over the
+    rows as the learner takes them (`rows`); losses are means over all validation rows.
     """
     spark = train.sparkSession
     check_folds(time_folds(train.select("time_rank", "label"), n, folds))
     longest = max(rounds)
     rank = F.col("time_rank")
     learner = learner or SparkTrees()
+    learnt = learner.rows(train, [start for _, start, _ in fold_bounds(n, folds)])
 
     def losses(task: tuple[int, float, tuple[int, int, int]]) -> list[tuple]:
         depth, step, (fold, start, end) = task
-        model = learner.fit(train.filter(rank <= start), depth, step, longest)
+        model = learner.fit(learnt.filter(rank <= start), depth, step, longest)
         curve = learner.losses(model, train.filter((rank > start) & (rank <= end)), rounds)
         return [(depth, float(step), r, fold, start, end, curve[r]) for r in rounds]
 

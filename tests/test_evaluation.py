@@ -128,6 +128,28 @@ def test_rounds_of_one_fit_are_heads_of_the_longer_one(spark, training_table):
         assert row.folds[0].log_loss == pytest.approx(loss, rel=1e-6)
 
 
+def test_fits_go_over_what_differs(spark, monkeypatch):
+    """Equal rows are added up: the trees are those of all rows, from few rows, whatever the number of copies."""
+    rows = spark.range(4000).selectExpr(
+        "concat('e', id) AS event_id", "id + 1 AS time_rank", "cast(id % 6 IN (1, 4) OR id % 35 = 0 AS double) AS label", "IF(id % 6 = 1, 2.0D, 1.0D) AS weight",
+        *[f"cast(id % 6 + {i} AS double) AS {n}" for i, n in enumerate(FEATURE_NAMES)],
+    ).cache()
+    given = []
+    whole = training.GBTClassifier._fit
+    monkeypatch.setattr(training.GBTClassifier, "_fit", lambda self, df: given.append(df.count()) or whole(self, df))
+    few = training.SparkTrees().rows(rows, [1000, 2000])
+    model = training.fit_gate_model(few.filter("time_rank <= 2000"), 2, 0.1, 4, row_share=1.0, feature_share=1.0)
+    assert given[0] <= 6 * 2 * training.SAMPLE_LOTS
+    trees = training.GBTClassifier(labelCol="label", weightCol="weight", maxDepth=2, stepSize=0.1, maxIter=4, seed=training.SAMPLE_SEED)
+    plain = training.Pipeline(stages=[training.VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="features"), trees]).fit(rows.filter("time_rank <= 2000"))
+    scores = [[r.score for r in training.score_rows(m, rows).orderBy("time_rank").limit(6).collect()] for m in (model, plain)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-9) and len({round(x, 6) for x in scores[0]}) > 1
+    for end in (1000, 2000):
+        kept = [df.filter(F.col("time_rank") <= end).groupBy("label").agg(F.sum("weight")).orderBy("label").collect() for df in (few, rows)]
+        assert kept[0] == kept[1]
+    assert few.agg(F.sum("weight")).first()[0] == rows.agg(F.sum("weight")).first()[0]
+
+
 def test_train_save_load_score(spark, training_table, folder):
     model, card, metrics = train_gate(training_table, f"{folder}/m", depths=(2,), steps=(0.1,), rounds=(5,))
     assert 0.05 <= card.score_threshold <= 0.95
