@@ -82,6 +82,34 @@ def test_a_write_that_fails_takes_nothing_away(spark, folder):
     assert texts(spark, folder) == expected
 
 
+def most_rows_of_a_task(table):
+    return max(len(p) for p in table.rdd.mapPartitions(lambda rows: [list(rows)]).collect())
+
+
+def test_buckets_are_dealt_on_as_the_table_grows(spark, folder):
+    """No task's rows grow with the table: not of a first large batch, nor of many small ones."""
+    rng = random.Random(4)
+    expected = {f"p{k}": f"first {k}" for k in range(400)}
+    few = {"buckets": 4, "slots": 2, "bucket_rows": 10}
+    buckets.upsert_bucketed(batch(spark, [(p, t, k) for k, (p, t) in enumerate(expected.items())]), folder, 0, "run", **few)
+    home = {r["point_id"]: r["slot"] for r in buckets._table(spark, folder, buckets.pieces(spark, folder)).collect()}
+    for k in range(1, 7):
+        rows = [(f"p{rng.randrange(1200)}", f"t{k}.{i}", i) for i in range(150)]
+        for _ in range(2):  # a replay stands for its batch, whether the table has grown or not
+            buckets.upsert_bucketed(batch(spark, rows), folder, k, "run", **few)
+        expected |= {p: t for p, t, _ in rows}
+        assert texts(spark, folder) == expected
+        live = buckets.pieces(spark, folder)
+        table = buckets._table(spark, folder, live)
+        assert most_rows_of_a_task(buckets._newest(table)) < 30
+        # Every point is in the slot it began in.
+        assert not [r for r in table.select("point_id", "slot").collect() if home.setdefault(r["point_id"], r["slot"]) != r["slot"]]
+        assert "Exchange" not in buckets.read_bucketed(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert len({r["parts"] for r in live}) == 1 and live[0]["parts"] > 16
+    while buckets.compact_bucketed(spark, folder, 2):
+        assert texts(spark, folder) == expected
+
+
 def test_empty_batches_and_null_ids(spark, folder):
     buckets.upsert_bucketed(batch(spark, [(None, "a", 0), (None, "b", 1), ("p", "c", 2)]), folder, 0, "run", buckets=8, slots=4)
     buckets.upsert_bucketed(batch(spark, []), folder, 1, "run", buckets=8, slots=4)
