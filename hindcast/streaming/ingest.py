@@ -78,11 +78,16 @@ def ingest_batch(
     letters at once. One that a caller's encoder refuses is tried `attempts` times,
     over replays, and then goes there too (see `attempts`). A failing write is
     repeated and then ends the batch.
+
+    Records are dealt to tasks by their place: decoding costs far more than moving them,
+    and a landed file's rows may all be one split's.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        run_id = current_run(batch.sparkSession)
-        decoded = decode_payload(batch, universe=universe).persist()
+        spark = batch.sparkSession
+        run_id = current_run(spark)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        decoded = decode_payload(batch.repartition(parts, *PLACE), universe=universe).persist()
         try:
             good = decoded.filter(F.col("reason").isNull())
             bad = decoded.filter(F.col("reason").isNotNull())

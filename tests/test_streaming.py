@@ -225,3 +225,13 @@ def test_redeliveries_within_the_bound_do_not_reach_the_sink(spark, folder):
     # Beyond the bound a redelivery is stored again and settled by the reader.
     assert deliver([record(0)], "2024-05-11 00:00:00") == [0, 0, 1, 2, 3]
     assert sorted(r.document_id for r in point_sink.read_points(spark, f"{folder}/points").collect()) == ["e0", "e1", "e2", "e3"]
+
+
+def test_records_of_one_file_are_dealt_to_all_tasks(spark, folder):
+    """A landed file with one row group is one task's to read; decoding it is not."""
+    from pathlib import Path
+
+    spark.createDataFrame([record(k) for k in range(400)], RECORD_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    ingest_batch(f"{folder}/points", f"{folder}/dlq", universe=("AAPL",))(spark.read.parquet(f"{folder}/in"), 0)
+    assert len(list(Path(folder, "points").rglob("part-*.parquet"))) >= 4
+    assert point_sink.read_points(spark, f"{folder}/points").count() == 400
