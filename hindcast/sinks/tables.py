@@ -59,10 +59,14 @@ def sink_news_raw(events: DataFrame, target: str, fmt: str = "kafka", topic: str
     write_batch(numbered, target, 0, uuid.uuid4().hex, fmt)
 
 
-def sink_run_records(envelopes: DataFrame, path: str) -> None:
-    """One JSON document per run, by run date."""
+def sink_run_records(envelopes: DataFrame, path: str, compression: str = "lz4", file_rows: int = 1_000_000) -> None:
+    """One JSON document per run, by run date.
+
+    Records repeat their names and stamps, so files are packed ("none" for readers that
+    cannot unpack them); a packed file is read by one task, so it has `file_rows` at most.
+    """
     dated = envelopes.withColumn("run_date", F.to_date("started_at"))
-    dated.write.mode("append").partitionBy("run_date").json(path)
+    dated.write.mode("append").partitionBy("run_date").option("maxRecordsPerFile", file_rows).json(path, compression=compression)
 
 
 RUN_COLUMNS = "run_id string, event_id string, ticker string, status string, mode string, retrieval_hit_count long, extras variant"

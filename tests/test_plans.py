@@ -167,3 +167,22 @@ def test_first_and_newest_rows_are_not_sort_aggregated(spark):
 def test_scans_read_only_needed_columns(spark):
     plan = views.news_events(spark, SF).select("event_id", "published_at")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
+
+
+def test_run_records_are_packed_in_files_of_bounded_rows(spark, folder):
+    from pathlib import Path
+
+    from hindcast.operators.decisions import build_envelope
+    from hindcast.sinks.tables import read_run_records, sink_run_records
+
+    texts = ("action", "rationale", "decision", "decision_reason", "model_version", "bundle_id", "policy_version", "error_message")
+    rows = spark.range(40).selectExpr(
+        "cast(id AS string) AS event_id", "'A' AS ticker", "cast(id AS int) AS n_hits", "false AS proposal_ok", "cast(null AS date) AS feature_as_of",
+        *[f"cast(null AS string) AS {c}" for c in texts], *[f"cast(null AS double) AS {c}" for c in ("confidence", "downside_risk_score", "features_used")],
+    ).coalesce(1)
+    sink_run_records(build_envelope(rows), f"{folder}/packed", file_rows=10)
+    sink_run_records(build_envelope(rows), f"{folder}/plain", "none")
+    sizes = {name: [f.stat().st_size for f in Path(folder, name).rglob("part-*")] for name in ("packed", "plain")}
+    assert len(sizes["packed"]) == 4 and sum(sizes["packed"]) < sum(sizes["plain"]) / 2
+    found = [sorted((r.event_id, r.retrieval_hit_count) for r in read_run_records(spark, f"{folder}/{n}").collect()) for n in ("packed", "plain")]
+    assert found[0] == found[1] == sorted((str(k), k) for k in range(40))
