@@ -82,7 +82,8 @@ def q_scan_events_jsonl(spark, sf):
 def q_scan_hits(spark, sf):
     path = new_path(spark, "hits-jsonl")
     raw = v.hits(spark, sf).withColumn("available_at", clocks.iso_utc(F.col("available_at")))
-    raw.write.json(path)
+    # A packed file is read by one task, so none is large.
+    raw.write.option("maxRecordsPerFile", 1_000_000).json(path, compression="lz4")
     hits = files.scan_hits(spark, path)
     return hits.groupBy("event_id").agg(
         F.count(F.lit(1)).alias("hits"),
