@@ -9,7 +9,9 @@ shingle into one block, so every element of the symmetric difference spoils one
 block at most: the number of blocks in which two sketches differ bounds D from below.
 A second sketch of SKETCH_BITS bits, in which a shingle flips one bit, gives the
 same bound by its Hamming distance and sorts candidates out before texts are
-compared.
+compared. It says little of large sets, as it fills up; so what it leaves is sorted
+out by a third one, whose bits grow with the set (WIDE or more a shingle). Its sizes
+are powers of two, so the longer one of a pair folds to the shorter one's size.
 
 Pigeonhole. Sizes fall in bands of factor 2 (a set also joins the band below if
 a partner may lie there), and a band fixes the number of blocks. Linked sets
@@ -55,6 +57,8 @@ from hindcast.session import stage
 WIDTH = 5
 SKETCH_BITS = 512
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+#: Bits a shingle that a wide sketch has at least; sets for which SKETCH_BITS are as many have none.
+WIDE = 2
 COUNT_BITS = 20
 #: Bits of a block's number: what is added to a band's own number, by the first band that it holds for; smaller sets have SMALL_BITS.
 BLOCK_BITS = {5: 2, 7: 1, 9: 0}
@@ -113,18 +117,43 @@ def bit_sketches(ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.packbits((times & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1, bitorder="little").view(np.uint64)
 
 
+def wide_sketches(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A shingle flips one of the set's bits, whose number is a power of two. Empty where SKETCH_BITS suffice."""
+    n = np.diff(ends)
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(WIDE * n, 1))).astype(np.int64)
+    bits[bits <= SKETCH_BITS] = 0
+    start = np.concatenate(([0], np.cumsum(bits // 8)))
+    of = owners(ends)
+    taken = bits[of] > 0
+    of, bit = of[taken], values[taken]
+    bit = (bit & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(start[-1], np.uint8)
+    np.bitwise_xor.at(out, start[of] + (bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(out)])
+
+
+def apart_in(a: bytes, b: bytes) -> int:
+    """In how many bits two wide sketches differ, at the shorter one's size; an empty one says nothing."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def describe(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.ndarray]:
-    """Per row doc_id, node, n, its bit sketch and a hash of its text; and by the low bits of a shingle's hash how frequent it is (log 2).
+    """Per row doc_id, node, n, its sketches and a hash of its text; and by the low bits of a shingle's hash how frequent it is (log 2).
 
     The frequencies are sums over all documents of what stands out in a task; a
     table of fixed size.
     """
-    schema = f"doc_id long, node long, n long, {', '.join(f'{s} long' for s in SKETCH)}, t long, times long"
+    schema = f"doc_id long, node long, n long, {', '.join(f'{s} long' for s in SKETCH)}, wide binary, t long, times long"
     buckets = 1 << COUNT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.zeros(buckets, np.int64)
-        names = ["doc_id", "node", "n", *SKETCH, "t", "times"]
+        names = ["doc_id", "node", "n", *SKETCH, "wide", "t", "times"]
         for batch in slices(batches, "text"):
             ends, values = shingle_sets(text_array(batch.column("text")))
             times += np.bincount((values & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
@@ -132,12 +161,14 @@ def describe(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, np.nda
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(signed(set_ids(ends, values))), pa.array(np.diff(ends))]
                 + [pa.array(signed(words[:, k])) for k in range(len(SKETCH))]
-                + [batch.column("t"), pa.nulls(batch.num_rows, pa.int64())],
+                + [wide_sketches(ends, values), batch.column("t"), pa.nulls(batch.num_rows, pa.int64())],
                 names=names,
             )
         heavy = np.flatnonzero(times >= 8 + 2 * times.mean())
         empty = pa.nulls(len(heavy), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, pa.array(heavy), *[empty] * (2 + len(SKETCH)), pa.array(times[heavy])], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [empty, pa.array(heavy), *[empty] * (1 + len(SKETCH)), pa.nulls(len(heavy), pa.binary()), empty, pa.array(times[heavy])], names=names
+        )
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     both = stage(narrow.transform(in_arrow, run, schema), "sets")
@@ -309,6 +340,25 @@ def _may_link(a: str, b: str) -> Column:
     return (4 * x >= 3 * y) & (4 * y >= 3 * x) & (7 * distance <= x + y)
 
 
+def sketched(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that wide sketches allow: 7 * Hamming distance <= both sizes together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = batch.column("_x").to_numpy() + batch.column("_y").to_numpy()
+            both = zip(batch.column("_a"), batch.column("_b"), strict=True)
+            near = [7 * apart_in(a.as_py(), b.as_py()) <= m for (a, b), m in zip(both, most.tolist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    # Equal sets have equal sketches.
+    known = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.max("wide").alias("wide"))
+    known = stage(known, "wide")
+    a = known.select(F.col("node").alias("u"), F.col("n").alias("_x"), F.col("wide").alias("_a"))
+    b = known.select(F.col("node").alias("v"), F.col("n").alias("_y"), F.col("wide").alias("_b"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "_x", "_y", "_a", "_b").transform(in_arrow, run, "u long, v long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose sets link. texts: node, text."""
 
@@ -348,7 +398,8 @@ def compared(docs: DataFrame, text: str, rows: DataFrame, pairs: DataFrame) -> D
 
 
 def settled(docs: DataFrame, text: str, rows: DataFrame, likely: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (u, v) by their texts."""
+    """The linked ones of the pairs (u, v) by their texts, where wide sketches allow it."""
+    likely = stage(sketched(likely, rows), "likely")
     nodes = likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))).distinct()
     return stage(verified(likely, texts_of(docs, text, rows, nodes)), "verified")
 
@@ -419,8 +470,8 @@ def apart(blocks: DataFrame, label: DataFrame, rows: DataFrame, part_nodes: int
             met_before |= (F.col(f"a.m{i}") == F.col(f"b.m{j}")) & (F.col(f"a.m{i}") < F.col("a.key"))
     meet = (
         (F.col("a.key") == F.col("b.key")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.component") < F.col("b.component"))
-        # Two of one part meet in that part's own slot only.
-        & (F.col("a.alone") | (F.col("a.own") != F.col("b.own")))
+        # Two of one part meet in that part's own slot only. Both sides read the same columns, so one exchange serves both.
+        & ((F.col("a.alone") & F.col("b.alone")) | (F.col("a.own") != F.col("b.own")))
         & _may_link("a", "b") & ~met_before
     )
     return dealt.alias("a").join(dealt.alias("b"), meet).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()

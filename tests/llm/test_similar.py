@@ -154,3 +154,41 @@ def test_pairs_of_different_components_against_all_pairs(spark, part_nodes):
                 if u > v and label.get(u, u) != label.get(v, v) and sized and near:
                     expected.add((u, v))
     assert expected and sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_wide_sketches_bound_the_difference_of_large_sets():
+    rng = random.Random(6)
+    words = vocabulary(rng, 4000)
+    texts = [sentence(rng, 2600, words)]
+    texts += [edited(rng, texts[0], share, words) for share in (0.002, 0.02, 0.1)]
+    texts += [" ".join(texts[0].split()[:1990]), sentence(rng, 100, words), ""]
+    ends, values = shingle_sets(pa.array(texts))
+    sets = [set(values[ends[k] : ends[k + 1]].tolist()) for k in range(len(texts))]
+    wide = similar.wide_sketches(ends, values).to_pylist()
+    assert [len(w) * 8 for w in wide] == [8192] * 4 + [4096, 0, 0]
+    # A folded sketch is the sketch of the same set at the smaller size.
+    low = values[ends[4] : ends[5]] & np.uint64(2047)
+    assert similar.apart_in(wide[4], np.packbits(np.bincount(low.astype(int), minlength=2048) & 1, bitorder="little").tobytes()) == 0
+    for a in range(5):
+        for b in range(5):
+            assert similar.apart_in(wide[a], wide[b]) <= len(sets[a] ^ sets[b])
+    assert similar.apart_in(wide[0], wide[5]) <= 4096 and similar.apart_in(wide[5], wide[6]) == 0
+
+
+def test_texts_of_large_sets_that_differ_are_not_compared(spark, tmp_path, monkeypatch):
+    """Sketches of fixed size leave large sets to their texts, of which each pair moves one."""
+    rng = random.Random(8)
+    words = vocabulary(rng, 4000)
+    base = sentence(rng, 2600, words)
+    rows = [(0, base), (1, edited(rng, base, 0.005, words)), (2, edited(rng, base, 0.12, words))]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    found, _ = similar.describe(docs, "text", "doc_id")
+    node = {r["doc_id"]: r["node"] for r in found.collect()}
+    pairs = spark.createDataFrame([(node[0], node[1]), (node[0], node[2]), (node[1], node[2])], "u long, v long")
+    calls = []
+    kept = similar.verified
+    monkeypatch.setattr(similar, "verified", lambda pairs, texts: calls.append(pairs.count()) or kept(pairs, texts))
+    got = [tuple(r) for r in similar.compared(docs, "text", found, pairs).collect()]
+    assert got == [(node[0], node[1])] and calls == [1]
