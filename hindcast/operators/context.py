@@ -1,13 +1,14 @@
 """What an event may see of all hits of its ticker, without a key that links them.
 
 A range join would compare every event with every earlier hit of its ticker. Here
-positions do the work: events and hits are ranked together by ticker and time, and
-events among themselves; the difference is the number of hits before an event.
-The k newest visible hits then stand at the k positions up to that number, so
-they are fetched by an equi-join on the position, which no two hits share. All rows
-that move are narrow, and the order is spread over range partitions on the whole
-key, so a hot ticker, or a single instant that very many rows share, never has to
-pass through one task.
+instants do the work: events and hits are added up by ticker and time, and a running
+sum over the instants gives the number of hits up to each; less those of the tickers
+before, it is what an event of that instant may see. The k newest visible hits stand
+at the k places up to that number, so they are fetched by an equi-join on the place,
+which no two hits share. An event sees all hits of an instant or none, so only the k
+smallest ids of each instant move. The order of instants is spread over range
+partitions, and equal instants are combined before they are shuffled, so a hot
+ticker, or a single instant that very many rows share, never has to pass through one task.
 
 A hit at the event's own instant is visible. Rows without ticker or time see
 nothing and are not seen; an event that sees nothing has a count of 0 and no hits.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.fixed_values import TOP_K
-from hindcast.operators.scale import bounded, global_rank
+from hindcast.operators.scale import bounded, global_rank, running_sum, top_k
 from hindcast.session import stage
 
 
@@ -49,18 +50,27 @@ def ranked_hits(hits: DataFrame, starts: DataFrame, carry: Sequence[str] = ()) -
     return backwards.join(starts, "ticker").select("document_id", *carry, turned)
 
 
+def instants(events: DataFrame, hits: DataFrame) -> DataFrame:
+    """ticker, `_micros`, `asked` (an event has this instant) and `upto` (hits of all tickers up to here, its own included).
+
+    One row for each instant of a hit or an event; equal instants are added up before they are shuffled.
+    """
+    seen = _usable(hits, "available_at").select("ticker", _micros("available_at").alias("_micros"), F.lit(1).alias("_n"))
+    own = _usable(events, "published_at").select("ticker", _micros("published_at").alias("_micros"), F.lit(0).alias("_n"))
+    each = seen.unionByName(own).groupBy("ticker", "_micros").agg(F.sum("_n").alias("_n"), (F.min("_n") == 0).alias("asked"))
+    return running_sum(stage(each, "instants"), ["ticker", "_micros"], "_n", "upto").drop("_n")
+
+
+def _counted(at: DataFrame, starts: DataFrame) -> DataFrame:
+    """The instants of events: ticker, `_micros`, upto, n_visible."""
+    visible = F.coalesce(F.col("upto") - F.col("before"), F.lit(0))
+    return at.filter("asked").join(starts, "ticker", "left").select("ticker", "_micros", "upto", visible.alias("n_visible"))
+
+
 def count_visible(events: DataFrame, hits: DataFrame, starts: DataFrame) -> DataFrame:
     """event_id, `upto` (hits of all tickers up to here) and `n_visible` (of its own ticker), for events with ticker and time."""
-    own = _usable(events, "published_at").select(F.col("event_id").cast("string").alias("id"), "ticker", _micros("published_at").alias("micros"))
-    own = stage(own, "clocks")
-    seen = _usable(hits, "available_at").select(F.col("document_id").cast("string").alias("id"), "ticker", _micros("available_at").alias("micros"))
-    # The hits of an instant stand before its events.
-    both = stage(seen.withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1))), "together")
-    together = global_rank(both, ["ticker", "micros", "kind", "id"], "rank").filter(F.col("kind") == 1)
-    among = global_rank(own, ["ticker", "micros", "id"], "own_rank").select("id", "own_rank")
-    upto = together.join(among, "id").select("id", "ticker", (F.col("rank") - F.col("own_rank")).alias("upto"))
-    visible = F.coalesce(F.col("upto") - F.col("before"), F.lit(0))
-    return upto.join(starts, "ticker", "left").select(F.col("id").alias("event_id"), "upto", visible.alias("n_visible"))
+    own = _usable(events, "published_at").select(F.col("event_id").cast("string").alias("event_id"), "ticker", _micros("published_at").alias("_micros"))
+    return own.join(_counted(instants(events, hits), starts), ["ticker", "_micros"]).select("event_id", "upto", "n_visible")
 
 
 def newest_visible(events: DataFrame, hits: DataFrame, k: int = TOP_K, carry: Sequence[str] = ()) -> DataFrame:
@@ -69,11 +79,17 @@ def newest_visible(events: DataFrame, hits: DataFrame, k: int = TOP_K, carry: Se
     Events that see nothing have one row without a hit. An event_id names one event.
     """
     starts = ticker_starts(_usable(hits, "available_at"))
-    counted = stage(count_visible(events, hits, starts), "visible")
+    at = stage(instants(events, hits), "upto")
+    # An event sees all of an instant's hits or none: only the k smallest ids of an instant can be among the newest.
+    rows = _usable(hits, "available_at").select("ticker", _micros("available_at").alias("_micros"), "document_id", *carry)
+    best = top_k(rows.withColumnRenamed("document_id", "_id"), ["ticker", "_micros"], [F.asc("_id")], k).withColumnRenamed("rank", "_r")
+    best = best.join(at.select("ticker", "_micros", "upto"), ["ticker", "_micros"])
+    placed = best.select((F.col("upto") - F.col("_r") + 1).alias("_place"), F.col("_id").alias("document_id"), *carry)
+    counted = _counted(at, starts)
     ranks = F.sequence(F.lit(1).cast("long"), F.least(F.lit(k).cast("long"), "n_visible"))
-    wanted = counted.filter(F.col("n_visible") > 0).select("event_id", F.explode(ranks).alias("rank"), "upto")
-    wanted = wanted.select("event_id", F.col("rank").cast("int").alias("rank"), (F.col("upto") - F.col("rank") + 1).alias("place"))
-    found = wanted.join(ranked_hits(hits, starts, carry), "place").drop("place")
-    every = events.select(F.col("event_id").cast("string").alias("event_id"))
-    visible = every.join(counted.select("event_id", "n_visible"), "event_id", "left").fillna(0, ["n_visible"])
-    return visible.join(found, "event_id", "left")
+    wanted = counted.select("*", F.explode_outer(F.when(F.col("n_visible") > 0, ranks)).alias("_r"))
+    wanted = wanted.select("ticker", "_micros", "n_visible", F.col("_r").cast("int").alias("rank"), (F.col("upto") - F.col("_r") + 1).alias("_place"))
+    found = stage(wanted.join(placed, "_place", "left").drop("_place"), "newest")
+    every = events.select(F.col("event_id").cast("string").alias("event_id"), "ticker", _micros("published_at").alias("_micros"))
+    shown = stage(every, "clocks").join(found, ["ticker", "_micros"], "left").fillna(0, ["n_visible"])
+    return shown.select("event_id", "n_visible", "rank", "document_id", *carry)

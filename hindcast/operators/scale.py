@@ -129,6 +129,17 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Data
     )
 
 
+def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Exact sum of `value` over all rows up to each one under a total order, as `global_rank` does it. Stage an expensive input first."""
+    pinned = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    sums = pinned.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = pinned.withColumn(name, F.sum(value).over(inside)).join(F.broadcast(offsets), "_part")
+    return summed.withColumn(name, F.col(name) + F.col("_offset")).drop("_part", "_offset")
+
+
 def first_by_hash(df: DataFrame, groups: Sequence[str], hash_col: str, tie: str, limit: int, name: str) -> DataFrame:
     """First `limit` rows per group in hash order, with their position.
 

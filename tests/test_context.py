@@ -71,3 +71,15 @@ def test_no_task_holds_a_hot_ticker_and_no_range_join(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     plan = context.newest_visible(events, hits, 3)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_what_moves_follows_the_instants_not_the_hits(spark, monkeypatch):
+    """Of very many hits of one instant only the k smallest ids are placed; ranks of all hits are not needed."""
+    ranked = []
+    monkeypatch.setattr(context, "global_rank", lambda *args: ranked.append(args))
+    hits = spark.range(5000).selectExpr("concat('d', lpad(id, 6, '0')) AS document_id", "'HOT' AS ticker", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS available_at")
+    events = spark.range(300).selectExpr("concat('e', id) AS event_id", "'HOT' AS ticker", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, id % 3, 0) AS published_at")
+    at = context.instants(events, hits)
+    assert sorted((r.asked, r.upto) for r in at.collect()) == [(True, 5000)] * 3
+    got = context.newest_visible(events, hits, 2).groupBy("n_visible", "rank", "document_id").count().collect()
+    assert sorted(map(tuple, got)) == [(5000, 1, "d000000", 300), (5000, 2, "d000001", 300)] and not ranked
