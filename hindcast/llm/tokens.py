@@ -14,10 +14,11 @@ are written by Spark (a task that is lost is redone and only committed output
 counts). Only segment sizes travel to find where each document starts.
 
 Encoding: white space parts words for the tokenizer, so every word is encoded
-by itself, and a bounded memory of encoded words spares most of the calls. A word
-of ASCII and Latin-1 letters goes through the model's own merges directly;
-any other one through the whole tokenizer. Both are held against whole-text
-encoding in the tests.
+by itself. The different words of a block of texts of ASCII and Latin-1 letters,
+digits and signs are split into pieces at once, by the kinds of their bytes; a
+bounded memory of pieces spares most calls of the model's own merges. Words with
+an apostrophe are split one by one, any others go through the whole tokenizer, with
+a bounded memory of their own. All are held against whole-text encoding in the tests.
 
 Order and nulls: null ids come first, rows with equal ids stand by the hash of
 the text, equal rows are alike. A null text is empty and holds the end id only. No
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.llm.common import in_arrow, remembered, slices, table, text_array, word_codes
+from hindcast.llm.common import in_arrow, raw, remembered, slices, table, text_array, word_codes
 from hindcast.session import new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +48,30 @@ RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
 KNOWN_WORDS = 400_000
 KNOWN_PIECES = 300_000
+#: Texts that are split at once: more of them share their words.
+ENCODE_BYTES = 8_000_000
+
+#: The split pattern whose pieces of words without an apostrophe are runs of bytes of one kind, digits alone.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIGN, LETTER, DIGIT, WORD_BY_WORD = range(4)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte of UTF-8 its kind, and what it is in lower case, for ASCII and the Latin-1 letters (0xC3 and a byte below 0xC0)."""
+    kind, low = np.full(256, WORD_BY_WORD, np.uint8), np.arange(256, dtype=np.uint8)
+    kind[33:127] = SIGN
+    kind[ord("'")] = WORD_BY_WORD
+    kind[ord("0") : ord("9") + 1] = DIGIT
+    for first in "aA":
+        kind[ord(first) : ord(first) + 26] = LETTER
+    kind[0xC3] = LETTER
+    kind[0x80:0xC0] = LETTER
+    low[ord("A") : ord("Z") + 1] += 32
+    low[0x80:0x9F] += 32
+    return kind, low
+
+
+KIND, LOWER = _kinds()
 
 LEVEL = "struct<chunks: binary, more: binary, ranks: binary, n: long>"
 SCHEMA = f"part int, segment int, n_tokens long, n_docs long, doc_id array<long>, doc_tokens array<int>, levels array<{LEVEL}>"
@@ -86,48 +111,93 @@ class WordEncoder:
         # Byte-level vocabularies show the other bytes as the characters from 256 on.
         self.shown = {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(keep))}
         self.special = "<|"
+        #: Whether words of plain letters, digits and signs can be split by their bytes.
+        self.by_bytes = self.pieces is not None and split[0] == SPLIT
         # Ids as little-endian 32-bit numbers: a few dozen bytes a word.
-        self.by_piece: dict[str, bytes] = {}
+        self.by_piece: dict[bytes, bytes] = {}
         self.by_word: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.by_piece.get(piece)
-        if got is None:
-            if len(self.by_piece) >= KNOWN_PIECES:
-                self.by_piece.clear()
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
-            got = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-            self.by_piece[piece] = got
-        return got
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces, all different."""
+        known = self.by_piece
+        out = list(map(known.get, pieces))
+        new = [k for k, got in enumerate(out) if got is None]
+        if len(known) + len(new) > KNOWN_PIECES:
+            known.clear()
+        tokenize = self.model.tokenize
+        for k in new:
+            piece = pieces[k]
+            tokens = tokenize(piece.decode() if piece.isalnum() else piece.decode("latin-1").translate(self.shown))
+            out[k] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if len(new) <= KNOWN_PIECES:
+            known.update((pieces[k], out[k]) for k in new)
+        return out
 
     def word(self, word: str) -> bytes:
         if self.pieces is None or self.special in word or not self.plain.fullmatch(word):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         low = word.lower()
-        if low.isalpha():
-            return self._piece(low)
-        return b"".join(map(self._piece, self.pieces.findall(low)))
+        pieces = [p.encode() for p in self.pieces.findall(low)]
+        different = list(dict.fromkeys(pieces))
+        ids = dict(zip(different, self._pieces(different), strict=True))
+        return b"".join([ids[p] for p in pieces])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each has (without end ids)."""
-        ends, codes, distinct = word_codes(texts)
+    def _words(self, words: list[str]) -> pa.Array:
+        """Ids of words one by one."""
         known, lists = self.by_word, []
-        for w in distinct.to_pylist():
+        for w in words:
             got = known.get(w)
             if got is None:
                 if len(known) >= KNOWN_WORDS:
                     known.clear()
                 got = known[w] = self.word(w)
             lists.append(got)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        flat = np.frombuffer(b"".join(lists), "<u4")
-        first = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        stops = np.cumsum(n)
-        at = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - n, n) + np.repeat(first[codes], n)
-        upto = np.concatenate(([0], stops))
-        return flat[at], np.diff(upto[ends])
+        return pa.array(lists, pa.large_binary())
+
+    def _split(self, data: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Ids of the words that the bytes hold between `ends`, none of which has a sign of `WORD_BY_WORD`."""
+        low = LOWER[data]
+        kind = KIND[low]
+        opens = kind == DIGIT
+        opens[1:] |= kind[1:] != kind[:-1]
+        opens[ends[:-1]] = True
+        starts = np.append(np.flatnonzero(opens), len(low))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(low)])
+        coded = pieces.dictionary_encode()
+        ids = pa.array(self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        # Where each word begins among the ids.
+        upto = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[np.searchsorted(starts, ends)]
+        return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(upto), ids.buffers()[2]])
+
+    def _distinct(self, words: pa.Array) -> tuple[pa.Array, np.ndarray | None]:
+        """Ids of different words, and the place of each word's (none: in the order of the words)."""
+        if not self.by_bytes or not len(words):
+            return self._words(words.to_numpy(zero_copy_only=False).tolist()), None
+        data, ends = raw(words)
+        kind = KIND[data]
+        apart = np.flatnonzero(kind == WORD_BY_WORD)
+        # Signs outside of Latin-1's letters, and those two bytes that a special token begins with.
+        signs = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        if not len(apart) + len(signs) + len(special):
+            return self._split(data, ends), None
+        alone = np.zeros(len(words), bool)
+        alone[np.searchsorted(ends, np.concatenate((apart, signs, special)), side="right") - 1] = True
+        here, there = words.filter(pa.array(~alone)), words.filter(pa.array(alone))
+        ids = pa.concat_arrays([*([self._split(*raw(here))] if len(here) else []), self._words(there.to_numpy(zero_copy_only=False).tolist())])
+        return ids, np.where(alone, len(here) + np.cumsum(alone) - 1, np.cumsum(~alone) - 1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has (without end ids)."""
+        ends, codes, distinct = word_codes(texts)
+        lists, places = self._distinct(distinct)
+        # The ids of all words, one behind the other.
+        placed = lists.take(pa.array(codes if places is None else places[codes]))
+        upto, data = placed.buffers()[1:]
+        upto = np.frombuffer(upto, np.int64, len(placed) + 1) // 4 if len(placed) else np.zeros(1, np.int64)
+        ids = np.frombuffer(data, "<u4", int(upto[-1])) if upto[-1] else np.zeros(0, "<u4")
+        return ids, np.diff(upto[ends])
 
 
 @remembered(maxsize=2)
@@ -217,7 +287,7 @@ def write_tokens(
 
         words, part = encoder(file), TaskContext.get().partitionId()
         segment, waiting, ids, keys, sizes = 0, 0, [], [], []
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             got, n = words.encode(text_array(batch.column("text")))
             # Each text's end id goes behind its ids.
             own = np.insert(got, np.cumsum(n), end_id).astype(np.uint32)

@@ -76,3 +76,35 @@ def test_empty(spark, tmp_path):
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), path)
     assert read_tokens(spark, path).count() == 0
     assert read_tokens(spark, path).agg(F.sum("n_tokens")).first()[0] is None
+
+
+def test_words_are_split_by_bytes_and_new_pieces_alone_reach_the_model(monkeypatch):
+    words = tokens.WordEncoder(default_tokenizer())
+    rng = random.Random(2)
+    # Every letter, digit and sign of ASCII and Latin-1, alone and mixed, some of them words that are taken one by one.
+    signs = [chr(c) for c in range(33, 256) if not 127 <= c < 161 and c != 173]
+    rows = [" ".join(signs), "".join(signs), "A×B c÷d é×É Ø÷ø", "a<b |c <|d <b|> x<|endoftext|>y", "ab c3d 12ef, É! it's '' 9's"]
+    rows += ["".join(rng.choice([*signs, " ", " ", "'", "日", "é", "é"]) for _ in range(60)) for _ in range(400)]
+    asked, byword = [], []
+
+    class Model:
+        def tokenize(self, piece, real=words.model):
+            asked.append(piece)
+            return real.tokenize(piece)
+
+    words.model, word = Model(), words.word
+    monkeypatch.setattr(words, "word", lambda w: byword.append(w) or word(w))
+    ids, n = words.encode(pa.array(rows))
+    stops = np.cumsum(n)
+    assert [ids[b - k : b].tolist() for b, k in zip(stops, n, strict=True)] == [whole(t)[:-1] for t in rows]
+    assert len(asked) == len(set(asked))
+    words.encode(pa.array(rows))
+    assert len(asked) == len(set(asked))
+    byword.clear()
+    # Words of letters, digits and signs are never taken one by one, and cases and signs share their letters' piece.
+    some = ["Straße straße, (STRASSE) ÀB12 àb--àb", "x" * 3000 + "É" * 50]
+    asked.clear()
+    ids, n = words.encode(pa.array(some))
+    assert ids.tolist() == [i for t in some for i in whole(t)[:-1]] and not byword
+    assert sorted(set(asked)) == sorted(asked)
+    assert words.encode(pa.array([], pa.string()))[0].tolist() == [] and words.encode(pa.array(["", " "]))[1].tolist() == [0, 0]
