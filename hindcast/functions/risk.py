@@ -64,16 +64,16 @@ def gate_policy(action: Column, score: Column, volatility: Column, policy: Polic
         action.isin("HOLD", "PASS"),
         _verdict("approve", F.format_string(REASON_NO_RISK, action, F.lit(policy.policy_version))),
     ).when(
-        (action == "BUY") & (score >= threshold), _verdict("reject", F.format_string(REASON_SCORE, fixed(score, 4), fixed(threshold, 4)))
+        (action == "BUY") & (score >= threshold), _verdict("reject", F.format_string(REASON_SCORE, fixed(score, 4), F.lit(f"{policy.score_threshold:.4f}")))
     )
     approved = (action == "BUY") & (score < threshold)
     if policy.vol_veto_enabled:
         veto = F.lit(float(policy.vol_veto_threshold))
         branches = branches.when(
-            (action == "BUY") & (volatility >= veto), _verdict("reject", F.format_string(REASON_VETO, fixed(volatility, 4), fixed(veto, 4)))
+            (action == "BUY") & (volatility >= veto), _verdict("reject", F.format_string(REASON_VETO, fixed(volatility, 4), F.lit(f"{policy.vol_veto_threshold:.4f}")))
         )
         approved = approved & volatility.isNotNull()
-    return branches.when(approved, _verdict("approve", F.format_string(REASON_APPROVED, fixed(score, 4), fixed(threshold, 4))))
+    return branches.when(approved, _verdict("approve", F.format_string(REASON_APPROVED, fixed(score, 4), F.lit(f"{policy.score_threshold:.4f}"))))
 
 
 def _verdict(decision: str, reason: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,17 +55,36 @@ def fixed(value: Column, places: int) -> Column:
     shortest decimal that reads back as the number, half up: 0.00375 is 0.0037 here
     and 0.0038 there. The remainder to a half is exact: the fraction is split in two
     short parts, whose products with a small integer have no rounding error.
+
+    What is used more than once is bound to a name. Written out at every use it makes
+    generated code of more than 8000 bytes, which the JVM never compiles.
     """
-    whole = F.floor(F.abs(value))
-    part = F.abs(value) - whole
-    wide = part * 134217729.0
-    head = wide - (wide - part)
     scale = float(2 * 10**places)
-    steps = F.floor(part * 10**places)
-    rest = (head * scale - (2 * steps + 1)) + (part - head) * scale
-    steps = steps + F.when((rest > 0) | ((rest == 0) & (steps % 2 == 1)), 1).otherwise(0)
-    units = whole + F.floor(steps / 10**places)
-    digits = F.lpad((steps % 10**places).cast("string"), places, "0")
+
+    def up(part: Column, steps: Column) -> Column:
+        wide = part * 134217729.0
+        head = wide - (wide - part)
+        rest = (head * scale - (2 * steps + 1)) + (part - head) * scale
+        return bound(rest, lambda r: F.when((r > 0) | ((r == 0) & (steps % 2 == 1)), 1).otherwise(0))
+
+    def shown(whole: Column, steps: Column) -> Column:
+        digits = F.lpad((steps % 10**places).cast("string"), places, "0")
+        return F.concat((whole + F.floor(steps / 10**places)).cast("string"), F.lit("."), digits)
+
+    whole = F.floor(F.abs(value))
+    text = bound(
+        F.abs(value) - whole,
+        lambda part: bound(F.floor(part * 10**places), lambda steps: bound(steps + up(part, steps), lambda n: shown(whole, n))),
+    )
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    # Away from a half a number pattern rounds alike, and is quick.
+    wide = F.abs(value) * 10**places
+    clear = (wide < 1e13) & (F.abs(wide - F.floor(wide) - 0.5) > 0.001)
+    plain = F.call_function("format_number", value + 0.0, F.lit("0." + "0" * places))
     # Doubles from 2**53 on have no fraction.
-    return F.when(F.abs(value) < 2.0**53, F.concat(sign, units.cast("string"), F.lit("."), digits)).otherwise(F.format_string(f"%.{places}f", value))
+    return F.when(clear, plain).when(F.abs(value) < 2.0**53, F.concat(sign, text)).otherwise(F.format_string(f"%.{places}f", value))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]

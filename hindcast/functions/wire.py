@@ -37,7 +37,11 @@ def is_json_object(text: Column, fields: Column) -> Column:
     alone = (F.instr(bare, "}") == F.length(bare)) | (
         F.json_array_length(F.concat(F.lit("["), bare, F.lit("]"))) == 1
     )
-    return F.coalesce(bare.startswith("{") & fields[_BROKEN].isNull() & alone, F.lit(False))
+    # The usual text is known by its bytes; WHEN keeps the rest from being computed for it.
+    before = F.substring(text.cast("binary"), F.lit(1), F.octet_length(text) - 1).cast("string")
+    one = text.startswith("{") & text.endswith("}") & ~F.contains(before, F.lit("}"))
+    object_ = F.when(one, F.lit(True)).otherwise(bare.startswith("{") & alone)
+    return F.coalesce(fields[_BROKEN].isNull() & object_, F.lit(False))
 
 
 def is_json_text(value: Column) -> Column:
@@ -75,11 +79,12 @@ def encode_payload(event_id: Column, headline: Column, ticker: Column, source: C
 
 
 def strip_fences(text: Column) -> Column:
-    """Take the JSON body out of a fenced answer."""
+    """Take the JSON body out of a fenced answer. Text from brace to brace has no fence, nor white space at its ends."""
     clean = strip(text)
     body = F.regexp_replace(clean, r"^`+|`+\z", "")
     body = F.when(body.startswith("json"), strip(F.substring(body, F.lit(5), F.length(body)))).otherwise(body)
-    return F.when(clean.startswith("```"), body).otherwise(clean)
+    bare = text.startswith("{") & text.endswith("}")
+    return F.when(bare, text).when(clean.startswith("```"), body).otherwise(clean)
 
 
 def repair_route(is_valid: Column, attempt: Column) -> Column:

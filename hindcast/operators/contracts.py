@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,10 @@ class ContractError(ValueError):
 
 def with_errors(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Add `errors`: the names of the checks whose condition is not true."""
-    broken = [F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(name)) for name, ok in checks.items()]
-    return df.withColumn("errors", F.array_compact(F.array(*broken)))
+    passed = [F.coalesce(ok, F.lit(False)) for ok in checks.values()]
+    broken = [F.when(ok, F.lit(None)).otherwise(F.lit(name)) for name, ok in zip(checks, passed, strict=True)]
+    # The list is put together by an interpreted filter, so a row without errors passes it by.
+    return df.withColumn("errors", F.when(reduce(and_, passed), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*broken))))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +103,8 @@ def proposal_checks(action: Column, confidence: Column, rationale: Column, event
     return {
         "action": action.isin(list(ACTIONS)),
         "confidence": confidence.between(0.0, 1.0) & ~F.isnan(confidence),
-        "rationale": F.length(rationale).between(1, RATIONALE_MAX_CHARS),
+        # Characters are counted only where there are more bytes than that.
+        "rationale": (rationale != "") & ((F.octet_length(rationale) <= RATIONALE_MAX_CHARS) | (F.length(rationale) <= RATIONALE_MAX_CHARS)),
         "event_id": F.length(event_id) > 0,
         "ticker": F.length(ticker) > 0,
     }

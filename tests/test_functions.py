@@ -1,4 +1,5 @@
 import hashlib
+import re
 import uuid
 from datetime import date, datetime, timezone
 from email.utils import parsedate_to_datetime
@@ -137,3 +138,28 @@ def test_fixed_decimals_round_the_exact_value(spark):
     df = spark.createDataFrame([(x,) for x in values], "x double")
     for r in df.select("x", text.fixed(F.col("x"), 4).alias("four"), text.fixed(F.col("x"), 3).alias("three")).collect():
         assert (r.four, r.three) == (f"{r.x:.4f}", f"{r.x:.3f}")
+
+
+def test_policy_reasons_stay_short_enough_to_be_compiled(spark, folder):
+    """The JVM never compiles a method of more than 8000 bytes; a stage that holds the reasons is such a method."""
+    rows = spark.createDataFrame([("BUY", 0.5, 14.0), ("BUY", 0.1, 13.99995), ("HOLD", 0.1, None), ("BUY", 0.00375, 0.00375)], "a string, s double, v double")
+    rows.write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows").withColumn("got", risk.gate_policy(F.col("a"), F.col("s"), F.col("v"), Policy(0.45, True, 14.0)))
+    code = rows._sc._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(rows._jdf.queryExecution().executedPlan())
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+    assert {r.got.reason for r in rows.collect()} == {
+        "BUY rejected: downside_risk_score=0.5000 >= score_threshold=0.4500", "HOLD always approve under policy_version=v1",
+        "BUY approved: downside_risk_score=0.1000 < score_threshold=0.4500", "BUY approved: downside_risk_score=0.0037 < score_threshold=0.4500",
+    }
+
+
+def test_one_object_and_nothing_behind_it(spark):
+    told = {
+        '{"a":1}': True, ' {"a":1}\n': True, '{"a":"}"}': True, '{"a":{"b":1}}': True, '{"a":1}}': False, '{"a":1} {"a":2}': False, '{"a":1},{"a":2}': False,
+        '{"a":1} x': False, '{}': True, '{': False, '}': False, '': False, '[1]': False, '{"a":"é}"}': True, '{"a":"é"}': True, '{"a":1}{': False, '{a}': False,
+    }
+    df = spark.createDataFrame([(t,) for t in told], "t string").withColumn("f", wire.json_fields(F.col("t"), ["a"]))
+    assert {r[0]: r[1] for r in df.select("t", wire.is_json_object(F.col("t"), F.col("f"))).collect()} == told
+    fenced = ["{x} ", "{a}```", "```{a}", "{```}", "{\n}", None, "}{", " {a}"]
+    assert column(spark, fenced, wire.strip_fences) == ["{x}", "{a}```", "{a}", "{```}", "{\n}", None, "}{", "{a}"]
