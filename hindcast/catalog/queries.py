@@ -61,7 +61,7 @@ def q_scan_news_csv(spark, sf):
     path = new_path(spark, "archive-csv")
     raw = v.archive(spark, sf).select(F.col("date").alias(" Date"), F.col("stock").alias("STOCK"), F.col("headline").alias("Article Title"))
     raw.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    rows = files.scan_news_csv(spark, path)
+    rows = files.scan_news_csv(spark, path, empty_texts=True)
     return rows.select(text.source_row_hash(F.col("date"), F.col("stock"), F.col("headline")).alias("row_hash")).groupBy(
         "row_hash"
     ).agg(F.count(F.lit(1)).alias("rows"))

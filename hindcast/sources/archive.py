@@ -19,7 +19,8 @@ behind the one before), which does not depend on how the files were split.
 The rules are those of the engine's own reader for whole files (quote and escape
 are the double quote): a quote opens a field only at its start, a doubled quote is
 a quote, and a closing quote followed by anything but a comma leaves the
-field open to the next comma. Empty lines are skipped. A file whose first line ends
+field open to the next comma. Only a NUL, which that reader drops before a quote or at
+a row's end, and U+FFFF, at which it breaks off, are kept here. Empty lines are skipped. A file whose first line ends
 in CR LF has such line ends, and they are read as LF inside quotes too; a lone CR
 ends no line. A file that ends inside quotes is refused with the place of
 its last row, as everything behind it would be one row.
@@ -28,12 +29,12 @@ its last row, as everything behind it would be one row.
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast.operators.scale import bounded, computed_once
@@ -47,6 +48,13 @@ class SourceError(ValueError):
 #: r_: as if the range began at a row's start; q_: as if inside quotes. at, r_start and q_start count from the range's first line; -1: none yet.
 NOTED = "file string, block long, at long, size long, value binary, cr boolean, r_in boolean, q_in boolean, r_out boolean, q_out boolean, r_start long, q_start long"
 
+#: Without an escape of the escape, NUL would count as one and be dropped.
+RULES = {"escape": '"', "charToEscapeQuoteEscaping": '"'}
+#: Read for nothing between commas, so that a quoted empty text is not taken for it.
+NOTHING = "\x01"
+#: The parser breaks off at U+FFFF outside of quotes, so another character stands for it there.
+HIDDEN = [("\x02", "\x02a"), ("\uffff", "\x02b")]
+
 
 def ends_inside(line: bytes, inside: bool) -> bool:
     """Whether a line that begins inside quotes, or at a row's start, ends inside quotes."""
@@ -183,8 +191,17 @@ def archive_records(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(over).withColumn("record", cut).filter(F.col("record") != "").drop("crlf")
 
 
-def scan_quoted_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """The rows as text columns c0, c1, ... with their `row_order`, and the header that all files share."""
+def _replaced(text: Column | str, pairs: Sequence[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def scan_quoted_csv(spark: SparkSession, path: str, empty_texts: bool = False) -> tuple[DataFrame, list[str]]:
+    """The rows as text columns c0, c1, ... with their `row_order`, and the header that all files share.
+
+    A field of two quotes is null like an absent one, or an empty text if `empty_texts`.
+    """
     records = archive_records(spark, path)
     headers = [r[0] for r in records.filter("first").select("record").distinct().limit(2).collect()]
     if not headers:
@@ -193,6 +210,15 @@ def scan_quoted_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str
     if len(named) > 1 and named[0] != named[1]:
         raise SourceError(f"files under {path} have different headers: {headers}")
     columns = [f"c{k}" for k in range(len(named[0]))]
-    parsed = F.from_csv("record", ", ".join(f"{c} string" for c in columns), {"escape": '"'})
-    rows = records.filter(~F.col("first")).select("row_order", parsed.alias("_row")).select("row_order", *[F.col(f"_row.{c}").alias(c) for c in columns])
-    return computed_once(rows, columns), named[0]
+    fields = ", ".join(f"{c} string" for c in columns)
+    hidden = F.contains("record", F.lit("\uffff"))
+    text = F.when(hidden, _replaced("record", HIDDEN)).otherwise(F.col("record"))
+    parsed = F.from_csv(text, fields, RULES | {"nullValue": NOTHING} if empty_texts else RULES)
+    rows = records.filter(~F.col("first")).select("row_order", "record", parsed.alias("_row"))
+    field = lambda c: F.col(f"_row.{c}")
+    if empty_texts:
+        # A field that reads as NOTHING itself came out null; the plain rules keep it.
+        plain = F.from_csv(text, fields, RULES)
+        field = lambda c: F.coalesce(f"_row.{c}", F.when(F.contains("record", F.lit(NOTHING)), plain[c]))
+    shown = lambda c: F.when(hidden, _replaced(field(c), [(new, old) for old, new in reversed(HIDDEN)])).otherwise(field(c))
+    return computed_once(rows.select("row_order", *[shown(c).alias(c) for c in columns]), columns), named[0]

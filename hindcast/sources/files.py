@@ -35,12 +35,13 @@ def archive_columns(header: Sequence[str]) -> list[Column]:
     return [F.col(f"`{column}`").alias(name) for name, column in wanted.items()]
 
 
-def scan_news_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_news_csv(spark: SparkSession, path: str, empty_texts: bool = False) -> DataFrame:
     """Headline archive as text columns, plus the byte offset of each row as `row_order`.
 
     Files are split freely, whether or not quoted fields go over line ends (see `archive`).
+    With `empty_texts` a quoted field of nothing is an empty text, else missing.
     """
-    rows, header = scan_quoted_csv(spark, path)
+    rows, header = scan_quoted_csv(spark, path, empty_texts)
     named = rows.select("row_order", *[F.col(f"c{k}").alias(name) for k, name in enumerate(header)])
     return named.select(*archive_columns(header), "row_order")
 

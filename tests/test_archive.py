@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from hindcast.catalog.oracle import ORACLE
+from hindcast.catalog.queries import REGISTRY
 from hindcast.operators import cleaning
 from hindcast.sources import archive, files
 
@@ -157,3 +159,40 @@ def test_one_scan_and_no_sort_aggregate(spark, folder):
     path = put(folder, "a.csv", "date,stock,headline\n" + "2020-01-01,AAPL,h\n" * 20)
     plan = cleaning.clean_archive(files.scan_news_csv(spark, path)).select(F.col("row_order"), "ticker")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "mapInArrow" not in plan and "from_csv" not in plan
+
+
+def test_nul_is_a_character_like_any_other(spark, folder):
+    heads = ["\0", '\0"', '"\0', 'a\0"b', '\0\0"\0"', "\0\n", "\0,\0", "a\0"]
+    path = put(folder, "a.csv", "date,stock,headline\n" + "".join('1,A,"{}"\n'.format(h.replace('"', '""')) for h in heads))
+    for size in (9, 10_000):
+        assert split_read(spark, path, size)[0] == [("1", "A", h) for h in heads]
+
+
+def test_a_noncharacter_is_kept(spark, folder):
+    heads = ["\uffff", "a\uffff", "\uffffa", "a\uffffb", "\x02\uffff\x02b", "\x02b", '"\uffff"', '"\n\uffff"']
+    path = put(folder, "a.csv", "date,stock,headline\n" + "".join(f"1,A,{h}\n" for h in heads) + "2,\uffff\n\uffff,,b\n")
+    want = [("1", "A", h.strip('"')) for h in heads] + [("2", "\uffff", None), ("\uffff", None, "b")]
+    for how in ({}, {"empty_texts": True}):
+        assert [tuple(r)[:3] for r in files.scan_news_csv(spark, path, **how).orderBy("row_order").collect()] == want
+
+
+def test_empty_texts_are_told_from_nothing(spark, folder):
+    path = put(folder, "a.csv", 'date,stock,headline\n1,A,""\n2,A,\n"","",""\n,,\n3,"","\n"\n4,,\x01\n5,"",\x01\n6,\x01,""\n7,A\n')
+    read = lambda **how: [tuple(r)[:3] for r in files.scan_news_csv(spark, path, **how).orderBy("row_order").collect()]
+    assert read(empty_texts=True) == [
+        ("1", "A", ""), ("2", "A", None), ("", "", ""), (None, None, None), ("3", "", "\n"), ("4", None, "\x01"), ("5", "", "\x01"), ("6", "\x01", ""), ("7", "A", None),
+    ]
+    assert read() == engine(spark, path)
+
+
+def test_query_keeps_odd_texts(spark, folder):
+    """The registered query against its SQL over texts that a text file can hold only with care."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["", None, " ", '""', "\0", '\0"', "a\0", "\0\n", "\r", "a\r\nb", "x\r", '"\r\n"', "\x01", "\ufeff", "\uffff", "a\uffffb", "\\", '\\"', ",", '",\n"', "\n", "tail ", "\ttab"]
+    rows = [(k, t, "en", f"src{14 + k % 2}", None if t is None else len(t)) for k, t in enumerate(texts * 3, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT row_hash, rows FROM ({ORACLE['scan_news_csv']})").fetchall()
+    got = REGISTRY["scan_news_csv"](spark, folder).select("row_hash", "rows").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
